@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 600_000
-#: Punctuation that, after a run of ASCII letters, is always a pre-token of its own.
-_TAIL = ".,;:!?"
+CACHE_WORDS = 400_000
 
 
 def default_path() -> str:
@@ -38,13 +38,16 @@ class Encoder:
 
     def __init__(self, path: str):
         self.path = path
-        self.cache: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
+        self.store = _Store()
         self.by_word = False
         if path.endswith(".model"):
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         else:
+            # a task has one core: threads of the library would only hold memory
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             with open(path, encoding="utf-8") as f:
@@ -53,33 +56,37 @@ class Encoder:
             self.model.no_truncation()
             self.model.no_padding()
             self.by_word = drops_white_space(spec)
+            vocab, suffix = self.model.get_vocab(), (spec.get("model") or {}).get("end_of_word_suffix")
+            self.ends_word = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+            if suffix:
+                self.ends_word[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+            self.special = "|".join(re.escape(x["content"]) for x in spec.get("added_tokens", []))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         if self.path.endswith(".model"):
             return [list(x) for x in self.model.encode(texts, num_threads=1)]
         return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        cache = self.cache
-        found = [cache.get(w) for w in words]
-        missing = [i for i, x in enumerate(found) if x is None]
+    def words(self, words: list[str]) -> np.ndarray:
+        """The number of each word in the worker's store of ids."""
+        known = self.known
+        if len(known) + len(words) > CACHE_WORDS:
+            known.clear()
+            self.store = _Store()
+        found = [known.get(w, -1) for w in words]
+        missing = [w for w, k in zip(words, found, strict=True) if k < 0]
         if missing:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            parts: dict[str, tuple[str, str]] = {}
-            for i in missing:
-                w = words[i]
-                core = w.rstrip(_TAIL)
-                parts[w] = (core.lower(), w[len(core):]) if core and core.isascii() and core.isalpha() else (w, "")
-            new = list({p for pair in parts.values() for p in pair if p and p not in cache})
-            ids = {p: np.array(x, dtype="<u4") for p, x in zip(new, self._encode(new), strict=True)}
-            get = lambda p: ids[p] if p in ids else cache[p] if p in cache else np.array(self._encode([p])[0], dtype="<u4")
-            for w, (core, tail) in parts.items():
-                cache[w] = np.concatenate([get(core), get(tail)]) if tail else get(core)
-            cache.update(ids)
-            for i in missing:
-                found[i] = cache[words[i]]
-        return found
+            # words of letters alone are one pre-token each, so a hundred of them are encoded as one text and told
+            # apart by the ids that end a word
+            letters = [w for w in missing if w.isalpha()]
+            flat = np.array([i for x in self._encode([" ".join(letters[k:k + 100]) for k in range(0, len(letters), 100)]) for i in x], dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[flat]) + 1
+            if len(ends) == len(letters):
+                known.update(zip(letters, self.store.put(flat, np.diff(np.concatenate([[0], ends]))), strict=True))
+            rest = [w for w in missing if w not in known]
+            known.update(zip(rest, self.store.add(self._encode(rest)), strict=True))
+            found = [known[w] for w in words]
+        return np.array(found, dtype=np.int64)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the offsets of each text in them."""
@@ -88,31 +95,58 @@ class Encoder:
             each = self._encode(texts.to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
             return np.array([i for x in each for i in x], dtype="<u4"), offsets
-        index, text_of, words = self._split(texts)
-        sizes = np.array([len(x) for x in words], dtype=np.int64)
-        flat = np.concatenate(words) if words else np.empty(0, dtype="<u4")
-        begins = np.cumsum(sizes) - sizes
-        per_word = sizes[index]
-        offsets = np.concatenate([[0], np.cumsum(per_word)])
-        ids = flat[np.repeat(begins[index] - offsets[:-1], per_word) + np.arange(offsets[-1])]
+        number, text_of = self._split(texts)
+        ids, offsets = self.store.take(number)
         return ids, offsets[text_of]
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text."""
         if not self.by_word:
             return np.diff(self.batch(texts)[1])
-        index, text_of, words = self._split(pc.fill_null(texts.cast(pa.large_string()), ""))
-        sizes = np.array([len(x) for x in words], dtype=np.int64)
-        return np.diff(np.concatenate([[0], np.cumsum(sizes[index])])[text_of])
-
-    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Index of each word in the distinct words, the words' offsets by text, ids of the distinct words."""
-        split = pc.ascii_split_whitespace(texts)
-        if isinstance(split, pa.ChunkedArray):
-            split = split.combine_chunks()
+        number, text_of = self._split(pc.fill_null(texts.cast(pa.large_string()), ""))
+        return np.diff(np.concatenate([[0], np.cumsum(self.store.sizes[number], dtype=np.int64)])[text_of])
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word of the batch, and the words' offsets by text."""
+        # ASCII letters in lower case, and marks apart from the letters before them, are no change to this
+        # tokenizer; words that differ in them alone are then one word. Special strings stay as they are.
+        plain = pc.ascii_lower(pc.replace_substring_regex(texts, pattern=r"([A-Za-z])([.,;:!?])", replacement=r"\1 \2"))  # in this order: ascii_lower misreads slices
+        if self.special:
+            special = pc.match_substring_regex(texts, pattern=self.special, ignore_case=True)
+            plain = pc.if_else(special, texts, plain)
+        split = pc.ascii_split_whitespace(plain)
         coded = split.flatten().dictionary_encode()
         offsets = np.asarray(split.offsets).astype(np.int64)
-        return np.asarray(coded.indices), offsets - offsets[0], self.words(coded.dictionary.to_pylist())
+        return self.words(coded.dictionary.to_pylist())[np.asarray(coded.indices)], offsets - offsets[0]
+
+
+class _Store:
+    """Ids of many words in one array; grows by doubling."""
+
+    def __init__(self):
+        self.ids, self.used = np.empty(1 << 16, dtype="<u4"), 0
+        self.begins, self.sizes, self.n = np.empty(1 << 14, dtype=np.int64), np.empty(1 << 14, dtype=np.int64), 0
+
+    def put(self, flat: np.ndarray, sizes: np.ndarray) -> range:
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.n + len(sizes) > len(self.sizes):
+            self.sizes, self.begins = np.concatenate([self.sizes, np.empty_like(self.sizes)]), np.concatenate([self.begins, np.empty_like(self.begins)])
+        self.ids[self.used:self.used + len(flat)] = flat
+        own = range(self.n, self.n + len(sizes))
+        self.sizes[own.start:own.stop] = sizes
+        self.begins[own.start:own.stop] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.n = self.used + len(flat), own.stop
+        return own
+
+    def add(self, ids: list[list[int]]) -> range:
+        return self.put(np.fromiter((i for x in ids for i in x), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the words with these numbers, and the offsets of each word in them."""
+        sizes = self.sizes[numbers]
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        return self.ids[np.repeat(self.begins[numbers] - offsets[:-1], sizes) + np.arange(offsets[-1])], offsets
 
 
 def drops_white_space(spec: dict) -> bool:
@@ -139,7 +173,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(table: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def slices(table: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """Parts of a batch with about ``limit`` bytes of text each, so that numpy work areas stay small."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(table.column(column)), 0)).astype(np.int64)
     group = (np.cumsum(sizes) - sizes) // limit
