@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lakesift.plans import search_queries, store_queries
+
 
 def queries() -> dict:
-    return {}
+    return store_queries.QUERIES | search_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return store_queries.SQL | search_queries.SQL
