@@ -46,6 +46,10 @@ class Phrase:
     def holds(self, counts: dict[Phrase, Column]) -> Column:
         return counts[self] > 0
 
+    def scored(self, counts: dict[Phrase, Column], when: Column | None = None) -> list[tuple[Phrase, Column | None]]:
+        """The phrases that add to a score, each time they stand in the query, with the condition that they do."""
+        return [(self, when)]
+
 
 @dataclass(frozen=True)
 class Op:
@@ -62,6 +66,18 @@ class Op:
         a, b = self.left.holds(counts), self.right.holds(counts)
         return a & b if self.kind == "AND" else a | b if self.kind == "OR" else a & ~b
 
+    def scored(self, counts: dict[Phrase, Column], when: Column | None = None) -> list[tuple[Phrase, Column | None]]:
+        """An alternative counts where it holds as a whole; what is excluded doesn't."""
+        if self.kind == "NOT":
+            return self.left.scored(counts, when)
+        out = []
+        for side in (self.left, self.right):
+            own = when
+            if self.kind == "OR" and isinstance(side, Op):
+                own = side.holds(counts) if when is None else when & side.holds(counts)
+            out += side.scored(counts, own)
+        return out
+
 
 def phrase(text: str, prefix: bool = False, stemmed: bool = False) -> Phrase:
     """A phrase of the tokens of ``text``."""
@@ -148,12 +164,14 @@ def bm25(rows: DataFrame, wanted: Phrase | Op) -> DataFrame:
     counted = rows.withColumn("dl", F.size("tokens")).withColumns({n: p.count(F.col("tokens")) for n, p in zip(names, own, strict=True)}).drop("tokens")
     total = counted.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names])
     score = F.lit(0.0)
-    for n in names:
+    counts = {p: F.col(n) for n, p in zip(names, own, strict=True)}
+    for p, when in wanted.scored(counts):
+        n = names[own.index(p)]
         idf = F.ln((F.col("n_rows") - F.col(f"n_{n}") + 0.5) / (F.col(f"n_{n}") + 0.5))
         idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
-        f = F.col(n).cast("double")
+        f = F.col(n).cast("double") if when is None else F.when(when, F.col(n).cast("double")).otherwise(0.0)
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = counted.where(wanted.holds({p: F.col(n) for n, p in zip(names, own, strict=True)}))
+    hits = counted.where(wanted.holds(counts))
     return hits.crossJoin(F.broadcast(total)).withColumn("raw_score", -score).drop("dl", "n_rows", "avgdl", *names, *[f"n_{n}" for n in names])
 
 
