@@ -24,8 +24,8 @@ TOKENS = 64
 RUNS, LEVELS = 10, 2
 #: Two sets of a bucket are compared in full if at least this share of their tokens is equal: 5 standard deviations below 0.8.
 ESTIMATE = 0.55
-#: Rows of a bucket that one task compares with each other; larger buckets are split into pairs of parts.
-PART = 256
+#: Rows that one task compares with each other, by sketch and in full; larger groups are split into pairs of parts.
+SKETCH_PART, PART = 1024, 256
 
 
 def _multipliers() -> np.ndarray:
@@ -117,7 +117,7 @@ def _sets(members: bits.Filter):
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Batches that hold whole groups of equal neighbouring keys; a group has at most 2 * PART rows."""
+    """Batches that hold whole groups of equal neighbouring keys; a group has the rows of two parts at most."""
     rest = None
     for batch in batches:
         if rest is not None:
@@ -221,16 +221,16 @@ def _exact(similarity: float):
     return run
 
 
-def _in_parts(rows: DataFrame, key: str, size: str) -> DataFrame:
-    """Each row once for every pair of parts it takes part in: a group of n rows has n / PART parts."""
-    parts = F.ceil(F.col(size) / PART).cast("int")
+def _in_parts(rows: DataFrame, size: str, part: int) -> DataFrame:
+    """Each row once for every pair of parts it takes part in: a group of n rows has n / part parts."""
+    parts = F.ceil(F.col(size) / part).cast("int")
     own = F.pmod(F.xxhash64("set_id"), parts).cast("int")
     split = rows.withColumn("own_part", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     return split.withColumn("part_a", F.least("own_part", "other")).withColumn("part_b", F.greatest("own_part", "other")).drop("other", size)
 
 
 def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(texts, links): set_id, first_doc, copies of each different text; set_id, links, class of those with links.
+    """(texts, links): set_id, first_doc, copies of each different text; set_id, component, links, class of those with links.
 
     1. Each text is sketched where it is read; equal texts become one row.
     2. Runs of recursive splitting give buckets; those with one set go.
@@ -245,20 +245,21 @@ def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
 
     placed = texts.select("set_id", F.explode("paths").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = _in_parts(placed.join(shared, "bucket"), "bucket", "n").join(texts.select("set_id", "sketch"), "set_id")
+    members = _in_parts(placed.join(shared, "bucket"), "n", SKETCH_PART).join(texts.select("set_id", "sketch"), "set_id")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.repartition(width, "bucket", "part_a", "part_b").sortWithinPartitions("bucket", "part_a", "part_b")
+    # in the order of ids, so that buckets which share members give the same edges: to the smallest id
+    dealt = members.repartition(width, "bucket", "part_a", "part_b").sortWithinPartitions("bucket", "part_a", "part_b", "set_id")
     likely = materialise(dealt.mapInArrow(_links_of_buckets, "u long, v long").distinct(), "likely")
 
     clusters = components(likely).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
     clustered = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
     own = keyed.select("set_id", "content").mapInArrow(_sets(bits.build(clusters, "set_id")), "set_id long, shingles array<long>").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-    pairs = _in_parts(clustered.join(own, "set_id"), "cluster", "n").repartition(width, "cluster", "part_a", "part_b").sortWithinPartitions("cluster", "part_a", "part_b")
+    pairs = _in_parts(clustered.join(own, "set_id"), "n", PART).repartition(width, "cluster", "part_a", "part_b").sortWithinPartitions("cluster", "part_a", "part_b", "set_id")
     exact = materialise(pairs.mapInArrow(_exact(similarity), "set_id long, links long, label long"), "exact")
     classes = components(exact.where("set_id != label"), "set_id", "label")
     counted = exact.groupBy("set_id").agg(F.sum("links").alias("links"))
     first = texts.select("set_id", "first_doc").join(classes, F.col("set_id") == F.col("node")).groupBy("component").agg(F.min("first_doc").alias("class"))
-    links = classes.join(first, "component").select(F.col("node").alias("set_id"), "class").join(counted, "set_id", "left")
+    links = classes.join(first, "component").select(F.col("node").alias("set_id"), "component", "class").join(counted, "set_id", "left")
     return texts.select("set_id", "first_doc", "copies"), materialise(links, "links")
 
 
@@ -280,3 +281,17 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     known = texts.join(links, "set_id", "left").select(F.col("set_id").alias("__set"), F.coalesce("class", "first_doc").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("first_doc").alias("copy_id"), F.col("copies").alias("n_copies"))
     kept = [c for c in docs.columns if c not in new]
     return docs.select(*kept).withColumn("__key", F.xxhash64(text_of())).join(known, F.col("__key") == F.col("__set")).select(*kept, *new)
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each class of linked or equal texts: of the text with the smallest doc_id, the row that has it.
+
+    Rows are as in jaccard_join. A null doc_id comes after all others. Rows that repeat a doc_id with
+    unlike texts are apart. Texts move once, to the class that their own hash names.
+    """
+    texts, links = similar_sets(docs, similarity)
+    order = F.struct(F.col("first_doc").isNull(), "first_doc", "set_id")
+    own = texts.join(links.select("set_id", "component"), "set_id", "left").groupBy(F.coalesce("component", "set_id").alias("c")).agg(F.min_by(F.struct("set_id", "first_doc"), order).alias("s"))
+    kept = own.select(F.col("s.set_id").alias("__set"), F.col("s.first_doc").alias("__first"))
+    rows = docs.withColumn("__key", F.xxhash64(text_of())).join(kept, F.col("__key") == F.col("__set"))
+    return rows.where(F.col("doc_id").eqNullSafe(F.col("__first"))).dropDuplicates(["__key"]).select(*docs.columns)
