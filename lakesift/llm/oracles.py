@@ -1,5 +1,62 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+from __future__ import annotations
+
+import hashlib
+
+_KEYWORD = "(?i:password|passwd|secret|token|api_?key)"
+#: Each rule marks its matches: chr(57344) before, chr(57345) before the value, chr(57346) after it.
+_RULES = {
+    "assign": (f"({_KEYWORD}[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?)([A-Za-z0-9+/_.=-]+)", "length(v) >= 6"),
+    "access": "()(AKIA[A-Z0-9]+)|length(v) >= 20",
+    "hex": "()([0-9a-f]{24,})|true",
+}
+
+
+def _secrets() -> str:
+    parts = []
+    for rank, (kind, rule) in enumerate(_RULES.items()):
+        pattern, keep = rule if isinstance(rule, tuple) else rule.rsplit("|", 1)
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s AS start, s + length(h) + length(v) AS stop, ({keep}) AS keep FROM (
+ SELECT doc_id, k, split_part(p, chr(57345), 1) AS h, split_part(split_part(p, chr(57345), 2), chr(57346), 1) AS v,
+  sum(length(p) - CASE WHEN k > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s
+ FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT doc_id, string_split(regexp_replace(text, '{pattern}', chr(57344) || '\\1' || chr(57345) || '\\2' || chr(57346), 'g'), chr(57344)) AS ps FROM documents)))
+ WHERE k > 1""")
+    found = " UNION ALL ".join(parts)
+    return f"""WITH f AS (SELECT * FROM ({found}) WHERE keep),
+ a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) AS spans FROM f GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id"""
+
+
+def _sharding(shards: int = 64, slots: int = 65537) -> str:
+    """The table is filled here by itself, a turn for each shard at a time."""
+    number = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
+    names = [f"shard-{i:03d}" for i in range(shards)]
+    wishes_of = lambda n: ((number(f"offset:{n}") % slots + j * (number(f"skip:{n}") % (slots - 1) + 1)) % slots for j in range(slots))
+    preferred = [wishes_of(n) for n in names]
+    owner: dict[int, int] = {}
+    while len(owner) < slots:
+        for k, wishes in enumerate(preferred):
+            if len(owner) < slots:
+                owner[next(s for s in wishes if s not in owner)] = k
+    table = ",".join(str(owner[s]) for s in range(slots))
+    return f"""WITH t AS (SELECT [{table}] AS owners), s AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % {slots} AS slot FROM documents)
+SELECT doc_id, slot, owners[slot + 1] AS shard, 'shard-' || lpad((owners[slot + 1])::VARCHAR, 3, '0') AS shard_name FROM s, t"""
+
+
+_SUBSTRINGS = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM w),
+ s AS (SELECT p.doc_id, word, pos, n, CASE WHEN pos + 34 <= n THEN md5(array_to_string(ws[pos:pos + 34], ' ')) END AS h FROM p JOIN w ON p.doc_id = w.doc_id),
+ r AS (SELECT *, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS twice FROM s),
+ c AS (SELECT *, max(twice::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM r),
+ a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM c GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id"""
+
+_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+ b AS (SELECT page_id, strlen(html) AS payload_bytes, unhex(hex)::BIT::VARCHAR AS bits, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_sum(list_transform(range(1, 6), lambda j: CASE WHEN bits[i * 5 + j] = '1' THEN 1 << (5 - j)::INT ELSE 0 END))::INT + 1, 1)), '') AS payload_digest,
+ CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM b"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secret_scans": _secrets(), "op6_sharding": _sharding(), "op7_substring_dedup": _SUBSTRINGS, "op10_warc": _WARC}
