@@ -19,9 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked or equal texts: the one whose id names the class."""
-    kept = jaccard.jaccard_join(docs.select("doc_id", "text")).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    """One document of each class of linked or equal texts: the one with the smallest id."""
+    return jaccard.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

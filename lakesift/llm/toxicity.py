@@ -165,7 +165,7 @@ def _features(model: Model):
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
-    """Logistic weights by Newton's method; both score weights are kept from falling below zero."""
+    """Logistic weights by Newton's method; both score weights are kept from falling below zero, the constant from rising above it."""
     w = np.zeros(3)
     if not len(y):
         return 1.0, 1.0, -5.0
@@ -187,7 +187,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, floa
             w = np.zeros(3)
             w[kept] = v
             break
-    return float(w[0]), float(w[1]), float(w[2])
+    return float(w[0]), float(w[1]), min(float(w[2]), -0.05)  # a text without a finding is never called toxic
 
 
 def _scores(model: Model):
