@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ class Model:
 
     lexicon: tuple[tuple[str, float], ...] = ()
     exceptions: tuple[str, ...] = ()
-    logistic: tuple[float, float, float] = field(default=(0.0, 0.0, -30.0))
+    logistic: tuple[float, ...] = field(default=(0.0, 0.0, 0.0, -30.0))
 
 
 def folded(column: str = "text"):
@@ -70,15 +72,16 @@ def _automaton(model: Model):
     return found if len(found) else None
 
 
-def raw_score(model: Model, text: str) -> tuple[float, int]:
-    """Sum over words of the heaviest entry that begins there, and the number of words.
+def raw_score(model: Model, text: str) -> tuple[float, float, int]:
+    """Sum over different words of the heaviest entry that begins there, the heaviest of all, and the number of words.
 
-    An exception that begins at a word voids the word's entries, and those of words inside a phrase.
+    A word that comes n times counts 1 + ln n times. An exception that begins at a word voids
+    the word's entries, and those of words inside a phrase.
     """
     words = text.count(" ") - 1 if len(text) > 1 else 0
     found = _automaton(model)
     if found is None or words <= 0:
-        return 0.0, max(0, words)
+        return 0.0, 0.0, max(0, words)
     best: dict[int, float] = {}
     voided: list[tuple[int, int]] = []
     for end, (n, weight) in found.iter(text):
@@ -87,15 +90,18 @@ def raw_score(model: Model, text: str) -> tuple[float, int]:
             voided.append((begin, end))
         elif weight > best.get(begin, 0.0):
             best[begin] = weight
-    for a, b in voided:
-        for begin in [x for x in best if a <= x < b]:
-            del best[begin]
-    return sum(best.values()), words
+    if voided:
+        starts = sorted(best)
+        for a, b in voided:
+            for begin in starts[bisect_left(starts, a):bisect_left(starts, b)]:
+                best.pop(begin, None)
+    counts = Counter((text[begin:text.find(" ", begin + 1)], weight) for begin, weight in best.items())
+    return sum(w * (1 + log(n)) for (_, w), n in counts.items()), max(best.values(), default=0.0), words
 
 
-def features(score: float, words: int) -> tuple[float, float, float]:
-    """What the logistic weights apply to: the score, and the score by length."""
-    return float(np.log1p(score)), float(np.log1p(100.0 * score / max(words, 1))), 1.0
+def features(score: float, heaviest: float, words: int) -> tuple[float, ...]:
+    """What the logistic weights apply to: the score, the score by length, the heaviest entry, and a constant."""
+    return log1p(score), log1p(100.0 * score / max(words, 1)), heaviest, 1.0
 
 
 def probability(model: Model, text: str) -> float:
@@ -128,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ())
     One half gives the lexicon: word beginnings and words of at least ``MIN_DOCS`` toxic documents
     whose rate there is e**``MIN_WEIGHT`` times that in other documents. Words that begin so but
     are at home in clean documents become exceptions, besides the phrases given. The other half
-    fits three logistic weights. Label values other than 0 and 1, and null ids, aren't used. Without toxic
+    fits four logistic weights. Label values other than 0 and 1, and null ids, aren't used. Without toxic
     and clean rows the model finds nothing.
     """
     rows = labels.where("toxic in (0, 1) and doc_id is not null").where(~is_held_out()).select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -149,45 +155,43 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ())
         clean = weighed.where((F.col("clean") >= MIN_DOCS) & (F.col("weight") < 0) & F.endswith("feature", F.lit(" ")) & F.exists(F.array(*[F.substring("feature", 1, k + 1) for k in BEGINNINGS]), lambda x: x.isin(*begins) if begins else F.lit(False)))
         void = tuple(r["feature"] for r in clean.orderBy(F.desc("clean"), "feature").limit(EXCEPTIONS).collect())
         draft = Model(lexicon, tuple(dict.fromkeys([*void, *(f" {x.strip()} " for x in exceptions)])))
-        fitted = own.where("half = 1").select("folded", "toxic").mapInArrow(_features(draft), "a double, b double, toxic int").toPandas()
+        weighed.unpersist()
+        fitted = own.where("half = 1").select("folded", "toxic").mapInArrow(_features(draft), "x array<double>, toxic int").toPandas()
     finally:
         own.unpersist()
-    return Model(draft.lexicon, draft.exceptions, _fit(np.column_stack([fitted["a"], fitted["b"], np.ones(len(fitted))]), fitted["toxic"].to_numpy(dtype=float)))
+    return Model(draft.lexicon, draft.exceptions, _fit(np.array(fitted["x"].tolist(), dtype=float).reshape(-1, 4), fitted["toxic"].to_numpy(dtype=float)))
 
 
 def _features(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(*raw_score(model, t)) for t in batch.column("folded").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), batch.column("toxic").cast(pa.int32())], ["a", "b", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32())], ["x", "toxic"])
 
     return run
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
-    """Logistic weights by Newton's method; both score weights are kept from falling below zero, the constant from rising above it."""
-    w = np.zeros(3)
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
+    """Logistic weights by Newton's method. Features with a negative weight are left out, the most negative first;
+    the constant stays below zero, so that a text without a finding is never called toxic."""
     if not len(y):
-        return 1.0, 1.0, -5.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(3)
-        step = np.linalg.solve(hessian, gradient)
-        w = w - step
-        if np.abs(step).max() < 1e-7:
+        return 1.0, 1.0, 0.0, -5.0
+    kept = [0, 1, 2, 3]
+    while True:
+        own, w = x[:, kept], np.zeros(len(kept))
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            step = np.linalg.solve((own * (p * (1 - p))[:, None]).T @ own + ridge * np.eye(len(kept)), own.T @ (p - y) + ridge * w)
+            w = w - step
+            if np.abs(step).max() < 1e-7:
+                break
+        low = int(np.argmin(w[:-1])) if len(kept) > 1 else -1
+        if low < 0 or w[low] >= 0:
             break
-    for k, other in ((0, 1), (1, 0)):
-        if w[k] < 0:
-            kept = [other, 2]
-            v = np.zeros(2)
-            for _ in range(60):
-                p = 1 / (1 + np.exp(-np.clip(x[:, kept] @ v, -30, 30)))
-                v = v - np.linalg.solve((x[:, kept] * (p * (1 - p))[:, None]).T @ x[:, kept] + ridge * np.eye(2), x[:, kept].T @ (p - y) + ridge * v)
-            w = np.zeros(3)
-            w[kept] = v
-            break
-    return float(w[0]), float(w[1]), min(float(w[2]), -0.05)  # a text without a finding is never called toxic
+        kept.pop(low)
+    out = np.zeros(4)
+    out[kept] = w
+    return float(out[0]), float(out[1]), float(out[2]), min(float(out[3]), -0.05)
 
 
 def _scores(model: Model):
