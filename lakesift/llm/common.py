@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: The separators of the word definition ``[^\x20\x09-\x0D]+``.
 WORD_SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
+BATCH_ROWS = 1000
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -34,6 +35,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session was told to hand texts to Python ``BATCH_ROWS`` at a time, unless it hands over fewer.
+
+    Whole texts are long: the session's default of 10,000 rows costs tens of megabytes for each task, several times over.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def text_of(column: str = "text"):
     """The text, a null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

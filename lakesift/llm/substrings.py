@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm import bits
-from lakesift.llm.common import gram_hashes, materialise, text_of, word_hashes, word_spans
+from lakesift.llm.common import gram_hashes, materialise, range_hash, small_batches, text_of, word_hashes, word_spans
 from lakesift.llm.vocabulary import slices
 
 WINDOW = 35
@@ -18,9 +18,9 @@ FIRST_LEVEL = 18
 
 
 def levels(window: int = WINDOW, first: int = FIRST_LEVEL) -> list[int]:
-    """Lengths that double (less a word where needed) from about ``first`` up to ``window``: [18, 35]."""
+    """Lengths that double (less a word where needed) from about ``first`` up to ``window``, two at least: [18, 35]."""
     out = [window]
-    while out[0] > first:
+    while out[0] > first or len(out) < 2:
         out.insert(0, -(-out[0] // 2))
     return out
 
@@ -86,22 +86,39 @@ def _level_keys(lengths: list[int], window: int, filters: list[bits.Filter]):
     return run
 
 
-def _windows(lengths: list[int], window: int, filters: list[bits.Filter]):
-    """hash, row and place of each window that the filters let through."""
+def _runs(lengths: list[int], window: int, filters: list[bits.Filter], with_hashes: bool):
+    """Runs of neighbouring windows with one key of the last level, among those the filters let through.
+
+    ``stretch`` is the hash of all words of a run. Without hashes: stretch, row, first place and number of windows of
+    each run. With them: each stretch once for a batch, how often it came, and its windows' hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "content"):
                 words, offsets = batch_words(part.column("content"))
-                at = _valid(offsets, window)
+                at, key = _valid(offsets, window), None
                 for n, own in zip(lengths, filters, strict=True):
                     if len(at):
-                        at = at[own.holds(window_keys(words, n, window)[0][at])]
+                        key = window_keys(words, n, window)[0]
+                        at = at[own.holds(key[at])]
                 if not len(at):
                     continue
-                own = np.searchsorted(offsets, at, side="right") - 1
-                keys = np.asarray(part.column("row_key"))
-                yield pa.RecordBatch.from_arrays([pa.array(gram_hashes(words, window)[at].view(np.int64)), pa.array(keys[own]), pa.array((at - offsets[own]).astype(np.int32))], ["hash", "row_key", "place"])
+                doc = np.searchsorted(offsets, at, side="right") - 1
+                first = np.flatnonzero(np.concatenate([[True], (key[at][1:] != key[at][:-1]) | (np.diff(at) != 1) | (np.diff(doc) != 0)]))
+                n = np.diff(np.concatenate([first, [len(at)]]))
+                stretch = range_hash(words, at[first], at[first] + n - 1 + window)
+                if not with_hashes:
+                    keys = np.asarray(part.column("row_key"))
+                    yield pa.RecordBatch.from_arrays([pa.array(stretch.view(np.int64)), pa.array(keys[doc[first]]), pa.array((at[first] - offsets[doc[first]]).astype(np.int32)), pa.array(n.astype(np.int32))], ["stretch", "row_key", "place", "n"])
+                    continue
+                names, where, times = np.unique(stretch, return_index=True, return_counts=True)
+                sizes = n[where]
+                ends = np.cumsum(sizes)
+                inner = np.repeat(first[where] - (ends - sizes), sizes) + np.arange(ends[-1])
+                hashes = gram_hashes(words, window)[at[inner]].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(times.astype(np.int64)), lists], ["stretch", "times", "hashes"])
 
     return run
 
@@ -110,12 +127,11 @@ def _remove(window: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            places = batch.column("places")
-            for text, own in zip(batch.column("content").to_pylist(), places, strict=True):
+            for text, own in zip(batch.column("content").to_pylist(), batch.column("runs"), strict=True):
                 words = (text or "").encode().split()  # bytes split at ASCII white space alone
                 removed = 0
                 if own.is_valid and len(words):
-                    at = np.asarray(own.values)
+                    at = _starts(own.values)
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
                     edge[:] += np.bincount(at, minlength=len(words) + 1)[:len(words) + 1]
                     edge -= np.bincount(np.minimum(at + window, len(words)), minlength=len(words) + 1)[:len(words) + 1]
@@ -133,25 +149,65 @@ def _remove(window: int, names: list[str]):
     return run
 
 
+def _touched(filter_: bits.Filter):
+    """The rows that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(filter_.holds(np.asarray(batch.column("__row")).view(np.uint64))))
+
+    return run
+
+
+def _untouched(filter_: bits.Filter):
+    """The other rows, as they are without a repeated window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.filter(pa.array(~filter_.holds(np.asarray(batch.column("__row")).view(np.uint64))))
+            words = [x.encode().split() for x in own.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(w).decode() for w in words], pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+    return run
+
+
+def _starts(runs: pa.StructArray) -> np.ndarray:
+    """Starts of windows, from runs of them of which all or some count."""
+    out = []
+    for place, n, some in zip(runs.field("place").to_pylist(), runs.field("n").to_pylist(), runs.field("some").to_pylist(), strict=True):
+        out.append(place + (np.arange(n) if some is None else np.asarray(some)))
+    return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, first: int = FIRST_LEVEL) -> DataFrame:
-    """row_key and places (the starts, in words) of the windows of each row whose words also start elsewhere.
+    """row_key and the runs of windows of each row whose words also start elsewhere: place (in words), n, and which of them (null: all).
 
     Windows that repeat at one length alone are looked at again at twice the length. Below the
     full length a window is represented by the least hash among its parts, so one row stands
     for a run of neighbouring windows. Between levels a bit map of the keys that repeat, of at most 8 MB,
-    goes to the tasks: it can let too much through, never too little. The last level counts
-    window hashes before it joins them back, so a passage that many rows share is added up in
-    the tasks that read it.
+    goes to the tasks: it can let too much through, never too little.
+
+    At the full length a run whose words repeat as a whole is settled by one row. Its windows are
+    counted once with the number of times it came, those of other runs one by one, and only the
+    latter are joined back to the counts. Counts are added up in the tasks that read the texts
+    before anything moves, so a passage that very many rows share is no burden to one task.
     """
-    rows = docs.select(F.xxhash64("doc_id", text_of()).alias("row_key"), text_of().alias("content"))
+    rows = small_batches(docs).select(F.xxhash64("doc_id", text_of()).alias("row_key"), text_of().alias("content"))
     lengths, filters = levels(window, first), []
     for k in range(1, len(lengths)):
         keys = rows.select("content").mapInArrow(_level_keys(lengths[:k], window, list(filters)), "key long, n long")
         repeated = keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
         filters.append(bits.build(materialise(repeated, f"level-{lengths[k - 1]}"), "key"))
-    found = materialise(rows.mapInArrow(_windows(lengths[:-1], window, filters), "hash long, row_key long, place int"), "windows")
-    twice = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    return found.join(twice, "hash", "left_semi").groupBy("row_key").agg(F.collect_list("place").alias("places"))
+    below = lengths[:-1]
+    each = rows.select("content").mapInArrow(_runs(below, window, filters, True), "stretch long, times long, hashes array<long>")
+    stretches = materialise(each.groupBy("stretch").agg(F.sum("times").alias("times"), F.first("hashes").alias("hashes")), "stretches")
+    windows = stretches.select("stretch", "times", F.posexplode("hashes").alias("k", "hash"))
+    twice = windows.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1").select("hash")
+    partly = windows.where("times = 1").join(twice, "hash", "left_semi").groupBy("stretch").agg(F.collect_list("k").alias("some"))
+    settled = stretches.select("stretch", "times").join(partly, "stretch", "left").where("times > 1 or some is not null").drop("times")
+    runs = rows.mapInArrow(_runs(below, window, filters, False), "stretch long, row_key long, place int, n int")
+    found = runs.join(settled, "stretch")
+    return found.groupBy("row_key").agg(F.collect_list(F.struct("place", "n", "some")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST_LEVEL) -> DataFrame:
@@ -162,7 +218,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST_LEV
     Empty table: empty result. Only doc_id and text are read. Rows are told apart by a 64-bit hash
     of doc_id and text; windows by 64-bit hashes of their words.
     """
-    places = repeated_windows(docs, window, first).withColumnRenamed("row_key", "__of")
+    runs = materialise(repeated_windows(docs, window, first).withColumnRenamed("row_key", "__of"), "runs")
+    touched = bits.build(runs.select("__of"), "__of")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text_of()).alias("__row"), text_of().alias("content"))
-    joined = rows.join(places, F.col("__row") == F.col("__of"), "left").select("doc_id", "content", "places")
-    return joined.mapInArrow(_remove(window, ["doc_id"]), "doc_id long, n_words long, n_removed long, kept_text string")
+    out = "doc_id long, n_words long, n_removed long, kept_text string"
+    # texts that lose nothing are done where they are read; only the others meet their runs
+    free = rows.mapInArrow(_untouched(touched), out)
+    some = rows.mapInArrow(_touched(touched), "doc_id long, __row long, content string")
+    return free.unionAll(some.join(runs, F.col("__row") == F.col("__of"), "left").select("doc_id", "content", "runs").mapInArrow(_remove(window, ["doc_id"]), out))
