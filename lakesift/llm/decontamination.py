@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import gram_hashes, mix, text_of, word_hashes, word_spans
+from lakesift.llm.common import gram_hashes, mix, small_batches, text_of, word_hashes, word_spans
 from lakesift.llm.vocabulary import slices
 
 #: A window is a copy of an item of n words if their word edit distance is at most n * MAX_EDITS.
@@ -206,7 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
     Null or empty texts and items without words match nothing; rows with a null item_id aren't items. Repeated items: each is
     reported; repeated rows: each is compared. Empty tables: empty result. Other columns aren't read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_of()).alias("content"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_of()).alias("content"))
     listed = [(r["item_id"], r["content"]) for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower(text_of()).alias("content")).orderBy("item_id").toLocalIterator()]
     schema = "doc_id long, item_id long, distance long, start_word long, n_words long"
     passes = [rows.mapInArrow(_scan(prepare(listed[a:a + block], max_edits), max_edits), schema) for a in range(0, max(1, len(listed)), block)]

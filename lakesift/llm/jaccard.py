@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm import bits
-from lakesift.llm.common import gram_hashes, materialise, mix, range_hash, text_of
+from lakesift.llm.common import gram_hashes, materialise, mix, range_hash, small_batches, text_of
 from lakesift.llm.components import components
 from lakesift.llm.substrings import batch_words
 from lakesift.llm.vocabulary import slices
@@ -239,7 +239,7 @@ def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
        counted where they are found, so pairs are never listed.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.xxhash64(text_of()).alias("set_id"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("content"))
+    keyed = small_batches(docs).select(F.xxhash64(text_of()).alias("set_id"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("content"))
     sketched = keyed.mapInArrow(_sketch(similarity), "set_id long, doc_id long, paths array<long>, sketch binary")
     texts = materialise(sketched.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "texts")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import text_of
+from lakesift.llm.common import small_batches, text_of
 
 # Fixed values of the Matroska and EBML specifications (RFC 8794, RFC 9559): element ids.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -259,7 +259,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_column(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each whole text, padded, as a Matroska file. A null text is an empty one."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("content")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("content")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
 PACKETS = "doc_id long, packet int, track int, timestamp long, byte_from long, byte_to long, cluster int, block int, key boolean"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm import vocabulary
-from lakesift.llm.common import materialise, text_of
+from lakesift.llm.common import materialise, small_batches, text_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -50,7 +50,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
     ``part`` and ``local_rank`` number equal lengths within a task; they go with the written table.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long" + ", input_ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("content")).mapInArrow(_pieces(tokenizer or vocabulary.default_path(), capacity, end_id, with_ids), schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("content")).mapInArrow(_pieces(tokenizer or vocabulary.default_path(), capacity, end_id, with_ids), schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm import vocabulary
-from lakesift.llm.common import text_of, work_dir
+from lakesift.llm.common import small_batches, text_of, work_dir
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -46,7 +46,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
     path = tokenizer or vocabulary.default_path()
     version = vocabulary.version_of(path)
     cache = cache or work_dir(spark, "token-cache")
-    content = docs.select(F.unhex(F.sha2(normalised(text), 256)).alias("content_digest"), normalised(text).alias("content"))
+    content = small_batches(docs).select(F.unhex(F.sha2(normalised(text), 256)).alias("content_digest"), normalised(text).alias("content"))
     # one row for each digest before texts move: the partial aggregate already combines copies
     distinct = content.groupBy("content_digest").agg(F.first("content").alias("content"))
     known = read_cache(spark, cache)

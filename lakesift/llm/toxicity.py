@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import text_of
+from lakesift.llm.common import small_batches, text_of
 
 # Letters that look like Latin ones, digits and signs that stand for letters, and
 # characters without width, which are dropped.
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ())
     order = F.xxhash64(F.col("label_id").cast("string"))
     # at most TRAIN_ROWS short rows: a proven size
     sample = rows.groupBy("label_id").agg(F.max("toxic").alias("toxic")).withColumn("half", F.pmod(order, F.lit(2))).orderBy(order).limit(TRAIN_ROWS)
-    own = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select(folded().alias("folded"), "toxic", "half").persist()
+    own = small_batches(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select(folded().alias("folded"), "toxic", "half").persist()
     try:
         totals = {r["toxic"]: r["n"] for r in own.where("half = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if not totals.get(0) or not totals.get(1):
@@ -209,6 +209,6 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     Null or empty text: the score of no finding. Equal texts: equal scores. Empty table: empty
     result. Other columns of ``docs`` can have any name.
     """
-    rows = docs.select(*[F.col(c) for c in keep if c != "score"], folded(text).alias("folded"))
+    rows = small_batches(docs).select(*[F.col(c) for c in keep if c != "score"], folded(text).alias("folded"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "folded")
     return rows.mapInArrow(_scores(model), f"{schema}, score double")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def default_path() -> str:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import materialise, text_of, work_dir
+from lakesift.llm.common import materialise, small_batches, text_of, work_dir
 
 # Fixed values of the ZIP format (APPNOTE 6.3): signatures.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -200,7 +200,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_payload: int
     isn't a page and is left out. Rows that repeat a page_id: each becomes a record.
     """
     folder = folder or work_dir(pages.sparkSession, "warc")
-    own = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html")).withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
+    own = small_batches(pages).where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html")).withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
     firsts = own.where(F.col("size") >= min_payload).groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # most payloads occur once: only the copies' ids and digests meet the pages again
     marked = own.join(firsts, own.digest == firsts.of, "left").select("page_id", "url", "html", "digest", "size", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("first"))
