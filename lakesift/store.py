@@ -50,6 +50,7 @@ class Store:
         draft = f"{self.path}/drafts/{uuid.uuid4().hex}"
         self.spark.createDataFrame(list(places.items()), "name string, path string").coalesce(1).write.json(draft)
         self.fs.mkdirs(self._jvm_path(f"{self.path}/versions"))
-        if not self.fs.rename(self._jvm_path(draft), self._jvm_path(f"{self.path}/versions/{n}")):
+        target = self._jvm_path(f"{self.path}/versions/{n}")
+        if self.fs.exists(target) or not self.fs.rename(self._jvm_path(draft), target):
             raise RuntimeError(f"version {n} of {self.path} is there already: another writer")
         return n
