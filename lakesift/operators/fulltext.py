@@ -163,16 +163,32 @@ def bm25(rows: DataFrame, wanted: Phrase | Op) -> DataFrame:
     names = [f"f{k}" for k in range(len(own))]
     counted = rows.withColumn("dl", F.size("tokens")).withColumns({n: p.count(F.col("tokens")) for n, p in zip(names, own, strict=True)}).drop("tokens")
     total = counted.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names])
+    return _scored(counted, total, wanted, dict(zip(own, names, strict=True)))
+
+
+def _scored(counted: DataFrame, total: DataFrame, wanted: Phrase | Op, names: dict[Phrase, str]) -> DataFrame:
+    """Matching rows of ``counted`` (dl and a count for each phrase) with raw_score by the one row ``total``."""
+    counts = {p: F.col(n) for p, n in names.items()}
     score = F.lit(0.0)
-    counts = {p: F.col(n) for n, p in zip(names, own, strict=True)}
     for p, when in wanted.scored(counts):
-        n = names[own.index(p)]
+        n = names[p]
         idf = F.ln((F.col("n_rows") - F.col(f"n_{n}") + 0.5) / (F.col(f"n_{n}") + 0.5))
         idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
         f = F.col(n).cast("double") if when is None else F.when(when, F.col(n).cast("double")).otherwise(0.0)
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = counted.where(wanted.holds(counts))
-    return hits.crossJoin(F.broadcast(total)).withColumn("raw_score", -score).drop("dl", "n_rows", "avgdl", *names, *[f"n_{n}" for n in names])
+    return hits.crossJoin(F.broadcast(total)).withColumn("raw_score", -score).drop("dl", "n_rows", "avgdl", *names.values(), *[f"n_{n}" for n in names.values()])
+
+
+def bm25_indexed(index: DataFrame, lengths: DataFrame, wanted: Phrase | Op, key: str = "chunk_id") -> DataFrame:
+    """key and raw_score of the matching rows, as by ``bm25``, from the inverted index and ``lengths`` (key, dl).
+
+    Only the postings of the query's terms are read, not the tokens of all rows.
+    """
+    names = {p: f"f{k}" for k, p in enumerate(wanted.phrases())}
+    found = reduce(lambda a, b: a.join(b, key, "full_outer"), [phrase_rows(index, p, key).withColumnRenamed("f", n) for p, n in names.items()]).fillna(0, list(names.values()))
+    total = lengths.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl")).crossJoin(found.agg(*[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names.values()]))
+    return _scored(found.join(lengths, key), total, wanted, names)
 
 
 def top(rows: DataFrame, n: int, score: str = "raw_score", *ties: str) -> DataFrame:
@@ -211,7 +227,7 @@ def write_postings(index: DataFrame, path: str, partitions: int | None = None) -
 def phrase_rows(index: DataFrame, wanted: Phrase, key: str = "chunk_id") -> DataFrame:
     """key and f (occurrences) of a phrase from the index: only its terms' postings are read."""
     terms = [F.startswith("term", F.lit(w)) if wanted.prefix and k == len(wanted.words) - 1 else F.col("term") == w for k, w in enumerate(wanted.words)]
-    out = None
+    out = index.where("false").select(key, F.lit(0).alias("at")) if not terms else None
     for k, condition in enumerate(terms):
         own = index.where(condition).select(key, F.explode("positions").alias("place")).select(key, (F.col("place") - k).alias("at"))
         out = own if out is None else out.join(own, [key, "at"])

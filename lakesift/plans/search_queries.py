@@ -145,6 +145,13 @@ def postings_phrase(spark, sf_dir):
     return fulltext.phrase_rows(fulltext.postings(_rows(spark, sf_dir)), fulltext.phrase("of the"))
 
 
+@query(_bm25({"f0": _count("of", "the", prefix=True), "f1": _count("der")}, "f0 > 0 OR f1 > 0") + " SELECT chunk_id, round(raw_score, 6) AS raw_score FROM b")
+def bm25_from_postings(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    found = fulltext.bm25_indexed(fulltext.postings(rows), rows.select("chunk_id", F.size("tokens").alias("dl")), fulltext.query('"of the"* OR "der"'))
+    return found.select("chunk_id", F.round("raw_score", 6).alias("raw_score"))
+
+
 @query()
 def stemmed_vocabulary(spark, sf_dir):
     return _rows(spark, sf_dir).select(F.explode("tokens").alias("term")).distinct().withColumn("stem", stems("term"))

@@ -38,6 +38,8 @@ def test_scores(spark, texts, query):
     expected = sqlite_scores(texts, said, "ascii")
     assert found.keys() == expected.keys()
     assert all(abs(found[k] - expected[k]) < 1e-9 for k in expected)
+    indexed = {r["chunk_id"]: r["raw_score"] for r in fulltext.bm25_indexed(fulltext.postings(rows), rows.select("chunk_id", F.size("tokens").alias("dl")), wanted).collect()}
+    assert indexed.keys() == expected.keys() and all(abs(indexed[k] - expected[k]) < 1e-9 for k in expected)
 
 
 def test_stemmed(spark, texts):
