@@ -217,11 +217,11 @@ def postings(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
     return each.groupBy("term", key).agg(F.sort_array(F.collect_list("place")).alias("positions"))
 
 
-def write_postings(index: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Range-partitioned and sorted by term, so that a reader of a few terms opens few row groups. Frequent terms spread over several files."""
+def by_term(index: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Range-partitioned and sorted by term, for writing: a reader of a few terms opens few row groups. Frequent terms spread over several files."""
     by = [F.col("term"), F.xxhash64(index.columns[1])]
     spread = index.repartitionByRange(partitions, *by) if partitions else index.repartitionByRange(*by)
-    spread.sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    return spread.sortWithinPartitions("term")
 
 
 def phrase_rows(index: DataFrame, wanted: Phrase, key: str = "chunk_id") -> DataFrame:

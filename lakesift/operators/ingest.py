@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lakesift.functions.text import content_hash, heading, stem, tokens
-from lakesift.operators import lifecycle
+from lakesift.operators import fulltext, lifecycle
 from lakesift.operators.chunking import chunk_documents
 from lakesift.providers import EmbeddingProvider, embed_rows
 from lakesift.schema import Settings
@@ -89,8 +89,10 @@ def index_documents(store: Store, provider: EmbeddingProvider, settings: Setting
         new = store.table("chunks").join(todo, "content_hash", "left_semi")
         with_text = new.join(store.table("content"), F.col("hash") == F.col("content_hash")).select("chunk_id", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text"))
         vectors = store.table("vectors").join(replaced, "chunk_id", "left_anti").unionByName(embed_rows(with_text, provider, batch=settings.embedding.batch))
-        words = store.table("tokens").join(replaced, "chunk_id", "left_anti").unionByName(with_text.select("chunk_id", tokens(F.col("text")).alias("tokens")))
-        store.commit({"vectors": vectors, "tokens": words})
+        new_words = with_text.select("chunk_id", tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+        words = store.table("tokens").join(replaced, "chunk_id", "left_anti").unionByName(new_words)
+        terms = store.table("postings").join(replaced, "chunk_id", "left_anti").unionByName(fulltext.postings(new_words))
+        store.commit({"vectors": vectors, "tokens": words, "postings": fulltext.by_term(terms)})
         total, done = wanted.count(), todo.count()
         return {"indexed": done, "skipped": total - done, "chunks_written": new.count()}
     finally:
@@ -134,7 +136,7 @@ def purge(store: Store, before: str, dry_run: bool = False) -> tuple[int, int, i
     counts = tuple(out[k].count() for k in ("doomed", "doomed_chunks", "orphans"))
     if not dry_run and counts[0]:
         gone = out["doomed_chunks"].select("chunk_id")
-        store.commit({k: out[k] for k in ("documents", "content", "chunks")} | {k: store.table(k).join(gone, "chunk_id", "left_anti") for k in ("vectors", "tokens")})
+        store.commit({k: out[k] for k in ("documents", "content", "chunks")} | {k: store.table(k).join(gone, "chunk_id", "left_anti") for k in ("vectors", "tokens", "postings")})
     return counts
 
 

@@ -65,7 +65,8 @@ def chunks_of(store: Store, collection: str | None = None) -> DataFrame:
 def text_search(store: Store, query: str, count: int, settings: Settings, collection: str | None = None) -> DataFrame:
     """The best ``count`` chunks by BM25 with score from 0 to 1. Statistics cover all live chunks."""
     live = chunks_of(store).select("chunk_id")
-    scored = fulltext.bm25(store.table("tokens").join(live, "chunk_id", "left_semi"), fulltext.query(query))
+    # the postings of the query's terms and the chunks' lengths; the tokens themselves stay unread
+    scored = fulltext.bm25_indexed(store.table("postings").join(live, "chunk_id", "left_semi"), store.table("tokens").select("chunk_id", "dl").join(live, "chunk_id", "left_semi"), fulltext.query(query))
     hits = scored if collection is None else scored.join(chunks_of(store, collection).select("chunk_id"), "chunk_id", "left_semi")
     fetched = fulltext.min_max(fulltext.top(hits, count * 5, "raw_score", "chunk_id"))
     return fetched.orderBy("raw_score", "chunk_id").limit(count)

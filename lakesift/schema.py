@@ -11,9 +11,10 @@ COLLECTIONS = "name string, path string, pattern string, ignore_patterns array<s
 DOCUMENTS = "id bigint, collection string, path string, title string, hash string, metadata string, active boolean, deleted_at timestamp, created_at timestamp, modified_at timestamp, source_uri string"
 CHUNKS = "chunk_id bigint, content_hash string, seq int, pos int, len int, model string, section_path string, chunk_type string, language string, embedded_at timestamp, params string"
 VECTORS = "chunk_id bigint, model string, embedding array<float>"
-TOKENS = "chunk_id bigint, tokens array<string>"
+TOKENS = "chunk_id bigint, dl int, tokens array<string>"
+POSTINGS = "term string, chunk_id bigint, positions array<int>"
 CACHE = "hash string, type string, result string, created_at timestamp, expires_at timestamp"
-TABLES = {"content": CONTENT, "store_collections": COLLECTIONS, "documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS, "tokens": TOKENS, "cache": CACHE}
+TABLES = {"content": CONTENT, "store_collections": COLLECTIONS, "documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS, "tokens": TOKENS, "postings": POSTINGS, "cache": CACHE}
 
 
 @dataclass(frozen=True)
