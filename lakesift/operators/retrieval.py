@@ -11,6 +11,8 @@ from lakesift.functions.text import tokens
 QUESTION_WORDS = ("how", "what", "why", "when", "where", "who", "explain", "describe", "define", "summarise", "summarize")
 #: A side that is sent to every task may have this many rows; beyond it the join shuffles.
 SMALL_ROWS = 10_000
+#: Rounding of an expanded squared distance, for each dimension and as a share of the squared norms; and pairs compared exactly at once.
+MARGIN, PAIRS = 8 * 2.0**-52, 200_000
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -29,7 +31,8 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "
     """query_key, key, distance, rank: the k nearest rows to each row of ``queries`` (query_key, query_vector).
 
     Queries go to the tasks in blocks of at most SMALL_ROWS. A task keeps its k best of each query before
-    anything moves, so what is shuffled is queries times k for each task, whatever the vectors.
+    anything moves, so what is shuffled is queries times k for each task, whatever the vectors. Equal
+    distances are settled by the key, however many rows share one.
     """
     import numpy as np
     import pandas as pd
@@ -51,14 +54,23 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "
             for pdf in batches:
                 data = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
                 for a in range(0, len(data), 1024):
-                    part = data[a:a + 1024]
-                    near = ((part ** 2).sum(1)[:, None] - 2 * part @ matrix.T + (matrix ** 2).sum(1)[None, :])
-                    pick = np.argpartition(near, min(k, len(part)) - 1, axis=0)[:k]
-                    q = np.repeat(np.arange(len(ids))[None, :], len(pick), axis=0)
-                    exact = np.sqrt(((part[pick] - matrix[q]) ** 2).sum(-1))
-                    new = pd.DataFrame({"q": q.ravel(), key: pdf[key].to_numpy()[a:a + 1024][pick].ravel(), "distance": exact.ravel()})
-                    best = new if best is None else pd.concat([best, new])
-                    best = best.sort_values(["q", "distance", key]).groupby("q").head(k)
+                    part, new = data[a:a + 1024], [] if best is None else [best]
+                    own_squares, query_squares = (part ** 2).sum(1), (matrix ** 2).sum(1)
+                    near = own_squares[:, None] - 2 * part @ matrix.T + query_squares[None, :]
+                    place = min(k, len(part)) - 1
+                    # the k-th by rounded distances and what rounding may move: no row that ties with it is lost
+                    limit = np.partition(near, place, axis=0)[place] + MARGIN * (matrix.shape[1] + 8) * (own_squares.max() + query_squares)
+                    q, row = np.nonzero(~(near > limit).T)
+                    keys = pdf[key].to_numpy()[a:a + 1024]
+                    edges = np.searchsorted(q, np.arange(len(ids) + 1))
+                    first = 0
+                    while first < len(ids):
+                        last = max(first + 1, int(np.searchsorted(edges, edges[first] + PAIRS, "right")) - 1)
+                        x, y = q[edges[first]:edges[last]], row[edges[first]:edges[last]]
+                        exact = np.sqrt(((part[y] - matrix[x]) ** 2).sum(-1))
+                        new.append(pd.DataFrame({"q": x, key: keys[y], "distance": exact}).sort_values(["q", "distance", key]).groupby("q").head(k))
+                        first = last
+                    best = pd.concat(new).sort_values(["q", "distance", key]).groupby("q").head(k)
             if best is not None and len(best):
                 yield pd.DataFrame({query_key: [ids[i] for i in best["q"]], key: best[key].to_numpy(), "distance": best["distance"].to_numpy()})
 

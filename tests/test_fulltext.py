@@ -97,3 +97,16 @@ def test_many_nearest(spark):
     found = retrieval.nearest_of_many(vectors, queries, 3).collect()
     assert len(found) == 21 and all(x["chunk_id"] == x["query_id"] for x in found if x["rank"] == 1)
     assert retrieval.nearest_of_many(vectors, queries.where("false"), 3).count() == 0
+
+
+def test_many_nearest_of_equal_vectors(spark):
+    r = random.Random(7)
+    ids = list(range(700))
+    r.shuffle(ids)
+    data = [(i, [0.1, 0.7, 0.3, 0.9] if i % 3 else [r.random() + 2 for _ in range(4)]) for i in ids]
+    vectors = spark.createDataFrame(data, "chunk_id long, embedding array<float>").coalesce(1)
+    queries = spark.createDataFrame([(1, [0.1, 0.7, 0.3, 0.9]), (2, [0.4, 0.2, 0.8, 0.1]), (3, [2.5, 2.5, 2.5, 2.5])], "query_id long, query_vector array<float>")
+    found = sorted((x["query_id"], x["rank"], x["chunk_id"]) for x in retrieval.nearest_of_many(vectors, queries, 5).collect())
+    pairs = vectors.crossJoin(queries).withColumn("d", retrieval.l2(F.col("embedding"), F.col("query_vector"))).collect()
+    expected = [(q, n, p["chunk_id"]) for q in (1, 2, 3) for n, p in enumerate(sorted((p for p in pairs if p["query_id"] == q), key=lambda p: (p["d"], p["chunk_id"]))[:5], 1)]
+    assert found == expected and [c for q, _, c in found if q < 3] == [1, 2, 4, 5, 7] * 2
