@@ -1,40 +1,20 @@
-"""What the operators of this subpackage share: the work folder and numpy word hashing."""
+"""What the operators of this subpackage share: batches of texts and numpy word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesift.blocks import materialise, work_dir  # noqa: F401
+
 #: The separators of the word definition ``[^\x20\x09-\x0D]+``.
 WORD_SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 BATCH_ROWS = 1000
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the setting is unset (tests, one machine) a temporary folder stands in for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after its session was told to hand texts to Python ``BATCH_ROWS`` at a time, unless it hands over fewer.
 

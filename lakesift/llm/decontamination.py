@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesift.blocks import by_blocks
 from lakesift.llm.common import gram_hashes, mix, small_batches, text_of, word_hashes, word_spans
 from lakesift.llm.vocabulary import slices
 
@@ -178,8 +179,9 @@ def matches(words: np.ndarray, offsets: np.ndarray, items: Items, max_edits: flo
     return rows[first]
 
 
-def _scan(items: Items, max_edits: float):
+def _scan(held: Broadcast, max_edits: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = held.value
         for batch in batches:
             for part in slices(batch, "content", 4 << 20):
                 raw = [x.encode() for x in part.column("content").to_pylist()]
@@ -201,13 +203,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
     if their exact edit distance over lower-case words is at most a fifth of the words. One row for
     each document and item: the smallest distance, then the first window. Items are a stated
     set, compared with all documents in blocks, one pass over the documents for each block;
-    documents never move.
+    documents never move, and the driver holds one block at a time.
 
     Null or empty texts and items without words match nothing; rows with a null item_id aren't items. Repeated items: each is
     reported; repeated rows: each is compared. Empty tables: empty result. Other columns aren't read.
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_of()).alias("content"))
-    listed = [(r["item_id"], r["content"]) for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower(text_of()).alias("content")).orderBy("item_id").toLocalIterator()]
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower(text_of()).alias("content")).orderBy("item_id")
     schema = "doc_id long, item_id long, distance long, start_word long, n_words long"
-    passes = [rows.mapInArrow(_scan(prepare(listed[a:a + block], max_edits), max_edits), schema) for a in range(0, max(1, len(listed)), block)]
-    return reduce(DataFrame.unionAll, passes)
+    return by_blocks(items, block, "items", lambda own: prepare(own, max_edits), lambda held: rows.mapInArrow(_scan(held, max_edits), schema), schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakesift.blocks import by_blocks
 from lakesift.functions.text import tokens
 
 # The first words of questions that are answered before they are searched.
@@ -30,7 +31,7 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "chunk_id
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
     """query_key, key, distance, rank: the k nearest rows to each row of ``queries`` (query_key, query_vector).
 
-    Queries go to the tasks in blocks of at most SMALL_ROWS. A task keeps its k best of each query before
+    Queries go to the tasks in blocks of at most SMALL_ROWS, of which the driver holds one at a time. A task keeps its k best of each query before
     anything moves, so what is shuffled is queries times k for each task, whatever the vectors. Equal
     distances are settled by the key, however many rows share one.
     """
@@ -38,19 +39,12 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "
     import pandas as pd
 
     kind = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, distance double"
-    rows, blocks, block = queries.select(query_key, "query_vector").toLocalIterator(), [], []
-    for r in rows:
-        block.append((r[0], r[1]))
-        if len(block) == SMALL_ROWS:
-            blocks.append(block)
-            block = []
-    blocks += [block] if block else []
-
-    def scan(own):
-        ids, matrix = [q for q, _ in own], np.array([v for _, v in own], dtype=np.float64)
+    def prepare(own):
+        return [q for q, _ in own], np.array([v for _, v in own], dtype=np.float64)
 
+    def scan(held):
         def run(batches):
-            best = None
+            (ids, matrix), best = held.value, None
             for pdf in batches:
                 data = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
                 for a in range(0, len(data), 1024):
@@ -74,14 +68,9 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "
             if best is not None and len(best):
                 yield pd.DataFrame({query_key: [ids[i] for i in best["q"]], key: best[key].to_numpy(), "distance": best["distance"].to_numpy()})
 
-        return run
+        return vectors.select(key, "embedding").mapInPandas(run, kind)
 
-    found = None
-    for own in blocks:
-        part = vectors.select(key, "embedding").mapInPandas(scan(own), kind)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], kind)
+    found = by_blocks(queries.select(query_key, "query_vector"), SMALL_ROWS, "queries", prepare, scan, kind)
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
