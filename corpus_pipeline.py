@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesift.llm import decontamination, jaccard, packing, secrets, toxicity
-from lakesift.llm.common import materialise
+from lakesift.llm.common import materialise, text_of
 
 #: Toxicity scoring, similarity search and tokenizers can't be written in SQL.
 ORACLE_SQL = None
@@ -24,9 +24,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window close to a benchmark item."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__found"))
-    return docs.join(materialise(found, "contaminated"), F.col("doc_id") == F.col("__found"), "left_anti")
+    """Documents without a window close to a benchmark item.
+
+    Rows are told apart by a 64-bit hash of their texts: a row with a null doc_id goes if its text has a
+    match, and of rows that share a doc_id only those go whose own texts have one.
+    """
+    key = F.xxhash64(text_of())
+    found = decontamination.contaminated(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__found"))
+    return docs.join(materialise(found, "contaminated"), key == F.col("__found"), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
