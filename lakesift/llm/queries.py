@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesift.llm import decontamination, jaccard, media, packing, secrets, sharding, substrings, token_counts, toxicity, warc
+from lakesift.llm.common import materialise
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -48,7 +49,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(media.media_column(_table(spark, sf_dir, "documents")))
+    return media.read_back(materialise(media.media_column(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
