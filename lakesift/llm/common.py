@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,35 +34,8 @@ def text_of(column: str = "text"):
 
 
 # ------------------------------------------------------------------ hashing words in numpy
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) mod 2**64."""
-    key = int(base)
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, base, dtype=np.uint64)]))
-        if size <= 1 << 22:  # longer ones are made again when needed
-            _powers[key] = have
-    return have[:n]
-
-
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
+    """A 64-bit finaliser, one to one: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
         x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % 2**64)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -69,11 +43,22 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each ``values[start:end]`` that depends on the values alone, not on the place."""
+_FIRST = np.uint64(0xD6E8FEB86659FD93)
+
+
+def joined_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of each pair of neighbours: not linear, so nothing cancels out over longer runs."""
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(values * _power_table(_BASE, len(values)), dtype=np.uint64)])
-        return mix((sums[ends] - sums[starts]) * _power_table(_INVERSE, len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
+        return mix(left * _FIRST + right)
+
+
+def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each ``values[start:end]`` that depends on the values and their number alone; for a few short ranges."""
+    out = mix((ends - starts).astype(np.uint64), seed)
+    for k in range(int((ends - starts).max(initial=0))):
+        own = np.flatnonzero(starts + k < ends)
+        out[own] = joined_hashes(out[own], values[starts[own] + k])
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -91,16 +76,34 @@ def word_spans(raw: np.ndarray, separators: bytes = WORD_SEPARATORS) -> tuple[np
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(_byte_values()[raw], starts, ends)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 128
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, eight bytes at a time: words of up to eight bytes that differ, and have one length, never share one."""
+    padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(shape=(len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    sizes = ends - starts
+    out = mix((eight[starts] & _MASKS[np.minimum(sizes, 8)]) ^ mix(sizes.astype(np.uint64), seed))
+    for k in range(8, min(int(sizes.max(initial=0)), LONG_WORD), 8):
+        own = np.flatnonzero((sizes > k) & (sizes <= LONG_WORD))
+        out[own] = joined_hashes(out[own], eight[starts[own] + k] & _MASKS[np.minimum(sizes[own] - k, 8)])
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i]:ends[i]].tobytes(), seed + 1)
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of ``n`` words, in order; empty where there are fewer words."""
+    """Hash of every run of ``n`` words, in order, from runs of half the length; empty where there are fewer words."""
     if len(words) < n:
         return np.empty(0, dtype=np.uint64)
-    at = np.arange(len(words) - n + 1)
-    return range_hash(words, at, at + n)
+    out, k = words, 1
+    while k < n:
+        step = min(k, n - k)
+        out, k = joined_hashes(out[:-step], out[step:]), k + step
+    return out
 
 
 def text_words(text: str | None, separators: bytes = WORD_SEPARATORS) -> np.ndarray:
