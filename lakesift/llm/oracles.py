@@ -55,7 +55,7 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 _WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
  b AS (SELECT page_id, strlen(html) AS payload_bytes, unhex(hex)::BIT::VARCHAR AS bits, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_sum(list_transform(range(1, 6), lambda j: CASE WHEN bits[i * 5 + j] = '1' THEN 1 << (5 - j)::INT ELSE 0 END))::INT + 1, 1)), '') AS payload_digest,
- CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM b"""
+ CASE WHEN first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM b"""
 
 
 def oracle_sql() -> dict[str, str]:

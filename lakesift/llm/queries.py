@@ -57,7 +57,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
+    return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages"))).drop("uri")
 
 
 def queries() -> dict:
