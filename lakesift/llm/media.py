@@ -22,6 +22,8 @@ SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP, DURATION = 0x18538067,
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
 DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+#: Elements of unknown size end before an element that can't lie in them: children of a segment end a cluster.
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 NO_LACING, XIPH_LACING, FIXED_LACING, EBML_LACING = 0, 1, 2, 3
 
@@ -32,7 +34,7 @@ CLUSTER_FRAMES = 512  # 6.144 s: below the 16 bits of a block's relative time
 
 
 class Packet(NamedTuple):
-    """A frame: track, milliseconds (by the file's scale), byte range in the file, cluster, block, key frame."""
+    """A frame: track, nanoseconds, byte range in the file, cluster, block, key frame."""
 
     track: int
     timestamp: int
@@ -46,9 +48,9 @@ class Packet(NamedTuple):
 class Parsed(NamedTuple):
     packets: list[Packet]
     tracks: dict[int, dict]
-    cues: list[tuple[int, int, int]]  # time, track, file position of the cluster
+    cues: list[tuple[int, int, int]]  # nanoseconds, track, file position of the cluster
     clusters: list[int]  # their file positions
-    duration: float | None
+    duration: float | None  # nanoseconds
 
 
 # ------------------------------------------------------------------------------- writing
@@ -131,18 +133,41 @@ def _vint(data: bytes, at: int, keep_marker: bool) -> tuple[int | None, int]:
     return value, at + width
 
 
+_TOP = {EBML, SEGMENT}
+_OF_SEGMENT = {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS}
+
+
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(id, begin, end) of each element's body in ``data[at:end]``; an unknown size ends with the parent."""
+    """(id, begin, end) of each element's body in ``data[at:end]``."""
+    for _, kind, begin, stop in placed(data, at, end):
+        yield kind, begin, stop
+
+
+def placed(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """(place of the id, id, begin, end) of each element. One of unknown size ends where its parent ends, or before the first
+    element that can't be its child: for a cluster any child of a segment, for a segment another header or segment."""
     while at < end:
+        head = at
         kind, at = _vint(data, at, True)
         n, at = _vint(data, at, False)
-        stop = end if n is None else at + n
+        stop = _end_of_unknown(data, kind, at, end) if n is None else at + n
         if stop > end:
             raise ValueError(f"element {kind:x} exceeds its parent")
-        yield kind, at, stop
+        yield head, kind, at, stop
         at = stop
 
 
+def _end_of_unknown(data: bytes, kind: int, at: int, end: int) -> int:
+    strangers = _TOP if kind == SEGMENT else _TOP | _OF_SEGMENT
+    while at < end:
+        inner, after = _vint(data, at, True)
+        if inner in strangers:
+            return at
+        n, after = _vint(data, after, False)
+        at = _end_of_unknown(data, inner, after, end) if n is None else after + n
+    return at
+
+
 def _number(data: bytes, begin: int, end: int) -> int:
     return int.from_bytes(data[begin:end], "big")
 
@@ -204,10 +229,14 @@ def parse(data: bytes) -> Parsed:
 
 
 def _segment(data: bytes, begin: int, end: int, out: Parsed) -> Parsed:
-    duration = out.duration
-    for kind, a, b in elements(data, begin, end):
+    duration, scale = out.duration, 1_000_000
+    for head, kind, a, b in placed(data, begin, end):
         if kind == INFO:
-            duration = next((_float(data, x, y) for k, x, y in elements(data, a, b) if k == DURATION), duration)
+            info = {k: (x, y) for k, x, y in elements(data, a, b)}
+            if TIMESTAMP_SCALE in info:
+                scale = _number(data, *info[TIMESTAMP_SCALE])
+            if DURATION in info:
+                duration = _float(data, *info[DURATION]) * scale
         elif kind == TRACKS:
             for k, x, y in elements(data, a, b):
                 if k == TRACK_ENTRY:
@@ -219,7 +248,8 @@ def _segment(data: bytes, begin: int, end: int, out: Parsed) -> Parsed:
                         "rate": _float(data, *audio[SAMPLING_FREQUENCY]) if SAMPLING_FREQUENCY in audio else 0.0, "bits": _number(data, *audio[BIT_DEPTH]) if BIT_DEPTH in audio else 0,
                     }
         elif kind == CLUSTER:
-            _cluster(data, a, b, out)
+            _cluster(data, a, b, scale, out)
+            out.clusters.append(head)
         elif kind == CUES:
             for k, x, y in elements(data, a, b):
                 if k == CUE_POINT:
@@ -228,11 +258,11 @@ def _segment(data: bytes, begin: int, end: int, out: Parsed) -> Parsed:
                     for c, s, e in own:
                         if c == CUE_TRACK_POSITIONS:
                             place = {i: _number(data, p, q) for i, p, q in elements(data, s, e)}
-                            out.cues.append((time, place[CUE_TRACK], begin + place[CUE_CLUSTER_POSITION]))
+                            out.cues.append((time * scale, place[CUE_TRACK], begin + place[CUE_CLUSTER_POSITION]))
     return out._replace(duration=duration)
 
 
-def _cluster(data: bytes, a: int, b: int, out: Parsed) -> None:
+def _cluster(data: bytes, a: int, b: int, scale: int, out: Parsed) -> None:
     time, n, block = 0, len(out.clusters), out.packets[-1].block + 1 if out.packets else 0
     for kind, x, y in elements(data, a, b):
         if kind == TIMESTAMP:
@@ -241,13 +271,9 @@ def _cluster(data: bytes, a: int, b: int, out: Parsed) -> None:
         inner = [(x, y)] if kind == SIMPLE_BLOCK else [(s, e) for c, s, e in elements(data, x, y) if c == BLOCK] if kind == BLOCK_GROUP else []
         for s, e in inner:
             track, relative, key, ranges = frames_of(data, s, e)
-            step = out.tracks.get(track, {}).get("frame_ns", 0) // 1_000_000
-            out.packets.extend(Packet(track, time + relative + i * step, p, q, n, block, key) for i, (p, q) in enumerate(ranges))
+            step = out.tracks.get(track, {}).get("frame_ns", 0)
+            out.packets.extend(Packet(track, (time + relative) * scale + i * step, p, q, n, block, key) for i, (p, q) in enumerate(ranges))
             block += 1
-    head = a
-    while head >= 4 and data[head - 4:head] != CLUSTER.to_bytes(4, "big"):  # back over the size to the id
-        head -= 1
-    out.clusters.append(head - 4)
 
 
 # ------------------------------------------------------------------------------- columns
@@ -262,7 +288,7 @@ def media_column(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("content")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
-PACKETS = "doc_id long, packet int, track int, timestamp long, byte_from long, byte_to long, cluster int, block int, key boolean"
+PACKETS = "doc_id long, packet int, track int, timestamp_ns long, byte_from long, byte_to long, cluster int, block int, key boolean"
 
 
 def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +323,7 @@ def feature(file: Parsed, payload: bytes) -> str:
     samples = np.frombuffer(payload, dtype=np.uint8)
     seekable = sum(place in set(file.clusters) for _, _, place in file.cues)
     steps = int(np.abs(np.diff(samples.astype(np.int16))).sum(dtype=np.int64))
-    return f"tracks={len(file.tracks)};packets={len(file.packets)};clusters={len(file.clusters)};cues={seekable};ms={int(file.duration or 0)};sum={int(samples.sum(dtype=np.int64))};steps={steps};distinct={int(np.count_nonzero(np.bincount(samples, minlength=256)))}"
+    return f"tracks={len(file.tracks)};packets={len(file.packets)};clusters={len(file.clusters)};cues={seekable};ms={int(file.duration or 0) // 1_000_000};sum={int(samples.sum(dtype=np.int64))};steps={steps};distinct={int(np.count_nonzero(np.bincount(samples, minlength=256)))}"
 
 
 def read_back(media: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def test_media(docs):
     assert rows[1]["payload_sha256"] == rows[2]["payload_sha256"] and rows[1]["payload_bytes"] == 576
     assert rows[6]["n_bytes"] == len(LONG) and media.read_back(media.media_column(docs.where("false"))).count() == 0
     packets = media.packet_table(media.media_column(docs.where("doc_id = 6"))).collect()
-    assert len(packets) == rows[6]["payload_bytes"] // 576 and packets[-1]["timestamp"] == (len(packets) - 1) * 12
+    assert len(packets) == rows[6]["payload_bytes"] // 576 and packets[-1]["timestamp_ns"] == (len(packets) - 1) * 12_000_000
 
 
 def test_secrets(spark, docs, tmp_path):
