@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.blocks import by_blocks
-from lakesift.llm.common import gram_hashes, mix, small_batches, text_of, word_hashes, word_spans
+from lakesift.llm.common import joined_hashes, mix, small_batches, text_of, word_hashes, word_spans
 from lakesift.llm.vocabulary import slices
 
 #: A window is a copy of an item of n words if their word edit distance is at most n * MAX_EDITS.
 MAX_EDITS = 0.2
-#: Independent random walks, samples of each walk, and bits of a sample: chosen for a recall of 0.99 at the largest distance.
-WALKS, SAMPLES, BITS = 4, 24, 8
+#: Independent random walks, steps of each, and (samples, places) that are drawn from each walk: a sample has PLACES of the
+#: steps, the first among them. Chosen for a recall of 0.99 at the largest distance (tests/llm/test_decontamination.py).
+WALKS, STEPS, SAMPLES, PLACES = 4, 7, 3, 4
+#: Items of fewer words may differ in one word at most, and are found without walks.
+SHORT = 10
 #: Items that one pass over the documents compares; more items take more passes.
 BLOCK = 5_000
+#: Numbers (words of windows, or cells of a band) that are worked on at once.
+CELLS = 4_000_000
 #: Everything in ASCII but letters and digits separates words.
 SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 PAD = np.uint64(0)
@@ -33,150 +39,206 @@ def normal_words(text: str) -> np.ndarray:
     return word_hashes(raw, starts, ends) if len(starts) else np.empty(0, dtype=np.uint64)
 
 
-def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """The CGK embedding of rows of n word hashes: 3 n bits.
+def walks(words: np.ndarray, walk: int) -> np.ndarray:
+    """(STEPS, words): the CGK embedding of the text that begins at each word, one walk from each.
 
-    A pointer walks over the words: each step emits a bit of the word under it and moves on, or
-    stays, by another random bit of step and word. Rows at a small edit distance fall into step
-    again after each edit, so their bits differ in few places.
+    A pointer walks over the words: each step emits the word under it and moves on, or stays, by a random bit of step and
+    word. Texts at a small edit distance fall into step again after each edit, so that their embeddings differ in few places:
+    edit distance becomes Hamming distance. The walk from a word is the same in a document and in an item, and it doesn't
+    depend on what follows the window, so one embedding of a document serves windows of all item sizes. Past the end: PAD.
     """
-    m, n = windows.shape
-    padded = np.concatenate([windows, np.full((m, 1), PAD)], axis=1)
-    at, rows, out = np.zeros(m, dtype=np.int64), np.arange(m), np.empty((m, 3 * n), dtype=bool)
-    for j in range(3 * n):
-        h = mix(padded[rows, at], 1 + walk * 4096 + j)
-        out[:, j] = h & np.uint64(1)
-        at = np.minimum(at + ((h >> np.uint64(1)) & np.uint64(1)).astype(np.int64), n)
+    padded = np.concatenate([words, np.full(STEPS, PAD)])
+    moves = mix(padded, 1 + walk)
+    at, out = np.arange(len(words)), np.empty((STEPS, len(words)), dtype=np.uint64)
+    for j in range(STEPS):
+        out[j] = padded[at]
+        at = at + ((moves[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
     return out
 
 
-def sample_places(n: int, walk: int) -> np.ndarray:
-    """The bit places of each sample of a walk for items of n words."""
-    draw = np.random.Generator(np.random.PCG64([n, walk]))
-    return np.stack([draw.choice(3 * n, size=min(BITS, 3 * n), replace=False) for _ in range(SAMPLES)])
+def sample_places(walk: int) -> np.ndarray:
+    """(SAMPLES, PLACES) steps of a walk: the first, and others by lot."""
+    draw = np.random.Generator(np.random.PCG64([41, walk]))
+    return np.stack([np.concatenate([[0], np.sort(1 + draw.choice(STEPS - 1, size=PLACES - 1, replace=False))]) for _ in range(SAMPLES)])
 
 
-def sample_keys(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """(rows, samples) small numbers: equal numbers are a collision in that sample."""
-    weights = 1 << np.arange(places.shape[1])
-    return np.stack([bits[:, p] @ weights for p in places], axis=1)
+def sample_keys(words: np.ndarray, short: bool) -> Iterator[np.ndarray]:
+    """For each walk and sample a key of the text that begins at each word: equal keys are a collision in that sample.
 
-
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact edit distance of each pair of rows; all rows have n words (pads count as words)."""
+    ``short`` gives those of items of fewer than SHORT words instead, of which at most one may be edited: each word, and each
+    pair of neighbours. An item of two words or more keeps a pair whatever is edited, so nothing is lost.
+    """
+    if short:
+        yield words
+        yield joined_hashes(words, np.append(words[1:], PAD))
+        return
+    for walk in range(WALKS):
+        emitted = walks(words, walk)
+        for places in sample_places(walk):
+            key = emitted[places[0]]
+            for j in places[1:]:
+                key = joined_hashes(key, emitted[j])
+            yield key
+
+
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Exact edit distance of each pair of rows of n words, where it is at most ``most``; else most + 1. Of the rows of ``a`` the
+    first ``sizes`` words count.
+
+    Only the cells at most ``most`` off the diagonal are computed: cell c of row i stands for column i + c - most.
+    """
     m, n = a.shape
-    span = np.arange(n + 1)
-    row = np.broadcast_to(span, (m, n + 1)).astype(np.int32)
+    k = n if most is None else min(most, n)
+    far = n + 1
+    span = np.arange(2 * k + 1)
+    beyond = np.concatenate([np.zeros((m, k), dtype=b.dtype), b, np.zeros((m, k), dtype=b.dtype)], axis=1)
+    row = np.broadcast_to(np.where(span >= k, span - k, far), (m, 2 * k + 1)).astype(np.int32)
+    out = np.full(m, far, dtype=np.int32)
     for i in range(1, n + 1):
-        best = np.empty_like(row)
-        best[:, 0] = i
-        best[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i - 1:i] != b))
-        row = (np.minimum.accumulate(best - span, axis=1) + span).astype(np.int32)
-    return row[:, -1]
+        column = span + i - k
+        best = row + (a[:, i - 1:i] != beyond[:, i - 1:i + 2 * k])  # from (i - 1, column - 1)
+        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)
+        best[:, (column < 1) | (column > n)] = far
+        if i <= k:
+            best[:, k - i] = i
+        row = np.minimum(np.minimum.accumulate(best - span, axis=1) + span, far).astype(np.int32)
+        if sizes is not None and i >= n - k:
+            out = np.where(sizes == i, row[:, n - i + k], out)
+    return np.minimum(row[:, k] if sizes is None else out, k + 1)
+
+
+class Table(NamedTuple):
+    """The items' keys of one sample in order, with item, place in it and a bit map of the keys."""
+
+    keys: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    marks: np.ndarray
 
 
 @dataclass(frozen=True)
 class Items:
-    """A block of items by length, with everything the scan looks up."""
+    """A block of items, with everything the scan looks up."""
 
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]]  # n -> (item ids, word hashes (items, n))
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # q -> sorted gram hashes, n, place in the item, bit map
+    ids: np.ndarray
+    words: list[np.ndarray]  # of each item
+    tables: dict[bool, list[Table]]  # of each sample, for items that are short or not
+    held: np.ndarray  # sorted hashes of (item, word)
 
 
 def allowed(n: int, max_edits: float = MAX_EDITS) -> int:
     return int(n * max_edits)
 
 
-def seed_length(n: int, max_edits: float = MAX_EDITS) -> int:
-    """With at most k edits, one of the k + 1 intact runs of an item has at least this many words."""
-    k = allowed(n, max_edits)
-    return -(-(n - k) // (k + 1))
-
-
-def prepare(items: list[tuple[int, str]], max_edits: float = MAX_EDITS) -> Items:
-    by_length: dict[int, list] = {}
-    grams: dict[int, set] = {}
-    for item, text in items:
-        words = normal_words(text)
-        n = len(words)
-        if n:
-            by_length.setdefault(n, []).append((item, words))
-            q = seed_length(n, max_edits)
-            grams.setdefault(q, set()).update((int(h), n, o) for o, h in enumerate(gram_hashes(words, q)))
-    seeds = {}
-    for q, own in grams.items():
-        rows = sorted(own)
-        hashes = np.array([r[0] for r in rows], dtype=np.uint64)
-        marks = np.zeros(1 << 20, dtype=bool)
-        marks[hashes >> np.uint64(44)] = True
-        seeds[q] = (hashes, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), marks)
-    return Items({n: (np.array([i for i, _ in x]), np.stack([w for _, w in x])) for n, x in by_length.items()}, seeds)
-
-
-def window_starts(words: np.ndarray, offsets: np.ndarray, items: Items, max_edits: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each item length: document and start of the windows that an intact run of an item points to.
-
-    Lossless: a window within the allowed distance of an item shares an intact run with it, at
-    most k words off its place.
+def _of_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return joined_hashes(mix(item.astype(np.uint64), 5), words)
+
+
+def prepare(items: list[tuple[int, str]]) -> Items:
+    own = [(i, w) for i, w in ((item, normal_words(text)) for item, text in items) if len(w)]
+    sizes = np.array([len(w) for _, w in own], dtype=np.int64)
+    tables: dict[bool, list[Table]] = {}
+    for short in (True, False):
+        which = np.flatnonzero((sizes < SHORT) == short)
+        tables[short] = []
+        for s, each in enumerate(zip(*(sample_keys(own[k][1], short) for k in which), strict=True)):
+            # a word alone stands for items of one word, a pair for longer ones
+            kept = [(k, x) for k, x in zip(which, each, strict=True) if not short or (sizes[k] == 1) == (s == 0)]
+            if kept:
+                key, item = np.concatenate([x for _, x in kept]), np.repeat([k for k, _ in kept], [len(x) for _, x in kept])
+                place = np.concatenate([np.arange(len(x)) for _, x in kept])
+                order, marks = np.argsort(key, kind="stable"), np.zeros(1 << 20, dtype=bool)
+                marks[key >> np.uint64(44)] = True
+                tables[short].append(Table(key[order], item[order], place[order], marks))
+            elif short:
+                tables[short].append(Table(*(np.empty(0, dtype=t) for t in (np.uint64, np.int64, np.int64)), np.zeros(1 << 20, dtype=bool)))
+    held = np.unique(np.concatenate([_of_item(w, np.full(len(w), k)) for k, (_, w) in enumerate(own)])) if own else np.empty(0, dtype=np.uint64)
+    return Items(np.array([i for i, _ in own], dtype=np.int64), [w for _, w in own], tables, held)
+
+
+def candidates(words: np.ndarray, offsets: np.ndarray, items: Items) -> np.ndarray:
+    """Rows of document, item and first word of the window pointed to, of the collisions in any sample; the place may lie before the document."""
+    found = [np.empty((3, 0), dtype=np.int64)]
+    for short, tables in items.tables.items():
+        for key, table in zip(sample_keys(words, short), tables, strict=True) if tables else ():
+            at = np.flatnonzero(table.marks[key >> np.uint64(44)])
+            low, high = np.searchsorted(table.keys, key[at], "left"), np.searchsorted(table.keys, key[at], "right")
+            counts = high - low
+            which = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+            at = np.repeat(at, counts)
+            found.append(np.stack([np.searchsorted(offsets, at, side="right") - 1, table.item[which], at - table.place[which]]))
+    return np.unique(np.concatenate(found, axis=1), axis=1)
+
+
+def matches(words: np.ndarray, offsets: np.ndarray, items: Items, max_edits: float = MAX_EDITS) -> np.ndarray:
+    """(document, item, distance, start, n) of the best window of each document and item.
+
+    A collision points to a window, and an edit moves it by a word at most: all windows up to the allowed number of edits
+    around it are compared that hold as many of the item's words as a match needs.
     """
-    out: dict[int, list] = {}
-    for q, (hashes, lengths, places, marks) in items.seeds.items():
-        parts = gram_hashes(words, q)
-        at = np.flatnonzero(marks[parts >> np.uint64(44)]) if len(parts) else np.empty(0, dtype=np.int64)
-        low, high = np.searchsorted(hashes, parts[at], "left"), np.searchsorted(hashes, parts[at], "right")
-        counts = high - low
-        at, which = np.repeat(at, counts), np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        doc = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + q <= offsets[doc + 1]
-        at, which, doc = at[inside], which[inside], doc[inside]
-        for n in np.unique(lengths[which]):
-            own = lengths[which] == n
-            k = allowed(int(n), max_edits)
-            near = (at[own] - places[which[own]])[:, None] + np.arange(-k, k + 1)
-            begin, last = offsets[doc[own]][:, None], np.maximum(offsets[doc[own]], offsets[doc[own] + 1] - n)[:, None]
-            starts = np.unique(np.clip(near, begin, last))
-            out.setdefault(int(n), []).append(starts)
-    result = {}
-    for n, x in out.items():
-        starts = np.unique(np.concatenate(x))
-        result[n] = (np.searchsorted(offsets, starts, side="right") - 1, starts)
-    return result
-
-
-def matches(words: np.ndarray, offsets: np.ndarray, items: Items, max_edits: float = MAX_EDITS, only_lsh: bool = False):
-    """(document, item, distance, start, n) of the best window of each document and item."""
-    found = []
-    for n, (docs, starts) in window_starts(words, offsets, items, max_edits).items():
-        ids, item_words = items.by_length[n]
-        for a in range(0, len(starts), 20_000):
-            doc, start = docs[a:a + 20_000], starts[a:a + 20_000]
-            at = start[:, None] + np.arange(n)
-            windows = np.where(at < offsets[doc + 1][:, None], words[np.minimum(at, len(words) - 1)], PAD)
-            pairs = []
-            for walk in range(WALKS):
-                places = sample_places(n, walk)
-                own, theirs = sample_keys(embed(windows, walk), places), sample_keys(embed(item_words, walk), places)
-                for s in range(SAMPLES):
-                    order = np.argsort(theirs[:, s], kind="stable")
-                    low, high = np.searchsorted(theirs[order, s], own[:, s], "left"), np.searchsorted(theirs[order, s], own[:, s], "right")
-                    counts = high - low
-                    w = np.repeat(np.arange(len(start)), counts)
-                    i = order[np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
-                    pairs.append(w * len(ids) + i)
-            pair = np.unique(np.concatenate(pairs))
-            w, i = pair // len(ids), pair % len(ids)
-            for b in range(0, len(w), 50_000):
-                x, y = w[b:b + 50_000], i[b:b + 50_000]
-                distance = edit_distances(windows[x], item_words[y])
-                good = distance <= allowed(n, max_edits)
-                found.append(np.stack([doc[x], y, distance, start[x] - offsets[doc[x]]], axis=1)[good])
-                found[-1] = np.column_stack([found[-1][:, 0], ids[found[-1][:, 1].astype(np.int64)], found[-1][:, 2:], np.full(len(found[-1]), n)])
-    if not found:
-        return np.empty((0, 5), dtype=np.int64)
-    rows = np.concatenate(found).astype(np.int64)
+    pointed = candidates(words, offsets, items)
+    sizes = np.array([len(w) for w in items.words], dtype=np.int64)
+    found = [np.empty((0, 5), dtype=np.int64)]
+    for n in map(int, np.unique(sizes[pointed[1]])):
+        k, own = allowed(n, max_edits), pointed[:, sizes[pointed[1]] == n]
+        step = max(1, CELLS // (n + 2 * k))
+        for a in range(0, own.shape[1], step):
+            windows = _likely(words, offsets, items, own[:, a:a + step], n, k)
+            if windows.shape[1]:
+                found.append(_compared(words, offsets, items, windows, n, k))
+    rows = np.concatenate(found)
     rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
     first = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.empty(0, dtype=bool)
-    return rows[first]
+    rows = rows[first]
+    rows[:, 1] = items.ids[rows[:, 1]]
+    return rows
+
+
+def _likely(words, offsets, items: Items, pointed: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Rows of document, item, start and least possible distance: the windows around the places that may be within ``k`` edits.
+
+    A window lacks at most as many of the item's words as it has edits. Windows lie within their document.
+    """
+    doc, item, start = pointed
+    first, last = offsets[doc], np.maximum(offsets[doc], offsets[doc + 1] - n)
+    near_enough = (start >= first - k) & (start <= last + k)  # further off, no window of the document fits with so few edits
+    doc, item, start, first, last = (x[near_enough] for x in (doc, item, start, first, last))
+    at = start[:, None] + np.arange(-k, n + k)
+    inside = (at >= offsets[doc][:, None]) & (at < offsets[doc + 1][:, None])
+    own = _of_item(words[np.where(inside, at, 0)], item[:, None])
+    place = np.minimum(np.searchsorted(items.held, own), len(items.held) - 1)
+    sums = np.zeros((len(doc), n + 2 * k + 1), dtype=np.int64)
+    np.cumsum((items.held[place] == own) & inside, axis=1, out=sums[:, 1:])
+    near = np.clip(start[:, None] + np.arange(-k, k + 1), first[:, None], last[:, None])
+    column = near - start[:, None] + k
+    holds = np.take_along_axis(sums, column + n, 1) - np.take_along_axis(sums, column, 1)
+    row, which = np.nonzero(holds >= n - k)
+    windows, kept = np.unique(np.stack([doc[row], item[row], near[row, which]]), axis=1, return_index=True)
+    return np.concatenate([windows, np.maximum(0, n - holds[row, which])[None, kept]])
+
+
+def _compared(words, offsets, items: Items, windows: np.ndarray, n: int, k: int) -> np.ndarray:
+    """(document, item, distance, start, n) of windows within ``k`` edits, the nearest of each document and item among them.
+
+    Few edits are looked for first, in a narrow band; documents and items without such a window are looked at again.
+    """
+    out, limit = [np.empty((0, 5), dtype=np.int64)], min(k, 3)
+    while windows.shape[1]:
+        now = windows[:, windows[3] <= limit]
+        step = max(1, CELLS // (n + 2 * limit))
+        for a in range(0, now.shape[1], step):
+            doc, item, start, _ = now[:, a:a + step]
+            at = start[:, None] + np.arange(n)
+            own = np.where(at < offsets[doc + 1][:, None], words[np.minimum(at, len(words) - 1)], PAD)
+            distance = edit_distances(own, np.stack([items.words[i] for i in item]), limit, np.minimum(n, offsets[doc + 1] - start))
+            out.append(np.stack([doc, item, distance, start - offsets[doc], np.full(len(doc), n)], axis=1)[distance <= limit])
+        if limit >= k:
+            break
+        done = np.concatenate(out)
+        pair = lambda d, i: d * len(items.words) + i
+        windows = windows[:, ~np.isin(pair(windows[0], windows[1]), pair(done[:, 0], done[:, 1]))]
+        limit = min(k, 3 * limit)
+    return np.concatenate(out)
 
 
 def _scan(held: Broadcast, max_edits: float):
@@ -211,4 +273,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_of()).alias("content"))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower(text_of()).alias("content")).orderBy("item_id")
     schema = "doc_id long, item_id long, distance long, start_word long, n_words long"
-    return by_blocks(items, block, "items", lambda own: prepare(own, max_edits), lambda held: rows.mapInArrow(_scan(held, max_edits), schema), schema)
+    return by_blocks(items, block, "items", prepare, lambda held: rows.mapInArrow(_scan(held, max_edits), schema), schema)

@@ -255,10 +255,17 @@ def test_decontamination_recall_and_exactness(spark):
     assert own and edits
 
 
-def test_edit_distances():
-    r = np.random.default_rng(1)
-    a, b = r.integers(0, 4, (60, 12)).astype(np.uint64), r.integers(0, 4, (60, 12)).astype(np.uint64)
-    assert list(decontamination.edit_distances(a, b)) == [plain_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)]
+@pytest.mark.parametrize("n", [1, 2, 12, 33])
+def test_edit_distances(n):
+    r = np.random.default_rng(n)
+    a, b = r.integers(1, 4, (80, n)).astype(np.uint64), r.integers(1, 4, (80, n)).astype(np.uint64)
+    b[:40, n // 3:] = np.roll(a[:40], 1, axis=1)[:, n // 3:]  # some are near
+    plain = [plain_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)]
+    assert list(decontamination.edit_distances(a, b)) == plain
+    for k in (0, 1, n // 5, n):
+        assert list(decontamination.edit_distances(a, b, k)) == [min(d, k + 1) for d in plain]
+        sizes = np.maximum(1, n - np.arange(len(a)) % 4)
+        assert list(decontamination.edit_distances(a, b, k, sizes)) == [min(plain_distance(list(x[:m]), list(y)), k + 1) for x, y, m in zip(a, b, sizes, strict=True)]
 
 
 # ------------------------------------------------------------------------------- files
