@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -16,7 +17,8 @@ RULES = {
     "access": (r"()(AKIA[A-Z0-9]{16,})", "match", 20),
     "hex": (r"()([0-9a-f]{24,})", "match", 24),
 }
-RULE_VERSION = "1"
+#: What findings and ledger are kept under: it changes with every rule.
+RULE_VERSION = hashlib.sha256(repr(sorted(RULES.items())).encode()).hexdigest()[:16]
 #: Private-use characters that mark matches; where a text holds them they are replaced first, one for one.
 OPEN, MIDDLE, CLOSE, STAND_IN = "", "", "", "�"
 MASK = "[SECRET]"
@@ -44,7 +46,9 @@ def find(blobs: DataFrame) -> DataFrame:
     clean = F.translate("content", OPEN + MIDDLE + CLOSE, STAND_IN * 3)
     found = []
     for kind, (_, part, least) in RULES.items():
-        marked = blobs.select("blob", F.split(_marked(kind, clean), OPEN).alias("pieces")).where(F.size("pieces") > 1)
+        # a text without a match needs no copy
+        some = blobs.where(F.col("content").rlike(RULES[kind][0]))
+        marked = some.select("blob", F.split(_marked(kind, clean), OPEN).alias("pieces")).where(F.size("pieces") > 1)
         each = marked.select("blob", F.posexplode("pieces").alias("k", "piece"))
         # a piece after the first: what precedes the value, MIDDLE, the value, CLOSE, the text up to the next match
         marks = F.when(F.col("k") > 0, 2).otherwise(0)
@@ -73,24 +77,22 @@ def scan(docs: DataFrame, ledger: str | None = None, text: str = "text") -> tupl
     """(findings, scanned): all findings in the blobs of ``docs``, and the ledger's blobs, both for this rule version.
 
     ``docs`` holds one row for each version of each path. Blobs whose (blob, rule version) is in the
-    ledger are not scanned again; the others are scanned once, however many rows hold them.
+    ledger are not scanned again; the others are scanned once, however many rows hold them. The ledger holds digests, kinds
+    and places, never a text or a secret.
     Findings are appended first and the ledger after them, so a job that was lost in between is
     done again; repeated rows are dropped on reading. A new folder stands in for no ledger.
     """
     spark = docs.sparkSession
     ledger = ledger or work_dir(spark, "blob-ledger")
     found_at, seen_at = f"{ledger}/findings", f"{ledger}/scanned"
-    blobs = docs.select(blob_of(text).alias("blob"), text_of(text).alias("content")).groupBy("blob").agg(F.first("content").alias("content"))
+    unseen = docs.select(blob_of(text).alias("blob"), text_of(text).alias("content"))
     if _exists(spark, seen_at):
-        seen = spark.read.schema(LEDGER).parquet(seen_at).where(F.col("rule_version") == RULE_VERSION).select("blob")
-        blobs = blobs.join(seen, "blob", "left_anti")
-    # only blobs with a match of some rule are kept for the rules: the others need no second look
-    suspect = reduce(lambda a, b: a | b, [F.col("content").rlike(p) for p, _, _ in RULES.values()])
-    batch = f"{ledger}/batch-{len(spark.sparkContext.applicationId)}-{work_dir(spark, 'b').rsplit('-', 1)[1]}"
-    blobs.select("blob", F.when(suspect, F.col("content")).alias("content")).write.parquet(batch)
-    unseen = spark.read.schema("blob binary, content string").parquet(batch)
-    find(unseen.where("content is not null")).select("blob", F.lit(RULE_VERSION).alias("rule_version"), "kind", "start", "end").write.mode("append").parquet(found_at)
-    unseen.select("blob", F.lit(RULE_VERSION).alias("rule_version")).write.mode("append").parquet(seen_at)
+        seen = spark.read.schema(LEDGER).parquet(seen_at).where(F.col("rule_version") == RULE_VERSION).select("blob").distinct()
+        unseen = unseen.join(seen, "blob", "left_anti")
+    # the rules read one shuffle of the different texts
+    blobs = unseen.groupBy("blob").agg(F.first("content").alias("content"))
+    find(blobs).select("blob", F.lit(RULE_VERSION).alias("rule_version"), "kind", "start", "end").write.mode("append").parquet(found_at)
+    unseen.select("blob").distinct().select("blob", F.lit(RULE_VERSION).alias("rule_version")).write.mode("append").parquet(seen_at)
     findings = spark.read.schema(FINDINGS).parquet(found_at).where(F.col("rule_version") == RULE_VERSION).drop("rule_version").distinct()
     return findings, spark.read.schema(LEDGER).parquet(seen_at).where(F.col("rule_version") == RULE_VERSION)
 
@@ -118,6 +120,19 @@ def scan_rows(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     return joined.select(*kept, *[F.coalesce(F.col(f"__{c}"), empty[c]).alias(c) for c in new])
 
 
+def mask_rows(docs: DataFrame, ledger: str | None = None, mask: str = MASK) -> DataFrame:
+    """``docs`` with each secret in text replaced by ``mask``; every row and every other column stays as it is, whatever its name.
+
+    A null text stays null; equal texts are masked alike; an empty table stays empty.
+    """
+    found = by_blob(scan(docs, ledger)[0]).select(F.col("blob").alias("__blob"), F.col("ranges").alias("__ranges"))
+    own = docs.select(*[F.col(c).alias(f"__own_{k}") for k, c in enumerate(docs.columns)], blob_of().alias("__key"))
+    at = docs.columns.index("text")
+    text = F.when(F.col("__ranges").isNull(), F.col(f"__own_{at}")).otherwise(masked(F.col(f"__own_{at}"), F.col("__ranges"), mask))
+    joined = own.join(found, F.col("__key") == F.col("__blob"), "left")
+    return joined.select(*[(text if k == at else F.col(f"__own_{k}")).alias(c) for k, c in enumerate(docs.columns)])
+
+
 def masked(text, ranges, mask: str = MASK):
     """``text`` with each range of ``ranges`` (sorted by start; they may overlap) replaced by ``mask``."""
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
