@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lakesift.llm.common import small_batches, text_of
 
@@ -26,10 +27,8 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 NO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 FULL_WIDTH = {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
 
-#: Bounds of what is learned: labelled rows that are read, entries and exceptions that are kept.
+#: The bound of what is learned from: labelled rows that are read. Every entry and exception that they give is kept.
 TRAIN_ROWS = 16_000
-LEXICON = 4_000
-EXCEPTIONS = 4_000
 #: Documents that must hold an entry, and the least log ratio of its document rates.
 MIN_DOCS = 3
 MIN_WEIGHT = 1.5
@@ -131,7 +130,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def train(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) -> Model:
     """Learn from the rows that aren't held out, ``TRAIN_ROWS`` of them at most, in order of a hash.
 
-    One half gives the lexicon: word beginnings and words of at least ``MIN_DOCS`` toxic documents
+    Only doc_id and text of ``docs`` are read, and doc_id and toxic of ``labels``. One half gives the lexicon: word beginnings and words of at least ``MIN_DOCS`` toxic documents
     whose rate there is e**``MIN_WEIGHT`` times that in other documents. Words that begin so but
     are at home in clean documents become exceptions, besides the phrases given. The other half
     fits four logistic weights. Label values other than 0 and 1, and null ids, aren't used. Without toxic
@@ -141,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ())
     order = F.xxhash64(F.col("label_id").cast("string"))
     # at most TRAIN_ROWS short rows: a proven size
     sample = rows.groupBy("label_id").agg(F.max("toxic").alias("toxic")).withColumn("half", F.pmod(order, F.lit(2))).orderBy(order).limit(TRAIN_ROWS)
-    own = small_batches(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select(folded().alias("folded"), "toxic", "half").persist()
+    own = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select(folded().alias("folded"), "toxic", "half").persist()
     try:
         totals = {r["toxic"]: r["n"] for r in own.where("half = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if not totals.get(0) or not totals.get(1):
@@ -149,11 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ())
         counted = own.where("half = 0").select("folded", "toxic").mapInArrow(_document_counts, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         weight = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1))
         weighed = counted.withColumn("weight", weight).persist()
-        chosen = weighed.where((F.col("toxic") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT)).orderBy(F.desc("toxic"), "feature").limit(LEXICON).collect()
+        chosen = weighed.where((F.col("toxic") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT)).orderBy(F.desc("toxic"), "feature").collect()
         lexicon = tuple((r["feature"], float(r["weight"])) for r in chosen)
         begins = {p for p, _ in lexicon if not p.endswith(" ")}
         clean = weighed.where((F.col("clean") >= MIN_DOCS) & (F.col("weight") < 0) & F.endswith("feature", F.lit(" ")) & F.exists(F.array(*[F.substring("feature", 1, k + 1) for k in BEGINNINGS]), lambda x: x.isin(*begins) if begins else F.lit(False)))
-        void = tuple(r["feature"] for r in clean.orderBy(F.desc("clean"), "feature").limit(EXCEPTIONS).collect())
+        void = tuple(r["feature"] for r in clean.orderBy(F.desc("clean"), "feature").collect())
         draft = Model(lexicon, tuple(dict.fromkeys([*void, *(f" {x.strip()} " for x in exceptions)])))
         weighed.unpersist()
         fitted = own.where("half = 1").select("folded", "toxic").mapInArrow(_features(draft), "x array<double>, toxic int").toPandas()
@@ -194,21 +193,25 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]
     return float(out[0]), float(out[1]), float(out[2]), min(float(out[3]), -0.05)
 
 
-def _scores(model: Model):
+def _scores(model: Model, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [probability(model, t) for t in batch.column("folded").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "folded"), pa.array(x, pa.float64())], [*(c for c in batch.schema.names if c != "folded"), "score"])
+            x = [probability(model, t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.float64())], [*batch.schema.names[:-1], into])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``score`` (0 to 1) of each whole text; nothing else of a row counts.
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", into: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the score (0 to 1) of each whole text in ``into``; nothing else of a row counts.
 
-    Null or empty text: the score of no finding. Equal texts: equal scores. Empty table: empty
-    result. Other columns of ``docs`` can have any name.
+    Null or empty text: the score of no finding. Equal texts: equal scores. Repeated rows stay. Empty table: empty
+    result. Other columns of ``docs`` can have any name; one of ``keep`` that is named like ``into`` is replaced.
     """
-    rows = small_batches(docs).select(*[F.col(c) for c in keep if c != "score"], folded(text).alias("folded"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "folded")
-    return rows.mapInArrow(_scores(model), f"{schema}, score double")
+    kept = [c for c in keep if c != into]
+    last = "folded"
+    while last in kept:
+        last = f"_{last}"
+    rows = small_batches(docs).select(*kept, folded(text).alias(last))
+    schema = StructType([*(f for f in rows.schema if f.name != last), StructField(into, DoubleType())])
+    return rows.mapInArrow(_scores(model, into), schema)
