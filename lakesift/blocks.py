@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is unset (tests, one machine) a temporary folder stands in for it.
+    Where the setting is unset a temporary folder stands in for it on one machine (tests); on a cluster that is an error,
+    as no folder of one machine can be shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
