@@ -28,6 +28,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, or with underscores before it where a column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_of(column: str = "text"):
     """The text, a null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

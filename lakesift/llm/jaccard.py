@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm import bits
-from lakesift.llm.common import gram_hashes, materialise, mix, range_hash, small_batches, text_of
+from lakesift.llm.common import fresh, gram_hashes, materialise, mix, range_hash, small_batches, text_of
 from lakesift.llm.components import components
 from lakesift.llm.substrings import batch_words
 from lakesift.llm.vocabulary import slices
@@ -19,9 +20,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Tokens of a set's embedding: the least hash under each of so many functions; sets share a token with probability J.
 TOKENS = 64
-#: Independent runs, and levels of splitting in each. A pair at the threshold shares a bucket of a run with
-#: probability 0.47 at two levels, so 10 runs find 0.998 of such pairs.
-RUNS, LEVELS = 10, 2
+#: Share of the links at the threshold that are to be found: runs are repeated until it is reached (``runs_for``).
+TARGET = 0.995
+#: Levels of splitting in each run for all sets, and for sets whose buckets are still large.
+LEVELS, DEEPEST = 2, 4
 #: Two sets of a bucket are compared in full if at least this share of their tokens is equal: 5 standard deviations below 0.8.
 ESTIMATE = 0.55
 #: Rows that one task compares with each other, by sketch and in full; larger groups are split into pairs of parts.
@@ -56,31 +58,76 @@ def embed(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def chosen_paths(tokens: np.ndarray, similarity: float = SIMILARITY, runs: int = RUNS, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, path): the buckets that each set goes to after ``levels`` splits, in every run.
+def meeting(levels: int, similarity: float = SIMILARITY) -> float:
+    """Probability that two sets at the threshold share a bucket of a run: 0.63, 0.47, 0.37, 0.31 after 1 to 4 levels."""
+    miss = 0.0
+    for _ in range(levels):
+        miss = (1 - (1 - miss) / (similarity * TOKENS)) ** (similarity * TOKENS)
+    return 1 - miss
+
+
+def runs_for(levels: int, similarity: float = SIMILARITY) -> int:
+    """Runs after which two sets at the threshold have met with probability TARGET."""
+    return ceil(log(1 - TARGET) / log(1 - meeting(levels, similarity)))
+
+
+def _named(tokens: np.ndarray) -> np.ndarray:
+    return mix(tokens ^ mix(np.arange(TOKENS, dtype=np.uint64), 11))
+
+
+def _split(named: np.ndarray, row: np.ndarray, node: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child) of the children that rows at nodes go on to.
 
     At a node, each token of a set is chosen by a hash of node and token with probability
     1 / (similarity * TOKENS), and the set goes on to the child of each chosen token. Sets choose
     the same where they share a token, so about one child is shared at the threshold, and ever fewer below it.
     """
-    limit = np.uint64(int(2**64 / (similarity * TOKENS)) - 1)
-    column = mix(np.arange(TOKENS, dtype=np.uint64), 11)
-    named = mix(tokens ^ column)
-    rows, paths = [], []
-    for run in range(runs):
+    draw = mix(named[row] ^ node[:, None], 7)
+    at, which = np.nonzero(draw <= np.uint64(int(2**64 / (similarity * TOKENS)) - 1))
+    return row[at], mix(draw[at, which], 9)
+
+
+def chosen_paths(tokens: np.ndarray, similarity: float = SIMILARITY, runs: Iterable[int] | None = None, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path): the buckets that each set goes to after ``levels`` splits, in every run; in the order of rows."""
+    named, rows, paths = _named(tokens), [], []
+    for run in range(runs_for(levels, similarity)) if runs is None else runs:
         row, node = np.arange(len(tokens)), np.full(len(tokens), mix(np.array([run], dtype=np.uint64), 3)[0])
         for _ in range(levels):
-            draw = mix(named[row] ^ node[:, None], 7)
-            at, which = np.nonzero(draw <= limit)
-            node = mix(draw[at, which], 9)
-            row = row[at]
+            row, node = _split(named, row, node, similarity)
         rows.append(row)
         paths.append(node)
-    row, path = np.concatenate(rows), np.concatenate(paths)
-    keep = np.unique(np.stack([row.astype(np.uint64), path]), axis=1)
+    keep = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(paths)]), axis=1)
     return keep[0].astype(np.int64), keep[1]
 
 
+def _tokens_of(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), dtype=np.uint16).reshape(-1, TOKENS)
+
+
+def _further(similarity: float):
+    """The children of sets at buckets that are too large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = np.asarray(batch.column("bucket")).view(np.uint64)
+            row, child = _split(_named(_tokens_of(batch.column("sketch")).astype(np.uint64)), np.arange(batch.num_rows), node, similarity)
+            yield pa.RecordBatch.from_arrays([batch.column("set_id").take(pa.array(row)), pa.array(child.view(np.int64))], ["set_id", "bucket"])
+
+    return run
+
+
+def _more_runs(similarity: float, runs: range, levels: int):
+    """Buckets of further runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, path = chosen_paths(_tokens_of(batch.column("sketch")).astype(np.uint64), similarity, runs, levels)
+                yield pa.RecordBatch.from_arrays([batch.column("set_id").take(pa.array(row)), pa.array(path.view(np.int64))], ["set_id", "bucket"])
+
+    return run
+
+
 def _sketch(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +143,7 @@ def _sketch(similarity: float):
                     for k, i in enumerate(full):
                         paths[i] = path[edges[k]:edges[k + 1]].view(np.int64)
                         sketches[i] = small[k].tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("set_id"), part.column("doc_id"), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["set_id", "doc_id", "paths", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("hash", "check", "doc_id")), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["hash", "check", "doc_id", "paths", "sketch"])
 
     return run
 
@@ -106,12 +153,12 @@ def _sets(members: bits.Filter):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column("set_id")).view(np.uint64)
+            ids = np.asarray(batch.column("hash")).view(np.uint64)
             some = batch.filter(pa.array(members.holds(ids)))
             for part in slices(some, "content"):
                 hashes, bounds = shingles(*batch_words(part.column("content")))
                 own = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("set_id"), pa.array(own, pa.list_(pa.int64()))], ["set_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("hash"), part.column("check"), pa.array(own, pa.list_(pa.int64()))], ["hash", "check", "shingles"])
 
     return run
 
@@ -150,7 +197,7 @@ def _links_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in _groups(batches, ("bucket", "part_a", "part_b")):
         keys = [np.asarray(batch.column(c)) for c in ("bucket", "part_a", "part_b")]
         ids, own = np.asarray(batch.column("set_id")), np.asarray(batch.column("own_part"))
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, TOKENS)
+        sketch = _tokens_of(batch.column("sketch"))
         across = keys[1] != keys[2]
         left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         for d in range(1, len(ids)):
@@ -229,38 +276,63 @@ def _in_parts(rows: DataFrame, size: str, part: int) -> DataFrame:
     return split.withColumn("part_a", F.least("own_part", "other")).withColumn("part_b", F.greatest("own_part", "other")).drop("other", size)
 
 
+def _small_buckets(texts: DataFrame, similarity: float) -> DataFrame:
+    """set_id, bucket, n of every bucket with two sets or more.
+
+    Buckets of more than SKETCH_PART sets are split again, up to DEEPEST levels, and their sets take part in as many further
+    runs as the deeper level needs for the same recall. What is still large then holds sets that are like each other, or that share a very
+    frequent passage; it is compared part against part.
+    """
+    placed = texts.select("set_id", F.explode("paths").alias("bucket"))
+    for levels in range(LEVELS + 1, DEEPEST + 1):
+        large = materialise(placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > SKETCH_PART).select("bucket"), "large")
+        if not large.head(1):
+            break
+        inside = placed.join(large, "bucket").join(texts.select("set_id", "sketch"), "set_id")
+        deeper = inside.select("set_id", "bucket", "sketch").mapInArrow(_further(similarity), "set_id long, bucket long")
+        runs = range(runs_for(levels - 1, similarity), runs_for(levels, similarity))
+        again = inside.select("set_id").distinct().join(texts.select("set_id", "sketch"), "set_id").mapInArrow(_more_runs(similarity, runs, levels), "set_id long, bucket long")
+        placed = materialise(placed.join(large, "bucket", "left_anti").select("set_id", "bucket").unionAll(deeper).unionAll(again).distinct(), "placed")
+    return placed.join(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+
+
+def _keyed(docs: DataFrame) -> list:
+    """Two hashes that name a text by both: 128 bits."""
+    return [F.xxhash64(text_of()).alias("hash"), F.xxhash64(F.lit("text"), text_of()).alias("check")]
+
+
 def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(texts, links): set_id, first_doc, copies of each different text; set_id, component, links, class of those with links.
+    """(texts, links): set_id, hash, check, first_doc, copies of each different text; set_id, component, links, class of those with links.
 
-    1. Each text is sketched where it is read; equal texts become one row.
+    1. Each text is sketched where it is read; equal texts become one row with a number.
     2. Runs of recursive splitting give buckets; those with one set go.
     3. Buckets are compared by sketch, part against part, and give at most one edge for a row and part.
     4. Connected rows form clusters; in each all pairs are compared exactly, part against part, and
        counted where they are found, so pairs are never listed.
     """
     spark = docs.sparkSession
-    keyed = small_batches(docs).select(F.xxhash64(text_of()).alias("set_id"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("content"))
-    sketched = keyed.mapInArrow(_sketch(similarity), "set_id long, doc_id long, paths array<long>, sketch binary")
-    texts = materialise(sketched.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "texts")
+    keyed = small_batches(docs).select(*_keyed(docs), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("content"))
+    sketched = keyed.mapInArrow(_sketch(similarity), "hash long, check long, doc_id long, paths array<long>, sketch binary")
+    merged = sketched.groupBy("hash", "check").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
+    texts = materialise(merged.withColumn("set_id", F.monotonically_increasing_id()), "texts")
 
-    placed = texts.select("set_id", F.explode("paths").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = _in_parts(placed.join(shared, "bucket"), "n", SKETCH_PART).join(texts.select("set_id", "sketch"), "set_id")
+    members = _in_parts(_small_buckets(texts, similarity), "n", SKETCH_PART).join(texts.select("set_id", "sketch"), "set_id")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # in the order of ids, so that buckets which share members give the same edges: to the smallest id
     dealt = members.repartition(width, "bucket", "part_a", "part_b").sortWithinPartitions("bucket", "part_a", "part_b", "set_id")
     likely = materialise(dealt.mapInArrow(_links_of_buckets, "u long, v long").distinct(), "likely")
 
-    clusters = components(likely).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+    named = texts.select("set_id", "hash", "check")
+    clusters = components(likely).select(F.col("node").alias("set_id"), F.col("component").alias("cluster")).join(named, "set_id")
     clustered = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
-    own = keyed.select("set_id", "content").mapInArrow(_sets(bits.build(clusters, "set_id")), "set_id long, shingles array<long>").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-    pairs = _in_parts(clustered.join(own, "set_id"), "n", PART).repartition(width, "cluster", "part_a", "part_b").sortWithinPartitions("cluster", "part_a", "part_b", "set_id")
+    own = keyed.select("hash", "check", "content").mapInArrow(_sets(bits.build(clusters, "hash")), "hash long, check long, shingles array<long>").groupBy("hash", "check").agg(F.first("shingles").alias("shingles"))
+    pairs = _in_parts(clustered.join(own, ["hash", "check"]).drop("hash", "check"), "n", PART).repartition(width, "cluster", "part_a", "part_b").sortWithinPartitions("cluster", "part_a", "part_b", "set_id")
     exact = materialise(pairs.mapInArrow(_exact(similarity), "set_id long, links long, label long"), "exact")
     classes = components(exact.where("set_id != label"), "set_id", "label")
     counted = exact.groupBy("set_id").agg(F.sum("links").alias("links"))
     first = texts.select("set_id", "first_doc").join(classes, F.col("set_id") == F.col("node")).groupBy("component").agg(F.min("first_doc").alias("class"))
     links = classes.join(first, "component").select(F.col("node").alias("set_id"), "component", "class").join(counted, "set_id", "left")
-    return texts.select("set_id", "first_doc", "copies"), materialise(links, "links")
+    return texts.select("set_id", "hash", "check", "first_doc", "copies"), materialise(links, "links")
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -273,14 +345,16 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Texts of fewer than five words: one shingle, so linked to equal words only. Null text: as empty; a text without words has
     no links, only copies. Repeated rows: copies. Null doc_id: a row as any other; its class has
-    the smallest id that there is, or null. Empty table: empty result. Columns with the new names are replaced.
-    Texts are told apart by 64-bit hashes.
+    the smallest id that there is, or null. Empty table: empty result. Columns with the new names are replaced; others can
+    have any name. Texts are told apart by 128 bits of hashes.
     """
     texts, links = similar_sets(docs, similarity)
     new = ("class_id", "n_links", "copy_id", "n_copies")
-    known = texts.join(links, "set_id", "left").select(F.col("set_id").alias("__set"), F.coalesce("class", "first_doc").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("first_doc").alias("copy_id"), F.col("copies").alias("n_copies"))
     kept = [c for c in docs.columns if c not in new]
-    return docs.select(*kept).withColumn("__key", F.xxhash64(text_of())).join(known, F.col("__key") == F.col("__set")).select(*kept, *new)
+    key, check, of, also = (fresh(c, docs.columns) for c in ("__key", "__check", "__hash", "__also"))
+    known = texts.join(links, "set_id", "left").select(F.col("hash").alias(of), F.col("check").alias(also), F.coalesce("class", "first_doc").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("first_doc").alias("copy_id"), F.col("copies").alias("n_copies"))
+    rows = docs.select(*kept, *[c.alias(n) for c, n in zip(_keyed(docs), (key, check), strict=True)])
+    return rows.join(known, (F.col(key) == F.col(of)) & (F.col(check) == F.col(also))).select(*kept, *new)
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -290,8 +364,9 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     unlike texts are apart. Texts move once, to the class that their own hash names.
     """
     texts, links = similar_sets(docs, similarity)
-    order = F.struct(F.col("first_doc").isNull(), "first_doc", "set_id")
-    own = texts.join(links.select("set_id", "component"), "set_id", "left").groupBy(F.coalesce("component", "set_id").alias("c")).agg(F.min_by(F.struct("set_id", "first_doc"), order).alias("s"))
-    kept = own.select(F.col("s.set_id").alias("__set"), F.col("s.first_doc").alias("__first"))
-    rows = docs.withColumn("__key", F.xxhash64(text_of())).join(kept, F.col("__key") == F.col("__set"))
-    return rows.where(F.col("doc_id").eqNullSafe(F.col("__first"))).dropDuplicates(["__key"]).select(*docs.columns)
+    order = F.struct(F.col("first_doc").isNull(), "first_doc", "hash", "check")
+    own = texts.join(links.select("set_id", "component"), "set_id", "left").groupBy(F.when(F.col("component").isNull(), F.struct("hash", "check")), "component").agg(F.min_by(F.struct("hash", "check", "first_doc"), order).alias("s"))
+    key, check, of, also, first = (fresh(c, docs.columns) for c in ("__key", "__check", "__hash", "__also", "__first"))
+    kept = own.select(F.col("s.hash").alias(of), F.col("s.check").alias(also), F.col("s.first_doc").alias(first))
+    rows = docs.select("*", *[c.alias(n) for c, n in zip(_keyed(docs), (key, check), strict=True)]).join(kept, (F.col(key) == F.col(of)) & (F.col(check) == F.col(also)))
+    return rows.where(F.col("doc_id").eqNullSafe(F.col(first))).dropDuplicates([key, check]).select(*docs.columns)

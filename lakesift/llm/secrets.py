@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import text_of, work_dir
+from lakesift.llm.common import fresh, text_of, work_dir
 
 # The rules, in the order in which equal starts are listed. Group 1 is what precedes
 # the value, group 2 the value; the least number of characters holds for the named part.
@@ -113,11 +113,12 @@ def scan_rows(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """
     findings, _ = scan(docs, ledger)
     new = [*(f"n_{k}" for k in RULES), "spans", "ranges"]
-    own = by_blob(findings).select(F.col("blob").alias("__blob"), *[F.col(c).alias(f"__{c}") for c in new])
+    inner = {c: fresh(f"__{c}", docs.columns) for c in ("key", "blob", *new)}
+    own = by_blob(findings).select(F.col("blob").alias(inner["blob"]), *[F.col(c).alias(inner[c]) for c in new])
     kept = [c for c in docs.columns if c not in new]
-    joined = docs.select(*kept).withColumn("__key", blob_of()).join(own, F.col("__key") == F.col("__blob"), "left")
+    joined = docs.select(*kept, blob_of().alias(inner["key"])).join(own, F.col(inner["key"]) == F.col(inner["blob"]), "left")
     empty = {"spans": F.lit(""), "ranges": F.array().cast("array<struct<start:bigint,end:bigint>>")} | {f"n_{k}": F.lit(0).cast("long") for k in RULES}
-    return joined.select(*kept, *[F.coalesce(F.col(f"__{c}"), empty[c]).alias(c) for c in new])
+    return joined.select(*kept, *[F.coalesce(F.col(inner[c]), empty[c]).alias(c) for c in new])
 
 
 def mask_rows(docs: DataFrame, ledger: str | None = None, mask: str = MASK) -> DataFrame:

@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesift.llm.common import fresh
+
 #: Slots of the table: a prime, so that every step visits every slot.
 SLOTS = 65537
 
@@ -59,10 +61,11 @@ def shard(df: DataFrame, shards: list[str], key: str = "doc_id", slots: int = SL
     """
     spark = df.sparkSession
     table = lookup_table(shards, slots, weights)
-    rows = spark.createDataFrame([(i, k, shards[k]) for i, k in enumerate(table)], "__slot long, __shard int, __name string")
+    at, slot, number, name = (fresh(c, df.columns) for c in ("__at", "__slot", "__shard", "__name"))
+    rows = spark.createDataFrame([(i, k, shards[k]) for i, k in enumerate(table)], f"{slot} long, {number} int, {name} string")
     kept = [c for c in df.columns if c not in ("slot", "shard", "shard_name")]
-    return df.withColumn("__at", slot_of(F.col(key), slots)).join(F.broadcast(rows), F.col("__at") == F.col("__slot")).select(
-        *kept, F.col("__at").alias("slot"), F.col("__shard").alias("shard"), F.col("__name").alias("shard_name")
+    return df.select("*", slot_of(F.col(key), slots).alias(at)).join(F.broadcast(rows), F.col(at) == F.col(slot)).select(
+        *kept, F.col(at).alias("slot"), F.col(number).alias("shard"), F.col(name).alias("shard_name")
     )
 
 

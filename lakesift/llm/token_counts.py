@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm import vocabulary
-from lakesift.llm.common import small_batches, text_of, work_dir
+from lakesift.llm.common import fresh, small_batches, text_of, work_dir
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -55,12 +55,11 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
         distinct = distinct.join(known, "content_digest", "left_anti")
     counted = distinct.mapInArrow(_count_misses(path), "content_digest binary, n_tokens long")
     counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy(F.col("content_digest").alias("__digest")).agg(F.max("n_tokens").alias("__n"))
+    key, size, of, n = (fresh(c, docs.columns) for c in ("__key", "__bytes", "__digest", "__n"))
+    counts = read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy(F.col("content_digest").alias(of)).agg(F.max("n_tokens").alias(n))
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    keyed = docs.withColumn("__key", F.unhex(F.sha2(normalised(text), 256))).withColumn("__bytes", F.octet_length(normalised(text)).cast("long"))
-    return keyed.join(counts, F.col("__key") == F.col("__digest"), "left").select(
-        *kept, F.col("__bytes").alias("n_bytes"), F.col("__n").alias("n_tokens"), (F.col("__n") > limit).alias("over_limit")
-    )
+    keyed = docs.select("*", F.unhex(F.sha2(normalised(text), 256)).alias(key), F.octet_length(normalised(text)).cast("long").alias(size))
+    return keyed.join(counts, F.col(key) == F.col(of), "left").select(*kept, F.col(size).alias("n_bytes"), F.col(n).alias("n_tokens"), (F.col(n) > limit).alias("over_limit"))
 
 
 def read_cache(spark, cache: str) -> DataFrame | None:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lakesift.llm.common import small_batches, text_of
+from lakesift.llm.common import fresh, small_batches, text_of
 
 # Letters that look like Latin ones, digits and signs that stand for letters, and
 # characters without width, which are dropped.
@@ -209,9 +209,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     result. Other columns of ``docs`` can have any name; one of ``keep`` that is named like ``into`` is replaced.
     """
     kept = [c for c in keep if c != into]
-    last = "folded"
-    while last in kept:
-        last = f"_{last}"
+    last = fresh("folded", kept)
     rows = small_batches(docs).select(*kept, folded(text).alias(last))
     schema = StructType([*(f for f in rows.schema if f.name != last), StructField(into, DoubleType())])
     return rows.mapInArrow(_scores(model, into), schema)
