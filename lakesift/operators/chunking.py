@@ -1,154 +1,204 @@
-"""Overlapping chunks at semantic breaks of Markdown."""
+"""Overlapping chunks of Markdown.
+
+A text is read once by a pattern that stops at every line end and sentence end. From what it stops at come the places where the
+text may be cut, as two arrays of places and weights. Cutting is then a search in these arrays, and what a chunk
+is (its headings, its kind) is looked up by its place.
+"""
 
 from __future__ import annotations
 
+import ast
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Kinds of breaks with their patterns and scores, in the order that decides ties.
-BREAKS = [
-    ("h1", r"\n#{1}(?!#)", 100),
-    ("h2", r"\n#{2}(?!#)", 90),
-    ("h3", r"\n#{3}(?!#)", 80),
-    ("h4", r"\n#{4}(?!#)", 70),
-    ("hr", r"\n(?:---|\*\*\*|___)\s*\n", 65),
-    ("codeblock", r"\n```", 65),
-    ("h5", r"\n#{5}(?!#)", 60),
-    ("h6", r"\n#{6}(?!#)", 50),
-    ("sentence", r"[.!?]\s+(?=[A-Z])", 30),
-    ("blank", r"\n\n+", 20),
-    ("list", r"\n[-*]\s", 5),
-    ("numlist", r"\n\d+\.\s", 5),
-    ("newline", r"\n", 1),
-]
-_COMPILED = [(name, re.compile(p), score) for name, p, score in BREAKS]
+# Kinds of breaks and their weights, in the order that decides ties in ``compat``.
+WEIGHTS = {"h1": 100, "h2": 90, "h3": 80, "h4": 70, "hr": 65, "codeblock": 65, "h5": 60, "h6": 50, "sentence": 30, "blank": 20, "list": 5, "numlist": 5, "newline": 1}
+# Weights of a class, of a function or export, and of an import at the top level of fenced code.
+CLASS, FUNCTION, IMPORT = 92, 88, 38
+_STOP = re.compile(
+    r"\n(?:(?P<head>(?=(#{1,6})(?!#)))|(?P<codeblock>(?=```))|(?P<hr>(?=((?:---|\*\*\*|___)\s*\n)))"
+    r"|(?P<blank>(?<!\n\n)(?=\n))|(?P<list>(?=[-*]\s))|(?P<numlist>(?=\d+\.\s)))?"
+    r"|(?P<sentence>[.!?])(?=\s+[A-Z])"
+)
 _FRONT = re.compile(r"\A---\n.*?\n---\n", re.DOTALL)
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$", re.MULTILINE)
-# Top-level code that makes a good cut, by language.
-CODE_BREAKS = {
-    "python": [(r"^class ", 92), (r"^(?:def |async def |@)", 88), (r"^(?:import |from )", 38)],
-    "javascript": [(r"^class ", 92), (r"^(?:function |export )", 88), (r"^import ", 38)],
-}
-CODE_BREAKS["typescript"] = CODE_BREAKS["javascript"]
+_FENCED = re.compile(r"^```(\w+)[^\n]*\n(.*?)^```", re.DOTALL | re.MULTILINE)
+_FENCE_LINE = re.compile(r"^[^\S\n]*```(.*)$", re.MULTILINE)
+_SCRIPT = re.compile(r"^(?:(class )|(function |async function |export )|import )", re.MULTILINE)
 CHUNK = "seq int, pos int, len int, section_path string, chunk_type string, language string"
+#: Share of a break's weight that is lost at the far end of the window.
+DECAY = 0.7
+
+
+class Break(NamedTuple):
+    at: int
+    weight: int
+    kind: int  # its place in WEIGHTS
+    guarded: bool  # inside a fence, or below a row of a table
+
+
+def breaks(text: str, compat: bool = False) -> list[Break]:
+    """Every break of ``text`` in order. A fence that begins the text counts, except in ``compat``. A rule ends with its line end, which begins no other rule."""
+    order, out, ruled = list(WEIGHTS), [], 0
+    fenced, line = text.startswith("```") and not compat, 0
+    for m in _STOP.finditer(text):
+        name = m.lastgroup or "newline"
+        if name == "head":
+            name = f"h{len(m[2])}"
+        elif name == "hr":
+            name, ruled = ("hr", m.end(5)) if m.start() >= ruled else ("newline", ruled)
+        row = name != "sentence" and text.startswith("|", line)
+        out.append(Break(m.start(), WEIGHTS[name], order.index(name), fenced or row))
+        if name != "sentence":
+            line = m.end()
+        fenced ^= name == "codeblock"
+    return out
+
+
+def code_breaks(language: str, code: str) -> Iterator[tuple[int, int]]:
+    """(place, weight) of the line ends before classes, functions and imports at the top level of ``code``; none before its first line.
 
+    Python is parsed; what can't be parsed, and other languages, have no such breaks, but scripts those of their lines.
+    """
+    lines = [0, *(m.end() for m in re.finditer("\n", code))]
+    if language == "python":
+        try:
+            body = ast.parse(code).body
+        except (SyntaxError, ValueError):
+            return
+        for node in body:
+            first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
+            weight = CLASS if isinstance(node, ast.ClassDef) else FUNCTION if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else IMPORT if isinstance(node, (ast.Import, ast.ImportFrom)) else 0
+            if weight and first > 1:
+                yield lines[first - 1] - 1, FUNCTION if getattr(node, "decorator_list", None) else weight
+    elif language in ("javascript", "typescript"):
+        for m in _SCRIPT.finditer(code):
+            if m.start():
+                yield m.start() - 1, CLASS if m[1] else FUNCTION if m[2] else IMPORT
+
+
+class Cuts:
+    """The places where a text may be cut, with their weights: in order, or kind by kind in ``compat``."""
+
+    def __init__(self, text: str, compat: bool):
+        own = breaks(text, compat)
+        best = {b.at: b.weight for b in own if not b.guarded}
+        if not compat:
+            for m in _FENCED.finditer(text):
+                for at, weight in code_breaks(m[1].lower(), m[2]):
+                    best[m.start(2) + at] = max(weight, best.get(m.start(2) + at, 0))
+            rows = sorted(best.items())
+        else:
+            self.every = np.array([b.at for b in sorted(own, key=lambda b: (b.kind, b.at))], dtype=np.int64)
+            rows = [(int(at), best.get(int(at), 0)) for at in self.every]
+        self.compat, self.at, self.weight = compat, np.array([at for at, _ in rows], dtype=np.int64), np.array([w for _, w in rows], dtype=np.float64)
+
+    def best(self, start: int, after: int, ideal: int) -> int:
+        """The break behind ``start`` and ``after`` and before ``ideal`` that is worth most, the first of equals; ``ideal`` where there is none.
+
+        What a break is worth falls with the square of its distance from ``ideal``. In ``compat`` breaks count up to the first,
+        kind by kind, that lies beyond the window.
+        """
+        if self.compat:
+            beyond = np.flatnonzero(self.at >= ideal)
+            own = slice(0, int(beyond[0]) if len(beyond) else len(self.at))
+        else:
+            own = slice(*np.searchsorted(self.at, [max(start, after) + 1, ideal]))
+        at = self.at[own]
+        off = (ideal - at) / (ideal - start)
+        worth = np.where(at > start, self.weight[own] * (1 - off * off * DECAY), 0.0)
+        k = int(worth.argmax()) if len(worth) else -1
+        return int(at[k]) if k >= 0 and worth[k] > 0 else ideal
 
-class _Document:
-    """Break places of a text, each looked up by bisection."""
-
-    def __init__(self, text: str, code: bool):
-        self.text = text
-        self.fences = [m.start() for m in re.finditer(r"\n```", text)]
-        best: dict[int, tuple[int, int]] = {}
-        for order, (_, pattern, score) in enumerate(_COMPILED):
-            for m in pattern.finditer(text):
-                if m.start() not in best or score > best[m.start()][0]:
-                    best[m.start()] = (score, order)
-        self.in_code: set[int] = set()
-        if code:
-            for m in re.finditer(r"^```(\w+)[^\n]*\n(.*?)^```", text, re.DOTALL | re.MULTILINE):
-                for pattern, score in CODE_BREAKS.get(m[1].lower(), []):
-                    for line in re.finditer(pattern, m[2], re.MULTILINE):
-                        at = m.start(2) + line.start() - 1
-                        if line.start() and score > best.get(at, (0,))[0]:
-                            best[at] = (score, len(_COMPILED))
-                            self.in_code.add(at)
-        self.breaks = {at: score for at, (score, _) in best.items()}
-        self.sorted = sorted(self.breaks)
-        self.listed = [at for _, at in sorted((order, at) for at, (_, order) in best.items())]
-        self.heads = [(m.start(), len(m[1]), m[2].strip()) for m in _HEADING.finditer(text)]
-
-    def fenced(self, at: int) -> bool:
-        return bisect_right(self.fences, at - 4) % 2 == 1
-
-    def in_table(self, at: int) -> bool:
-        return self.text[at] == "\n" and self.text.startswith("|", self.text.rfind("\n", 0, at) + 1)
-
-    def section(self, up_to: int) -> str:
-        """Headings above a place, outermost first; a deeper one ends where a higher one begins."""
-        path: dict[int, str] = {}
-        for at, level, title in self.heads[:bisect_left(self.heads, (up_to,))]:
-            path = {k: v for k, v in path.items() if k < level} | {level: title[:max(0, up_to - at - level - 1)].strip() or title}
-        return " > ".join(path[k] for k in sorted(path))
-
-    def cut(self, start: int, ideal: int, after: int, compat: bool) -> int:
-        """The best break between start and the ideal end: its score falls with the square of its distance."""
-        best, end, span = 0.0, ideal, ideal - start
-        for at in self.listed if compat else self.sorted[bisect_right(self.sorted, max(start, after)):]:
-            if at >= ideal:
-                break
-            if at <= start or (self.fenced(at) and at not in self.in_code) or self.in_table(at):
-                continue
-            value = self.breaks[at] * (1 - ((ideal - at) / span) ** 2 * 0.7)
-            if value > best:
-                best, end = value, at
-        return end
+
+def spans(text: str, target: int, overlap: int, least: int, compat: bool) -> Iterator[tuple[int, int]]:
+    """Begin and end of each chunk. One that is shorter than ``least`` is left out.
+
+    A chunk begins ``overlap`` before the end of the one before, moved on to the next space or line end; or right at that end,
+    where it would not lie behind the begin of the last chunk that was kept. The begin always moves on.
+    """
+    cuts, n, begin, end, kept = Cuts(text, compat), len(text), 0, 0, 0
+    while begin < n:
+        last = begin + target >= n
+        end = n if last else cuts.best(begin, end, begin + target)
+        if end - begin >= least:
+            yield begin, end
+            kept = begin
+        if last:
+            return
+        back = end
+        if end - overlap > kept:
+            space = re.compile("[ \n]").search(text, end - overlap, end)
+            back = space.start() if space else end
+        begin = back if back > begin else end
+
+
+class Headings:
+    """The headings of a text, each with the path of those above it."""
+
+    def __init__(self, text: str):
+        self.at, self.own, self.above = [], [], []
+        path: list[tuple[int, str]] = []
+        for m in _HEADING.finditer(text):
+            level = len(m[1])
+            path = [x for x in path if x[0] < level]
+            self.at.append(m.start())
+            self.above.append(tuple(title for _, title in path))
+            path.append((level, m[2].strip()))
+            self.own.append(path[-1])
+
+    def path(self, up_to: int) -> str:
+        """Headings that begin before a place, outermost first; the last may reach beyond it and is cut there."""
+        k = bisect_left(self.at, up_to) - 1
+        if k < 0:
+            return ""
+        level, title = self.own[k]
+        return " > ".join([*self.above[k], title[:max(0, up_to - self.at[k] - level - 1)].strip() or title])
 
 
 def kind_of(text: str) -> tuple[str, str | None]:
-    """prose, code or mixed, with the language of the first fence that names one."""
-    if "```" not in text:
-        return "prose", None
-    inside, counts, language = False, [0, 0], None
-    for line in map(str.strip, text.splitlines()):
-        if line.startswith("```"):
-            if not inside and language is None:
-                language = line[3:].strip() or None
-            inside = not inside
-        else:
-            counts[inside] += len(line)
-    if not counts[True]:
+    """prose, code or mixed, with the language of the first opening fence that names one: what lies between fence lines in turn."""
+    parts = _FENCE_LINE.split(text)
+    outside, inside, opening = (any(x.strip() for x in parts[0::4]), any(x.strip() for x in parts[2::4]), [x.strip() for x in parts[1::4]])
+    if not inside:
         return "prose", None
-    return ("mixed" if counts[False] else "code"), language
+    return "mixed" if outside else "code", next((x for x in opening if x), None)
 
 
 def chunk(text: str, target: int = 2100, overlap: int = 225, least: int = 100, compat: bool = False) -> list[tuple]:
     """(pos, len, section_path, chunk_type, language) of each chunk; places are in ``text`` itself.
 
-    ``compat`` keeps three older habits: breaks are looked through kind by kind up to the first beyond the
-    window, a heading that ended a chunk may end the next one too, and places count from after the front
-    matter. A chunk shorter than ``least`` is dropped; the start always moves on.
+    ``compat`` keeps four older habits: breaks are looked through kind by kind up to the first beyond the
+    window, a heading that ended a chunk may end the next one too, places count from after the front
+    matter, and a fence that begins the text isn't seen.
     """
     front = _FRONT.match(text)
-    shift = front.end() if front else 0
-    own = _Document(text[shift:], code=not compat)
-    n, start, before, last_end, out = len(own.text), 0, 0, 0, []
-
-    def emit(a: int, b: int) -> None:
-        nonlocal before
-        if b - a >= least:
-            out.append((a + (0 if compat else shift), b - a, own.section(a), *kind_of(own.text[a:b])))
-            before = a
-
-    while start < n:
-        ideal = min(start + target, n)
-        if ideal == n:
-            emit(start, n)
-            break
-        end = own.cut(start, ideal, last_end, compat)
-        emit(start, end)
-        follow = end - overlap
-        if follow <= before:
-            follow = end
-        else:
-            while follow < end and own.text[follow] not in " \n":
-                follow += 1
-        start, last_end = (follow if follow > start else end), end
-    return out
+    body = text[front.end():] if front else text
+    shift, heads = 0 if compat else len(text) - len(body), Headings(body)
+    return [(a + shift, b - a, heads.path(a), *kind_of(body[a:b])) for a, b in spans(body, target, overlap, least, compat)]
 
 
 def chunk_documents(docs: DataFrame, key: str = "content_hash", text: str = "doc", target: int = 2100, overlap: int = 225, least: int = 100, compat: bool = False) -> DataFrame:
-    """key, seq, pos, len, section_path, chunk_type, language of each chunk of each text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, i, *c) for k, t in zip(pdf[key], pdf[text], strict=True) for i, c in enumerate(chunk(t or "", target, overlap, least, compat))]
-            yield pd.DataFrame(rows, columns=[key, "seq", "pos", "len", "section_path", "chunk_type", "language"])
+    """key, seq, pos, len, section_path, chunk_type, language of each chunk of each text; a null text has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                each = [chunk(t or "", target, overlap, least, compat) for t in part.column(1).to_pylist()]
+                counts = [len(x) for x in each]
+                rows = [c for x in each for c in x]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
+                seq = pa.array([i for n in counts for i in range(n)], pa.int32())
+                yield pa.RecordBatch.from_arrays([keys, seq, *(pa.array(list(x), t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True))], [key, "seq", "pos", "len", "section_path", "chunk_type", "language"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, {CHUNK}").withColumn("section_path", F.nullif("section_path", F.lit("")))
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {CHUNK}").withColumn("section_path", F.nullif("section_path", F.lit("")))
