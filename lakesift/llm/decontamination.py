@@ -20,7 +20,9 @@ from lakesift.llm.vocabulary import slices
 MAX_EDITS = 0.2
 #: Independent random walks, steps of each, and (samples, places) that are drawn from each walk: a sample has PLACES of the
 #: steps, the first among them. Chosen for a recall of 0.99 at the largest distance (tests/llm/test_decontamination.py).
-WALKS, STEPS, SAMPLES, PLACES = 4, 7, 3, 4
+WALKS, STEPS, SAMPLES, PLACES = 3, 8, 2, 4
+#: Places of the text that a sample has to look at.
+DIFFERENT = 3
 #: Items of fewer words may differ in one word at most, and are found without walks.
 SHORT = 10
 #: Items that one pass over the documents compares; more items take more passes.
@@ -30,6 +32,8 @@ CELLS = 4_000_000
 #: Everything in ASCII but letters and digits separates words.
 SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 PAD = np.uint64(0)
+NO_KEY = np.uint64(2**64 - 1)
+ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def normal_words(text: str) -> np.ndarray:
@@ -39,21 +43,21 @@ def normal_words(text: str) -> np.ndarray:
     return word_hashes(raw, starts, ends) if len(starts) else np.empty(0, dtype=np.uint64)
 
 
-def walks(words: np.ndarray, walk: int) -> np.ndarray:
-    """(STEPS, words): the CGK embedding of the text that begins at each word, one walk from each.
+def walks(words: np.ndarray, walk: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each of STEPS steps of the walk from each word, what is emitted and where the pointer is: the CGK embedding of the text there.
 
-    A pointer walks over the words: each step emits the word under it and moves on, or stays, by a random bit of step and
+    A pointer walks over the words: each step emits the word under it (its hash for this walk) and moves on, or stays, by a random bit of step and
     word. Texts at a small edit distance fall into step again after each edit, so that their embeddings differ in few places:
     edit distance becomes Hamming distance. The walk from a word is the same in a document and in an item, and it doesn't
     depend on what follows the window, so one embedding of a document serves windows of all item sizes. Past the end: PAD.
     """
-    padded = np.concatenate([words, np.full(STEPS, PAD)])
-    moves = mix(padded, 1 + walk)
-    at, out = np.arange(len(words)), np.empty((STEPS, len(words)), dtype=np.uint64)
+    own = mix(np.concatenate([words, np.full(STEPS, PAD)]), 1 + walk)
+    at, emitted, places = np.arange(len(words), dtype=np.int32), [], []
     for j in range(STEPS):
-        out[j] = padded[at]
-        at = at + ((moves[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-    return out
+        emitted.append(own[at])
+        places.append(at)
+        at = at + ((emitted[j] >> np.uint64(j)) & np.uint64(1)).astype(np.int32)
+    return emitted, places
 
 
 def sample_places(walk: int) -> np.ndarray:
@@ -65,7 +69,8 @@ def sample_places(walk: int) -> np.ndarray:
 def sample_keys(words: np.ndarray, short: bool) -> Iterator[np.ndarray]:
     """For each walk and sample a key of the text that begins at each word: equal keys are a collision in that sample.
 
-    ``short`` gives those of items of fewer than SHORT words instead, of which at most one may be edited: each word, and each
+    A sample that looks at fewer than DIFFERENT places of the text is NO_KEY: a word or two are too common to tell anything.
+    ``short`` gives the keys of items of fewer than SHORT words instead, of which at most one may be edited: each word, and each
     pair of neighbours. An item of two words or more keeps a pair whatever is edited, so nothing is lost.
     """
     if short:
@@ -73,12 +78,14 @@ def sample_keys(words: np.ndarray, short: bool) -> Iterator[np.ndarray]:
         yield joined_hashes(words, np.append(words[1:], PAD))
         return
     for walk in range(WALKS):
-        emitted = walks(words, walk)
+        emitted, at = walks(words, walk)
         for places in sample_places(walk):
-            key = emitted[places[0]]
-            for j in places[1:]:
-                key = joined_hashes(key, emitted[j])
-            yield key
+            key, different = emitted[0], np.ones(len(words), dtype=np.int8)
+            with np.errstate(over="ignore"):
+                for i, j in zip(places[:-1], places[1:], strict=True):
+                    key = key * ODD + emitted[j]
+                    different += at[i] != at[j]
+            yield np.where(different >= DIFFERENT, mix(key), NO_KEY)
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray, most: int | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
@@ -147,6 +154,7 @@ def prepare(items: list[tuple[int, str]]) -> Items:
             if kept:
                 key, item = np.concatenate([x for _, x in kept]), np.repeat([k for k, _ in kept], [len(x) for _, x in kept])
                 place = np.concatenate([np.arange(len(x)) for _, x in kept])
+                key, item, place = (x[key != NO_KEY] for x in (key, item, place))
                 order, marks = np.argsort(key, kind="stable"), np.zeros(1 << 20, dtype=bool)
                 marks[key >> np.uint64(44)] = True
                 tables[short].append(Table(key[order], item[order], place[order], marks))
