@@ -33,6 +33,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of fewer bytes are dealt out to all cores before work on them: they may lie in one row group, which is one task.
+DEALT_BYTES = 64 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, over all cores if it is small; a larger one is read in as many tasks as it has parts."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < DEALT_BYTES else df
+
+
 def in_blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     """``rows`` in the shared folder with their ``__block`` of at most ``size`` rows, in their order; how many blocks."""
     placed = materialise(rows.withColumn("__at", F.monotonically_increasing_id()), name)

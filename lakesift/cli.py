@@ -1,4 +1,4 @@
-"""Command line: add, index, search, collections, remove, purge, watch, db-check."""
+"""Command line: add, index, search, collections, remove, purge, watch, db-check, compact, vacuum."""
 
 from __future__ import annotations
 
@@ -9,11 +9,11 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import SparkSession
 
 from lakesift.operators import ingest, search
-from lakesift.providers import HashingEmbedder
+from lakesift.providers import HashingEmbedder, ServedModel
 from lakesift.schema import TABLES, Settings
 from lakesift.sources.files import read_files
 from lakesift.store import Store
-from lakesift.streaming.watch import watch
+from lakesift.streaming.watch import watch, watch_folder
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,21 +26,30 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-c", "--collection", default="default")
     p.add_argument("--pattern", default="*.md")
     p.add_argument("--index", action="store_true")
+    p.add_argument("--vault", help="copy the texts of the collection below this folder; without it files stay where they are and are linked by source_uri")
     p = sub.add_parser("index")
     p.add_argument("--doc-id", type=int)
+    p.add_argument("--model", help="name of an embedding model of the server at --host")
+    p.add_argument("--host", default="http://localhost:11434")
     p = sub.add_parser("search")
     p.add_argument("query")
     p.add_argument("-n", "--count", type=int)
     p.add_argument("-c", "--collection")
     p.add_argument("--json", action="store_true")
     p.add_argument("--no-rerank", action="store_true")
+    p.add_argument("--context", action=argparse.BooleanOptionalAction, default=True, help="show the chunks before and after")
+    p.add_argument("--no-expand", action="store_true", help="ask no model for other wordings")
+    p.add_argument("--model", help="name of a language model of the server at --host, which words the query anew")
+    p.add_argument("--host", default="http://localhost:11434")
     p.add_argument("-v", "--verbose", action="store_true")
     p = sub.add_parser("collections").add_subparsers(dest="action", required=True)
     q = p.add_parser("add")
     q.add_argument("name")
     q.add_argument("path")
     q.add_argument("--pattern", default="**/*.md")
-    q.add_argument("--exclude", action="store_true")
+    q.add_argument("--exclude", action="store_true", help="leave the collection out of searches that name none")
+    q.add_argument("--ignore", nargs="*", default=[], help="patterns of files that are not read")
+    q.add_argument("--context", default="", help="what the collection is about")
     p.add_parser("list")
     p.add_parser("update").add_argument("name")
     p = sub.add_parser("remove")
@@ -50,9 +59,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--older-than", default="0d")
     p.add_argument("--dry-run", action="store_true")
     p = sub.add_parser("watch")
-    p.add_argument("folder")
+    p.add_argument("folder", nargs="?", help="a folder of change logs; without it the files of --collection are watched")
+    p.add_argument("-c", "--collection")
     p.add_argument("--checkpoint", required=True)
     sub.add_parser("db-check")
+    sub.add_parser("compact")
+    p = sub.add_parser("vacuum")
+    p.add_argument("--keep", type=int, default=1)
     return top
 
 
@@ -63,6 +76,15 @@ def age(text: str) -> timedelta:
     return timedelta(days=int(n) * (7 if unit == "w" else 1))
 
 
+def line_of(place: int, row: dict) -> str:
+    """A result as text: its place, a bar of its score, title and section, where its ranks come from, and its beginning."""
+    share = max(0.0, min(1.0, (row["score"] + 10) / 20))
+    full = round(share * 10)
+    ranks = " ".join(f"{name} #{row[k]}" for k, name in (("bm25_rank", "text"), ("vector_rank", "vector")) if row.get(k) is not None)
+    shown = row.get("context") or row["excerpt"]
+    return f"[{place}] {'█' * full}{'░' * (10 - full)} {row['score']:.3f}  {row['title']} {('> ' + row['section_path']) if row['section_path'] else ''} ({row['collection']}{', ' + ranks if ranks else ''})\n    {' '.join(shown[:200].split())}"
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> object:
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("lakesift").getOrCreate()
@@ -73,15 +95,18 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
         for path in a.paths:
             for k, n in ingest.add_documents(store, read_files(spark, path, a.pattern), a.collection, stamp).items():
                 total[k] = total.get(k, 0) + n
+        if a.vault:
+            total["copied"] = ingest.copy_to_vault(store, a.collection, a.vault).count()
         out: object = total | (ingest.index_documents(store, embedder, settings, stamp) if a.index else {})
     elif a.command == "index":
-        out = ingest.index_documents(store, embedder, settings, stamp, a.doc_id)
+        out = ingest.index_documents(store, ServedModel(a.model, a.host) if a.model else embedder, settings, stamp, a.doc_id)
     elif a.command == "search":
-        rows = search.search(store, a.query, embedder, stamp, settings, count=a.count, collection=a.collection, log=(lambda k, v: print(f"{k}: {v}")) if a.verbose else None, **({"reranker": None} if a.no_rerank else {}))
-        out = json.dumps(rows, ensure_ascii=False) if a.json else "\n".join(f"[{i}] {r['title']} {r['section_path'] or ''}\n    {' '.join(r['excerpt'][:200].split())}" for i, r in enumerate(rows, 1)) or "nothing found"
+        model = ServedModel(a.model, a.host) if a.model and not a.no_expand else None
+        rows = search.search(store, a.query, embedder, stamp, settings, model, count=a.count, collection=a.collection, context=a.context, log=(lambda k, v: print(f"{k}: {v}")) if a.verbose else None, **({"reranker": False} if a.no_rerank else {}))
+        out = json.dumps(rows, ensure_ascii=False) if a.json else "\n".join(line_of(i, r) for i, r in enumerate(rows, 1)) or "nothing found"
     elif a.command == "collections":
         if a.action == "add":
-            out = ingest.register_collection(store, a.name, a.path, a.pattern, not a.exclude)
+            out = ingest.register_collection(store, a.name, a.path, a.pattern, not a.exclude, a.ignore, {"/": a.context} if a.context else {})
         elif a.action == "update":
             out = ingest.update_collection(store, a.name, stamp)
         else:
@@ -91,8 +116,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
     elif a.command == "purge":
         out = ingest.purge(store, (now - age(a.older_than)).strftime("%Y-%m-%d %H:%M:%S"), a.dry_run)
     elif a.command == "watch":
-        watch(spark, store, a.folder, a.checkpoint, embedder, settings).awaitTermination()
+        (watch(spark, store, a.folder, a.checkpoint, embedder, settings) if a.folder else watch_folder(spark, store, a.collection, a.checkpoint, embedder, settings)).awaitTermination()
         out = store.version
+    elif a.command == "compact":
+        out = store.compact()
+    elif a.command == "vacuum":
+        out = store.vacuum(a.keep)
     else:
         out = {r["name"]: r["n_rows"] for r in ingest.table_counts(spark, {name: store.table(name) for name in TABLES}).collect()}
     print(out)

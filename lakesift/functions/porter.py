@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -39,6 +41,7 @@ def _replaced(word: str, table: dict[str, str], least: int) -> str:
     return word
 
 
+@lru_cache(maxsize=200_000)  # a worker's vocabulary
 def stem(word: str) -> str:
     """The stem of one lower-case token."""
     if not 3 <= len(word.encode()) <= 64:

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.functions.porter import stem, stems
+from lakesift.blocks import materialise
+from lakesift.functions.porter import stem
 from lakesift.functions.text import NOT_TOKEN, tokens
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -139,12 +144,19 @@ def with_tokens(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("tokens", tokens(F.col(text)))
 
 
-def with_stems(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``rows`` with stemmed tokens. Each different token is stemmed once, in the vocabulary, and joined back by position."""
-    each = rows.select(key, F.posexplode("tokens").alias("place", "token"))
-    vocabulary = each.select("token").distinct().withColumn("stem", stems("token"))
-    back = each.join(vocabulary, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "stem"))).alias("own"))
-    return rows.drop("tokens").join(back.select(key, F.col("own.stem").alias("tokens")), key, "left")
+def with_stems(rows: DataFrame) -> DataFrame:
+    """``rows`` with stemmed tokens (a null list as an empty one). Rows stay where they are: a batch's different tokens are stemmed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("tokens")
+            lists = pc.fill_null(batch.column(at), [])
+            coded = lists.flatten().dictionary_encode()
+            stemmed = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+            bounds = pa.array(np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.ListArray.from_arrays(bounds, stemmed), *batch.columns[at + 1:]], batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def near(column: Column, a: str, b: str, within: int = 10) -> Column:
@@ -157,11 +169,13 @@ def bm25(rows: DataFrame, wanted: Phrase | Op) -> DataFrame:
     """Matching rows with raw_score: the lower, the better.
 
     Statistics are of phrases and cover all rows of ``rows``: apply other filters to the result. They are
-    one row, so joining them back moves nothing but that row. A row's tokens are looked at once.
+    one row, so joining them back moves nothing but that row. Texts are tokenised once: lengths and counts are written to
+    the shared folder, and statistics and hits come from there.
     """
     own = wanted.phrases()
     names = [f"f{k}" for k in range(len(own))]
     counted = rows.withColumn("dl", F.size("tokens")).withColumns({n: p.count(F.col("tokens")) for n, p in zip(names, own, strict=True)}).drop("tokens")
+    counted = materialise(counted, "phrase-counts")
     total = counted.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names])
     return _scored(counted, total, wanted, dict(zip(own, names, strict=True)))
 
@@ -187,6 +201,7 @@ def bm25_indexed(index: DataFrame, lengths: DataFrame, wanted: Phrase | Op, key:
     """
     names = {p: f"f{k}" for k, p in enumerate(wanted.phrases())}
     found = reduce(lambda a, b: a.join(b, key, "full_outer"), [phrase_rows(index, p, key).withColumnRenamed("f", n) for p, n in names.items()]).fillna(0, list(names.values()))
+    found = materialise(found, "phrase-rows")
     total = lengths.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl")).crossJoin(found.agg(*[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names.values()]))
     return _scored(found.join(lengths, key), total, wanted, names)
 
@@ -198,9 +213,9 @@ def top(rows: DataFrame, n: int, score: str = "raw_score", *ties: str) -> DataFr
 
 def min_max(fetched: DataFrame, score: str = "raw_score") -> DataFrame:
     """``fetched`` (a few rows, after a limit) with score from 0 (worst) to 1 (best); 1 where all are equal."""
-    ends = fetched.agg(F.min(score).alias("best"), F.max(score).alias("worst"))
-    span = F.col("best") - F.col("worst")
-    return fetched.crossJoin(ends).withColumn("score", F.when(span == 0, 1.0).otherwise((F.col(score) - F.col("worst")) / span)).drop("best", "worst")
+    all_rows = Window.partitionBy()  # a few rows, after a limit
+    best, worst = F.min(score).over(all_rows), F.max(score).over(all_rows)
+    return fetched.withColumn("score", F.when(best == worst, 1.0).otherwise((F.col(score) - worst) / (best - worst)))
 
 
 def early(scored: DataFrame, threshold: float = 0.85, gap: float = 0.15) -> DataFrame:
@@ -213,8 +228,24 @@ def early(scored: DataFrame, threshold: float = 0.85, gap: float = 0.15) -> Data
 
 def postings(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
     """term, key, positions: the inverted index of ``rows`` (key, tokens)."""
-    each = rows.select(key, F.posexplode("tokens").alias("place", "term"))
-    return each.groupBy("term", key).agg(F.sort_array(F.collect_list("place")).alias("positions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # each text's terms and places are put together where the text is: nothing moves
+        for batch in batches:
+            lists = pc.fill_null(batch.column(1), [])
+            sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            term = np.asarray(coded.indices).astype(np.int64)
+            order = np.lexsort((place, term, row))
+            row, term, place = row[order], term[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])) if len(row) else np.empty(0, dtype=np.int64)
+            bounds = pa.array(np.concatenate([first, [len(row)]]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[first])), batch.column(0).take(pa.array(row[first])), pa.ListArray.from_arrays(bounds, pa.array(place.astype(np.int32)))], ["term", key, "positions"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "tokens").mapInArrow(run, f"term string, {key} {kind}, positions array<int>")
 
 
 def by_term(index: DataFrame, partitions: int | None = None) -> DataFrame:

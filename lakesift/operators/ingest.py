@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lakesift.blocks import materialise
 from lakesift.functions.text import content_hash, heading, stem, tokens
 from lakesift.operators import fulltext, lifecycle
 from lakesift.operators.chunking import chunk_documents
-from lakesift.providers import EmbeddingProvider, embed_rows
-from lakesift.schema import Settings
-from lakesift.sources.files import read_files
+from lakesift.providers import Embedder, embed_rows
+from lakesift.schema import COLLECTIONS, Settings
+from lakesift.sources.files import qualified, read_files, write_file
 from lakesift.store import Store
 
 
@@ -49,94 +51,146 @@ def described(files: DataFrame) -> DataFrame:
 def add_documents(store: Store, files: DataFrame, collection: str, now: str) -> dict[str, int]:
     """Merge ``files`` (path, text, source_uri, modified_at) into a collection; counts by status.
 
-    Of repeated paths the latest file counts. A collection has to be registered, but ``default``, which is made.
+    Of repeated paths the latest file counts. A collection has to be registered, but ``default``, which is made. What is
+    written follows what comes in, not what is there: new texts, and the rows of the documents that came.
     """
     names = {r["name"] for r in store.table("store_collections").select("name").collect()}
     changed: dict[str, DataFrame] = {}
     if collection not in names:
         if collection != "default":
             raise ValueError(f"no collection {collection}")
-        changed["store_collections"] = store.table("store_collections").unionByName(store.spark.createDataFrame([("default", "", "**/*.md")], "name string, path string, pattern string").withColumn("include_by_default", F.lit(True)), allowMissingColumns=True)
+        changed["store_collections"] = collection_rows(store, "default", "", "**/*.md", True)
     stamp = F.lit(now).cast("timestamp")
     incoming = described(lifecycle.latest(files, ["path"], "modified_at", "text")).withColumns({"collection": F.lit(collection), "active": F.lit(True), "deleted_at": F.lit(None).cast("timestamp"), "created_at": stamp})
     existing = store.table("documents")
     marked = lifecycle.statuses(incoming, existing, ["collection", "path"]).persist()
     try:
         counts = {r["status"]: r["count"] for r in marked.groupBy("status").count().collect()}
-        fresh = marked.select("hash", F.col("text").alias("doc"), "created_at")
-        merged = lifecycle.upsert(existing, marked.select("collection", "path", "title", "hash", "metadata", "active", "deleted_at", "created_at", "modified_at", "source_uri").withColumn("id", F.xxhash64("collection", "path")), ["collection", "path"], ["id", "created_at"])
-        store.commit(changed | {"content": lifecycle.insert_ignore(store.table("content"), fresh, "hash"), "documents": merged})
+        if not counts:
+            return {"added": 0, "updated": 0, "unchanged": 0}
+        fresh = marked.select("hash", F.col("text").alias("doc"), "created_at").dropDuplicates(["hash"]).join(store.table("content").select("hash"), "hash", "left_anti")
+        new = marked.select("collection", "path", "title", "hash", "metadata", "active", "deleted_at", "created_at", "modified_at", "source_uri").withColumn("id", F.xxhash64("collection", "path"))
+        # rows that are held just so stay where they are
+        new = new.join(existing.where("active").select("collection", "path", "hash", "modified_at"), ["collection", "path", "hash", "modified_at"], "left_anti")
+        before = existing.join(new.select("collection", "path"), ["collection", "path"], "left_semi")
+        merged = lifecycle.upsert(before, new, ["collection", "path"], ["id", "created_at"])
+        store.append(changed | {"content": fresh, "documents": merged}, {"documents": before.select("id")})
     finally:
         marked.unpersist()
     return {s: counts.get(s, 0) for s in ("added", "updated", "unchanged")}
 
 
-def index_documents(store: Store, provider: EmbeddingProvider, settings: Settings, now: str, doc_id: int | None = None) -> dict[str, int]:
-    """Chunk, tokenise and embed each different active text that isn't indexed with this model and these sizes."""
+def index_documents(store: Store, model: Embedder | Callable[[], Embedder], settings: Settings, now: str, doc_id: int | None = None) -> dict[str, int]:
+    """Chunk, tokenise and embed each different active text that isn't indexed with this model and these sizes.
+
+    Texts that give no chunk are kept as indexed too. Tokens are stems.
+    """
     c = settings.chunking
     params = f"{c.target_chars}/{c.overlap_chars}/{c.min_chars}"
+    name = settings.embedding.model if not isinstance(model, Embedder) else model.name
     documents = store.table("documents")
-    wanted = documents.where("active" if doc_id is None else F.col("id") == doc_id).select(F.col("hash").alias("content_hash")).distinct().withColumns({"model": F.lit(provider.model), "params": F.lit(params)})
-    todo = lifecycle.stale(wanted, store.table("chunks"), ["model", "params"]).select("content_hash").persist()
+    wanted = documents.where("active" if doc_id is None else F.col("id") == doc_id).select(F.col("hash").alias("content_hash")).distinct().withColumns({"model": F.lit(name), "params": F.lit(params)})
+    todo = lifecycle.stale(wanted, store.table("indexed"), ["model", "params"]).select("content_hash").persist()
     try:
+        total, done = wanted.count(), todo.count()
+        if not done:
+            return {"indexed": 0, "skipped": total, "chunks_written": 0}
+        stamp = {"model": F.lit(name), "params": F.lit(params), "embedded_at": F.lit(now).cast("timestamp")}
         texts = store.table("content").join(todo, F.col("hash") == F.col("content_hash")).select("content_hash", "doc")
         cut = chunk_documents(texts, target=c.target_chars, overlap=c.overlap_chars, least=c.min_chars)
-        named = cut.withColumns({"chunk_id": F.xxhash64("content_hash", "seq"), "model": F.lit(provider.model), "params": F.lit(params), "embedded_at": F.lit(now).cast("timestamp")})
-        old = store.table("chunks")
-        replaced = old.join(todo, "content_hash", "left_semi").select("chunk_id")
+        replaced = store.table("chunks").join(todo, "content_hash", "left_semi").select("chunk_id").persist()
+        had = replaced.limit(1).count() > 0
         # chunks are written first and read back: chunking runs once
-        store.commit({"chunks": old.join(todo, "content_hash", "left_anti").unionByName(named)})
+        store.append({"chunks": cut.withColumns({"chunk_id": F.xxhash64("content_hash", "seq")} | stamp)}, {"chunks": replaced} if had else {})
         new = store.table("chunks").join(todo, "content_hash", "left_semi")
         with_text = new.join(store.table("content"), F.col("hash") == F.col("content_hash")).select("chunk_id", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text"))
-        vectors = store.table("vectors").join(replaced, "chunk_id", "left_anti").unionByName(embed_rows(with_text, provider, batch=settings.embedding.batch))
-        new_words = with_text.select("chunk_id", tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-        words = store.table("tokens").join(replaced, "chunk_id", "left_anti").unionByName(new_words)
-        terms = store.table("postings").join(replaced, "chunk_id", "left_anti").unionByName(fulltext.postings(new_words))
-        store.commit({"vectors": vectors, "tokens": words, "postings": fulltext.by_term(terms)})
-        total, done = wanted.count(), todo.count()
+        words = fulltext.with_stems(with_text.select("chunk_id", tokens(F.col("text")).alias("tokens"))).withColumn("dl", F.size("tokens"))
+        counted = todo.join(new.groupBy("content_hash").agg(F.count("*").alias("n_chunks")), "content_hash", "left").fillna(0, ["n_chunks"]).withColumns(stamp)
+        written = {"vectors": embed_rows(with_text, model, batch=settings.embedding.batch), "tokens": words, "postings": fulltext.by_term(fulltext.postings(words)), "indexed": counted}
+        store.append(written, ({k: replaced for k in ("vectors", "tokens", "postings")} if had else {}) | {"indexed": todo})
+        replaced.unpersist()
         return {"indexed": done, "skipped": total - done, "chunks_written": new.count()}
     finally:
         todo.unpersist()
 
 
-def register_collection(store: Store, name: str, path: str, pattern: str = "**/*.md", include_by_default: bool = True) -> bool:
-    """Add a collection; False where the name is taken. The path has to exist."""
+def collection_rows(store: Store, name: str, path: str, pattern: str, include_by_default: bool, ignore: list[str] | None = None, context: dict[str, str] | None = None) -> DataFrame:
+    return store.spark.createDataFrame([(name, path, pattern, ignore or [], include_by_default, None, context or {})], COLLECTIONS)
+
+
+def register_collection(store: Store, name: str, path: str, pattern: str = "**/*.md", include_by_default: bool = True, ignore: list[str] | None = None, context: dict[str, str] | None = None) -> bool:
+    """Add a collection; False where the name is taken. The path has to exist. Files that fit a pattern of ``ignore`` are not read."""
     where = store._jvm_path(path)
     if not where.getFileSystem(store.spark._jsc.hadoopConfiguration()).exists(where):
         raise ValueError(f"no folder {path}")
-    have = store.table("store_collections")
-    if have.where(F.col("name") == name).limit(1).count():
+    if store.table("store_collections").where(F.col("name") == name).limit(1).count():
         return False
-    new = store.spark.createDataFrame([(name, path, pattern, include_by_default)], "name string, path string, pattern string, include_by_default boolean")
-    store.commit({"store_collections": have.unionByName(new, allowMissingColumns=True)})
+    store.append({"store_collections": collection_rows(store, name, path, pattern, include_by_default, ignore, context)})
     return True
 
 
 def update_collection(store: Store, name: str, now: str) -> dict[str, int]:
-    """Read a collection's files again; files that went are not deactivated."""
+    """Read a collection's files again by its whole pattern; files that went are not deactivated."""
     rows = store.table("store_collections").where(F.col("name") == name).collect()
     if not rows:
         raise ValueError(f"no collection {name}")
-    return add_documents(store, read_files(store.spark, rows[0]["path"], rows[0]["pattern"].rsplit("/", 1)[-1]), name, now)
+    return add_documents(store, read_files(store.spark, rows[0]["path"], rows[0]["pattern"], rows[0]["ignore_patterns"] or []), name, now)
+
+
+def copy_to_vault(store: Store, collection: str, folder: str) -> DataFrame:
+    """path and copied_to of a collection's active documents, whose texts are written below ``folder`` by their paths.
+
+    Tasks write the files, each under a draft name first; a path that isn't below the collection's root can't be in it.
+    """
+    own = store.table("documents").where("active").where(F.col("collection") == collection).join(store.table("content").select("hash", "doc"), "hash").select("path", "doc")
+    target = qualified(store.spark, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            done = [write_file(f"{target}/{p}", t.encode()) for p, t in zip(paths, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(done)], ["path", "copied_to"])
+
+    return materialise(own.mapInArrow(run, "path string, copied_to string"), "vault")
+
+
+def _deactivate(store: Store, hit: DataFrame, now: str) -> int:
+    """Mark the active documents of ``hit`` as deleted: their rows are written again, the others stay where they are."""
+    hit = hit.where("active").persist()
+    try:
+        n = hit.count()
+        if n:
+            store.append({"documents": lifecycle.soft_delete(hit, F.lit(True), F.lit(now).cast("timestamp"))}, {"documents": hit.select("id")})
+        return n
+    finally:
+        hit.unpersist()
 
 
 def remove(store: Store, path: str, now: str, collection: str | None = None) -> int:
     """Deactivate a document by its path, in all collections where none is given; how many there were."""
-    documents = store.table("documents")
     where = (F.col("path") == path) & (F.lit(True) if collection is None else F.col("collection") == collection)
-    n = documents.where(where & F.col("active")).count()
-    if n:
-        store.commit({"documents": lifecycle.soft_delete(documents, where, F.lit(now).cast("timestamp"))})
-    return n
+    return _deactivate(store, store.table("documents").where(where), now)
+
+
+def remove_all(store: Store, keys: DataFrame, now: str) -> int:
+    """Deactivate the documents of ``keys`` (collection, path); how many there were."""
+    return _deactivate(store, store.table("documents").join(keys, ["collection", "path"], "left_semi"), now)
 
 
-def purge(store: Store, before: str, dry_run: bool = False) -> tuple[int, int, int]:
-    """Drop documents deactivated before a time, with contents, chunks, vectors and tokens that only they use; their counts."""
+def purge(store: Store, before: str, dry_run: bool = False, keep_versions: int = 1) -> tuple[int, int, int]:
+    """Drop documents deactivated before a time, with contents, chunks, vectors and tokens that only they use; their counts.
+
+    Their tables are put together anew, and all versions but the last ``keep_versions`` go, so that with 1 the texts are no longer on disk.
+    """
     out = lifecycle.purge(store.table("documents"), store.table("content"), store.table("chunks"), F.lit(before).cast("timestamp"))
     counts = tuple(out[k].count() for k in ("doomed", "doomed_chunks", "orphans"))
     if not dry_run and counts[0]:
-        gone = out["doomed_chunks"].select("chunk_id")
-        store.commit({k: out[k] for k in ("documents", "content", "chunks")} | {k: store.table(k).join(gone, "chunk_id", "left_anti") for k in ("vectors", "tokens", "postings")})
+        chunks = materialise(out["doomed_chunks"].select("chunk_id"), "doomed-chunks")
+        texts = materialise(out["orphans"].select("hash"), "orphans")
+        documents = materialise(out["doomed"].select("id"), "doomed")
+        store.append(gone={"documents": documents, "content": texts, "indexed": texts.withColumnRenamed("hash", "content_hash")} | {k: chunks for k in ("chunks", "vectors", "tokens", "postings")})
+        store.compact("documents", "content", "indexed", "chunks", "vectors", "tokens", "postings")
+        store.vacuum(keep_versions)
     return counts
 
 

@@ -90,10 +90,14 @@ def cache_put(cache: DataFrame, new: DataFrame) -> DataFrame:
     return cache.join(new.select("hash"), "hash", "left_anti").unionByName(new)
 
 
+def longest_expired(cache: DataFrame, now: Column, limit: int = 100) -> DataFrame:
+    """Keys of the ``limit`` longest expired entries."""
+    return cache.where(F.col("expires_at") <= now).orderBy("expires_at", "hash").limit(limit).select("hash")
+
+
 def cache_evict(cache: DataFrame, now: Column, limit: int = 100) -> DataFrame:
     """``cache`` without its ``limit`` longest expired entries."""
-    gone = cache.where(F.col("expires_at") <= now).orderBy("expires_at", "hash").limit(limit).select("hash")
-    return cache.join(gone, "hash", "left_anti")
+    return cache.join(longest_expired(cache, now, limit), "hash", "left_anti")
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

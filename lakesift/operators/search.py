@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import asdict
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.operators import fulltext, lifecycle, retrieval
-from lakesift.providers import EmbeddingProvider, LLMProvider
+from lakesift.providers import Embedder, OverlapScorer, PairScorer, Writer, loaded, score_rows
 from lakesift.schema import CACHE, Settings
 from lakesift.store import Store
 
 REPHRASE = "Give four other wordings of this search query, one on each line, without numbers or punctuation.\n\nQuery: {query}\n"
 ANSWER = "Answer this question in one factual paragraph of three to five sentences.\n\nQuestion: {query}\n"
-#: A reranker: column of the query and column of the text to a score.
-Reranker = Callable[[Column, Column], Column]
+#: A reranker: a model of (query, text) pairs, or a function that makes one in each worker, or False for none.
+Reranker = PairScorer | Callable[[], PairScorer] | bool
 
 
 def key_of(value: object) -> str:
@@ -34,15 +35,16 @@ def cached(store: Store, key: str, kind: str, now: str) -> str | None:
 def remember(store: Store, key: str, kind: str, value: str, now: str, hours: int | None = None) -> None:
     start = datetime.fromisoformat(now)
     row = [(key, kind, value, start, start + timedelta(hours=hours) if hours else None)]
-    store.commit({"cache": lifecycle.cache_put(lifecycle.cache_evict(store.table("cache"), F.lit(now).cast("timestamp")), store.spark.createDataFrame(row, CACHE))})
+    new = store.spark.createDataFrame(row, CACHE)
+    store.append({"cache": new}, {"cache": lifecycle.longest_expired(store.table("cache"), F.lit(now).cast("timestamp")).unionAll(new.select("hash"))})
 
 
-def ask(store: Store, model: LLMProvider, prompt: str, now: str) -> str:
+def ask(store: Store, model: Writer, prompt: str, now: str) -> str:
     """A model's reply, kept for ever."""
-    key = key_of([model.model, prompt])
+    key = key_of([model.name, prompt])
     reply = cached(store, key, "llm", now)
     if reply is None:
-        reply = model.generate(prompt)
+        reply = model.reply(prompt)
         remember(store, key, "llm", reply, now)
     return reply
 
@@ -66,7 +68,7 @@ def text_search(store: Store, query: str, count: int, settings: Settings, collec
     """The best ``count`` chunks by BM25 with score from 0 to 1. Statistics cover all live chunks."""
     live = chunks_of(store).select("chunk_id")
     # the postings of the query's terms and the chunks' lengths; the tokens themselves stay unread
-    scored = fulltext.bm25_indexed(store.table("postings").join(live, "chunk_id", "left_semi"), store.table("tokens").select("chunk_id", "dl").join(live, "chunk_id", "left_semi"), fulltext.query(query))
+    scored = fulltext.bm25_indexed(store.table("postings").join(live, "chunk_id", "left_semi"), store.table("tokens").select("chunk_id", "dl").join(live, "chunk_id", "left_semi"), fulltext.query(query, stemmed=True))
     hits = scored if collection is None else scored.join(chunks_of(store, collection).select("chunk_id"), "chunk_id", "left_semi")
     fetched = fulltext.min_max(fulltext.top(hits, count * 5, "raw_score", "chunk_id"))
     return fetched.orderBy("raw_score", "chunk_id").limit(count)
@@ -81,8 +83,8 @@ def hybrid(store: Store, query: str, vector: list[float], count: int, settings:
     return retrieval.fuse(words, fulltext.ranks(near, "vector_rank", "distance", "chunk_id").select("chunk_id", "vector_rank"), k=settings.search.rrf_k).limit(count)
 
 
-def search(store: Store, query: str, embedder: EmbeddingProvider, now: str, settings: Settings | None = None, model: LLMProvider | None = None, reranker: Reranker | None = retrieval.overlap_score,
-           count: int | None = None, collection: str | None = None, log: Callable[[str, object], None] | None = None) -> list[dict]:
+def search(store: Store, query: str, embedder: Embedder | Callable[[], Embedder], now: str, settings: Settings | None = None, model: Writer | None = None, reranker: Reranker = OverlapScorer,
+           count: int | None = None, collection: str | None = None, context: bool = True, log: Callable[[str, object], None] | None = None) -> list[dict]:
     """The best chunks for a query, at most ``count``, as rows with scores, ranks, excerpt and context.
 
     A clear winner by text ends the search early, without context. Otherwise a model, where there
@@ -91,8 +93,9 @@ def search(store: Store, query: str, embedder: EmbeddingProvider, now: str, sett
     """
     settings = settings or Settings()
     count, say = count or settings.search.default_count, log or (lambda *_: None)
-    version = [name for name in sorted(store._places().items()) if name[0] != "cache"]
-    key = key_of([version, query, collection, count, model is not None, reranker is not None])
+    version = [x for x in sorted(store.parts().items()) if x[0] != "cache"]
+    scorer = loaded(reranker).name if reranker else None
+    key = key_of([version, query, collection, count, context, model.name if model is not None else None, scorer, asdict(settings)])
     kept = cached(store, key, "search", now)
     if kept is not None:
         say("cache", "hit")
@@ -113,14 +116,15 @@ def search(store: Store, query: str, embedder: EmbeddingProvider, now: str, sett
         reply = ask(store, model, (ANSWER if kind == "hyde" else REPHRASE).format(query=query), now)
         words, asked = (query, reply or query) if kind == "hyde" else (variants(query, reply), query)
         say(kind, reply)
-    fused = hybrid(store, words, embedder.embed([asked])[0], count * s.candidates, settings, collection)
+    fused = hybrid(store, words, [float(x) for x in loaded(embedder).vectors([asked])[0]], count * s.candidates, settings, collection)
     best = fulltext.ranks(fused, "hybrid_rank", F.desc("rrf_score"), F.asc_nulls_last("bm25_rank"), F.asc_nulls_last("vector_rank"))
-    if reranker is None:
+    if not reranker:
         results = best.where(F.col("hybrid_rank") <= count).withColumn("score", F.col("rrf_score"))
     else:
         few = best.where(F.col("hybrid_rank") <= s.rerank * count)
-        results = retrieval.rerank(with_text(store, few, chunks_of(store, collection)), reranker(F.lit(query), F.col("text")), count)
-    rows = shown(store, results.select("chunk_id", "score", "bm25_rank", "vector_rank"), collection, context=True)
+        scored = score_rows(with_text(store, few, chunks_of(store, collection)), query, reranker)
+        results = retrieval.rerank(few.join(scored, "chunk_id"), F.col("rerank_score"), count)
+    rows = shown(store, results.select("chunk_id", "score", "bm25_rank", "vector_rank"), collection, context)
     if rows:
         remember(store, key, "search", json.dumps(rows), now, s.cache_ttl_hours)
     return rows

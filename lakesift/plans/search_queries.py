@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakesift.functions import text as tx
 from lakesift.functions.porter import stems
 from lakesift.operators import fulltext, retrieval
-from lakesift.plans.tables import DOCUMENTS_SQL, documents, table
+from lakesift.plans.tables import DOCUMENTS_SQL, documents, table, texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,7 +30,7 @@ _ROWS = f"SELECT doc_id AS chunk_id, lang, source, {_TOKENS.format('text')} AS t
 
 
 def _rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
     return docs.select(F.col("doc_id").alias("chunk_id"), "lang", "source", tx.tokens(F.col("text")).alias("tokens"))
 
 
@@ -66,9 +66,9 @@ def tokenize_ascii(spark, sf_dir):
 
 @query(f"SELECT term, count(DISTINCT chunk_id) AS n_docs, count(*) AS n FROM (SELECT chunk_id, unnest(tokens) AS term FROM ({_ROWS})) GROUP BY 1")
 def term_doc_freq(spark, sf_dir):
-    """Counted within each document first, so documents needn't be told apart after the shuffle."""
-    each = _rows(spark, sf_dir).select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("k"))
-    return each.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("k").alias("n"))
+    """From the postings, which are put together within each text: only counts by term move."""
+    index = fulltext.postings(_rows(spark, sf_dir))
+    return index.select("term", F.size("positions").alias("k")).groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("k").alias("n"))
 
 
 @query(f"SELECT count(*) AS n_rows, round(avg(len(tokens)), 6) AS avgdl, max(len(tokens)) AS longest FROM ({_ROWS})")
@@ -234,7 +234,7 @@ def classify_query(spark, sf_dir):
 @query(f"SELECT d.doc_id AS chunk_id, round(len(list_intersect(q.t, {_TOKENS.format('d.text')})) / len(q.t), 6) AS score FROM documents d, (SELECT list_distinct({_TOKENS.format('text')}) AS t FROM benchmark WHERE item_id = 0) q")
 def rerank_overlap(spark, sf_dir):
     text = table(spark, sf_dir, "benchmark").where("item_id = 0").select("text").head()[0]
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.round(retrieval.overlap_score(F.lit(text), F.col("text")), 6).alias("score"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("chunk_id"), F.round(retrieval.overlap_score(F.lit(text), F.col("text")), 6).alias("score"))
 
 
 @query("SELECT conv_id, turn, sha256(array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), chr(10) || chr(10))) AS context_hash FROM conversations")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakesift.functions import text as tx
 from lakesift.operators import ingest, lifecycle
 from lakesift.operators.chunking import chunk_documents
-from lakesift.plans.tables import CACHE_SQL, CHANGES_SQL, CUTOFF, DOCUMENTS_SQL, NOW, cache, changes, documents, table
+from lakesift.plans.tables import CACHE_SQL, CHANGES_SQL, CUTOFF, DOCUMENTS_SQL, NOW, cache, changes, documents, table, texts
 from lakesift.streaming.watch import last_changes
 
 QUERIES: dict = {}
@@ -182,12 +182,12 @@ def chunk_text_substr(spark, sf_dir):
 
 @query()
 def chunk_documents_default(spark, sf_dir):
-    return chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return chunk_documents(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 @query()
 def section_paths(spark, sf_dir):
     """Chunks of pages as Markdown, with their headings."""
     md = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style|nav)[^>]*>.*?</\\1>", ""), "<h([1-6])[^>]*>", "\n# "), "(?s)<[^>]+>", "\n")
-    pages = table(spark, sf_dir, "pages").select("page_id", md.alias("doc"))
+    pages = texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", md.alias("doc"))
     return chunk_documents(pages, "page_id", "doc", 300, 45, 30)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakesift.blocks import dealt
+
 CUTOFF = "2024-01-15 00:00:00"
 NOW = "2024-01-20 00:00:00"
 
@@ -13,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts, dealt out to all cores where it is small."""
+    return dealt(table(spark, sf_dir, name).select(*columns))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, collection, path, hash, doc, active: documents that labels call poor are deactivated."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), "quality")

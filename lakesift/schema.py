@@ -13,8 +13,11 @@ CHUNKS = "chunk_id bigint, content_hash string, seq int, pos int, len int, model
 VECTORS = "chunk_id bigint, model string, embedding array<float>"
 TOKENS = "chunk_id bigint, dl int, tokens array<string>"
 POSTINGS = "term string, chunk_id bigint, positions array<int>"
+INDEXED = "content_hash string, model string, params string, n_chunks bigint, embedded_at timestamp"
 CACHE = "hash string, type string, result string, created_at timestamp, expires_at timestamp"
-TABLES = {"content": CONTENT, "store_collections": COLLECTIONS, "documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS, "tokens": TOKENS, "postings": POSTINGS, "cache": CACHE}
+TABLES = {"content": CONTENT, "store_collections": COLLECTIONS, "documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS, "tokens": TOKENS, "postings": POSTINGS, "indexed": INDEXED, "cache": CACHE}
+#: What names a row of each table: deletions are kept by it.
+KEYS = {"content": "hash", "store_collections": "name", "documents": "id", "chunks": "chunk_id", "vectors": "chunk_id", "tokens": "chunk_id", "postings": "chunk_id", "indexed": "content_hash", "cache": "hash"}
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +14,71 @@ from lakesift.functions.text import newlines, relative_path
 FILES = "path string, source_uri string, text string, modified_at timestamp"
 
 
-def read_files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """path (below ``root``), source_uri, text, modified_at of each file under ``root`` whose name fits the pattern."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).format("binaryFile").load(root)
+def glob_pattern(pattern: str) -> str:
+    """A regular expression of the relative paths that fit a glob: ** stands for any folders, * and ? stay within a name."""
+    out, k = "", 0
+    while k < len(pattern):
+        if pattern.startswith("**/", k):
+            out, k = out + "(?:.*/)?", k + 3
+        elif pattern.startswith("**", k):
+            out, k = out + ".*", k + 2
+        elif pattern[k] == "[" and "]" in pattern[k + 2:]:
+            end = pattern.index("]", k + 2)
+            inner = pattern[k + 1:end].replace("\\", "\\\\")
+            out, k = out + "[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]", end + 1
+        else:
+            out, k = out + {"*": "[^/]*", "?": "[^/]"}.get(pattern[k], re.escape(pattern[k])), k + 1
+    return f"^{out}$"
+
+
+def fitting(files: DataFrame, pattern: str, ignore: list[str] | None = None, path: str = "path") -> DataFrame:
+    """The rows whose path fits the pattern and none of ``ignore``. A pattern without a folder holds for the names of files at all depths."""
+    def fits(p: str):
+        return F.col(path).rlike(glob_pattern(p if "/" in p else f"**/{p}"))
+
+    out = files.where(fits(pattern))
+    for p in ignore or []:
+        # a folder's name stands for what lies in it
+        out = out.where(~(fits(p) | fits(f"{p.rstrip('/')}/**")))
+    return out
+
+
+def read_files(spark: SparkSession, root: str, pattern: str = "*.md", ignore: list[str] | None = None) -> DataFrame:
+    """path (below ``root``), source_uri, text, modified_at of each file under ``root`` that fits the pattern, and no pattern of ``ignore``.
+
+    A root that is a file is that file alone, whatever the pattern.
+    """
+    name = pattern.rsplit("/", 1)[-1]
+    raw = spark.read.option("recursiveFileLookup", True).format("binaryFile")
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    single = where.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(where)
+    if not single and "**" not in name:
+        raw = raw.option("pathGlobFilter", name)  # names are told apart before anything is read
     uri = F.regexp_replace("path", "^file:/+", "/")
     base = root.removeprefix("file://").rstrip("/")
-    return raw.select(relative_path(uri, F.lit(base)).alias("path"), uri.alias("source_uri"), newlines(F.decode("content", "UTF-8")).alias("text"), F.col("modificationTime").alias("modified_at"))
+    own = raw.load(root).select(relative_path(uri, F.lit(base.rsplit("/", 1)[0] if single else base)).alias("path"), uri.alias("source_uri"), "content", F.col("modificationTime").alias("modified_at"))
+    return (own if single else fitting(own, pattern, ignore)).select("path", "source_uri", newlines(F.decode("content", "UTF-8")).alias("text"), "modified_at")
 
 
-def listing(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+def listing(spark: SparkSession, root: str, pattern: str = "*.md", ignore: list[str] | None = None) -> DataFrame:
     """Paths alone, in order, without reading contents."""
-    return read_files(spark, root, pattern).select("path", "source_uri", "modified_at").orderBy("path")
+    return read_files(spark, root, pattern, ignore).select("path", "source_uri", "modified_at").orderBy("path")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the file system that Spark takes it to be on."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
+
+
+def write_file(uri: str, data: bytes) -> str:
+    """Write a file from a task, by renaming, so that no half file is seen; its place."""
+    scheme, _, rest = uri.partition(":")
+    where, path = fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else f"file://{rest}" if scheme == "file" and not rest.startswith("//") else uri)
+    folder, name = path.rsplit("/", 1)
+    where.create_dir(folder, recursive=True)
+    draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with where.open_output_stream(draft) as f:
+        f.write(data)
+    where.move(draft, path)
+    return uri

@@ -1,18 +1,23 @@
-"""Versioned Parquet snapshots of the store's tables."""
+"""Tables as lists of Parquet parts: writes append, deletions are kept as keys, and a manifest names what counts."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakesift.schema import TABLES
+from lakesift.schema import KEYS, TABLES
+
+#: Deletions that a table may carry before a write puts it together anew.
+MOST_DELETIONS = 8
 
 
 class Store:
-    """Tables below one folder. A write makes a new version of each table it changes, then a new pointer.
+    """Tables below one folder. A write adds parts to the tables it changes, then a manifest with the next number.
 
-    Readers see the tables of one pointer; a write that fails leaves the last one in place. One writer at a time.
+    A part holds rows, or keys that are gone: they hide the rows of earlier parts. Readers see the parts of one manifest; a write
+    that fails leaves the last manifest in place. One writer at a time. What no manifest names any more stays on disk until ``vacuum``.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -20,37 +25,96 @@ class Store:
         self._jvm_path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._jvm_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         if not self.versions():
-            self.commit({name: spark.createDataFrame([], schema) for name, schema in TABLES.items()})
+            self._publish({name: [] for name in TABLES}, 0)
 
+    # ------------------------------------------------------------------------------- manifests
     def versions(self) -> list[int]:
         folder = self._jvm_path(f"{self.path}/versions")
         if not self.fs.exists(folder):
             return []
-        return sorted(int(x.getPath().getName()) for x in self.fs.listStatus(folder))
+        return sorted(int(x.getPath().getName().removesuffix(".json")) for x in self.fs.listStatus(folder))
 
     @property
     def version(self) -> int:
         return self.versions()[-1]
 
-    def _places(self) -> dict[str, str]:
-        rows = self.spark.read.schema("name string, path string").json(f"{self.path}/versions/{self.version}")
-        return {r["name"]: r["path"] for r in rows.collect()}
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(self._places()[name])
+    def parts(self, version: int | None = None) -> dict[str, list[dict]]:
+        """The parts of each table, oldest first: path and gone (whether it holds keys)."""
+        stream = self.fs.open(self._jvm_path(f"{self.path}/versions/{self.version if version is None else version}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def commit(self, changed: dict[str, DataFrame]) -> int:
-        """Write the changed tables and make them, with the others as they were, the newest version."""
-        have = self.versions()
-        places, n = self._places() if have else {}, have[-1] + 1 if have else 0
-        for name, df in changed.items():
-            columns = self.spark.createDataFrame([], TABLES[name]).schema
-            places[name] = f"{self.path}/tables/{name}/{n}-{uuid.uuid4().hex}"
-            df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in columns]).write.parquet(places[name])
-        draft = f"{self.path}/drafts/{uuid.uuid4().hex}"
-        self.spark.createDataFrame(list(places.items()), "name string, path string").coalesce(1).write.json(draft)
+    def _publish(self, parts: dict[str, list[dict]], n: int) -> int:
+        draft, target = (self._jvm_path(f"{self.path}/{x}") for x in (f"drafts/{uuid.uuid4().hex}", f"versions/{n}.json"))
+        stream = self.fs.create(draft)
+        stream.write(bytearray(json.dumps(parts).encode()))
+        stream.close()
         self.fs.mkdirs(self._jvm_path(f"{self.path}/versions"))
-        target = self._jvm_path(f"{self.path}/versions/{n}")
-        if self.fs.exists(target) or not self.fs.rename(self._jvm_path(draft), target):
+        if self.fs.exists(target) or not self.fs.rename(draft, target):
             raise RuntimeError(f"version {n} of {self.path} is there already: another writer")
         return n
+
+    # ------------------------------------------------------------------------------- reading
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        out, paths = None, []
+
+        def flush():
+            nonlocal out, paths
+            if paths:
+                own = self.spark.read.schema(TABLES[name]).parquet(*paths)
+                out, paths = own if out is None else out.unionAll(own), []
+
+        for part in self.parts(version)[name]:
+            if not part["gone"]:
+                paths.append(part["path"])
+                continue
+            flush()
+            if out is not None:
+                out = out.join(self.spark.read.parquet(part["path"]), KEYS[name], "left_anti").select(*out.columns)
+        flush()
+        return self.spark.createDataFrame([], TABLES[name]) if out is None else out
+
+    # ------------------------------------------------------------------------------- writing
+    def _write(self, name: str, df: DataFrame, n: int, gone: bool) -> dict:
+        path = f"{self.path}/tables/{name}/{n}-{uuid.uuid4().hex}"
+        if gone:
+            df.select(KEYS[name]).distinct().write.parquet(path)
+        else:
+            columns = self.spark.createDataFrame([], TABLES[name]).schema
+            df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in columns]).write.parquet(path)
+        return {"path": path, "gone": gone}
+
+    def append(self, rows: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> int:
+        """Hide the rows whose keys are in ``gone``, then add ``rows``, as one version. A row that replaces another has its key in both."""
+        n, parts, rows, gone = self.version + 1, self.parts(), rows or {}, gone or {}
+        for name in gone.keys() | rows.keys():
+            if name in gone and parts[name]:
+                parts[name].append(self._write(name, gone[name], n, True))
+            if name in rows:
+                parts[name].append(self._write(name, rows[name], n, False))
+        done = self._publish(parts, n)
+        many = [name for name, own in parts.items() if sum(p["gone"] for p in own) > MOST_DELETIONS]
+        return self.compact(*many) if many else done
+
+    def compact(self, *names: str) -> int:
+        """Write tables anew as one part each, without what is gone."""
+        n, parts = self.version + 1, self.parts()
+        for name in names or TABLES:
+            parts[name] = [self._write(name, self.table(name), n, False)] if parts[name] else []
+        return self._publish(parts, n)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete all versions but the last ``keep``, and the parts that none of those names; how many parts went."""
+        last = self.versions()[-keep:]
+        held = {p["path"].rsplit("/", 1)[1] for v in last for own in self.parts(v).values() for p in own}
+        went = 0
+        for v in self.versions()[:-keep]:
+            self.fs.delete(self._jvm_path(f"{self.path}/versions/{v}.json"), False)
+        for name in TABLES:
+            folder = self._jvm_path(f"{self.path}/tables/{name}")
+            for part in self.fs.listStatus(folder) if self.fs.exists(folder) else []:
+                if part.getPath().getName() not in held:
+                    went += self.fs.delete(part.getPath(), True)
+        return went

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesift.operators import ingest, lifecycle
-from lakesift.providers import EmbeddingProvider
+from lakesift.providers import Embedder
 from lakesift.schema import Settings
+from lakesift.sources.files import read_files
 from lakesift.store import Store
 
 CHANGES = "collection string, path string, kind string, text string, ts timestamp, event_id bigint"
@@ -20,7 +21,7 @@ def last_changes(batch: DataFrame) -> DataFrame:
     return lifecycle.latest(batch, ["collection", "path"], "ts", "event_id")
 
 
-def apply_changes(store: Store, batch: DataFrame, provider: EmbeddingProvider | None, settings: Settings, now: str) -> None:
+def apply_changes(store: Store, batch: DataFrame, model: Embedder | None, settings: Settings, now: str) -> None:
     """Upsert added and modified paths, deactivate deleted ones, then index what is new. The same batch again changes nothing."""
     last = last_changes(batch).persist()
     try:
@@ -30,20 +31,47 @@ def apply_changes(store: Store, batch: DataFrame, provider: EmbeddingProvider |
             files = own.where("kind <> 'deleted' and text is not null").select("path", F.concat(F.lit("stream:"), "path").alias("source_uri"), "text", F.col("ts").alias("modified_at"))
             if files.limit(1).count():
                 ingest.add_documents(store, files, name, now)
-            gone = own.where("kind = 'deleted'").select("collection", "path").withColumn("gone", F.lit(True))
-            if gone.limit(1).count():
-                documents = store.table("documents")
-                marked = documents.join(gone, ["collection", "path"], "left")
-                store.commit({"documents": lifecycle.soft_delete(marked, F.col("gone"), F.lit(now).cast("timestamp"))})
-        if provider is not None:
-            ingest.index_documents(store, provider, settings, now)
+            gone = own.where("kind = 'deleted'").select("collection", "path")
+            ingest.remove_all(store, gone, now)
+        if model is not None:
+            ingest.index_documents(store, model, settings, now)
     finally:
         last.unpersist()
 
 
-def watch(spark: SparkSession, store: Store, folder: str, checkpoint: str, provider: EmbeddingProvider | None = None, settings: Settings | None = None, once: bool = True):
+def watch(spark: SparkSession, store: Store, folder: str, checkpoint: str, model: Embedder | None = None, settings: Settings | None = None, once: bool = True):
     """Apply the change log in ``folder`` (JSON lines of CHANGES) to the store, as it grows."""
     changes = spark.readStream.schema(CHANGES).json(folder)
-    each = lambda batch, _: apply_changes(store, batch, provider, settings or Settings(), datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"))
+    each = lambda batch, _: apply_changes(store, batch, model, settings or Settings(), datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"))
     writer = changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
+
+
+def sync_folder(store: Store, collection: str, now: str, model: Embedder | None = None, settings: Settings | None = None) -> dict[str, int]:
+    """Bring a collection to the state of its folder: files that are new or have another time are read, documents whose file is gone are
+    deactivated; how many of each. Paths and times are compared; only what changed is read."""
+    row = store.table("store_collections").where(F.col("name") == collection).head()
+    if row is None:
+        raise ValueError(f"no collection {collection}")
+    files = read_files(store.spark, row["path"], row["pattern"], row["ignore_patterns"] or [])
+    held = store.table("documents").where("active").where(F.col("collection") == collection)
+    there = files.select("path", "modified_at")
+    changed = there.join(held.select("path", "modified_at"), ["path", "modified_at"], "left_anti").select("path").persist()
+    try:
+        n = changed.count()
+        if n:
+            ingest.add_documents(store, files.join(changed, "path", "left_semi"), collection, now)
+        gone = ingest.remove_all(store, held.select("collection", "path").join(there.select("path"), "path", "left_anti"), now)
+        if model is not None and n:
+            ingest.index_documents(store, model, settings or Settings(), now)
+        return {"changed": n, "gone": gone}
+    finally:
+        changed.unpersist()
+
+
+def watch_folder(spark: SparkSession, store: Store, collection: str, checkpoint: str, model: Embedder | None = None, settings: Settings | None = None, seconds: int = 5):
+    """Sync a collection with its folder every few seconds, as a streaming query. Files may be changed or deleted in place, which a
+    stream of files would not see, so each batch compares the folder with the store; the same state again changes nothing."""
+    each = lambda batch, _: sync_folder(store, collection, datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"), model, settings)
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

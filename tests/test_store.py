@@ -4,7 +4,7 @@ import pytest
 
 from lakesift import cli
 from lakesift.operators import ingest, lifecycle, search
-from lakesift.providers import CannedModel, EmbeddingProvider, HashingEmbedder
+from lakesift.providers import CannedWriter, Embedder, HashingEmbedder
 from lakesift.schema import Chunking, Search, Settings
 from lakesift.sources.files import read_files
 from lakesift.store import Store
@@ -44,7 +44,7 @@ def test_life_of_documents(spark, store, notes, tmp_path):
     assert rows(store.table("documents").select("path", "title")) == [("a.md", "Alpha"), ("c.md", "c"), ("sub/b.md", "Beta")]
     assert "\r" not in store.table("content").where("doc like '# Beta%'").head()["doc"]
     embedder = HashingEmbedder()
-    assert isinstance(embedder, EmbeddingProvider)
+    assert isinstance(embedder, Embedder)
     assert ingest.index_documents(store, embedder, SETTINGS, T)["indexed"] == 3
     assert ingest.index_documents(store, embedder, SETTINGS, T) == {"indexed": 0, "skipped": 3, "chunks_written": 0}
     (tmp_path / "notes" / "c.md").write_text("now a different text about foxes and tokens")
@@ -70,12 +70,12 @@ def test_search(store, spark, notes):
     seen = []
     found = search.search(store, "quick brown", HashingEmbedder(), T, SETTINGS, log=lambda k, v: seen.append(k))
     assert found[0]["title"] == "Beta" and "early" in seen
-    full = search.search(store, "fox", HashingEmbedder(), T, NEVER_EARLY, model=CannedModel({"fox": "lazy dog\nbrown \"fox\""}), count=3)
+    full = search.search(store, "fox", HashingEmbedder(), T, NEVER_EARLY, model=CannedWriter({"fox": "lazy dog\nbrown \"fox\""}), count=3)
     assert {r["title"] for r in full} >= {"Beta", "c"} and all(r["context"] for r in full)
     seen.clear()
-    assert search.search(store, "fox", HashingEmbedder(), T, NEVER_EARLY, model=CannedModel(), count=3, log=lambda k, v: seen.append(k)) == full and seen == ["cache"]
-    assert search.search(store, "what is a fox?", HashingEmbedder(), T, NEVER_EARLY, model=CannedModel({"Question": "A fox jumps."}), reranker=None, count=2)
-    assert search.search(store, "nothingness", HashingEmbedder(), T, NEVER_EARLY, reranker=None, collection="none") == []
+    assert search.search(store, "fox", HashingEmbedder(), T, NEVER_EARLY, model=CannedWriter(), count=3, log=lambda k, v: seen.append(k)) == full and seen == ["cache"]
+    assert search.search(store, "what is a fox?", HashingEmbedder(), T, NEVER_EARLY, model=CannedWriter({"Question": "A fox jumps."}), reranker=False, count=2)
+    assert search.search(store, "nothingness", HashingEmbedder(), T, NEVER_EARLY, reranker=False, collection="none") == []
 
 
 def test_watch(spark, store, tmp_path):
