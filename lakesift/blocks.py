@@ -39,7 +39,7 @@ DEALT_BYTES = 64 << 20
 
 def dealt(df: DataFrame) -> DataFrame:
     """``df``, over all cores if it is small; a larger one is read in as many tasks as it has parts."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < DEALT_BYTES else df
 
 

@@ -110,7 +110,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
         elif a.action == "update":
             out = ingest.update_collection(store, a.name, stamp)
         else:
-            out = [r.asDict() for r in store.table("store_collections").select("name", "path", "pattern", "include_by_default", "update_command").orderBy("name").collect()]
+            out = [r.asDict() for r in ingest.registry(store.table("store_collections").select("name", "path", "pattern", "include_by_default", "update_command"), store.table("documents")).collect()]
     elif a.command == "remove":
         out = ingest.remove(store, a.path, stamp, a.collection)
     elif a.command == "purge":

@@ -62,6 +62,20 @@ def breaks(text: str, compat: bool = False) -> list[Break]:
     return out
 
 
+def break_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, kind, guarded of each break of each text."""
+    names = np.array(list(WEIGHTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [breaks(t or "") for t in batch.column(1).to_pylist()]
+            rows = [b for own in each for b in own]
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each])))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([b.at for b in rows], pa.int32()), pa.array(names[[b.kind for b in rows]].tolist() if rows else [], pa.string()), pa.array([b.guarded for b in rows], pa.bool_())], [key, "pos", "kind", "guarded"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, pos int, kind string, guarded boolean")
+
+
 def code_breaks(language: str, code: str) -> Iterator[tuple[int, int]]:
     """(place, weight) of the line ends before classes, functions and imports at the top level of ``code``; none before its first line.
 

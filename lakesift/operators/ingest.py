@@ -194,6 +194,12 @@ def purge(store: Store, before: str, dry_run: bool = False, keep_versions: int =
     return counts
 
 
+def registry(collections: DataFrame, documents: DataFrame) -> DataFrame:
+    """The registered collections with the number of their active documents, by name."""
+    own = documents.where("active").groupBy(F.col("collection").alias("__name")).agg(F.count("*").alias("n_documents"))
+    return collections.join(own, F.col("name") == F.col("__name"), "left").drop("__name").fillna(0, ["n_documents"]).orderBy("name")
+
+
 def table_counts(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """name and rows of each table."""
     out = None

@@ -50,6 +50,11 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], kept: list
     return joined.select(*out)
 
 
+def path_ends(path: Column, suffix: str) -> Column:
+    """Whether a path ends so, whatever the case of its letters; % and _ are letters as others."""
+    return F.endswith(F.lower(path), F.lit(suffix.lower()))
+
+
 def soft_delete(documents: DataFrame, where: Column, at: Column) -> DataFrame:
     """``documents`` with the active rows under ``where`` marked as deleted."""
     hit = F.col("active") & F.coalesce(where, F.lit(False))

@@ -84,11 +84,6 @@ def db_check_counts(spark, sf_dir):
     return ingest.table_counts(spark, {n: table(spark, sf_dir, n) for n in _NAMES})
 
 
-@query("SELECT source AS name, count(*) AS n_docs, count(DISTINCT lang) AS n_langs FROM documents GROUP BY 1 ORDER BY 1")
-def registry_list(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n_docs"), F.countDistinct("lang").alias("n_langs")).orderBy("name")
-
-
 @query(f"WITH d AS ({DOCUMENTS_SQL}) SELECT collection, count(*) FILTER (active AND collection <> 'src3') AS n_active, count(*) FILTER (active AND collection = 'src3') AS n_deleted FROM d GROUP BY 1")
 def soft_delete(spark, sf_dir):
     d = documents(spark, sf_dir).drop("doc").withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
@@ -99,7 +94,10 @@ def soft_delete(spark, sf_dir):
 @query(f"WITH d AS ({DOCUMENTS_SQL}) SELECT collection, count(*) FILTER (active AND path ILIKE '%7.MD') AS n_suffix, count(*) FILTER (active AND path = 'notes/doc-7.md') AS n_exact FROM d GROUP BY 1")
 def watch_delete_suffix(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return d.groupBy("collection").agg(F.count_if(F.col("active") & F.ilike("path", F.lit("%7.MD"))).alias("n_suffix"), F.count_if(F.col("active") & (F.col("path") == "notes/doc-7.md")).alias("n_exact"))
+    d = d.withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
+    gone = [lifecycle.soft_delete(d, lifecycle.path_ends(F.col("path"), "7.MD"), _ts(NOW)), lifecycle.soft_delete(d, F.col("path") == "notes/doc-7.md", _ts(NOW))]
+    counts = [df.groupBy("collection").agg(F.count("deleted_at").alias(n)) for df, n in zip(gone, ("n_suffix", "n_exact"), strict=True)]
+    return counts[0].join(counts[1], "collection")
 
 
 @query(f"WITH d AS ({DOCUMENTS_SQL}), o AS (SELECT DISTINCT hash FROM d WHERE NOT active AND hash NOT IN (SELECT hash FROM d WHERE active)) SELECT (SELECT count(*) FROM d WHERE NOT active) AS n_docs, (SELECT count(*) FROM o) AS n_contents, (SELECT count(DISTINCT d.hash) FROM d JOIN o ON d.hash = o.hash) AS n_chunks")
@@ -117,13 +115,6 @@ def orphan_content_anti(spark, sf_dir):
     return lifecycle.unreferenced(d.groupBy("hash").agg(F.min("id").alias("first_doc")), d.where("active"))
 
 
-@query("SELECT conv_id, count(*) AS n_turns FROM conversations WHERE conv_id NOT IN (SELECT page_id FROM pages) GROUP BY 1")
-def gc_chunks(spark, sf_dir):
-    held = table(spark, sf_dir, "pages").select(F.col("page_id").alias("hash"))
-    turns = table(spark, sf_dir, "conversations").withColumn("hash", F.col("conv_id"))
-    return lifecycle.unreferenced(turns, held).groupBy("conv_id").agg(F.count("*").alias("n_turns"))
-
-
 _LAST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY created_at DESC, event_id DESC) AS n FROM ({CACHE_SQL})) WHERE n = 1"
 
 
@@ -165,14 +156,6 @@ def frontmatter_strip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.body(md), 256).alias("body_hash"), (F.length(md) - F.length(tx.body(md))).cast("long").alias("front_chars"))
 
 
-_PATTERNS = {"sentence": "[.!?][ \\t\\n]+[A-Z]", "blank": "\\n\\n+", "list": "\\n[-*][ \\t\\n]", "numlist": "\\n[0-9]+[.][ \\t\\n]", "newline": "\\n", "code": "\\n```", "heading": "\\n#{1,6}[^#]"}
-
-
-@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS n_{k}" for k, p in _PATTERNS.items()) + " FROM documents")
-def break_type_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *[F.regexp_count("text", F.lit(p)).cast("long").alias(f"n_{k}") for k, p in _PATTERNS.items()])
-
-
 @query("SELECT doc_id, seq, sha256(substr(text, seq * 1875 + 1, 2100)) AS chunk_hash FROM documents, unnest(range(0, greatest(1, (n_chars + 1874) // 1875))) u(seq)")
 def chunk_text_substr(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -180,11 +163,6 @@ def chunk_text_substr(spark, sf_dir):
     return cut.select("doc_id", F.col("seq").cast("long").alias("seq"), F.sha2(tx.slice_text(F.col("text"), F.col("seq") * 1875, F.lit(2100)), 256).alias("chunk_hash"))
 
 
-@query()
-def chunk_documents_default(spark, sf_dir):
-    return chunk_documents(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
-
-
 @query()
 def section_paths(spark, sf_dir):
     """Chunks of pages as Markdown, with their headings."""
