@@ -38,9 +38,13 @@ DEALT_BYTES = 64 << 20
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """``df``, over all cores if it is small; a larger one is read in as many tasks as it has parts."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < DEALT_BYTES else df
+    """``df``, over all cores if it comes from few and small files; any other is read in as many tasks as it has parts."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    sizes = [path(f).getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getFileStatus(path(f)).getLen() for f in files]
+    return df.repartition(cores) if sum(sizes) < DEALT_BYTES else df
 
 
 def in_blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:

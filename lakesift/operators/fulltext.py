@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -94,12 +94,13 @@ def phrase(text: str, prefix: bool = False, stemmed: bool = False) -> Phrase:
 def query(raw: str, stemmed: bool = False) -> Phrase | Op:
     """A plain text is one phrase with an open last token; a text with quotes, *, parentheses or AND, OR, NOT is read as such.
 
-    NOT binds closest, then AND (also where nothing stands between two terms), then OR.
+    NOT binds closest, then AND (also where nothing stands between two terms), then OR. + joins two phrases to one, and ^ asks
+    for the beginning of the text.
     """
     raw = raw.strip()
-    if not re.search(r'["*()-]', raw) and not {w.upper() for w in raw.split()} & {"AND", "OR", "NOT"}:
+    if not re.search(r'["*()^+-]', raw) and not {w.upper() for w in raw.split()} & {"AND", "OR", "NOT"}:
         return phrase(raw, prefix=True, stemmed=stemmed)
-    parts = re.findall(r'"(?:[^"]|"")*"\s*\*?|[()]|[^\s()"]+', raw)
+    parts = re.findall(r'\^?\s*"(?:[^"]|"")*"\s*\*?|[()+]|[^\s()"+]+', raw)
     if "".join(parts).replace(" ", "") != re.sub(r"\s", "", raw):
         raise QuerySyntaxError(f"a quote isn't closed: {raw}")
     at = 0
@@ -115,9 +116,17 @@ def query(raw: str, stemmed: bool = False) -> Phrase | Op:
                 raise QuerySyntaxError(f"a parenthesis isn't closed: {raw}")
             at += 1
             return inner
-        if part == ")" or part in ("AND", "OR", "NOT") or (part[0] != '"' and "-" in part):
+        if part in (")", "+", "^", "AND", "OR", "NOT") or ('"' not in part and "-" in part) or "^" in part[1:].split('"')[0]:
             raise QuerySyntaxError(f"unexpected {part} in: {raw}")
-        return phrase(part.strip('"* ').replace('""', '"'), part.endswith("*"), stemmed)
+        own = phrase(part.lstrip("^").strip('"* ').replace('""', '"'), part.endswith("*"), stemmed)
+        own = replace(own, first=part[0] == "^")
+        if at < len(parts) and parts[at] == "+":
+            at += 1
+            more = term() if at < len(parts) and parts[at] != "(" else None
+            if more is None or own.prefix or more.first:
+                raise QuerySyntaxError(f"+ doesn't join two phrases in: {raw}")
+            own = Phrase(own.words + more.words, more.prefix, own.first)
+        return own
 
     def level(k: int):
         """0: OR, 1: AND and its absence, 2: NOT."""
@@ -262,6 +271,8 @@ def phrase_rows(index: DataFrame, wanted: Phrase, key: str = "chunk_id") -> Data
     for k, condition in enumerate(terms):
         own = index.where(condition).select(key, F.explode("positions").alias("place")).select(key, (F.col("place") - k).alias("at"))
         out = own if out is None else out.join(own, [key, "at"])
+    if wanted.first:
+        out = out.where("at = 0")
     return out.groupBy(key).agg(F.count("*").alias("f"))
 
 

@@ -26,7 +26,7 @@ def sqlite_scores(texts, query, tokenizer):
     return dict(con.execute("select rowid, bm25(t) from t where t match ?", (query,)).fetchall())
 
 
-QUERIES = ["the of", '"run" OR "cat"', '"run" AND "cat"', '"cat" NOT "the"', '("run" OR "cat") AND "of"', 'cat* run', '"the the"', "élan", '"x1" OR "state"* NOT "the"']
+QUERIES = ["the of", '"run" OR "cat"', '"run" AND "cat"', '"cat" NOT "the"', '("run" OR "cat") AND "of"', 'cat* run', '"the the"', "élan", '"x1" OR "state"* NOT "the"', '^"run"', '^the OR "of" + "a"', '"cat" + "the" + of*', '^"the" + "of"']
 
 
 @pytest.mark.parametrize("query", QUERIES)
@@ -58,7 +58,7 @@ def test_stems_as_sqlite_has_them():
     assert {w: stem(w) for w in words} == expected
 
 
-@pytest.mark.parametrize("bad", ["(", '"open', "a AND", "OR b", "cross-encoder x", "a ) b"])
+@pytest.mark.parametrize("bad", ["(", '"open', "a AND", "OR b", "cross-encoder x", "a ) b", "+ a", '"a" +', '"a" + (b)', "a ^", '"a"* + "b"'])
 def test_bad_queries(bad):
     with pytest.raises(fulltext.QuerySyntaxError):
         fulltext.query(bad)
