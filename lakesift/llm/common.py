@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.blocks import materialise, work_dir  # noqa: F401
+from lakesift.blocks import dealt, materialise, work_dir  # noqa: F401
 
 #: The separators of the word definition ``[^\x20\x09-\x0D]+``.
 WORD_SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -20,12 +20,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after its session was told to hand texts to Python ``BATCH_ROWS`` at a time, unless it hands over fewer.
 
     Whole texts are long: the session's default of 10,000 rows costs tens of megabytes for each task, several times over.
+    A table of few and small files is dealt out to all cores.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
-    return df
+    return dealt(df)
 
 
 def fresh(name: str, columns: list[str]) -> str:

@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST_LEV
     Empty table: empty result. Only doc_id and text are read. Rows are told apart by 128 bits of hashes
     of doc_id and text; windows by 96 bits, and runs of windows by 128, of hashes of their words.
     """
-    rows, out = _keyed(docs), "doc_id long, n_words long, n_removed long, kept_text string"
+    rows, out = small_batches(_keyed(docs)), "doc_id long, n_words long, n_removed long, kept_text string"
     found = repeated_windows(docs, window, first)
     if found is None:
         return rows.mapInArrow(_untouched(None), out)

@@ -150,7 +150,10 @@ class _Store:
 
 
 def drops_white_space(spec: dict) -> bool:
-    """Whether the vocabulary's pre-tokenizer keeps only matches of a pattern that excludes white space."""
+    """Whether the vocabulary lowers its texts and its pre-tokenizer keeps only matches of a pattern that excludes white space."""
+    steps_before = (spec.get("normalizer") or {}).get("normalizers", [])
+    if [x.get("type") for x in steps_before] != ["NFC", "Replace", "Lowercase"] or (steps_before[1].get("pattern"), steps_before[1].get("content")) != ({"Regex": r"\s+"}, " "):
+        return False
     pre = spec.get("pre_tokenizer") or {}
     steps = pre.get("pretokenizers", [pre])
     first = steps[0] if steps else {}

@@ -53,6 +53,19 @@ def test_other_vocabularies(name):
     assert offsets[1] == offsets[2] and len(ids) == offsets[-1] > 0 and list(enc.counts(pa.array(["Hello  world"]))) == [offsets[1]]
 
 
+def test_words_are_lowered_only_where_the_vocabulary_does(tmp_path):
+    import json
+
+    with open(vocabulary.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert vocabulary.drops_white_space(spec)
+    spec["normalizer"] = {"type": "NFC"}
+    assert not vocabulary.drops_white_space(spec)
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    enc = vocabulary.Encoder(str(tmp_path / "cased.json"))
+    assert list(enc.batch(pa.array(["Hello WORLD"]))[0]) == enc.model.encode("Hello WORLD", add_special_tokens=False).ids
+
+
 def test_packing_query(spark, texts):
     enc = vocabulary.Encoder(vocabulary.default_path())
     expected = {}
