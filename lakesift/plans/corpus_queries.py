@@ -55,23 +55,33 @@ _KINDS = {
     **{f"h{k}": ("\\n" + "#" * k + "([^#]|$)", w) for k, w in zip(range(1, 7), (100, 90, 80, 70, 60, 50), strict=True)}, "codeblock": ("\\n```", 65), "hr": (f"\\n(---|\\*\\*\\*|___){_WS}*\\n", 65),
     "sentence": (f"[.!?]{_WS}+[A-Z]", 30), "blank": ("\\n\\n", 20), "list": (f"\\n[-*]{_WS}", 5), "numlist": (f"\\n[0-9]+[.]{_WS}", 5), "newline": ("\\n", 1),
 }
-#: Every break of every different text: hash, at, kind, weight, guarded.
-_BREAKS = f"""t AS (SELECT sha256(text) AS hash, text, length(text) AS n FROM (SELECT DISTINCT text FROM documents)),
+def _breaks_sql(source: str) -> str:
+    """Every break of every different text of ``source`` (hash, text): hash, pl, kind, weight, guarded."""
+    return f"""t AS (SELECT hash, text, length(text) AS n FROM ({source})),
  l AS (SELECT hash, generate_subscripts(cs, 1) - 1 AS pl, unnest(cs) AS c FROM (SELECT hash, string_split(text, '') AS cs FROM t)),
  s AS (SELECT l.hash, pl, c, text, substr(text, pl + 1, 400) AS tail, CASE WHEN c = chr(10) THEN lag(pl) OVER (PARTITION BY l.hash, c = chr(10) ORDER BY pl) END AS line, substr(text, pl, 1) AS before FROM l JOIN t ON l.hash = t.hash WHERE c IN (chr(10), '.', '!', '?')),
  k AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(tail, '^{p}')" + (" AND before <> chr(10)" if k == "blank" else "") + f" THEN '{k}'" for k, (p, _) in _KINDS.items())} END AS kind FROM s),
  br AS (SELECT hash, pl, kind, CASE kind {' '.join(f"WHEN '{k}' THEN {w}" for k, (_, w) in _KINDS.items())} END AS weight,
   coalesce(sum((kind = 'codeblock')::INT) OVER (PARTITION BY hash ORDER BY pl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 OR (c = chr(10) AND substr(text, coalesce(line + 1, 0) + 1, 1) = '|') AS guarded FROM k WHERE kind IS NOT NULL)"""
-_BEST = "CASE WHEN {b} + 2100 >= n THEN n ELSE coalesce(-list_aggregate(list_transform(list_filter(bs, lambda x: x.pl > greatest({b}, {a}) AND x.pl < {b} + 2100), lambda x: {{'v': x.w::DOUBLE * (1::DOUBLE - (({b} + 2100 - x.pl)::DOUBLE / 2100::DOUBLE) * (({b} + 2100 - x.pl)::DOUBLE / 2100::DOUBLE) * 0.7::DOUBLE), 'a': -x.pl}}), 'max').a, {b} + 2100) END"
-#: Every chunk of every different text with the default sizes: hash, seq, pos, stop, text.
-_CHUNKS = f"""WITH RECURSIVE {_BREAKS},
+
+
+def _chunks_sql(source: str, target: int = 2100, overlap: int = 225, least: int = 100) -> str:
+    """Every chunk of every different text of ``source``: hash, seq, pos, stop, text. Each step of the recursion cuts one chunk of each text."""
+    best = f"CASE WHEN {{b}} + {target} >= n THEN n ELSE coalesce(-list_aggregate(list_transform(list_filter(bs, lambda x: x.pl > greatest({{b}}, {{a}}) AND x.pl < {{b}} + {target}), lambda x: {{{{'v': x.w::DOUBLE * (1::DOUBLE - (({{b}} + {target} - x.pl)::DOUBLE / {target}::DOUBLE) * (({{b}} + {target} - x.pl)::DOUBLE / {target}::DOUBLE) * 0.7::DOUBLE), 'a': -x.pl}}}}), 'max').a, {{b}} + {target}) END"
+    kept = f"CASE WHEN stop - pos >= {least} THEN pos ELSE kept END"
+    tail = f"substr(text, stop - {overlap - 1}, {overlap})"
+    return f"""WITH RECURSIVE {_breaks_sql(source)},
  d AS (SELECT t.hash, any_value(text) AS text, any_value(n) AS n, coalesce(list({{'pl': pl, 'w': weight}}) FILTER (pl IS NOT NULL AND NOT guarded), []) AS bs FROM t LEFT JOIN br ON t.hash = br.hash GROUP BY t.hash),
- c AS (SELECT hash, 0 AS k, 0::BIGINT AS pos, 0::BIGINT AS kept, {_BEST.format(b='0::BIGINT', a='0::BIGINT')} AS stop FROM d WHERE n > 0
-  UNION ALL SELECT hash, k + 1, pos, kept, {_BEST.format(b='pos', a='after')} FROM (
-   SELECT d.hash, k, n, bs, stop AS after, CASE WHEN stop - pos >= 100 THEN pos ELSE kept END AS kept, CASE WHEN back > pos THEN back ELSE stop END AS pos FROM (
-    SELECT c.*, CASE WHEN stop - 225 > CASE WHEN stop - pos >= 100 THEN pos ELSE kept END THEN stop - 225 + coalesce(least(nullif(strpos(substr(text, stop - 224, 225), ' '), 0), nullif(strpos(substr(text, stop - 224, 225), chr(10)), 0)) - 1, 225) ELSE stop END AS back
-    FROM c JOIN d ON c.hash = d.hash WHERE c.pos + 2100 < n) e JOIN d ON e.hash = d.hash) f),
- ch AS (SELECT c.hash, row_number() OVER (PARTITION BY c.hash ORDER BY k) - 1 AS seq, pos, stop, substr(text, pos + 1, stop - pos) AS text FROM c JOIN d ON c.hash = d.hash WHERE stop - pos >= 100)"""
+ c AS (SELECT hash, 0 AS k, 0::BIGINT AS pos, 0::BIGINT AS kept, {best.format(b='0::BIGINT', a='0::BIGINT')} AS stop FROM d WHERE n > 0
+  UNION ALL SELECT hash, k + 1, pos, kept, {best.format(b='pos', a='after')} FROM (
+   SELECT d.hash, k, n, bs, stop AS after, {kept} AS kept, CASE WHEN back > pos THEN back ELSE stop END AS pos FROM (
+    SELECT c.*, CASE WHEN stop - {overlap} > {kept} THEN stop - {overlap} + coalesce(least(nullif(strpos({tail}, ' '), 0), nullif(strpos({tail}, chr(10)), 0)) - 1, {overlap}) ELSE stop END AS back
+    FROM c JOIN d ON c.hash = d.hash WHERE c.pos + {target} < n) e JOIN d ON e.hash = d.hash) f),
+ ch AS (SELECT c.hash, row_number() OVER (PARTITION BY c.hash ORDER BY k) - 1 AS seq, pos, stop, substr(text, pos + 1, stop - pos) AS text FROM c JOIN d ON c.hash = d.hash WHERE stop - pos >= {least})"""
+
+
+_DOCUMENTS = "SELECT DISTINCT sha256(text) AS hash, text FROM documents"
+_BREAKS, _CHUNKS = _breaks_sql(_DOCUMENTS), _chunks_sql(_DOCUMENTS)
 _TOKENS = "list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda t: t <> '')"
 
 
@@ -199,3 +209,25 @@ def gc_chunks(spark, sf_dir):
     docs = documents(spark, sf_dir)
     chunks = docs.select(F.col("id").alias("doc_id"), "hash", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.length("doc") / 1875)).cast("long") - 1)).alias("seq"))
     return lifecycle.unreferenced(chunks, docs.where("active")).select("doc_id", "seq", "hash")
+
+
+#: Tags of pages as marks of Markdown: headings of four levels, lists, fences and tables.
+_MARKS = [("<(script|style)[^>]*>.*?</(script|style)>", ""), ("<title>", "\n## "), ("<h1[^>]*>", "\n# "), ("<b>", "\n### "), ("<div[^>]*>", "\n#### "), ("<li>", "\n- "), ("<br>", "\n```text\n"), ("</p>", "\n```\n"), ("<nav>", "\n| row | of |\n"), ("<[^>]+>", "\n")]
+_PAGES = "SELECT page_id AS hash, " + "regexp_replace(" * len(_MARKS) + "html" + "".join(f", '(?s){p}', '" + r.replace("\n", "' || chr(10) || '") + "', 'g')" for p, r in _MARKS) + " AS text FROM pages"
+_HEADS = """, hd AS (SELECT hash, len(regexp_extract(line, '^(#+)', 1)) AS level, regexp_extract(line, '^#{1,6}[ \\t]+(.+?)[ \\t]*#*[ \\t]*$', 1) AS title, pl FROM (
+  SELECT hash, line, sum(length(line) + 1) OVER (PARTITION BY hash ORDER BY k) - length(line) - 1 AS pl FROM (SELECT hash, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM (SELECT hash, string_split(text, chr(10)) AS ls FROM t)))
+  WHERE regexp_matches(line, '^#{1,6}[ \\t]+(.+?)[ \\t]*#*[ \\t]*$')),
+ sp AS (SELECT ch.hash, seq, string_agg(coalesce(nullif(trim(substr(h.title, 1, greatest(0, ch.pos - h.pl - h.level - 1)::BIGINT), ' '), ''), h.title), ' > ' ORDER BY h.level) AS section_path FROM ch JOIN hd h ON ch.hash = h.hash AND h.pl < ch.pos
+  WHERE NOT EXISTS (SELECT 1 FROM hd g WHERE g.hash = h.hash AND g.pl > h.pl AND g.pl < ch.pos AND g.level <= h.level) GROUP BY 1, 2),
+ fl AS (SELECT hash, seq, sum(fence::INT) OVER (PARTITION BY hash, seq ORDER BY k) AS opened, fence, line FROM (SELECT hash, seq, generate_subscripts(ls, 1) AS k, unnest(ls) AS line, regexp_matches(unnest(ls), '^[ \\t]*```') AS fence FROM (SELECT hash, seq, string_split(text, chr(10)) AS ls FROM ch))),
+ kd AS (SELECT hash, seq, bool_or(NOT fence AND opened % 2 = 1 AND regexp_matches(line, '\\S')) AS inside, bool_or(NOT fence AND opened % 2 = 0 AND regexp_matches(line, '\\S')) AS outside, max(CASE WHEN fence AND opened % 2 = 1 AND regexp_matches(line, '```.*\\w') THEN 'text' END) AS named FROM fl GROUP BY 1, 2)"""
+
+
+@query(_chunks_sql(_PAGES, 300, 45, 30) + _HEADS + " SELECT ch.hash AS page_id, ch.seq, pos::INT AS pos, (stop - pos)::INT AS len, section_path, CASE WHEN NOT inside THEN 'prose' WHEN outside THEN 'mixed' ELSE 'code' END AS chunk_type, CASE WHEN inside THEN named END AS language FROM ch LEFT JOIN sp ON ch.hash = sp.hash AND ch.seq = sp.seq JOIN kd ON ch.hash = kd.hash AND ch.seq = kd.seq")
+def section_paths(spark, sf_dir):
+    """Chunks of pages as Markdown, with their headings of all levels, tables, and fences."""
+    md = F.col("html")
+    for pattern, mark in _MARKS:
+        md = F.regexp_replace(md, f"(?s){pattern}", mark)
+    pages = texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", md.alias("doc"))
+    return chunking.chunk_documents(pages, "page_id", "doc", 300, 45, 30).withColumn("seq", F.col("seq").cast("long"))

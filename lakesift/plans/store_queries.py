@@ -161,11 +161,3 @@ def chunk_text_substr(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     cut = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 1875).cast("int")) - 1)).alias("seq"))
     return cut.select("doc_id", F.col("seq").cast("long").alias("seq"), F.sha2(tx.slice_text(F.col("text"), F.col("seq") * 1875, F.lit(2100)), 256).alias("chunk_hash"))
-
-
-@query()
-def section_paths(spark, sf_dir):
-    """Chunks of pages as Markdown, with their headings."""
-    md = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style|nav)[^>]*>.*?</\\1>", ""), "<h([1-6])[^>]*>", "\n# "), "(?s)<[^>]+>", "\n")
-    pages = texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", md.alias("doc"))
-    return chunk_documents(pages, "page_id", "doc", 300, 45, 30)
