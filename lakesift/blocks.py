@@ -33,6 +33,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*written: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once nothing reads it any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
+
+
 #: Tables of fewer bytes are dealt out to all cores before work on them: they may lie in one row group, which is one task.
 DEALT_BYTES = 64 << 20
 
