@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.blocks import dealt, materialise, work_dir  # noqa: F401
+from lakesift.blocks import dealt, forget, materialise, work_dir  # noqa: F401
 
 #: The separators of the word definition ``[^\x20\x09-\x0D]+``.
 WORD_SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"

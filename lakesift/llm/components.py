@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import materialise
+from lakesift.llm.common import forget, materialise
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -22,6 +22,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         lower = state.join(near, "node").select("node", "component", F.least("component", "near").alias("next"))
         jump = state.select(F.col("node").alias("next"), F.col("component").alias("far"))
         moved = materialise(lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), (F.least("next", F.coalesce("far", "next")) != F.col("component")).alias("changed")), "component")
+        forget(state)  # the round before; its folder is read by nothing else
         state = moved.select("node", "component")
         if moved.where("changed").limit(1).count() == 0:
+            forget(both)
             return state

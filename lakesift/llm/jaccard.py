@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm import bits
-from lakesift.llm.common import fresh, gram_hashes, materialise, mix, range_hash, small_batches, text_of
+from lakesift.llm.common import forget, fresh, gram_hashes, materialise, mix, range_hash, small_batches, text_of
 from lakesift.llm.components import components
 from lakesift.llm.substrings import batch_words
 from lakesift.llm.vocabulary import slices
@@ -331,8 +331,10 @@ def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     classes = components(exact.where("set_id != label"), "set_id", "label")
     counted = exact.groupBy("set_id").agg(F.sum("links").alias("links"))
     first = texts.select("set_id", "first_doc").join(classes, F.col("set_id") == F.col("node")).groupBy("component").agg(F.min("first_doc").alias("class"))
-    links = classes.join(first, "component").select(F.col("node").alias("set_id"), "component", "class").join(counted, "set_id", "left")
-    return texts.select("set_id", "hash", "check", "first_doc", "copies"), materialise(links, "links")
+    found = classes.join(first, "component").select(F.col("node").alias("set_id"), "component", "class").join(counted, "set_id", "left")
+    links = materialise(found, "links")
+    forget(likely, exact, classes)
+    return texts.select("set_id", "hash", "check", "first_doc", "copies"), links
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm import bits
-from lakesift.llm.common import gram_hashes, joined_hashes, materialise, small_batches, text_of, word_hashes, word_spans
+from lakesift.llm.common import forget, gram_hashes, joined_hashes, materialise, small_batches, text_of, word_hashes, word_spans
 from lakesift.llm.vocabulary import slices
 
 WINDOW = 35
@@ -211,7 +211,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*own).alias("row_key"), F.xxhash64(F.lit("row"), *reversed(own)).alias("row_more"), text_of().alias("content"))
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, first: int = FIRST_LEVEL) -> DataFrame | None:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, first: int = FIRST_LEVEL, between: list[DataFrame] | None = None) -> DataFrame | None:
     """row_key, row_more and the runs of windows of each row whose words also start elsewhere: place (in words), n, and which
     of them (null: all); None where no window repeats.
 
@@ -224,6 +224,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, first: int = FIRST_L
     that comes twice as a whole is settled by one row. The windows of the others are looked up one by one among the keys
     that repeat at the full length, which are exact. Counts are added up in the tasks that read the texts
     before anything moves, and a passage that many rows share is one run to all of them, so it is no burden to one task.
+    ``between`` takes the tables that the result reads.
     """
     rows, lengths, filters = small_batches(_keyed(docs)), levels(window, first), []
     for k, n in enumerate(lengths, 1):
@@ -232,9 +233,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, first: int = FIRST_L
         if not twice.head(1):
             return None
         filters.append(bits.build(twice, "key"))
+        if k < len(lengths):
+            forget(twice)
     each = rows.select("content").mapInArrow(_runs(lengths, window, filters, True), "stretch long, check long, times long, hashes array<long>, mores array<int>")
     whole = ["stretch", "check"]
+    between = [] if between is None else between
     stretches = materialise(each.groupBy(*whole).agg(F.sum("times").alias("times"), F.first("hashes").alias("hashes"), F.first("mores").alias("mores")), "stretches")
+    between += [twice, stretches]
     single = stretches.where("times = 1").select(*whole, F.posexplode(F.arrays_zip(F.col("hashes").alias("key"), F.col("mores").alias("more"))).alias("k", "w")).select(*whole, "k", "w.*")
     partly = single.join(twice, ["key", "more"], "left_semi").groupBy(*whole).agg(F.collect_list("k").alias("some"))
     settled = stretches.select(*whole, "times").join(partly, whole, "left").where("times > 1 or some is not null").drop("times")
@@ -252,10 +257,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST_LEV
     of doc_id and text; windows by 96 bits, and runs of windows by 128, of hashes of their words.
     """
     rows, out = small_batches(_keyed(docs)), "doc_id long, n_words long, n_removed long, kept_text string"
-    found = repeated_windows(docs, window, first)
+    between: list[DataFrame] = []
+    found = repeated_windows(docs, window, first, between)
     if found is None:
         return rows.mapInArrow(_untouched(None), out)
     runs = materialise(found.withColumnsRenamed({"row_key": "__of", "row_more": "__more"}), "runs")
+    forget(*between)
     touched = bits.build(runs.select("__of"), "__of")
     # texts that lose nothing are done where they are read; only the others meet their runs
     free = rows.mapInArrow(_untouched(touched), out)
