@@ -168,6 +168,12 @@ def with_stems(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def matching(rows: DataFrame, wanted: Phrase, key: str = "chunk_id") -> DataFrame:
+    """key and f (occurrences) of the rows that hold a phrase. Occurrences are counted once: a filter on them would count again."""
+    count = wanted.count(F.col("tokens")).cast("long")
+    return rows.select(key, F.explode(F.filter(F.array(count), lambda f: f > 0)).alias("f"))
+
+
 def near(column: Column, a: str, b: str, within: int = 10) -> Column:
     """Whether two words stand with at most ``within`` other tokens between them, in any order."""
     gap = f" (?:\\S+ ){{0,{within}}}"

@@ -78,8 +78,7 @@ def corpus_stats(spark, sf_dir):
 
 def _phrase_query(name, wanted, sql):
     def run(spark, sf_dir):
-        found = _rows(spark, sf_dir).withColumn("f", wanted.count(F.col("tokens")).cast("long"))
-        return found.where("f > 0").select("chunk_id", "f")
+        return fulltext.matching(_rows(spark, sf_dir), wanted)
 
     run.__name__ = name
     query(f"SELECT chunk_id, f FROM (SELECT chunk_id, {sql} AS f FROM ({_ROWS})) WHERE f > 0")(run)
