@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesift.blocks import work_dir
+from lakesift.functions import text as tx
 from lakesift.operators import chunking, fulltext, ingest, lifecycle, retrieval, search
-from lakesift.plans.tables import texts
-from lakesift.providers import HashingEmbedder
+from lakesift.plans.tables import table, texts
+from lakesift.providers import HashingEmbedder, words_of
 from lakesift.schema import Settings
 from lakesift.sources.files import read_files
 from lakesift.store import Store
+from lakesift.streaming.watch import watch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -214,6 +216,15 @@ def gc_chunks(spark, sf_dir):
 #: Tags of pages as marks of Markdown: headings of four levels, lists, fences and tables.
 _MARKS = [("<(script|style)[^>]*>.*?</(script|style)>", ""), ("<title>", "\n## "), ("<h1[^>]*>", "\n# "), ("<b>", "\n### "), ("<div[^>]*>", "\n#### "), ("<li>", "\n- "), ("<br>", "\n```text\n"), ("</p>", "\n```\n"), ("<nav>", "\n| row | of |\n"), ("<[^>]+>", "\n")]
 _PAGES = "SELECT page_id AS hash, " + "regexp_replace(" * len(_MARKS) + "html" + "".join(f", '(?s){p}', '" + r.replace("\n", "' || chr(10) || '") + "', 'g')" for p, r in _MARKS) + " AS text FROM pages"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    md = F.col("html")
+    for pattern, mark in _MARKS:
+        md = F.regexp_replace(md, f"(?s){pattern}", mark)
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", md.alias("doc"))
+
+
 _HEADS = """, hd AS (SELECT hash, len(regexp_extract(line, '^(#+)', 1)) AS level, regexp_extract(line, '^#{1,6}[ \\t]+(.+?)[ \\t]*#*[ \\t]*$', 1) AS title, pl FROM (
   SELECT hash, line, sum(length(line) + 1) OVER (PARTITION BY hash ORDER BY k) - length(line) - 1 AS pl FROM (SELECT hash, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM (SELECT hash, string_split(text, chr(10)) AS ls FROM t)))
   WHERE regexp_matches(line, '^#{1,6}[ \\t]+(.+?)[ \\t]*#*[ \\t]*$')),
@@ -226,8 +237,62 @@ _HEADS = """, hd AS (SELECT hash, len(regexp_extract(line, '^(#+)', 1)) AS level
 @query(_chunks_sql(_PAGES, 300, 45, 30) + _HEADS + " SELECT ch.hash AS page_id, ch.seq, pos::INT AS pos, (stop - pos)::INT AS len, section_path, CASE WHEN NOT inside THEN 'prose' WHEN outside THEN 'mixed' ELSE 'code' END AS chunk_type, CASE WHEN inside THEN named END AS language FROM ch LEFT JOIN sp ON ch.hash = sp.hash AND ch.seq = sp.seq JOIN kd ON ch.hash = kd.hash AND ch.seq = kd.seq")
 def section_paths(spark, sf_dir):
     """Chunks of pages as Markdown, with their headings of all levels, tables, and fences."""
-    md = F.col("html")
-    for pattern, mark in _MARKS:
-        md = F.regexp_replace(md, f"(?s){pattern}", mark)
-    pages = texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", md.alias("doc"))
-    return chunking.chunk_documents(pages, "page_id", "doc", 300, 45, 30).withColumn("seq", F.col("seq").cast("long"))
+    return chunking.chunk_documents(_pages(spark, sf_dir), "page_id", "doc", 300, 45, 30).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query(f"WITH {_breaks_sql(_PAGES)} SELECT hash AS page_id, count(*) AS n, count(*) FILTER (guarded) AS n_guarded, coalesce(sum(pl) FILTER (guarded), 0)::BIGINT AS places FROM br GROUP BY 1")
+def fence_parity(spark, sf_dir):
+    """Breaks of pages as Markdown, and those of them that lie inside a fence or a table."""
+    found = chunking.break_rows(_pages(spark, sf_dir), "page_id", "doc")
+    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("guarded").alias("n_guarded"), F.sum(F.when(F.col("guarded"), F.col("pos")).otherwise(0)).cast("long").alias("places"))
+
+
+@query("SELECT source || '/doc-' || doc_id || '.md' AS path, CASE WHEN doc_id % 4 = 0 THEN sha256(text || ' more') ELSE sha256(text) END AS hash, 'c' AS collection, n.added, n.updated, n.unchanged FROM documents, (SELECT count(*) AS added, count(*) FILTER (doc_id % 4 = 0) AS updated, count(*) FILTER (doc_id % 4 <> 0) AS unchanged FROM documents WHERE source LIKE 'src_') n WHERE source LIKE 'src_'")
+def collection_update(spark, sf_dir):
+    """A collection over a folder of files is read, a quarter of its files change, and it is read again: its documents, and what the readings counted."""
+    folder = work_dir(spark, "collection")
+    store = Store(spark, work_dir(spark, "collected"))
+    first = Store(spark, work_dir(spark, "origin"))
+    own = files(spark, sf_dir)
+    ingest.add_documents(first, own, "default", T)
+    ingest.copy_to_vault(first, "default", folder)
+    ingest.register_collection(store, "c", folder, "src?/*.md", ignore=["*.txt"])
+    added = ingest.update_collection(store, "c", T)["added"]
+    number = F.regexp_extract("path", r"doc-(\d+)\.md", 1).cast("long")
+    ingest.add_documents(first, own.where(number % 4 == 0).withColumn("text", F.concat("text", F.lit(" more"))), "default", LATER)
+    ingest.copy_to_vault(first, "default", folder)
+    again = ingest.update_collection(store, "c", LATER)
+    counts = [F.lit(n).cast("long").alias(k) for k, n in (("added", added), ("updated", again["updated"]), ("unchanged", again["unchanged"]))]
+    return store.table("documents").where("active").select("path", "hash", "collection", *counts)
+
+
+@query(f"SELECT 'k' || key AS path, sha256(text) AS hash FROM (SELECT user_id AS key, event_type, coalesce(props, '') AS text, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'")
+def watch_replay(spark, sf_dir):
+    """The events as a log of changes, applied by a streaming query: the documents that are active then."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "signup", "added").otherwise("modified")
+    log = e.select(F.lit("default").alias("collection"), F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("path"), kind.alias("kind"), F.coalesce("props", F.lit("")).alias("text"), "ts", "event_id")
+    folder = work_dir(spark, "changes")
+    log.write.json(folder)
+    store = Store(spark, work_dir(spark, "watched"))
+    watch(spark, store, folder, work_dir(spark, "watch-checkpoint")).awaitTermination()
+    return store.table("documents").where("active").select("path", "hash")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn * 604800 ELSE turn * 86400 END AS seconds FROM conversations")
+def age_seconds(spark, sf_dir):
+    """Seconds of ages such as 3d and 2w."""
+    ages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.col("turn").cast("string"), F.when(F.col("role") == "user", "w").otherwise("d")).alias("age"))
+    return ages.select("conv_id", "turn", tx.seconds_of(F.col("age")).alias("seconds"))
+
+
+@query()
+def full_pipeline(spark, sf_dir):
+    """The staged search for the beginnings of items of the benchmark: at most five results each, with their context."""
+    store = filled(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(3).select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("q")).collect()
+    rows = []
+    for (q,) in asked:
+        wanted = " ".join(words_of(q))
+        rows += [(wanted, i, r["title"], r["section_path"], float(r["score"]), r["excerpt"]) for i, r in enumerate(search.search(store, wanted, HashingEmbedder(), T, count=5), 1)]
+    return spark.createDataFrame(rows, "query string, place int, title string, section_path string, score double, excerpt string")
