@@ -44,24 +44,21 @@ def find(blobs: DataFrame) -> DataFrame:
     numbered and the places are running sums of their lengths, so work follows the text's length.
     """
     clean = F.translate("content", OPEN + MIDDLE + CLOSE, STAND_IN * 3)
-    found = []
-    for kind, (_, part, least) in RULES.items():
-        # a text without a match needs no copy
-        some = blobs.where(F.col("content").rlike(RULES[kind][0]))
-        marked = some.select("blob", F.split(_marked(kind, clean), OPEN).alias("pieces")).where(F.size("pieces") > 1)
-        each = marked.select("blob", F.posexplode("pieces").alias("k", "piece"))
-        # a piece after the first: what precedes the value, MIDDLE, the value, CLOSE, the text up to the next match
-        marks = F.when(F.col("k") > 0, 2).otherwise(0)
-        sized = each.select(
-            "blob", "k", (F.length("piece") - marks).cast("long").alias("n"),
-            F.length(F.substring_index("piece", MIDDLE, 1)).alias("head"), F.length(F.substring_index("piece", CLOSE, 1)).alias("closed"),
-        )
-        before = F.sum("n").over(Window.partitionBy("blob").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
-        placed = sized.withColumn("start", before).where("k > 0")
-        value = F.col("closed") - F.col("head") - 1
-        size = value if part == "value" else F.col("closed") - 1
-        found.append(placed.where(size >= least).select("blob", F.lit(kind).alias("kind"), "start", (F.col("start") + F.col("closed") - 1).alias("end")))
-    return reduce(DataFrame.unionAll, found)
+    # each text is read once; a rule without a match needs no copy of it
+    copies = [F.when(F.col("content").rlike(p), F.struct(F.lit(kind).alias("kind"), F.split(_marked(kind, clean), OPEN).alias("pieces"))) for kind, (p, _, _) in RULES.items()]
+    marked = blobs.select("blob", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())).alias("copy")).select("blob", "copy.kind", "copy.pieces").where(F.size("pieces") > 1)
+    each = marked.select("blob", "kind", F.posexplode("pieces").alias("k", "piece"))
+    # a piece after the first: what precedes the value, MIDDLE, the value, CLOSE, the text up to the next match
+    marks = F.when(F.col("k") > 0, 2).otherwise(0)
+    sized = each.select(
+        "blob", "kind", "k", (F.length("piece") - marks).cast("long").alias("n"),
+        F.length(F.substring_index("piece", MIDDLE, 1)).alias("head"), F.length(F.substring_index("piece", CLOSE, 1)).alias("closed"),
+    )
+    before = F.sum("n").over(Window.partitionBy("blob", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sized.withColumn("start", before).where("k > 0")
+    value, match = F.col("closed") - F.col("head") - 1, F.col("closed") - 1
+    long_enough = reduce(lambda x, y: x | y, [(F.col("kind") == kind) & ((value if part == "value" else match) >= least) for kind, (_, part, least) in RULES.items()])
+    return placed.where(long_enough).select("blob", "kind", "start", (F.col("start") + F.col("closed") - 1).alias("end"))
 
 
 def rank_of(kind: str = "kind"):
