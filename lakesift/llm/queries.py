@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import decontamination, jaccard, media, packing, secrets, sharding, substrings, token_counts, toxicity, warc
+from lakesift.llm import bpe, decontamination, jaccard, media, packing, secrets, sharding, substrings, token_counts, toxicity, warc
 from lakesift.llm.common import materialise
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -60,6 +60,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages"))).drop("uri")
 
 
+def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     own = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))
