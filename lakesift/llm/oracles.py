@@ -57,6 +57,20 @@ _WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_sum(list_transform(range(1, 6), lambda j: CASE WHEN bits[i * 5 + j] = '1' THEN 1 << (5 - j)::INT ELSE 0 END))::INT + 1, 1)), '') AS payload_digest,
  CASE WHEN first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM b"""
 
+_DIVERGENCE = """WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+ w AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{80}-\\x{10FFFF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+ v AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+ c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN v USING (lang, term) GROUP BY 1, 2, 3),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ s AS (SELECT g.lang, g.source, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS total, (SELECT count(*) FROM v WHERE v.lang = g.lang) AS terms FROM g),
+ p AS (SELECT s.lang, s.source, v.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (s.total + 5 * s.terms)) AS p FROM s JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+ l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang))) AS q FROM c GROUP BY 1, 2),
+ pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY 1, 2, 3),
+ r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+ n AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM n WHERE part = 'pair' OR rank <= 50"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scans": _secrets(), "op6_sharding": _sharding(), "op7_substring_dedup": _SUBSTRINGS, "op10_warc": _WARC}
+    return {"op3_secret_scans": _secrets(), "op6_sharding": _sharding(), "op7_substring_dedup": _SUBSTRINGS, "op10_warc": _WARC, "op11_source_divergence": _DIVERGENCE}
