@@ -28,9 +28,9 @@ from lakesift.llm.common import fresh, small_batches, text_of
 from lakesift.llm.vocabulary import slices
 
 #: A worker's memory of words, and of steps and pairs of tokens; full ones start anew, which costs time only.
-KNOWN_WORDS, KNOWN_STEPS = 400_000, 1_000_000
+KNOWN_WORDS, KNOWN_STEPS = 300_000, 600_000
 #: Texts, or ids, of so many bytes are worked on at once.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 NEVER = 1 << 60
 
 
@@ -76,7 +76,6 @@ class ByteBpe:
         if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", [])):
             raise ValueError(f"special tokens that take more than their own text: {path}")
         self.specials = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.bytes_of = {i: token for token, i in self.id_of.items()} | {i: x.encode() for x, i in self.special.items()}
         self.merged: dict[tuple[int, int], int] = {}  # two tokens -> the rank of their merge
         self.parts: dict[int, tuple[int, int, int]] = {}  # a token -> the two it is made of, and the rank
         for rank, pair in enumerate(model["merges"]):
@@ -84,7 +83,7 @@ class ByteBpe:
             left, right = model["vocab"][a], model["vocab"][b]
             self.merged[left, right] = rank
             self.parts.setdefault(model["vocab"][a + b], (left, right, rank))
-        self.sizes = {i: len(x) for i, x in self.bytes_of.items()}
+        self.sizes = {i: len(x) for x, i in self.id_of.items()}
         self.beginnings = {token[:n] for token in self.id_of for n in range(len(token) + 1)}
         self.states: dict[bytes, State] = {}
         self.follows: dict[int, dict[int, bool]] = {}
@@ -199,16 +198,25 @@ class ByteBpe:
         values, at = ranges(np.frombuffer(b"".join(ids), dtype=np.int32), np.cumsum(sizes) - sizes, sizes, np.asarray(coded.indices).astype(np.int64))
         return pa.ListArray.from_arrays(pa.array(at[bounds].astype(np.int32)), pa.array(values))
 
+
+class Decoder:
+    """The bytes of each id of one vocabulary."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters = byte_letters()
+        self.bytes_of = {i: bytes(letters[c] for c in token) for token, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"].encode() for x in spec.get("added_tokens", [])}
+        self.top = max(self.bytes_of) + 1
+        parts = [self.bytes_of.get(i, b"") for i in range(self.top)]
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=self.top)
+        self.table = np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The text of each list of ids, special tokens as they are written; bytes that are no UTF-8 become U+FFFD, unknown ids give nothing."""
-        top = max(self.bytes_of) + 1
-        if not hasattr(self, "table"):
-            sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(top)], dtype=np.int64)
-            self.table = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(top)), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
         lists = pc.fill_null(ids, [])
-        number = np.asarray(pc.fill_null(lists.flatten(), top)).astype(np.int64)
-        number = number[(number >= 0) & (number < top)] if len(number) and (number.max() >= top or number.min() < 0) else number
-        if len(number) != len(lists.flatten()):
+        number = np.asarray(pc.fill_null(lists.flatten(), -1)).astype(np.int64)
+        if len(number) and (number.max() >= self.top or number.min() < 0):
             return pa.array([b"".join(self.bytes_of.get(i, b"") for i in x).decode("utf-8", "replace") for x in lists.to_pylist()], pa.string())
         values, at = ranges(*self.table, number)
         bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)).astype(np.int64))])
@@ -272,6 +280,12 @@ def bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@lru_cache(maxsize=4)
+def decoder(path: str) -> Decoder:
+    """The worker's bytes of ids: a decoding task needs no merges."""
+    return Decoder(path)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.RecordBatch]:
     """Batches put together until they hold about ``least`` bytes of a column: larger ones repeat fewer words."""
     held, size = [], 0
@@ -326,4 +340,4 @@ def decode(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids", i
     column named like the new one is replaced.
     """
     path = tokenizer or default_path()
-    return _with_column(encoded, F.col(ids).cast("array<int>"), into, "string", PART_BYTES, _by_ids, lambda x: bpe(path).decode(x))
+    return _with_column(encoded, F.col(ids).cast("array<int>"), into, "string", PART_BYTES, _by_ids, lambda x: decoder(path).decode(x))
