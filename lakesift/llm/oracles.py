@@ -72,5 +72,34 @@ _DIVERGENCE = """WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, ''
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM n WHERE part = 'pair' OR rank <= 50"""
 
 
+def _repair() -> str:
+    """Conversations from their last row to the first: for each state the cheapest way on, as (cost, audit, lines)."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    way = lambda cost, letter, to, line: f"{{'c': {to}.c + {cost}, 'a': '{letter}' || {to}.a, 't': {line} || CASE WHEN {to}.t = '' THEN '' ELSE chr(10) || {to}.t END}}"
+    least = lambda *ways: f"list_sort([{', '.join(ways)}], 'ASC', 'NULLS LAST')[1]"
+    gone = lambda s: f"{{'c': y{s}.c + 3, 'a': 'D' || y{s}.a, 't': y{s}.t}}"
+    kept = lambda initial, to: f"CASE WHEN NOT go AND initial = '{initial}' THEN {way('open', 'K', f'y{to}', 'line')} END"
+    named = lambda to, role: f"CASE WHEN NOT go THEN {way('2 + open', 'R', f'y{to}', f'{role!r} || text')} END"
+    user, both = lambda s: way(2, "I", f"o{s}", "'user:'"), way(4, "II", "o3", "'user:' || chr(10) || 'assistant:'")
+    own = [least(gone(0), kept("s", 1), kept("u", 2), named(2, "user:")), least(gone(1), kept("u", 2), named(2, "user:")), least(gone(2), kept("a", 3), named(3, "assistant:")), least(gone(3), kept("u", 2), named(2, "user:"))]
+    put = [least("o0", user(2), both), least("o1", user(2), both), least("o2", way(2, "I", "o3", "'assistant:'")), least("o3", user(2))]
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+ h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS code FROM c, (SELECT {table}::BIGINT[] AS t)),
+ d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE code <> 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n, substr(role, 1, 1) AS initial FROM d),
+ q AS (SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM o),
+ e AS (SELECT *, blank OR again AS go, (cut AND NOT blank AND NOT again)::INT AS open, role || ':' || text AS line FROM q),
+ r AS (SELECT conv_id, n + 1 AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS y0, {{'c': 4::BIGINT, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}} AS y1, {{'c': 2::BIGINT, 'a': 'I', 't': 'assistant:'}} AS y2, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS y3 FROM e WHERE i = 1
+  UNION ALL SELECT conv_id, i, {', '.join(put)} FROM (SELECT e.conv_id, e.i, {', '.join(f'{x} AS o{k}' for k, x in enumerate(own))} FROM r JOIN e ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.i = r.i - 1)),
+ m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, sum(open)::BIGINT AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY 1),
+ a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(y0.c, 0) AS cost, coalesce(y0.a, '') AS audit, sha256(coalesce(y0.t, '')) AS repaired_sha256
+FROM a LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.i = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scans": _secrets(), "op6_sharding": _sharding(), "op7_substring_dedup": _SUBSTRINGS, "op10_warc": _WARC, "op11_source_divergence": _DIVERGENCE}
+    return {"op3_secret_scans": _secrets(), "op6_sharding": _sharding(), "op7_substring_dedup": _SUBSTRINGS, "op10_warc": _WARC, "op11_source_divergence": _DIVERGENCE, "op12_conversation_repair": _repair()}

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import bpe, decontamination, divergence, jaccard, media, packing, secrets, sharding, substrings, token_counts, toxicity, warc
+from lakesift.llm import bpe, conversations, decontamination, divergence, jaccard, media, packing, secrets, sharding, substrings, token_counts, toxicity, warc
 from lakesift.llm.common import materialise
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -64,6 +64,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return conversations.audit(turns, conversations.damaged(turns))
+
+
 def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
