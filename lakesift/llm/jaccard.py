@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import ceil, log
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,17 @@ TOKENS = 64
 TARGET = 0.995
 #: Levels of splitting in each run for all sets, and for sets whose buckets are still large.
 LEVELS, DEEPEST = 2, 4
-#: Two sets of a bucket are compared in full if at least this share of their tokens is equal: 5 standard deviations below 0.8.
-ESTIMATE = 0.55
+#: Two sets of a bucket are compared in full unless their share of equal tokens lies so many standard deviations below the threshold.
+DEVIATIONS = 5
 #: Rows that one task compares with each other, by sketch and in full; larger groups are split into pairs of parts.
 SKETCH_PART, PART = 1024, 256
 
 
+def least_equal(similarity: float = SIMILARITY) -> int:
+    """Equal tokens from which two sets of a bucket are compared in full: a pair at the threshold has as many but once in millions."""
+    return max(1, ceil(TOKENS * (similarity - DEVIATIONS * sqrt(similarity * (1 - similarity) / TOKENS))))
+
+
 def _multipliers() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -59,7 +64,7 @@ def embed(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def meeting(levels: int, similarity: float = SIMILARITY) -> float:
-    """Probability that two sets at the threshold share a bucket of a run: 0.63, 0.47, 0.37, 0.31 after 1 to 4 levels."""
+    """Probability that two sets at the threshold share a bucket of a run: at 0.8 it is 0.63, 0.47, 0.37, 0.31 after 1 to 4 levels."""
     miss = 0.0
     for _ in range(levels):
         miss = (1 - (1 - miss) / (similarity * TOKENS)) ** (similarity * TOKENS)
@@ -192,28 +197,32 @@ def _first_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _links_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links_of_buckets(least: int):
     """Edges (u, v) that span what is likely to be similar in each bucket: at most one for a row."""
-    for batch in _groups(batches, ("bucket", "part_a", "part_b")):
-        keys = [np.asarray(batch.column(c)) for c in ("bucket", "part_a", "part_b")]
-        ids, own = np.asarray(batch.column("set_id")), np.asarray(batch.column("own_part"))
-        sketch = _tokens_of(batch.column("sketch"))
-        across = keys[1] != keys[2]
-        left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-        for d in range(1, len(ids)):
-            same = np.logical_and.reduce([k[d:] == k[:-d] for k in keys])
-            if not same.any():
-                break
-            i = np.flatnonzero(same & (~across[d:] | (own[d:] != own[:-d])))
-            i = i[(sketch[i] == sketch[i + d]).sum(axis=1) >= ESTIMATE * TOKENS]
-            left.append(i)
-            right.append(i + d)
-        a, b = np.concatenate(left), np.concatenate(right)
-        label = _first_labels(len(ids), a, b)
-        moved = np.flatnonzero(label != np.arange(len(ids)))
-        if len(moved):
-            edges = np.unique(np.stack([ids[moved], ids[label[moved]]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, ("bucket", "part_a", "part_b")):
+            keys = [np.asarray(batch.column(c)) for c in ("bucket", "part_a", "part_b")]
+            ids, own = np.asarray(batch.column("set_id")), np.asarray(batch.column("own_part"))
+            sketch = _tokens_of(batch.column("sketch"))
+            across = keys[1] != keys[2]
+            left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+            for d in range(1, len(ids)):
+                same = np.logical_and.reduce([k[d:] == k[:-d] for k in keys])
+                if not same.any():
+                    break
+                i = np.flatnonzero(same & (~across[d:] | (own[d:] != own[:-d])))
+                i = i[(sketch[i] == sketch[i + d]).sum(axis=1) >= least]
+                left.append(i)
+                right.append(i + d)
+            a, b = np.concatenate(left), np.concatenate(right)
+            label = _first_labels(len(ids), a, b)
+            moved = np.flatnonzero(label != np.arange(len(ids)))
+            if len(moved):
+                edges = np.unique(np.stack([ids[moved], ids[label[moved]]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["u", "v"])
+
+    return run
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -320,7 +329,7 @@ def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # in the order of ids, so that buckets which share members give the same edges: to the smallest id
     dealt = members.repartition(width, "bucket", "part_a", "part_b").sortWithinPartitions("bucket", "part_a", "part_b", "set_id")
-    likely = materialise(dealt.mapInArrow(_links_of_buckets, "u long, v long").distinct(), "likely")
+    likely = materialise(dealt.mapInArrow(_links_of_buckets(least_equal(similarity)), "u long, v long").distinct(), "likely")
 
     named = texts.select("set_id", "hash", "check")
     clusters = components(likely).select(F.col("node").alias("set_id"), F.col("component").alias("cluster")).join(named, "set_id")
