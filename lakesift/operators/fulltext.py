@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -18,6 +19,8 @@ from lakesift.functions.porter import stem
 from lakesift.functions.text import NOT_TOKEN, tokens
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Postings are stored by levels of their weight in a score: so many levels a unit, at a usual length in tokens.
+LEVELS, USUAL_LENGTH = 8, 300.0
 
 
 class QuerySyntaxError(ValueError):
@@ -209,16 +212,95 @@ def _scored(counted: DataFrame, total: DataFrame, wanted: Phrase | Op, names: di
     return hits.crossJoin(F.broadcast(total)).withColumn("raw_score", -score).drop("dl", "n_rows", "avgdl", *names.values(), *[f"n_{n}" for n in names.values()])
 
 
-def bm25_indexed(index: DataFrame, lengths: DataFrame, wanted: Phrase | Op, key: str = "chunk_id") -> DataFrame:
-    """key and raw_score of the matching rows, as by ``bm25``, from the inverted index and ``lengths`` (key, dl).
+def bm25_indexed(index: DataFrame, total: DataFrame, wanted: Phrase | Op, key: str = "chunk_id") -> DataFrame:
+    """key and raw_score of the matching rows, as by ``bm25``, from the inverted index and ``total``: one row with n_rows and avgdl,
+    or rows with their lengths dl.
 
     Only the postings of the query's terms are read, not the tokens of all rows.
     """
+    if "dl" in total.columns:
+        total = total.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
     names = {p: f"f{k}" for k, p in enumerate(wanted.phrases())}
-    found = reduce(lambda a, b: a.join(b, key, "full_outer"), [phrase_rows(index, p, key).withColumnRenamed("f", n) for p, n in names.items()]).fillna(0, list(names.values()))
+    found = reduce(lambda a, b: a.join(b, key, "full_outer").withColumn("dl", F.coalesce("dl", "__dl")).drop("__dl"), [phrase_rows(index, p, key).withColumnsRenamed({"f": n} | ({"dl": "__dl"} if k else {})) for k, (p, n) in enumerate(names.items())]).fillna(0, list(names.values()))
     found = materialise(found, "phrase-rows")
-    total = lengths.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl")).crossJoin(found.agg(*[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names.values()]))
-    return _scored(found.join(lengths, key), total, wanted, names)
+    total = total.crossJoin(found.agg(*[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names.values()]))  # two single rows
+    return _scored(found, total, wanted, names)
+
+
+def alternatives(wanted: Phrase | Op) -> dict[Phrase, int] | None:
+    """The words of a query that asks for any of some words, each with how often it stands there; None for any other query."""
+    if isinstance(wanted, Phrase):
+        return {wanted: 1} if len(wanted.words) == 1 and not wanted.first else None
+    sides = [alternatives(wanted.left), alternatives(wanted.right)]
+    if wanted.kind != "OR" or None in sides:
+        return None
+    return {p: sum(side.get(p, 0) for side in sides) for p in [*sides[0], *sides[1]]}
+
+
+@dataclass(frozen=True)
+class TermCounts:
+    """A term's rows by level, of a corpus of n_rows rows with avgdl tokens on average."""
+
+    levels: dict[int, int]
+    n_rows: int
+    avgdl: float
+
+    @property
+    def idf(self) -> float:
+        n = sum(self.levels.values())
+        found = math.log((self.n_rows - n + 0.5) / (n + 0.5))
+        return found if found > 0 else IDF_FLOOR
+
+    def _bounds(self, usual: float) -> tuple[float, float]:
+        """The least and the most that a weight of ``usual`` at the usual length can be at this average length.
+
+        Both depend on how much of a weight comes from f: at most from f = 1, at least from a very large f.
+        """
+        if usual <= 0:
+            return 0.0, 0.0
+        ratio, rest = self.avgdl / USUAL_LENGTH, max((K1 + 1) / usual - 1, 0.0)
+        own = [(K1 + 1) / (1 + rest / ratio + g * (1 - 1 / ratio)) for g in (0.0, min(K1 * (1 - B), rest))]
+        return min(own) * (1 - 1e-9), max(own) * (1 + 1e-9)
+
+    def reached(self, k: int) -> float:
+        """A weight that at least k rows reach; 0 where the term has fewer rows."""
+        left = k
+        for level in sorted(self.levels, reverse=True):
+            left -= self.levels[level]
+            if left <= 0:
+                return self._bounds(level / LEVELS)[0]
+        return 0.0
+
+    @property
+    def most(self) -> float:
+        """A weight that no row exceeds."""
+        return self._bounds((max(self.levels, default=-1) + 1) / LEVELS)[1]
+
+    def level_of(self, least: float) -> int:
+        """The lowest level in which a row can have a weight of ``least``."""
+        return next((level for level in range(math.ceil((K1 + 1) * LEVELS)) if self._bounds((level + 1) / LEVELS)[1] >= least), math.ceil((K1 + 1) * LEVELS))
+
+
+def best_of_levels(index: DataFrame, counts: dict[str, TermCounts], times: dict[str, int], k: int, key: str = "chunk_id") -> DataFrame:
+    """key and raw_score of rows among which are the k best for any of some terms; rows that can't be among them are skipped by level.
+
+    ``counts`` are those of the rows of ``index``. k rows reach the score that the best term gives at the level where it has k rows. A row that gets
+    less than its share of that from each term is not among them; a term's share follows the most that it can give. Of one term only
+    the levels above are read; of several, the few rows found there are scored by all their terms.
+    """
+    idf = {w: c.idf * times[w] for w, c in counts.items()}
+    bound = max((idf[w] * c.reached(k) for w, c in counts.items()), default=0.0)
+    most = {w: idf[w] * c.most for w, c in counts.items()}
+    everything = sum(most.values()) or 1.0
+    cuts = {w: c.level_of(bound * most[w] / everything / idf[w]) for w, c in counts.items()}
+    high = reduce(lambda a, b: a | b, [(F.col("term") == w) & (F.col("level") >= cut) for w, cut in cuts.items()])
+    rows = index.where(high)
+    if len(counts) > 1:
+        found = materialise(rows.select(key).distinct(), "candidates")
+        rows = index.where(F.col("term").isin(*counts)).join(found, key, "left_semi")
+    factor = reduce(lambda a, w: a.when(F.col("term") == w, idf[w]), list(counts), F)
+    avgdl = next(iter(counts.values())).avgdl
+    return rows.select(key, (factor * weight(F.size("positions").cast("double"), F.col("dl"), avgdl)).alias("part")).groupBy(key).agg((-F.sum("part")).alias("raw_score"))
 
 
 def top(rows: DataFrame, n: int, score: str = "raw_score", *ties: str) -> DataFrame:
@@ -242,7 +324,7 @@ def early(scored: DataFrame, threshold: float = 0.85, gap: float = 0.15) -> Data
 
 
 def postings(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """term, key, positions: the inverted index of ``rows`` (key, tokens)."""
+    """term, key, positions, dl: the inverted index of ``rows`` (key, tokens), with the length of each row at each of its terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # each text's terms and places are put together where the text is: nothing moves
@@ -257,29 +339,57 @@ def postings(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
             row, term, place = row[order], term[order], place[order]
             first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])) if len(row) else np.empty(0, dtype=np.int64)
             bounds = pa.array(np.concatenate([first, [len(row)]]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[first])), batch.column(0).take(pa.array(row[first])), pa.ListArray.from_arrays(bounds, pa.array(place.astype(np.int32)))], ["term", key, "positions"])
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[first])), batch.column(0).take(pa.array(row[first])), pa.ListArray.from_arrays(bounds, pa.array(place.astype(np.int32))), pa.array(sizes[row[first]].astype(np.int32))], ["term", key, "positions", "dl"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "tokens").mapInArrow(run, f"term string, {key} {kind}, positions array<int>")
+    return rows.select(key, "tokens").mapInArrow(run, f"term string, {key} {kind}, positions array<int>, dl int")
+
+
+def weight(f: Column, dl: Column, avgdl: Column | float) -> Column:
+    """What f occurrences in a text of dl tokens add to a score, before the term's idf: grows with f, falls with dl, below K1 + 1."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
+
+
+def with_levels(index: DataFrame) -> DataFrame:
+    """``index`` with the level of each posting's weight at the usual length."""
+    return index.withColumn("level", F.floor(weight(F.size("positions").cast("double"), F.col("dl"), USUAL_LENGTH) * LEVELS).cast("int"))
 
 
 def by_term(index: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Range-partitioned and sorted by term, for writing: a reader of a few terms opens few row groups. Frequent terms spread over several files."""
-    by = [F.col("term"), F.xxhash64(index.columns[1])]
+    """Range-partitioned and sorted by term and, where there are levels, from the highest on, for writing: a reader of a few terms
+    and their high levels opens few row groups and pages. Frequent terms spread over several files."""
+    order = [F.col("term"), *([F.desc("level")] if "level" in index.columns else [])]
+    by = [*order, F.xxhash64(index.columns[1])]
     spread = index.repartitionByRange(partitions, *by) if partitions else index.repartitionByRange(*by)
-    return spread.sortWithinPartitions("term")
+    return spread.sortWithinPartitions(*order)
 
 
-def phrase_rows(index: DataFrame, wanted: Phrase, key: str = "chunk_id") -> DataFrame:
-    """key and f (occurrences) of a phrase from the index: only its terms' postings are read."""
-    terms = [F.startswith("term", F.lit(w)) if wanted.prefix and k == len(wanted.words) - 1 else F.col("term") == w for k, w in enumerate(wanted.words)]
-    out = index.where("false").select(key, F.lit(0).alias("at")) if not terms else None
-    for k, condition in enumerate(terms):
-        own = index.where(condition).select(key, F.explode("positions").alias("place")).select(key, (F.col("place") - k).alias("at"))
-        out = own if out is None else out.join(own, [key, "at"])
+def phrase_places(index: DataFrame, wanted: Phrase, key: str = "chunk_id") -> DataFrame:
+    """key, dl and the sorted places at which a phrase begins: only its terms' postings are read.
+
+    Each word gives a row for each text that has it; the words' places are intersected inside the rows, so a frequent word
+    costs its postings, and no more.
+    """
+    out = index.where("false").select(key, "dl", F.col("positions").alias("places")) if not wanted.words else None
+    for k, word in enumerate(wanted.words):
+        if wanted.prefix and k == len(wanted.words) - 1:
+            own = index.where(F.startswith("term", F.lit(word))).groupBy(key).agg(F.first("dl").alias("dl"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("places"))
+        else:
+            own = index.where(F.col("term") == word).select(key, "dl", F.col("positions").alias("places"))
+        own = own.withColumn("places", _moved("places", k))
+        out = own if out is None else out.join(own.select(key, F.col("places").alias("__more")), key).withColumn("places", F.array_intersect("places", "__more")).drop("__more").where(F.size("places") > 0)
     if wanted.first:
-        out = out.where("at = 0")
-    return out.groupBy(key).agg(F.count("*").alias("f"))
+        out = out.withColumn("places", F.filter("places", lambda p: p == 0)).where(F.size("places") > 0)
+    return out
+
+
+def _moved(places: str, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
+
+
+def phrase_rows(index: DataFrame, wanted: Phrase, key: str = "chunk_id") -> DataFrame:
+    """key, dl and f (occurrences) of a phrase from the index."""
+    return phrase_places(index, wanted, key).select(key, "dl", F.size("places").cast("long").alias("f"))
 
 
 def ranks(rows: DataFrame, name: str, *order) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from lakesift.blocks import materialise
 from lakesift.functions.text import content_hash, heading, stem, tokens
-from lakesift.operators import fulltext, lifecycle
+from lakesift.operators import fulltext, lifecycle, statistics
 from lakesift.operators.chunking import chunk_documents
 from lakesift.providers import Embedder, embed_rows
 from lakesift.schema import COLLECTIONS, Settings
@@ -74,7 +74,9 @@ def add_documents(store: Store, files: DataFrame, collection: str, now: str) ->
         new = new.join(existing.where("active").select("collection", "path", "hash", "modified_at"), ["collection", "path", "hash", "modified_at"], "left_anti")
         before = existing.join(new.select("collection", "path"), ["collection", "path"], "left_semi")
         merged = lifecycle.upsert(before, new, ["collection", "path"], ["id", "created_at"])
-        store.append(changed | {"content": fresh, "documents": merged}, {"documents": before.select("id")})
+        after = existing.where("active").join(before.select("id"), "id", "left_anti").select("hash").unionByName(new.select("hash"))
+        rows, gone = statistics.of_change(store, before.select("hash").unionByName(new.select("hash")), after)
+        store.append(changed | {"content": fresh, "documents": merged} | rows, {"documents": before.select("id")} | gone)
     finally:
         marked.unpersist()
     return {s: counts.get(s, 0) for s in ("added", "updated", "unchanged")}
@@ -100,14 +102,25 @@ def index_documents(store: Store, model: Embedder | Callable[[], Embedder], sett
         cut = chunk_documents(texts, target=c.target_chars, overlap=c.overlap_chars, least=c.min_chars)
         replaced = store.table("chunks").join(todo, "content_hash", "left_semi").select("chunk_id").persist()
         had = replaced.limit(1).count() > 0
+        # what the chunks that go were counted for is taken away again
+        counted = store.table("chunks").join(todo.join(store.table("counted"), "content_hash", "left_semi"), "content_hash", "left_semi").select("chunk_id")
+        less = materialise(statistics.term_counts(store.table("tokens").join(counted, "chunk_id", "left_semi"), -1), "less") if had else None
         # chunks are written first and read back: chunking runs once
         store.append({"chunks": cut.withColumns({"chunk_id": F.xxhash64("content_hash", "seq")} | stamp)}, {"chunks": replaced} if had else {})
         new = store.table("chunks").join(todo, "content_hash", "left_semi")
         with_text = new.join(store.table("content"), F.col("hash") == F.col("content_hash")).select("chunk_id", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text"))
         words = fulltext.with_stems(with_text.select("chunk_id", tokens(F.col("text")).alias("tokens"))).withColumn("dl", F.size("tokens"))
         counted = todo.join(new.groupBy("content_hash").agg(F.count("*").alias("n_chunks")), "content_hash", "left").fillna(0, ["n_chunks"]).withColumns(stamp)
-        written = {"vectors": embed_rows(with_text, model, batch=settings.embedding.batch), "tokens": words, "postings": fulltext.by_term(fulltext.postings(words)), "indexed": counted}
-        store.append(written, ({k: replaced for k in ("vectors", "tokens", "postings")} if had else {}) | {"indexed": todo})
+        live = todo.join(documents.where("active").select(F.col("hash").alias("content_hash")), "content_hash", "left_semi")
+        of_live = new.join(live, "content_hash", "left_semi").select("chunk_id")
+        words = materialise(words, "words")
+        more = statistics.term_counts(words.join(of_live, "chunk_id", "left_semi"))
+        more = more if less is None else more.unionByName(less)
+        written = {"vectors": embed_rows(with_text, model, batch=settings.embedding.batch), "tokens": words, "postings": fulltext.by_term(fulltext.with_levels(fulltext.postings(words))), "indexed": counted,
+                   "statistics": more.repartitionByRange("term").sortWithinPartitions("term", "level"), "counted": live}
+        if doc_id is not None:  # a document that isn't active can be indexed by its id
+            written["dead"] = new.join(live, "content_hash", "left_anti").select("chunk_id")
+        store.append(written, ({k: replaced for k in ("vectors", "tokens", "postings", "dead")} if had else {}) | {"indexed": todo} | ({"counted": todo} if had else {}))
         replaced.unpersist()
         return {"indexed": done, "skipped": total - done, "chunks_written": new.count()}
     finally:
@@ -160,7 +173,9 @@ def _deactivate(store: Store, hit: DataFrame, now: str) -> int:
     try:
         n = hit.count()
         if n:
-            store.append({"documents": lifecycle.soft_delete(hit, F.lit(True), F.lit(now).cast("timestamp"))}, {"documents": hit.select("id")})
+            after = store.table("documents").where("active").join(hit.select("id"), "id", "left_anti")
+            rows, gone = statistics.of_change(store, hit.select("hash"), after.select("hash"))
+            store.append({"documents": lifecycle.soft_delete(hit, F.lit(True), F.lit(now).cast("timestamp"))} | rows, {"documents": hit.select("id")} | gone)
         return n
     finally:
         hit.unpersist()
@@ -188,8 +203,8 @@ def purge(store: Store, before: str, dry_run: bool = False, keep_versions: int =
         chunks = materialise(out["doomed_chunks"].select("chunk_id"), "doomed-chunks")
         texts = materialise(out["orphans"].select("hash"), "orphans")
         documents = materialise(out["doomed"].select("id"), "doomed")
-        store.append(gone={"documents": documents, "content": texts, "indexed": texts.withColumnRenamed("hash", "content_hash")} | {k: chunks for k in ("chunks", "vectors", "tokens", "postings")})
-        store.compact("documents", "content", "indexed", "chunks", "vectors", "tokens", "postings")
+        store.append(gone={"documents": documents, "content": texts, "indexed": texts.withColumnRenamed("hash", "content_hash")} | {k: chunks for k in ("chunks", "vectors", "tokens", "postings", "dead")})
+        store.compact("documents", "content", "indexed", "chunks", "vectors", "tokens", "postings", "statistics", "dead")
         store.vacuum(keep_versions)
     return counts
 

@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.operators import fulltext, lifecycle, retrieval
+from lakesift.operators import fulltext, lifecycle, retrieval, statistics
 from lakesift.providers import Embedder, OverlapScorer, PairScorer, Writer, loaded, score_rows
 from lakesift.schema import CACHE, Settings
 from lakesift.store import Store
@@ -55,22 +55,34 @@ def variants(query: str, reply: str) -> str:
     return " OR ".join(f'"{x.replace(chr(34), chr(34) * 2)}"*' for x in [query, *lines])
 
 
-def chunks_of(store: Store, collection: str | None = None) -> DataFrame:
-    """Each live chunk once, with the document of the smallest id that holds its text."""
+def left_out(store: Store) -> list[str]:
+    """Collections that a search which names none leaves out."""
+    return [r["name"] for r in store.table("store_collections").where("not include_by_default").select("name").collect()]
+
+
+def chunks_of(store: Store, collection: str | None = None, without: list[str] | None = None) -> DataFrame:
+    """Each live chunk once, with the document of the smallest id that holds its text, among those of a collection, or of all but some."""
     documents = store.table("documents").where("active")
     if collection is not None:
         documents = documents.where(F.col("collection") == collection)
+    elif without:
+        documents = documents.where(~F.col("collection").isin(*without))
     shown = documents.groupBy("hash").agg(F.min(F.struct("id", "title", "collection", "path")).alias("d"))
     return store.table("chunks").join(shown, F.col("content_hash") == F.col("hash")).select("chunk_id", "content_hash", "seq", "pos", "len", "section_path", "chunk_type", F.col("d.id").alias("doc_id"), F.col("d.title").alias("title"), F.col("d.collection").alias("collection"))
 
 
 def text_search(store: Store, query: str, count: int, settings: Settings, collection: str | None = None) -> DataFrame:
-    """The best ``count`` chunks by BM25 with score from 0 to 1. Statistics cover all live chunks."""
-    live = chunks_of(store).select("chunk_id")
-    # the postings of the query's terms and the chunks' lengths; the tokens themselves stay unread
-    scored = fulltext.bm25_indexed(store.table("postings").join(live, "chunk_id", "left_semi"), store.table("tokens").select("chunk_id", "dl").join(live, "chunk_id", "left_semi"), fulltext.query(query, stemmed=True))
-    hits = scored if collection is None else scored.join(chunks_of(store, collection).select("chunk_id"), "chunk_id", "left_semi")
-    fetched = fulltext.min_max(fulltext.top(hits, count * 5, "raw_score", "chunk_id"))
+    """The best ``count`` chunks by BM25 with score from 0 to 1. Statistics cover all live chunks, and are those that the store keeps."""
+    wanted = fulltext.query(query, stemmed=True)
+    without = left_out(store) if collection is None else []
+    if collection is None and not without and statistics.stored(store):
+        hits = statistics.best(store, wanted, count * 5)
+    else:
+        index = statistics.live_postings(store)
+        total = statistics.corpus(store) if statistics.stored(store) else store.table("tokens").select("chunk_id", "dl").join(chunks_of(store).select("chunk_id"), "chunk_id", "left_semi")
+        scored = fulltext.bm25_indexed(index, total, wanted)
+        hits = fulltext.top(scored.join(chunks_of(store, collection, without).select("chunk_id"), "chunk_id", "left_semi"), count * 5, "raw_score", "chunk_id")
+    fetched = fulltext.min_max(hits)
     return fetched.orderBy("raw_score", "chunk_id").limit(count)
 
 
@@ -78,7 +90,7 @@ def hybrid(store: Store, query: str, vector: list[float], count: int, settings:
     """chunk_id, bm25_rank, vector_rank, rrf_score of the fused best of both sources."""
     n = count * settings.search.candidates
     words = fulltext.ranks(text_search(store, query, n, settings, collection), "bm25_rank", "raw_score", "chunk_id").select("chunk_id", "bm25_rank")
-    live = chunks_of(store, collection).select("chunk_id")
+    live = chunks_of(store, collection, left_out(store) if collection is None else []).select("chunk_id")
     near = retrieval.nearest(store.table("vectors").join(live, "chunk_id", "left_semi").select("chunk_id", "embedding"), vector, n)
     return retrieval.fuse(words, fulltext.ranks(near, "vector_rank", "distance", "chunk_id").select("chunk_id", "vector_rank"), k=settings.search.rrf_k).limit(count)
 
@@ -94,6 +106,7 @@ def search(store: Store, query: str, embedder: Embedder | Callable[[], Embedder]
     settings = settings or Settings()
     count, say = count or settings.search.default_count, log or (lambda *_: None)
     version = [x for x in sorted(store.parts().items()) if x[0] != "cache"]
+    without = left_out(store) if collection is None else []
     scorer = loaded(reranker).name if reranker else None
     key = key_of([version, query, collection, count, context, model.name if model is not None else None, scorer, asdict(settings)])
     kept = cached(store, key, "search", now)
@@ -107,7 +120,7 @@ def search(store: Store, query: str, embedder: Embedder | Callable[[], Embedder]
         say("text", len(scores))
         if scores and scores[0] >= s.bm25_threshold and (len(scores) == 1 or scores[0] - scores[1] >= s.bm25_gap):
             say("early", True)
-            return shown(store, first.select("chunk_id", "score"), collection, context=False)
+            return shown(store, first.select("chunk_id", "score"), collection, context=False, without=without)
     finally:
         first.unpersist()
     words, asked = query, query
@@ -122,9 +135,9 @@ def search(store: Store, query: str, embedder: Embedder | Callable[[], Embedder]
         results = best.where(F.col("hybrid_rank") <= count).withColumn("score", F.col("rrf_score"))
     else:
         few = best.where(F.col("hybrid_rank") <= s.rerank * count)
-        scored = score_rows(with_text(store, few, chunks_of(store, collection)), query, reranker)
+        scored = score_rows(with_text(store, few, chunks_of(store, collection, without)), query, reranker)
         results = retrieval.rerank(few.join(scored, "chunk_id"), F.col("rerank_score"), count)
-    rows = shown(store, results.select("chunk_id", "score", "bm25_rank", "vector_rank"), collection, context)
+    rows = shown(store, results.select("chunk_id", "score", "bm25_rank", "vector_rank"), collection, context, without)
     if rows:
         remember(store, key, "search", json.dumps(rows), now, s.cache_ttl_hours)
     return rows
@@ -136,8 +149,8 @@ def with_text(store: Store, rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return own.join(store.table("content").select("hash", "doc"), F.col("hash") == F.col("content_hash")).withColumn("text", F.substring("doc", F.col("pos") + 1, F.col("len"))).drop("doc", "hash")
 
 
-def shown(store: Store, results: DataFrame, collection: str | None, context: bool) -> list[dict]:
-    rows = with_text(store, results, chunks_of(store, collection)).withColumnRenamed("text", "excerpt")
+def shown(store: Store, results: DataFrame, collection: str | None, context: bool, without: list[str] | None = None) -> list[dict]:
+    rows = with_text(store, results, chunks_of(store, collection, without)).withColumnRenamed("text", "excerpt")
     if context:
         near = store.table("chunks").join(rows.select("content_hash").distinct(), "content_hash", "left_semi").join(store.table("content").select("hash", "doc"), F.col("hash") == F.col("content_hash")).select("content_hash", "seq", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text"))
         rows = retrieval.with_context(rows, near)

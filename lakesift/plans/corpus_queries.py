@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakesift.blocks import work_dir
 from lakesift.functions import text as tx
-from lakesift.operators import chunking, fulltext, ingest, lifecycle, retrieval, search
+from lakesift.operators import chunking, fulltext, ingest, lifecycle, retrieval, search, statistics
 from lakesift.plans.tables import table, texts
 from lakesift.providers import HashingEmbedder, words_of
 from lakesift.schema import Settings
@@ -152,11 +152,30 @@ def chunk_context(spark, sf_dir):
 def search_index(spark, sf_dir):
     """Scores of all chunks for a phrase, from the stored index: how many have each."""
     store = filled(spark, sf_dir)
-    live = search.chunks_of(store).select("chunk_id")
-    scored = fulltext.bm25_indexed(store.table("postings").join(live, "chunk_id", "left_semi"), store.table("tokens").select("chunk_id", "dl").join(live, "chunk_id", "left_semi"), fulltext.query("of the", stemmed=True))
+    scored = fulltext.bm25_indexed(statistics.live_postings(store), statistics.corpus(store), fulltext.query("of the", stemmed=True))
     return scored.select(F.round(-F.col("raw_score"), 6).alias("raw_score")).groupBy("raw_score").agg(F.count("*").alias("n"))
 
 
+_LEVEL = "floor(f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / 300.0)) * 8)::INT"
+
+
+@query(_CHUNKS + f""", r AS (SELECT hash, seq, {_TOKENS.format('text')} AS tokens FROM ch), f AS (SELECT len(tokens) AS dl, len(list_filter(tokens, lambda t: t = 'und')) AS f0, len(list_filter(tokens, lambda t: t = 'que')) AS f1 FROM r),
+ x AS (SELECT count(*) AS nr, avg(dl) AS avgdl, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM f),
+ z AS (SELECT greatest(ln((nr - n0 + 0.5) / (n0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / avgdl)) + greatest(ln((nr - n1 + 0.5) / (n1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS b FROM f, x WHERE f0 > 0 OR f1 > 0)
+ SELECT round(b, 6) AS raw_score, count(*) AS n FROM (SELECT b FROM z ORDER BY b DESC LIMIT 100) GROUP BY 1""")
+def stored_best(spark, sf_dir):
+    """The 100 best chunks for either of two words, from the stored counts and the high levels of their postings: how many have each score."""
+    found = statistics.best(filled(spark, sf_dir), fulltext.query('"und" OR "que"', stemmed=True), 100)
+    return found.select(F.round(-F.col("raw_score"), 6).alias("raw_score")).groupBy("raw_score").agg(F.count("*").alias("n"))
+
+
+@query(_CHUNKS + f", r AS (SELECT {_TOKENS.format('text')} AS tokens FROM ch), f AS (SELECT len(tokens) AS dl, len(list_filter(tokens, lambda t: t = 'und')) AS f FROM r) SELECT 'und' AS term, {_LEVEL} AS level, count(*) AS n_docs, sum(f)::BIGINT AS n FROM f WHERE f > 0 GROUP BY 2 UNION ALL SELECT '', -1, count(*), sum(dl)::BIGINT FROM f")
+def stored_counts(spark, sf_dir):
+    """The stored counts of one word by level, and of all chunks."""
+    own = filled(spark, sf_dir).table("statistics").where("term in ('und', '')")
+    return own.groupBy("term", "level").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+
+
 @query("SELECT source || '/doc-' || doc_id || '.md' AS path, sha256(text) AS text_hash FROM documents WHERE doc_id % 10 = 7 AND source LIKE 'src1%' AND NOT starts_with(source, 'src12')")
 def vault_files(spark, sf_dir):
     """The documents as files, written by tasks, and read again by a pattern with a folder, without those of an ignored folder."""

@@ -141,7 +141,7 @@ def postings_index(spark, sf_dir):
 
 @query(f"SELECT chunk_id, f FROM (SELECT chunk_id, {_count('of', 'the')} AS f FROM ({_ROWS})) WHERE f > 0")
 def postings_phrase(spark, sf_dir):
-    return fulltext.phrase_rows(fulltext.postings(_rows(spark, sf_dir)), fulltext.phrase("of the"))
+    return fulltext.phrase_rows(fulltext.postings(_rows(spark, sf_dir)), fulltext.phrase("of the")).select("chunk_id", "f")
 
 
 @query(_bm25({"f0": _count("of", "the", prefix=True), "f1": _count("der")}, "f0 > 0 OR f1 > 0") + " SELECT chunk_id, round(raw_score, 6) AS raw_score FROM b")

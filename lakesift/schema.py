@@ -12,12 +12,18 @@ DOCUMENTS = "id bigint, collection string, path string, title string, hash strin
 CHUNKS = "chunk_id bigint, content_hash string, seq int, pos int, len int, model string, section_path string, chunk_type string, language string, embedded_at timestamp, params string"
 VECTORS = "chunk_id bigint, model string, embedding array<float>"
 TOKENS = "chunk_id bigint, dl int, tokens array<string>"
-POSTINGS = "term string, chunk_id bigint, positions array<int>"
+POSTINGS = "term string, chunk_id bigint, positions array<int>, dl int, level int"
+#: Counts of live chunks by term and level, as deltas; the empty term has the number of chunks and of their tokens.
+STATISTICS = "term string, level int, n_docs bigint, n bigint"
+COUNTED = "content_hash string"
+DEAD = "chunk_id bigint"
 INDEXED = "content_hash string, model string, params string, n_chunks bigint, embedded_at timestamp"
 CACHE = "hash string, type string, result string, created_at timestamp, expires_at timestamp"
-TABLES = {"content": CONTENT, "store_collections": COLLECTIONS, "documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS, "tokens": TOKENS, "postings": POSTINGS, "indexed": INDEXED, "cache": CACHE}
+TABLES = {"content": CONTENT, "store_collections": COLLECTIONS, "documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS, "tokens": TOKENS, "postings": POSTINGS, "indexed": INDEXED, "cache": CACHE, "statistics": STATISTICS, "counted": COUNTED, "dead": DEAD}
 #: What names a row of each table: deletions are kept by it.
-KEYS = {"content": "hash", "store_collections": "name", "documents": "id", "chunks": "chunk_id", "vectors": "chunk_id", "tokens": "chunk_id", "postings": "chunk_id", "indexed": "content_hash", "cache": "hash"}
+KEYS = {"content": "hash", "store_collections": "name", "documents": "id", "chunks": "chunk_id", "vectors": "chunk_id", "tokens": "chunk_id", "postings": "chunk_id", "indexed": "content_hash", "cache": "hash", "statistics": "term", "counted": "content_hash", "dead": "chunk_id"}
+#: Tables whose rows are deltas: what they sum by, and what is summed. Putting parts together adds them up.
+SUMMED = {"statistics": (["term", "level"], ["n_docs", "n"])}
 
 
 @dataclass(frozen=True)

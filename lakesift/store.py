@@ -6,8 +6,9 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakesift.schema import KEYS, TABLES
+from lakesift.schema import KEYS, SUMMED, TABLES
 
 #: Deletions that a table may carry before a write puts it together anew.
 MOST_DELETIONS = 8
@@ -42,7 +43,7 @@ class Store:
         """The parts of each table, oldest first: path and gone (whether it holds keys)."""
         stream = self.fs.open(self._jvm_path(f"{self.path}/versions/{self.version if version is None else version}.json"))
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return {name: [] for name in TABLES} | json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
@@ -102,9 +103,21 @@ class Store:
         """Write tables anew as one part each, without what is gone."""
         n, parts = self.version + 1, self.parts()
         for name in names or TABLES:
-            parts[name] = [self._write(name, self.table(name), n, False)] if parts[name] else []
+            parts[name] = [self._write(name, self._together(name, self.table(name)), n, False)] if parts[name] else []
         return self._publish(parts, n)
 
+    @staticmethod
+    def _together(name: str, rows: DataFrame) -> DataFrame:
+        """Rows as they are put together: deltas are added up, and the index is in the order of its terms."""
+        if name in SUMMED:
+            by, sums = SUMMED[name]
+            total = rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+            return total.where(" or ".join(f"{c} != 0" for c in sums)).repartitionByRange(by[0]).sortWithinPartitions(*by)
+        if name == "postings":
+            order = [F.col("term"), F.desc("level")]
+            return rows.repartitionByRange(*order, F.xxhash64("chunk_id")).sortWithinPartitions(*order)
+        return rows
+
     def vacuum(self, keep: int = 1) -> int:
         """Delete all versions but the last ``keep``, and the parts that none of those names; how many parts went."""
         last = self.versions()[-keep:]

@@ -183,5 +183,5 @@ def test_command_line_flags(filled, spark, tmp_path):
 
 def test_postings_keep_places(spark):
     rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["a"])], "chunk_id long, tokens array<string>")
-    assert sorted(tuple(r) for r in fulltext.postings(rows).collect()) == [("a", 1, [1]), ("a", 4, [0]), ("b", 1, [0, 2])]
+    assert sorted(tuple(r) for r in fulltext.postings(rows).collect()) == [("a", 1, [1], 3), ("a", 4, [0], 1), ("b", 1, [0, 2], 3)]
     assert [r["tokens"] for r in fulltext.with_stems(spark.createDataFrame([(1, ["running", "runs"]), (2, None)], "chunk_id long, tokens array<string>")).collect()] == [["run", "run"], []]
