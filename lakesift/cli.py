@@ -16,6 +16,10 @@ from lakesift.store import Store
 from lakesift.streaming.watch import watch, watch_folder
 
 
+#: Cells of a result's bar.
+BAR = 5
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lakesift")
     top.add_argument("--store", required=True)
@@ -38,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--json", action="store_true")
     p.add_argument("--no-rerank", action="store_true")
     p.add_argument("--context", action=argparse.BooleanOptionalAction, default=True, help="show the chunks before and after")
+    p.add_argument("--embedder", help="name of the embedding model of the server at --host; without it, the one that the index was made with")
     p.add_argument("--no-expand", action="store_true", help="ask no model for other wordings")
     p.add_argument("--model", help="name of a language model of the server at --host, which words the query anew")
     p.add_argument("--host", default="http://localhost:11434")
@@ -76,13 +81,23 @@ def age(text: str) -> timedelta:
     return timedelta(days=int(n) * (7 if unit == "w" else 1))
 
 
+def embedder_of(store: Store, asked: str | None, host: str, width: int):
+    """The model to embed queries with: the one asked for, or the index's own."""
+    own = HashingEmbedder(width)
+    held = [own.name] if asked else search.models(store)
+    name = asked or (own.name if own.name in held or not held else held[0])
+    if name.startswith("hashing-") and name[8:].isdigit():
+        return HashingEmbedder(int(name[8:]))
+    return ServedModel(name, host)
+
+
 def line_of(place: int, row: dict) -> str:
     """A result as text: its place, a bar of its score, title and section, where its ranks come from, and its beginning."""
     share = max(0.0, min(1.0, (row["score"] + 10) / 20))
-    full = round(share * 10)
+    full = round(share * BAR)
     ranks = " ".join(f"{name} #{row[k]}" for k, name in (("bm25_rank", "text"), ("vector_rank", "vector")) if row.get(k) is not None)
     shown = row.get("context") or row["excerpt"]
-    return f"[{place}] {'█' * full}{'░' * (10 - full)} {row['score']:.3f}  {row['title']} {('> ' + row['section_path']) if row['section_path'] else ''} ({row['collection']}{', ' + ranks if ranks else ''})\n    {' '.join(shown[:200].split())}"
+    return f"[{place}] {'█' * full}{'░' * (BAR - full)} {row['score']:.3f}  {row['title']} {('> ' + row['section_path']) if row['section_path'] else ''} ({row['collection']}{', ' + ranks if ranks else ''})\n    {' '.join(shown[:200].split())}"
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> object:
@@ -102,7 +117,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
         out = ingest.index_documents(store, ServedModel(a.model, a.host) if a.model else embedder, settings, stamp, a.doc_id)
     elif a.command == "search":
         model = ServedModel(a.model, a.host) if a.model and not a.no_expand else None
-        rows = search.search(store, a.query, embedder, stamp, settings, model, count=a.count, collection=a.collection, context=a.context, log=(lambda k, v: print(f"{k}: {v}")) if a.verbose else None, **({"reranker": False} if a.no_rerank else {}))
+        rows = search.search(store, a.query, embedder_of(store, a.embedder, a.host, settings.embedding.dimensions), stamp, settings, model, count=a.count, collection=a.collection, context=a.context, log=(lambda k, v: print(f"{k}: {v}")) if a.verbose else None, **({"reranker": False} if a.no_rerank else {}))
         out = json.dumps(rows, ensure_ascii=False) if a.json else "\n".join(line_of(i, r) for i, r in enumerate(rows, 1)) or "nothing found"
     elif a.command == "collections":
         if a.action == "add":

@@ -303,6 +303,43 @@ def best_of_levels(index: DataFrame, counts: dict[str, TermCounts], times: dict[
     return rows.select(key, (factor * weight(F.size("positions").cast("double"), F.col("dl"), avgdl)).alias("part")).groupBy(key).agg((-F.sum("part")).alias("raw_score"))
 
 
+def words_of_queries(queries: DataFrame, stemmed: bool = False, query_key: str = "query_id", text: str = "query") -> DataFrame:
+    """query_key, term, times: the words of each query of a table, with how often it has them."""
+    own = queries.select(query_key, tokens(F.col(text)).alias("tokens"))
+    return (with_stems(own) if stemmed else own).select(query_key, F.explode("tokens").alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
+
+
+def bm25_of_many(index: DataFrame, total: DataFrame, held: DataFrame, words: DataFrame, n: int, key: str = "chunk_id", query_key: str = "query_id", small: int = 200_000) -> DataFrame:
+    """query_key, key, raw_score, rank: for each query of ``words`` (query_key, term, times) the n best rows for any of its words, in one scan of the index.
+
+    ``total``: one row with n_rows and avgdl; ``held``: term, n_docs. Each posting of a query's word gives one number, which is added
+    up by query and row; a task keeps n rows of a query before the ranks are made. Words go to every task while they are fewer
+    than ``small``; more of them are joined by term.
+    """
+    idf = F.ln((F.col("n_rows") - F.col("n_docs") + 0.5) / (F.col("n_docs") + 0.5))
+    factor = words.join(held, "term").crossJoin(F.broadcast(total)).select(query_key, "term", "avgdl", (F.when(idf <= 0, IDF_FLOOR).otherwise(idf) * F.col("times")).alias("factor"))  # one row of totals
+    factor = materialise(factor, "query-words")
+    if factor.limit(small + 1).count() <= small:
+        factor = F.broadcast(factor)
+    parts = index.join(factor, "term").select(query_key, key, (F.col("factor") * weight(F.size("positions").cast("double"), F.col("dl"), F.col("avgdl"))).alias("part"))
+    # the sum of a row depends on the order of its parts in the last digits: equal texts have equal scores to nine decimals
+    scored = parts.groupBy(query_key, key).agg(F.round(-F.sum("part"), 9).alias("raw_score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy("raw_score", key))).where(F.col("rank") <= n)
+
+
+def min_max_of_many(ranked: DataFrame, query_key: str = "query_id") -> DataFrame:
+    """``ranked`` (few rows of each query) with score from 0 to 1 by query; 1 where all of a query's are equal."""
+    own = Window.partitionBy(query_key)
+    best, worst = F.min("raw_score").over(own), F.max("raw_score").over(own)
+    return ranked.withColumn("score", F.when(best == worst, 1.0).otherwise((F.col("raw_score") - worst) / (best - worst)))
+
+
+def early_of_many(scored: DataFrame, threshold: float, gap: float, query_key: str = "query_id") -> DataFrame:
+    """query_key of the queries whose best of a few scored rows stands far enough before the second."""
+    top_two = scored.where("rank <= 2").groupBy(query_key).agg(F.max("score").alias("first"), F.min("score").alias("second"), F.count("*").alias("k"))
+    return top_two.where((F.col("first") >= threshold) & ((F.col("k") == 1) | (F.col("first") - F.col("second") >= gap))).select(query_key)
+
+
 def top(rows: DataFrame, n: int, score: str = "raw_score", *ties: str) -> DataFrame:
     """The n lowest scores: each task keeps n."""
     return rows.orderBy(score, *ties).limit(n)

@@ -15,7 +15,7 @@ from lakesift.blocks import materialise
 from lakesift.functions.text import content_hash, heading, stem, tokens
 from lakesift.operators import fulltext, lifecycle, statistics
 from lakesift.operators.chunking import chunk_documents
-from lakesift.providers import Embedder, embed_rows
+from lakesift.providers import Embedder, embed_rows, loaded
 from lakesift.schema import COLLECTIONS, Settings
 from lakesift.sources.files import qualified, read_files, write_file
 from lakesift.store import Store
@@ -89,7 +89,7 @@ def index_documents(store: Store, model: Embedder | Callable[[], Embedder], sett
     """
     c = settings.chunking
     params = f"{c.target_chars}/{c.overlap_chars}/{c.min_chars}"
-    name = settings.embedding.model if not isinstance(model, Embedder) else model.name
+    name = loaded(model).name  # the one that its vectors carry, also where a function makes the model
     documents = store.table("documents")
     wanted = documents.where("active" if doc_id is None else F.col("id") == doc_id).select(F.col("hash").alias("content_hash")).distinct().withColumns({"model": F.lit(name), "params": F.lit(params)})
     todo = lifecycle.stale(wanted, store.table("indexed"), ["model", "params"]).select("content_hash").persist()

@@ -17,15 +17,18 @@ MARGIN, PAIRS = 8 * 2.0**-52, 200_000
 
 
 def l2(a: Column, b: Column) -> Column:
-    """Euclidean distance of two arrays of numbers, in double precision."""
+    """Euclidean distance of two arrays of numbers, in double precision; of unlike lengths, or with a null among them, it is an error."""
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
+    total = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
+    fits = F.size(a) == F.size(b)
+    unlike = F.raise_error(F.concat(F.lit("vectors of unlike widths: "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string")))
+    return F.when(a.isNull() | b.isNull() | fits, total).otherwise(unlike.cast("double"))
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "chunk_id") -> DataFrame:
-    """The k nearest rows of ``vectors`` (key, embedding) to one query vector: each task keeps k."""
+    """The k nearest rows of ``vectors`` (key, embedding) to one query vector: each task keeps k. Rows without a vector are left aside; a vector of another width is an error."""
     distance = l2(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))
-    return vectors.withColumn("distance", distance).drop("embedding").orderBy("distance", key).limit(k)
+    return vectors.where("embedding is not null").withColumn("distance", distance).drop("embedding").orderBy("distance", key).limit(k)
 
 
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
@@ -82,6 +85,21 @@ def fuse(by_text: DataFrame, by_vector: DataFrame, key: str = "chunk_id", k: int
     return both.withColumn("rrf_score", parts[0] + parts[1]).orderBy(F.desc("rrf_score"), F.asc_nulls_last("bm25_rank"), F.asc_nulls_last("vector_rank"))
 
 
+def fuse_of_many(by_text: DataFrame, by_vector: DataFrame, n: int, key: str = "chunk_id", query_key: str = "query_id", k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion by query of (query_key, key, bm25_rank) and (query_key, key, vector_rank): the n best of each query with hybrid_rank."""
+    both = by_text.join(by_vector, [query_key, key], "full_outer")
+    parts = [F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0)) for c in ("bm25_rank", "vector_rank")]
+    order = [F.desc("rrf_score"), F.asc_nulls_last("bm25_rank"), F.asc_nulls_last("vector_rank")]
+    fused = both.withColumn("rrf_score", parts[0] + parts[1])
+    return fused.withColumn("hybrid_rank", F.row_number().over(Window.partitionBy(query_key).orderBy(*order))).where(F.col("hybrid_rank") <= n)
+
+
+def rerank_of_many(candidates: DataFrame, count: int, query_key: str = "query_id") -> DataFrame:
+    """The ``count`` best candidates of each query by rerank_score, ties in their order before, numbered by place; score is count - place + 1."""
+    place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("rerank_score"), "hybrid_rank"))
+    return candidates.withColumn("place", place).where(F.col("place") <= count).withColumn("score", (F.lit(count) - F.col("place") + 1).cast("double"))
+
+
 def query_kind(text: Column) -> Column:
     """hyde for a question, rephrase for keywords."""
     q = F.trim(text)

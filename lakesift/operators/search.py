@@ -10,8 +10,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesift.blocks import materialise
 from lakesift.operators import fulltext, lifecycle, retrieval, statistics
-from lakesift.providers import Embedder, OverlapScorer, PairScorer, Writer, loaded, score_rows
+from lakesift.providers import Embedder, OverlapScorer, PairScorer, Writer, embed_rows, loaded, score_pairs, score_rows
 from lakesift.schema import CACHE, Settings
 from lakesift.store import Store
 
@@ -86,12 +87,25 @@ def text_search(store: Store, query: str, count: int, settings: Settings, collec
     return fetched.orderBy("raw_score", "chunk_id").limit(count)
 
 
-def hybrid(store: Store, query: str, vector: list[float], count: int, settings: Settings, collection: str | None = None) -> DataFrame:
-    """chunk_id, bm25_rank, vector_rank, rrf_score of the fused best of both sources."""
+def models(store: Store) -> list[str]:
+    """Names of the models whose vectors the store holds."""
+    return sorted(r["model"] for r in store.table("vectors").select("model").distinct().collect())
+
+
+def vectors_of(store: Store, model: str) -> DataFrame:
+    """chunk_id and embedding of one model's vectors; those of other models can't be compared with its queries."""
+    held = models(store)
+    if held and model not in held:
+        raise ValueError(f"the index has vectors of {', '.join(held)}, not of {model}: search with that model, or index anew")
+    return store.table("vectors").where(F.col("model") == model).select("chunk_id", "embedding")
+
+
+def hybrid(store: Store, query: str, vector: list[float], count: int, settings: Settings, collection: str | None = None, model: str | None = None) -> DataFrame:
+    """chunk_id, bm25_rank, vector_rank, rrf_score of the fused best of both sources; ``vector`` is of ``model``, by default the settings' one."""
     n = count * settings.search.candidates
     words = fulltext.ranks(text_search(store, query, n, settings, collection), "bm25_rank", "raw_score", "chunk_id").select("chunk_id", "bm25_rank")
     live = chunks_of(store, collection, left_out(store) if collection is None else []).select("chunk_id")
-    near = retrieval.nearest(store.table("vectors").join(live, "chunk_id", "left_semi").select("chunk_id", "embedding"), vector, n)
+    near = retrieval.nearest(vectors_of(store, model or settings.embedding.model).join(live, "chunk_id", "left_semi"), vector, n)
     return retrieval.fuse(words, fulltext.ranks(near, "vector_rank", "distance", "chunk_id").select("chunk_id", "vector_rank"), k=settings.search.rrf_k).limit(count)
 
 
@@ -107,8 +121,9 @@ def search(store: Store, query: str, embedder: Embedder | Callable[[], Embedder]
     count, say = count or settings.search.default_count, log or (lambda *_: None)
     version = [x for x in sorted(store.parts().items()) if x[0] != "cache"]
     without = left_out(store) if collection is None else []
-    scorer = loaded(reranker).name if reranker else None
-    key = key_of([version, query, collection, count, context, model.name if model is not None else None, scorer, asdict(settings)])
+    scorer, own = loaded(reranker).name if reranker else None, loaded(embedder)
+    vectors_of(store, own.name)  # before anything is asked: an index of another model is an error
+    key = key_of([version, own.name, query, collection, count, context, model.name if model is not None else None, scorer, asdict(settings)])
     kept = cached(store, key, "search", now)
     if kept is not None:
         say("cache", "hit")
@@ -129,7 +144,7 @@ def search(store: Store, query: str, embedder: Embedder | Callable[[], Embedder]
         reply = ask(store, model, (ANSWER if kind == "hyde" else REPHRASE).format(query=query), now)
         words, asked = (query, reply or query) if kind == "hyde" else (variants(query, reply), query)
         say(kind, reply)
-    fused = hybrid(store, words, [float(x) for x in loaded(embedder).vectors([asked])[0]], count * s.candidates, settings, collection)
+    fused = hybrid(store, words, [float(x) for x in own.vectors([asked])[0]], count * s.candidates, settings, collection, own.name)
     best = fulltext.ranks(fused, "hybrid_rank", F.desc("rrf_score"), F.asc_nulls_last("bm25_rank"), F.asc_nulls_last("vector_rank"))
     if not reranker:
         results = best.where(F.col("hybrid_rank") <= count).withColumn("score", F.col("rrf_score"))
@@ -143,6 +158,53 @@ def search(store: Store, query: str, embedder: Embedder | Callable[[], Embedder]
     return rows
 
 
+def search_many(store: Store, queries: DataFrame, embedder: Embedder | Callable[[], Embedder], settings: Settings | None = None, reranker: Reranker = OverlapScorer, count: int | None = None,
+                collection: str | None = None, context: bool = True) -> DataFrame:
+    """query_id, place, chunk_id, doc_id, title, collection, section_path, chunk_type, score, bm25_rank, vector_rank, excerpt and
+    context of the ``count`` best chunks of each row of ``queries`` (query_id, query): the stages of ``search`` as one plan over all queries.
+
+    A query is taken for any of its words, not as a phrase. Queries whose best text stands far before the second end there, without
+    context; the others are fused with the nearest vectors, reranked, and shown with their neighbours. Query texts are embedded and
+    scored in the tasks; the driver holds nothing of queries or results but a block of query vectors at a time. A null or empty
+    query has its nearest vectors only. ids of queries are different and not null.
+    """
+    settings = settings or Settings()
+    s, count, name = settings.search, count or settings.search.default_count, loaded(embedder).name
+    own = materialise(queries.select("query_id", F.coalesce(F.col("query").cast("string"), F.lit("")).alias("query")), "queries")
+    n = count * s.candidates * s.candidates
+    without = left_out(store) if collection is None else []
+    shown_of = materialise(chunks_of(store, collection, without), "shown")
+    index = statistics.live_postings(store)
+    if collection is not None or without:
+        index = index.join(shown_of.select("chunk_id"), "chunk_id", "left_semi")
+    words = fulltext.words_of_queries(own, stemmed=True)
+    held = store.table("statistics").join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
+    by_text = materialise(fulltext.bm25_of_many(index, statistics.corpus(store), held, words, n), "by-text")
+    few = fulltext.min_max_of_many(by_text.where(F.col("rank") <= count * 5)).where(F.col("rank") <= count)
+    first = materialise(few, "first")
+    early = fulltext.early_of_many(first, s.bm25_threshold, s.bm25_gap)
+    asked = embed_rows(own, embedder, key="query_id", text="query", batch=settings.embedding.batch).select("query_id", F.col("embedding").alias("query_vector"))
+    vectors = vectors_of(store, name).join(shown_of.select("chunk_id"), "chunk_id", "left_semi")
+    near = retrieval.nearest_of_many(vectors, asked.join(early, "query_id", "left_anti"), n)
+    late = by_text.join(early, "query_id", "left_anti").select("query_id", "chunk_id", F.col("rank").alias("bm25_rank"))
+    fused = retrieval.fuse_of_many(late, near.select("query_id", "chunk_id", F.col("rank").alias("vector_rank")), count * s.candidates, k=s.rrf_k)
+    if reranker:
+        best = materialise(fused.where(F.col("hybrid_rank") <= s.rerank * count), "fused")
+        pairs = with_text(store, best, shown_of).join(own, "query_id")
+        ranked = retrieval.rerank_of_many(best.join(score_pairs(pairs, reranker, ["query_id", "chunk_id"]), ["query_id", "chunk_id"]), count)
+    else:
+        ranked = fused.where(F.col("hybrid_rank") <= count).withColumns({"place": F.col("hybrid_rank"), "score": F.col("rrf_score")})
+    columns = ("query_id", "place", "chunk_id", "score", "bm25_rank", "vector_rank", "is_early")
+    clear = first.join(early, "query_id").select("query_id", F.col("rank").alias("place"), "chunk_id", "score", F.lit(None).cast("int").alias("bm25_rank"), F.lit(None).cast("int").alias("vector_rank"), F.lit(True).alias("is_early"))
+    results = materialise(ranked.withColumn("is_early", F.lit(False)).select(*columns).unionByName(clear), "results")
+    rows = with_text(store, results, shown_of).withColumnRenamed("text", "excerpt")
+    if context:
+        texts = store.table("chunks").join(rows.select("content_hash").distinct(), "content_hash", "left_semi").join(store.table("content").select("hash", "doc"), F.col("hash") == F.col("content_hash"))
+        near_texts = texts.select("content_hash", "seq", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text"))
+        rows = retrieval.with_context(rows, near_texts).withColumn("context", F.when(~F.col("is_early"), F.col("context")))
+    return rows.drop("content_hash", "seq", "pos", "len", "is_early")
+
+
 def with_text(store: Store, rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """A few rows with their chunks and texts; texts come last and only for them."""
     own = rows.join(chunks, "chunk_id")

@@ -11,7 +11,7 @@ from lakesift.blocks import work_dir
 from lakesift.functions import text as tx
 from lakesift.operators import chunking, fulltext, ingest, lifecycle, retrieval, search, statistics
 from lakesift.plans.tables import table, texts
-from lakesift.providers import HashingEmbedder, words_of
+from lakesift.providers import HashingEmbedder
 from lakesift.schema import Settings
 from lakesift.sources.files import read_files
 from lakesift.store import Store
@@ -307,11 +307,8 @@ def age_seconds(spark, sf_dir):
 
 @query()
 def full_pipeline(spark, sf_dir):
-    """The staged search for the beginnings of items of the benchmark: at most five results each, with their context."""
+    """The staged search for all items of the benchmark, as one plan over the store: at most five results each, with their context."""
     store = filled(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(3).select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("q")).collect()
-    rows = []
-    for (q,) in asked:
-        wanted = " ".join(words_of(q))
-        rows += [(wanted, i, r["title"], r["section_path"], float(r["score"]), r["excerpt"]) for i, r in enumerate(search.search(store, wanted, HashingEmbedder(), T, count=5), 1)]
-    return spark.createDataFrame(rows, "query string, place int, title string, section_path string, score double, excerpt string")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = search.search_many(store, asked, HashingEmbedder(), count=5)
+    return found.select("query_id", "place", "title", "section_path", "score", "bm25_rank", "vector_rank", F.sha2("excerpt", 256).alias("excerpt_hash"), F.sha2("context", 256).alias("context_hash"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lakesift.blocks import materialise
 from lakesift.functions import text as tx
 from lakesift.functions.porter import stems
 from lakesift.operators import fulltext, retrieval
 from lakesift.plans.tables import DOCUMENTS_SQL, documents, table, texts
+from lakesift.providers import OverlapScorer, score_pairs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -222,6 +224,38 @@ def candidate_ladder(spark, sf_dir):
     return rrf_ranks(spark, sf_dir).where("hybrid_rank <= 15")
 
 
+_MANY = f"""WITH r AS ({_ROWS}), x AS (SELECT count(*) AS nr, avg(len(tokens)) AS avgdl FROM r), q AS (SELECT item_id AS query_id, text, {_TOKENS.format('text')} AS tokens FROM benchmark),
+ w AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(tokens) AS term FROM q) GROUP BY 1, 2), p AS (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS term FROM r), f AS (SELECT chunk_id, dl, term, count(*) AS f FROM p SEMI JOIN w USING (term) GROUP BY 1, 2, 3),
+ h AS (SELECT term, ln((nr - n + 0.5) / (n + 0.5)) AS idf FROM (SELECT term, count(*) AS n FROM f GROUP BY 1), x),
+ b AS (SELECT query_id, chunk_id, round(-sum(CASE WHEN idf <= 0 THEN 1e-6 ELSE idf END * times * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS raw_score FROM w JOIN f USING (term) JOIN h USING (term), x GROUP BY 1, 2),
+ br AS (SELECT query_id, chunk_id, bm25_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score, chunk_id) AS bm25_rank FROM b) WHERE bm25_rank <= 25),
+ v AS (SELECT q.query_id, e.vec_id AS chunk_id, sqrt(list_sum(list_transform(list_zip(e.embedding::DOUBLE[], g.embedding::DOUBLE[]), lambda y: (y[1] - y[2]) * (y[1] - y[2])))) AS distance FROM q JOIN embeddings g ON g.vec_id = q.query_id CROSS JOIN embeddings e),
+ vr AS (SELECT query_id, chunk_id, vector_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS vector_rank FROM v) WHERE vector_rank <= 25),
+ m AS (SELECT coalesce(br.query_id, vr.query_id) AS query_id, coalesce(br.chunk_id, vr.chunk_id) AS chunk_id, bm25_rank, vector_rank, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0) AS rrf FROM br FULL JOIN vr ON br.query_id = vr.query_id AND br.chunk_id = vr.chunk_id),
+ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST) AS hybrid_rank FROM m) WHERE hybrid_rank <= 15),
+ s AS (SELECT k.*, len(list_intersect(l.t, {_TOKENS.format('lower(d.text)')})) / greatest(len(l.t), 1) AS rerank_score FROM k JOIN (SELECT item_id AS query_id, list_distinct({_TOKENS.format('lower(text)')}) AS t FROM benchmark) l USING (query_id) JOIN documents d ON d.doc_id = chunk_id)
+SELECT query_id, chunk_id, place, bm25_rank, vector_rank, round(rerank_score, 6) AS rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, hybrid_rank) AS place FROM s) WHERE place <= 5"""
+
+
+@query(_MANY)
+def search_of_many(spark, sf_dir):
+    """All items of the benchmark as queries of one plan: 25 of each source, fused, cut to fifteen, reranked to five by shared words."""
+    rows = materialise(_rows(spark, sf_dir).select("chunk_id", "tokens"), "rows")
+    index, total = fulltext.postings(rows), rows.agg(F.count("*").alias("n_rows"), F.avg(F.size("tokens")).alias("avgdl"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    words = fulltext.words_of_queries(asked)
+    held = index.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_docs"))
+    by_text = fulltext.bm25_of_many(index, total, held, words, 25).select("query_id", "chunk_id", F.col("rank").alias("bm25_rank"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    own = vectors.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector")).join(asked.select("query_id"), "query_id", "left_semi")
+    near = retrieval.nearest_of_many(vectors, own, 25).select("query_id", "chunk_id", F.col("rank").alias("vector_rank"))
+    fused = materialise(retrieval.fuse_of_many(by_text, near, 15), "fused")
+    pairs = fused.join(rows, "chunk_id").join(asked, "query_id").withColumn("text", F.array_join("tokens", " "))
+    scored = fused.join(score_pairs(pairs, OverlapScorer, ["query_id", "chunk_id"]), ["query_id", "chunk_id"])
+    best = retrieval.rerank_of_many(scored, 5)
+    return best.select("query_id", "chunk_id", *[F.col(c).cast("long").alias(c) for c in ("place", "bm25_rank", "vector_rank")], F.round("rerank_score", 6).alias("rerank_score"))
+
+
 _WORDS = "('how','what','why','when','where','who','explain','describe','define','summarise','summarize')"
 
 

@@ -157,3 +157,23 @@ def score_rows(rows: DataFrame, query: str, model: PairScorer | Callable[[], Pai
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, text).mapInArrow(run, f"{key} {kind}, rerank_score double")
+
+
+def score_pairs(rows: DataFrame, model: PairScorer | Callable[[], PairScorer], keys: list[str], query: str = "query", text: str = "text", batch: int = 64) -> DataFrame:
+    """``keys``, rerank_score: each row's text scored against the row's own query in the tasks, a call for each query of a batch."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = loaded(model)
+        for part in parts:
+            queries, texts = (part.column(c).to_pylist() for c in (query, text))
+            found, by_query = np.zeros(part.num_rows), {}
+            for i, q in enumerate(queries):
+                by_query.setdefault(q or "", []).append(i)
+            for q, at in by_query.items():
+                for a in range(0, len(at), batch):
+                    few = at[a:a + batch]
+                    found[few] = own.scores(q, [texts[i] or "" for i in few])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(found)], [*keys, "rerank_score"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, query, text).mapInArrow(run, f"{kinds}, rerank_score double")
