@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lakesift.blocks import materialise
 from lakesift.operators import fulltext, lifecycle, retrieval, statistics
+from lakesift.operators.vector_index import VectorIndex
 from lakesift.providers import Embedder, OverlapScorer, PairScorer, Writer, embed_rows, loaded, score_pairs, score_rows
 from lakesift.schema import CACHE, Settings
 from lakesift.store import Store
@@ -100,12 +101,35 @@ def vectors_of(store: Store, model: str) -> DataFrame:
     return store.table("vectors").where(F.col("model") == model).select("chunk_id", "embedding")
 
 
+def vector_index(store: Store, model: str) -> VectorIndex:
+    """The store's index of one model's vectors, which lies beside its tables; made if there is none, and brought up to date."""
+    own = VectorIndex(store.spark, f"{store.path}/vector-index/{model.replace('/', '_')}")
+    if not own.exists:
+        return VectorIndex.build(vectors_of(store, model), own.path)
+    own.extend(vectors_of(store, model))
+    return own
+
+
+def near_of_many(store: Store, live: DataFrame, queries: DataFrame, model: str, n: int, settings: Settings) -> DataFrame:
+    """query_id, chunk_id, distance, rank of the n nearest live vectors to each query: by the store's index where the settings name a number
+    of lists to look at, else exact."""
+    vectors = vectors_of(store, model).join(live.select("chunk_id"), "chunk_id", "left_semi")
+    if settings.search.probes and vectors.head(1):
+        return vector_index(store, model).nearest(vectors, queries, n, max(settings.search.probes, 0) or None)
+    return retrieval.nearest_of_many(vectors, queries, n)
+
+
 def hybrid(store: Store, query: str, vector: list[float], count: int, settings: Settings, collection: str | None = None, model: str | None = None) -> DataFrame:
     """chunk_id, bm25_rank, vector_rank, rrf_score of the fused best of both sources; ``vector`` is of ``model``, by default the settings' one."""
     n = count * settings.search.candidates
     words = fulltext.ranks(text_search(store, query, n, settings, collection), "bm25_rank", "raw_score", "chunk_id").select("chunk_id", "bm25_rank")
     live = chunks_of(store, collection, left_out(store) if collection is None else []).select("chunk_id")
-    near = retrieval.nearest(vectors_of(store, model or settings.embedding.model).join(live, "chunk_id", "left_semi"), vector, n)
+    model = model or settings.embedding.model
+    if settings.search.probes:
+        asked = store.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id int, query_vector array<double>")
+        near = near_of_many(store, live, asked, model, n, settings).select("chunk_id", "distance")
+    else:
+        near = retrieval.nearest(vectors_of(store, model).join(live, "chunk_id", "left_semi"), vector, n)
     return retrieval.fuse(words, fulltext.ranks(near, "vector_rank", "distance", "chunk_id").select("chunk_id", "vector_rank"), k=settings.search.rrf_k).limit(count)
 
 
@@ -184,8 +208,7 @@ def search_many(store: Store, queries: DataFrame, embedder: Embedder | Callable[
     first = materialise(few, "first")
     early = fulltext.early_of_many(first, s.bm25_threshold, s.bm25_gap)
     asked = embed_rows(own, embedder, key="query_id", text="query", batch=settings.embedding.batch).select("query_id", F.col("embedding").alias("query_vector"))
-    vectors = vectors_of(store, name).join(shown_of.select("chunk_id"), "chunk_id", "left_semi")
-    near = retrieval.nearest_of_many(vectors, asked.join(early, "query_id", "left_anti"), n)
+    near = near_of_many(store, shown_of, asked.join(early, "query_id", "left_anti"), name, n, settings)
     late = by_text.join(early, "query_id", "left_anti").select("query_id", "chunk_id", F.col("rank").alias("bm25_rank"))
     fused = retrieval.fuse_of_many(late, near.select("query_id", "chunk_id", F.col("rank").alias("vector_rank")), count * s.candidates, k=s.rrf_k)
     if reranker:

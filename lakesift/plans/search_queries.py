@@ -8,6 +8,7 @@ from lakesift.blocks import materialise
 from lakesift.functions import text as tx
 from lakesift.functions.porter import stems
 from lakesift.operators import fulltext, retrieval
+from lakesift.operators.vector_index import VectorIndex
 from lakesift.plans.tables import DOCUMENTS_SQL, documents, table, texts
 from lakesift.providers import OverlapScorer, score_pairs
 
@@ -198,6 +199,36 @@ def knn_batch(spark, sf_dir):
     return retrieval.nearest_of_many(_vectors(spark, sf_dir), queries, 5).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
+def _queries_of(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query()
+def knn_index(spark, sf_dir):
+    """The five nearest rows of rows whose id is divisible by 50, by an inverted file of all rows: the lists that 0.98 of the neighbours of its sample took, 20 candidates for each."""
+    vectors = _vectors(spark, sf_dir)
+    found = VectorIndex.build(vectors).nearest(vectors, _queries_of(spark, sf_dir), 5)
+    return found.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+@query(SQL["knn_batch"])
+def knn_index_all_lists(spark, sf_dir):
+    """The same over all lists, with every row measured: exact."""
+    vectors = _vectors(spark, sf_dir)
+    found = VectorIndex.build(vectors, lists=16, parts=8).nearest(vectors, _queries_of(spark, sf_dir), 5, probes=16, refine=-(-vectors.count() // 5))
+    return found.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_keys, 8 AS code_bytes, 0 AS more FROM embeddings")
+def vector_lists(spark, sf_dir):
+    """What an index holds, after half of the rows came later and all came again: every row once."""
+    vectors = _vectors(spark, sf_dir)
+    own = VectorIndex.build(vectors.where("chunk_id % 2 = 0"), parts=8)
+    own.extend(vectors)
+    more = own.extend(vectors)
+    return own.codes().agg(F.count("*").alias("n_rows"), F.countDistinct("chunk_id").alias("n_keys"), F.max(F.length("code")).alias("code_bytes")).withColumn("more", F.lit(more))
+
+
 _RRF = _OF_THE + f", br AS (SELECT chunk_id, row_number() OVER (ORDER BY raw_score, chunk_id) AS bm25_rank FROM b ORDER BY raw_score, chunk_id LIMIT 25), vr AS (SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS vector_rank FROM ({_V}) t ORDER BY t.distance, chunk_id LIMIT 25), h AS (SELECT coalesce(br.chunk_id, vr.chunk_id) AS chunk_id, bm25_rank, vector_rank, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0) AS rrf_score FROM br FULL JOIN vr ON br.chunk_id = vr.chunk_id)"
 
 

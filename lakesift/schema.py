@@ -50,6 +50,7 @@ class Search:
     rrf_k: int = 60
     candidates: int = 5  # of each source, for every result wanted
     rerank: int = 3
+    probes: int = 0  # lists of the vector index that a search looks at, -1 for as many as its fitting took; 0 for exact distances to all vectors
 
 
 @dataclass(frozen=True)
