@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from lakesift.schema import KEYS, SUMMED, TABLES
 
-#: Deletions that a table may carry before a write puts it together anew.
-MOST_DELETIONS = 8
+#: Parts of one kind and level that are put together as one of the next: a table of n writes has fewer of a kind than this for each digit
+#: of n to this base, and each row is written as often as there are digits.
+PARTS = 6
 
 
 class Store:
     """Tables below one folder. A write adds parts to the tables it changes, then a manifest with the next number.
 
-    A part holds rows, or keys that are gone: they hide the rows of earlier parts. Readers see the parts of one manifest; a write
+    A part holds rows, or keys that are gone: they hide the rows of earlier parts. Parts are put together level by level, the youngest first, so
+    that their number grows as the logarithm of the number of writes, and old rows are seldom written again. Readers see the parts of one manifest; a write
     that fails leaves the last manifest in place. One writer at a time. What no manifest names any more stays on disk until ``vacuum``.
     """
 
@@ -59,6 +61,9 @@ class Store:
 
     # ------------------------------------------------------------------------------- reading
     def table(self, name: str, version: int | None = None) -> DataFrame:
+        return self._read(name, self.parts(version)[name])
+
+    def _read(self, name: str, parts: list[dict]) -> DataFrame:
         out, paths = None, []
 
         def flush():
@@ -67,7 +72,7 @@ class Store:
                 own = self.spark.read.schema(TABLES[name]).parquet(*paths)
                 out, paths = own if out is None else out.unionAll(own), []
 
-        for part in self.parts(version)[name]:
+        for part in parts:
             if not part["gone"]:
                 paths.append(part["path"])
                 continue
@@ -78,14 +83,14 @@ class Store:
         return self.spark.createDataFrame([], TABLES[name]) if out is None else out
 
     # ------------------------------------------------------------------------------- writing
-    def _write(self, name: str, df: DataFrame, n: int, gone: bool) -> dict:
+    def _write(self, name: str, df: DataFrame, n: int, gone: bool, level: int = 0) -> dict:
         path = f"{self.path}/tables/{name}/{n}-{uuid.uuid4().hex}"
         if gone:
             df.select(KEYS[name]).distinct().write.parquet(path)
         else:
             columns = self.spark.createDataFrame([], TABLES[name]).schema
             df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in columns]).write.parquet(path)
-        return {"path": path, "gone": gone}
+        return {"path": path, "gone": gone, "level": level}
 
     def append(self, rows: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> int:
         """Hide the rows whose keys are in ``gone``, then add ``rows``, as one version. A row that replaces another has its key in both."""
@@ -96,14 +101,35 @@ class Store:
             if name in rows:
                 parts[name].append(self._write(name, rows[name], n, False))
         done = self._publish(parts, n)
-        many = [name for name, own in parts.items() if sum(p["gone"] for p in own) > MOST_DELETIONS]
-        return self.compact(*many) if many else done
+        return self.merge(*(gone.keys() | rows.keys())) or done
+
+    def merge(self, *names: str) -> int | None:
+        """Put together the youngest parts of tables, down from those of a level that has PARTS of a kind; the new version, if there is one.
+
+        Rows that a part of the run hides go; keys that are gone stay as long as there are older parts, before the run's rows.
+        """
+        parts, n = self.parts(), self.version + 1
+        changed = False
+        for name in names:
+            level = 0
+            while level <= max((p.get("level", 0) for p in parts[name]), default=-1):
+                own = parts[name]
+                first = next((i + 1 for i in range(len(own) - 1, -1, -1) if own[i].get("level", 0) > level), 0)
+                run = own[first:]
+                if max(sum(p.get("level", 0) == level and p["gone"] == gone for p in run) for gone in (False, True)) >= PARTS:
+                    made = [self._write(name, self._together(name, self._read(name, run)), n, False, level + 1)]
+                    keys = [p["path"] for p in run if p["gone"]]
+                    if first and keys:
+                        made.insert(0, self._write(name, self.spark.read.parquet(*keys), n, True, level + 1))
+                    parts[name], changed = own[:first] + made, True
+                level += 1
+        return self._publish(parts, n) if changed else None
 
     def compact(self, *names: str) -> int:
         """Write tables anew as one part each, without what is gone."""
         n, parts = self.version + 1, self.parts()
         for name in names or TABLES:
-            parts[name] = [self._write(name, self._together(name, self.table(name)), n, False)] if parts[name] else []
+            parts[name] = [self._write(name, self._together(name, self.table(name)), n, False, max(p.get("level", 0) for p in parts[name]) + 1)] if parts[name] else []
         return self._publish(parts, n)
 
     @staticmethod
