@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm.common import small_batches, text_of
+from lakesift.llm.vocabulary import slices
 
 # Fixed values of the Matroska and EBML specifications (RFC 8794, RFC 9559): element ids.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -278,9 +279,9 @@ def _cluster(data: bytes, a: int, b: int, scale: int, out: Parsed) -> None:
 
 # ------------------------------------------------------------------------------- columns
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = [(x or "").encode() for x in batch.column("content").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([write_samples(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
+    for part in (p for batch in batches for p in slices(batch, "content")):
+        raw = [(x or "").encode() for x in part.column("content").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([write_samples(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def media_column(docs: DataFrame) -> DataFrame:
@@ -292,8 +293,8 @@ PACKETS = "doc_id long, packet int, track int, timestamp_ns long, byte_from long
 
 
 def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
+    for part in (p for batch in batches for p in slices(batch, "media")):
+        for doc, data in zip(part.column("doc_id").to_pylist(), part.column("media").to_pylist(), strict=True):
             rows = [(doc, i, p.track, p.timestamp, p.begin, p.end, p.cluster, p.block, p.key) for i, p in enumerate(parse(data).packets)] if data is not None else []
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
@@ -309,9 +310,9 @@ READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for part in (p for batch in batches for p in slices(batch, "media")):
         rows = []
-        for doc, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
+        for doc, n, data in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
             file = parse(data)
             payload = b"".join([data[p.begin:p.end] for p in file.packets])
             rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(file, payload)))
@@ -321,7 +322,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def feature(file: Parsed, payload: bytes) -> str:
     """Counts of the packet table and moments of the samples, as text."""
     samples = np.frombuffer(payload, dtype=np.uint8)
-    seekable = sum(place in set(file.clusters) for _, _, place in file.cues)
+    clusters = set(file.clusters)
+    seekable = sum(place in clusters for _, _, place in file.cues)
     steps = int(np.abs(np.diff(samples.astype(np.int16))).sum(dtype=np.int64))
     return f"tracks={len(file.tracks)};packets={len(file.packets)};clusters={len(file.clusters)};cues={seekable};ms={int(file.duration or 0) // 1_000_000};sum={int(samples.sum(dtype=np.int64))};steps={steps};distinct={int(np.count_nonzero(np.bincount(samples, minlength=256)))}"
 
