@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesift.llm.common import materialise, small_batches, text_of, work_dir
+from lakesift.llm.vocabulary import slices
 
 # Fixed values of the ZIP format (APPNOTE 6.3): signatures.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -203,8 +204,8 @@ def _write(folder: str):
             path = _publish(folder, f"part-{part:06d}-{n:04d}", package.bytes())
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(package.records)], pa.int64())], ["path", "records"])
 
-        for batch in batches:
-            for page, url, html, digest, size, first in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+        for part_of in (p for batch in batches for p in slices(batch, "html")):
+            for page, url, html, digest, size, first in zip(*(part_of.column(i).to_pylist() for i in range(6)), strict=True):
                 package.add(url, sha1_base32(digest), write_record(page, url, (html or "").encode(), size, sha1_base32(digest), first))
                 if package.size >= PACKAGE_BYTES:
                     yield close()
