@@ -40,6 +40,20 @@ class Phrase:
     prefix: bool = False
     first: bool = False
 
+    def places(self, column: Column) -> Column:
+        """Where the phrase begins in an array of tokens."""
+        if not self.words:
+            return F.array().cast("array<int>")
+        size = len(self.words)
+
+        def begins(i):
+            own = [F.get(column, i + k) == w for k, w in enumerate(self.words)]
+            if self.prefix:
+                own[-1] = F.startswith(F.get(column, i + size - 1), F.lit(self.words[-1]))
+            return reduce(lambda a, b: a & b, own) & (i == 0 if self.first else F.lit(True))
+
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.size(column) - size, F.lit(0))), begins)
+
     def count(self, column: Column) -> Column:
         """Occurrences in an array of tokens."""
         if not self.words:
@@ -59,13 +73,59 @@ class Phrase:
         return [(self, when)]
 
 
+@dataclass(frozen=True)
+class Near:
+    """Phrases that stand near each other: from the end of the first of them to the beginning of the last lie at most ``within`` tokens.
+
+    An occurrence is an occurrence of the first named phrase with one of each other within reach.
+    """
+
+    parts: tuple[Phrase, ...]
+    within: int = 10
+    prefix = first = False
+
+    def of_places(self, places: list[Column]) -> Column:
+        """The places of the first phrase that have all the others within reach, from each phrase's sorted places.
+
+        A group lies between the place at which its first phrase begins and that of its last: some phrase is the first, the others begin
+        no more than its size and ``within`` tokens later.
+        """
+        sizes = [len(p.words) for p in self.parts]
+
+        def together(i: int, at: Column) -> Column:
+            """Whether phrase i at ``at`` is the first of a group that holds place x of the first named phrase, as the array of such x."""
+            reach = at + sizes[i] + self.within
+            inside = [F.exists(own, lambda y: (y >= at) & (y <= reach)) for own in places]
+            all_there = reduce(lambda a, b: a & b, inside)
+            return F.when(all_there, F.filter(places[0], lambda x: (x >= at) & (x <= reach))).otherwise(F.array().cast("array<int>"))
+
+        found = [F.flatten(_each(own, k, together)) for k, own in enumerate(places)]
+        return F.array_sort(F.array_distinct(F.concat(*found)))
+
+    def count(self, column: Column) -> Column:
+        return F.size(self.of_places([p.places(column) for p in self.parts])).cast("long")
+
+    def phrases(self) -> list[Phrase | Near]:
+        return [self]
+
+    def holds(self, counts: dict[Phrase | Near, Column]) -> Column:
+        return counts[self] > 0
+
+    def scored(self, counts: dict[Phrase | Near, Column], when: Column | None = None) -> list[tuple[Phrase | Near, Column | None]]:
+        return [(self, when)]
+
+
+def _each(places: Column, k: int, together) -> Column:
+    return F.transform(places, lambda at: together(k, at))
+
+
 @dataclass(frozen=True)
 class Op:
     """AND, OR or NOT (left and not right) of two queries."""
 
     kind: str
-    left: Phrase | Op
-    right: Phrase | Op
+    left: Phrase | Near | Op
+    right: Phrase | Near | Op
 
     def phrases(self) -> list[Phrase]:
         return list(dict.fromkeys([*self.left.phrases(), *self.right.phrases()]))
@@ -94,16 +154,16 @@ def phrase(text: str, prefix: bool = False, stemmed: bool = False) -> Phrase:
     return Phrase(tuple(map(stem, words)) if stemmed else tuple(words), prefix)
 
 
-def query(raw: str, stemmed: bool = False) -> Phrase | Op:
+def query(raw: str, stemmed: bool = False) -> Phrase | Near | Op:
     """A plain text is one phrase with an open last token; a text with quotes, *, parentheses or AND, OR, NOT is read as such.
 
     NOT binds closest, then AND (also where nothing stands between two terms), then OR. + joins two phrases to one, and ^ asks
-    for the beginning of the text.
+    for the beginning of the text. NEAR(a "b c" d, n) asks for phrases with at most n tokens between the first and the last, 10 where no n is named.
     """
     raw = raw.strip()
     if not re.search(r'["*()^+-]', raw) and not {w.upper() for w in raw.split()} & {"AND", "OR", "NOT"}:
         return phrase(raw, prefix=True, stemmed=stemmed)
-    parts = re.findall(r'\^?\s*"(?:[^"]|"")*"\s*\*?|[()+]|[^\s()"+]+', raw)
+    parts = re.findall(r'\^?\s*"(?:[^"]|"")*"\s*\*?|[()+,]|[^\s()"+,]+', raw)
     if "".join(parts).replace(" ", "") != re.sub(r"\s", "", raw):
         raise QuerySyntaxError(f"a quote isn't closed: {raw}")
     at = 0
@@ -119,6 +179,8 @@ def query(raw: str, stemmed: bool = False) -> Phrase | Op:
                 raise QuerySyntaxError(f"a parenthesis isn't closed: {raw}")
             at += 1
             return inner
+        if part == "NEAR" and at < len(parts) and parts[at] == "(":
+            return group()
         if part in (")", "+", "^", "AND", "OR", "NOT") or ('"' not in part and "-" in part) or "^" in part[1:].split('"')[0]:
             raise QuerySyntaxError(f"unexpected {part} in: {raw}")
         own = phrase(part.lstrip("^").strip('"* ').replace('""', '"'), part.endswith("*"), stemmed)
@@ -131,6 +193,30 @@ def query(raw: str, stemmed: bool = False) -> Phrase | Op:
             own = Phrase(own.words + more.words, more.prefix, own.first)
         return own
 
+    def group():
+        """Phrases in parentheses, and after a comma how many tokens may lie between them: 10 where there is none."""
+        nonlocal at
+        at += 1
+        own, within = [], None
+        while at < len(parts) and parts[at] != ")":
+            part, at = parts[at], at + 1
+            if part == ",":
+                within = parts[at] if at < len(parts) else ""
+                if not within.isdigit() or at + 1 >= len(parts) or parts[at + 1] != ")":
+                    raise QuerySyntaxError(f"a comma in NEAR is followed by a number and the end: {raw}")
+                at += 1
+                break
+            if part in ("(", "+", "^", "AND", "OR", "NOT") or part[0] == "^" or ('"' not in part and "-" in part):
+                raise QuerySyntaxError(f"unexpected {part} in NEAR: {raw}")
+            own.append(phrase(part.strip('"* ').replace('""', '"'), part.endswith("*"), stemmed))
+        if at >= len(parts):
+            raise QuerySyntaxError(f"NEAR isn't closed: {raw}")
+        at += 1
+        own = tuple(p for p in own if p.words)
+        if not own:
+            raise QuerySyntaxError(f"NEAR without a phrase: {raw}")
+        return own[0] if len(own) == 1 else Near(own, 10 if within is None else int(within))
+
     def level(k: int):
         """0: OR, 1: AND and its absence, 2: NOT."""
         nonlocal at
@@ -229,6 +315,8 @@ def bm25_indexed(index: DataFrame, total: DataFrame, wanted: Phrase | Op, key: s
 
 def alternatives(wanted: Phrase | Op) -> dict[Phrase, int] | None:
     """The words of a query that asks for any of some words, each with how often it stands there; None for any other query."""
+    if isinstance(wanted, Near):
+        return None
     if isinstance(wanted, Phrase):
         return {wanted: 1} if len(wanted.words) == 1 and not wanted.first else None
     sides = [alternatives(wanted.left), alternatives(wanted.right)]
@@ -424,8 +512,19 @@ def _moved(places: str, by: int) -> Column:
     return F.transform(places, lambda p: p - by)
 
 
-def phrase_rows(index: DataFrame, wanted: Phrase, key: str = "chunk_id") -> DataFrame:
-    """key, dl and f (occurrences) of a phrase from the index."""
+def near_places(index: DataFrame, wanted: Near, key: str = "chunk_id") -> DataFrame:
+    """key, dl and places of phrases near each other: the phrases' places meet by row, and are compared inside it."""
+    out = phrase_places(index, wanted.parts[0], key).withColumnRenamed("places", "p0")
+    for k, part in enumerate(wanted.parts[1:], 1):
+        out = out.join(phrase_places(index, part, key).select(key, F.col("places").alias(f"p{k}")), key)
+    found = out.select(key, "dl", wanted.of_places([F.col(f"p{k}") for k in range(len(wanted.parts))]).alias("places"))
+    return found.where(F.size("places") > 0)
+
+
+def phrase_rows(index: DataFrame, wanted: Phrase | Near, key: str = "chunk_id") -> DataFrame:
+    """key, dl and f (occurrences) of a phrase, or of phrases near each other, from the index."""
+    if isinstance(wanted, Near):
+        return near_places(index, wanted, key).select(key, "dl", F.size("places").cast("long").alias("f"))
     return phrase_places(index, wanted, key).select(key, "dl", F.size("places").cast("long").alias("f"))
 
 

@@ -111,6 +111,24 @@ def near_match(spark, sf_dir):
     return _rows(spark, sf_dir).where(fulltext.near(F.col("tokens"), "of", "is", 2)).select("chunk_id")
 
 
+_AT = "list_filter(range(1, len(tokens) + 1), lambda i: {})"
+#: Rows with the places of the phrases "of the", "and" and "is", and of those of the first that have the others within three tokens.
+_NEAR = f"""WITH r AS ({_ROWS}), p AS (SELECT chunk_id, len(tokens) AS dl, {_AT.format("tokens[i] = 'of' AND tokens[i + 1] = 'the'")} AS a, {_AT.format("tokens[i] = 'and'")} AS b, {_AT.format("tokens[i] = 'is'")} AS c FROM r),
+ f AS (SELECT chunk_id, dl, len(list_filter(a, lambda x: len(list_filter(b, lambda y: len(list_filter(c, lambda z: greatest(x, y, z) - CASE WHEN x < y AND x < z THEN x + 2 WHEN y < z THEN y + 1 ELSE z + 1 END <= 3)) > 0)) > 0)) AS f0 FROM p),
+ s AS (SELECT count(*) AS nr, avg(dl) AS avgdl, count(*) FILTER (f0 > 0) AS n FROM f)
+SELECT chunk_id, f0 AS f, round(-(CASE WHEN ln((nr - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((nr - n + 0.5) / (n + 0.5)) END) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS raw_score FROM f, s WHERE f0 > 0"""
+
+
+@query(_NEAR)
+def near_scored(spark, sf_dir):
+    """A phrase and two words within three tokens, from the index: occurrences and scores."""
+    rows = materialise(_rows(spark, sf_dir).select("chunk_id", "tokens"), "rows")
+    wanted = fulltext.query('NEAR("of the" and is, 3)')
+    index, lengths = fulltext.postings(rows), rows.select("chunk_id", F.size("tokens").alias("dl"))
+    scored = fulltext.bm25_indexed(index, lengths, wanted).join(fulltext.phrase_rows(index, wanted).select("chunk_id", "f"), "chunk_id")
+    return scored.select("chunk_id", "f", F.round("raw_score", 6).alias("raw_score"))
+
+
 @query(_OF_THE + " SELECT chunk_id, source, round(raw_score, 6) AS raw_score FROM b ORDER BY b.raw_score, chunk_id LIMIT 25")
 def bm25_topk(spark, sf_dir):
     return fulltext.top(_scored(spark, sf_dir), 25, "raw_score", "chunk_id").select("chunk_id", "source", F.round("raw_score", 6).alias("raw_score"))
