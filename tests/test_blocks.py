@@ -6,8 +6,6 @@ import pytest
 
 from lakesift.operators import retrieval
 
-decontamination = pytest.importorskip("lakesift.llm.decontamination")
-
 
 @pytest.fixture
 def collected(spark, monkeypatch):
@@ -30,12 +28,3 @@ def test_queries_in_blocks(spark, collected, monkeypatch):
     parts = retrieval.nearest_of_many(vectors, queries, 3)
     assert sum(collected) >= 11 and max(collected) <= 4
     assert parts.toPandas().sort_values(["query_id", "rank"]).values.tolist() == whole and len(whole) == 33
-
-
-def test_items_in_blocks(spark, collected):
-    docs = spark.createDataFrame([(i, f"before w{i} x{i} y{i} z{i} after") for i in range(9)] + [(None, "w1 x1 y1 z1")], "doc_id long, text string")
-    items = spark.createDataFrame([(i, f"w{i} x{i} y{i} z{i}") for i in range(8)], "item_id long, text string").repartition(3)
-    collected.clear()
-    found = decontamination.contaminated(docs, items, block=3)
-    assert sum(collected) >= 8 and max(collected) <= 3
-    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["item_id"], r["distance"], r["start_word"]) for r in found.toLocalIterator()) == [(-1, 1, 0, 0)] + [(i, i, 0, 1) for i in range(8)]
