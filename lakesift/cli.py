@@ -39,6 +39,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("query")
     p.add_argument("-n", "--count", type=int)
     p.add_argument("-c", "--collection")
+    p.add_argument("--since", help="only documents changed since: a day as 2024-05-01, or an age as 3d or 2w")
+    p.add_argument("--language", help="only chunks with code of a language")
+    p.add_argument("--field", action="append", default=[], metavar="PATH=VALUE", help="only documents whose front matter has a value at a path")
     p.add_argument("--json", action="store_true")
     p.add_argument("--no-rerank", action="store_true")
     p.add_argument("--context", action=argparse.BooleanOptionalAction, default=True, help="show the chunks before and after")
@@ -81,6 +84,15 @@ def age(text: str) -> timedelta:
     return timedelta(days=int(n) * (7 if unit == "w" else 1))
 
 
+def only_of(a: argparse.Namespace, now: datetime) -> search.Only:
+    """What the options of a search leave."""
+    wrong = [x for x in a.field if "=" not in x]
+    if wrong:
+        raise ValueError(f"not PATH=VALUE: {wrong[0]}")
+    since = a.since and ((now - age(a.since)).strftime("%Y-%m-%d %H:%M:%S") if a.since[-1:] in "dw" else datetime.fromisoformat(a.since).strftime("%Y-%m-%d %H:%M:%S"))
+    return search.Only(since, a.language, tuple(tuple(x.split("=", 1)) for x in a.field))
+
+
 def embedder_of(store: Store, asked: str | None, host: str, width: int):
     """The model to embed queries with: the one asked for, or the index's own."""
     own = HashingEmbedder(width)
@@ -117,7 +129,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
         out = ingest.index_documents(store, ServedModel(a.model, a.host) if a.model else embedder, settings, stamp, a.doc_id)
     elif a.command == "search":
         model = ServedModel(a.model, a.host) if a.model and not a.no_expand else None
-        rows = search.search(store, a.query, embedder_of(store, a.embedder, a.host, settings.embedding.dimensions), stamp, settings, model, count=a.count, collection=a.collection, context=a.context, log=(lambda k, v: print(f"{k}: {v}")) if a.verbose else None, **({"reranker": False} if a.no_rerank else {}))
+        rows = search.search(store, a.query, embedder_of(store, a.embedder, a.host, settings.embedding.dimensions), stamp, settings, model, count=a.count, collection=a.collection, context=a.context, only=only_of(a, now), log=(lambda k, v: print(f"{k}: {v}")) if a.verbose else None, **({"reranker": False} if a.no_rerank else {}))
         out = json.dumps(rows, ensure_ascii=False) if a.json else "\n".join(line_of(i, r) for i, r in enumerate(rows, 1)) or "nothing found"
     elif a.command == "collections":
         if a.action == "add":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import asdict
+from dataclasses import asdict, dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -57,33 +57,55 @@ def variants(query: str, reply: str) -> str:
     return " OR ".join(f'"{x.replace(chr(34), chr(34) * 2)}"*' for x in [query, *lines])
 
 
+@dataclass(frozen=True)
+class Only:
+    """What a search is about: documents changed at or after a time, with values at paths of their front matter, and chunks in a language of code."""
+
+    since: str | None = None
+    language: str | None = None
+    fields: tuple[tuple[str, str], ...] = ()
+
+    def documents(self, rows: DataFrame) -> DataFrame:
+        """The documents it names. A path is dotted, as in ``author.name``; values are compared as text, and a list has the values in it."""
+        if self.since is not None:
+            rows = rows.where(F.col("modified_at") >= F.lit(self.since).cast("timestamp"))
+        for path, value in self.fields:
+            at = "$" + "".join(f"['{p}']" for p in path.split("."))
+            read = F.try_parse_json("metadata")
+            rows = rows.where(F.coalesce(F.try_variant_get(read, at, "string") == value, F.lit(False)) | F.coalesce(F.array_contains(F.try_variant_get(read, at, "array<string>"), value), F.lit(False)))
+        return rows
+
+    def chunks(self, rows: DataFrame) -> DataFrame:
+        return rows if self.language is None else rows.where(F.lower("language") == self.language.lower())
+
+
 def left_out(store: Store) -> list[str]:
     """Collections that a search which names none leaves out."""
     return [r["name"] for r in store.table("store_collections").where("not include_by_default").select("name").collect()]
 
 
-def chunks_of(store: Store, collection: str | None = None, without: list[str] | None = None) -> DataFrame:
-    """Each live chunk once, with the document of the smallest id that holds its text, among those of a collection, or of all but some."""
-    documents = store.table("documents").where("active")
+def chunks_of(store: Store, collection: str | None = None, without: list[str] | None = None, only: Only = Only()) -> DataFrame:
+    """Each live chunk once, with the document of the smallest id that holds its text, among those of a collection, or of all but some, and those that ``only`` names."""
+    documents = only.documents(store.table("documents").where("active"))
     if collection is not None:
         documents = documents.where(F.col("collection") == collection)
     elif without:
         documents = documents.where(~F.col("collection").isin(*without))
     shown = documents.groupBy("hash").agg(F.min(F.struct("id", "title", "collection", "path")).alias("d"))
-    return store.table("chunks").join(shown, F.col("content_hash") == F.col("hash")).select("chunk_id", "content_hash", "seq", "pos", "len", "section_path", "chunk_type", F.col("d.id").alias("doc_id"), F.col("d.title").alias("title"), F.col("d.collection").alias("collection"))
+    return only.chunks(store.table("chunks")).join(shown, F.col("content_hash") == F.col("hash")).select("chunk_id", "content_hash", "seq", "pos", "len", "section_path", "chunk_type", F.col("d.id").alias("doc_id"), F.col("d.title").alias("title"), F.col("d.collection").alias("collection"))
 
 
-def text_search(store: Store, query: str, count: int, settings: Settings, collection: str | None = None) -> DataFrame:
+def text_search(store: Store, query: str, count: int, settings: Settings, collection: str | None = None, only: Only = Only()) -> DataFrame:
     """The best ``count`` chunks by BM25 with score from 0 to 1. Statistics cover all live chunks, and are those that the store keeps."""
     wanted = fulltext.query(query, stemmed=True)
     without = left_out(store) if collection is None else []
-    if collection is None and not without and statistics.stored(store):
+    if collection is None and not without and only == Only() and statistics.stored(store):
         hits = statistics.best(store, wanted, count * 5)
     else:
         index = statistics.live_postings(store)
         total = statistics.corpus(store) if statistics.stored(store) else store.table("tokens").select("chunk_id", "dl").join(chunks_of(store).select("chunk_id"), "chunk_id", "left_semi")
         scored = fulltext.bm25_indexed(index, total, wanted)
-        hits = fulltext.top(scored.join(chunks_of(store, collection, without).select("chunk_id"), "chunk_id", "left_semi"), count * 5, "raw_score", "chunk_id")
+        hits = fulltext.top(scored.join(chunks_of(store, collection, without, only).select("chunk_id"), "chunk_id", "left_semi"), count * 5, "raw_score", "chunk_id")
     fetched = fulltext.min_max(hits)
     return fetched.orderBy("raw_score", "chunk_id").limit(count)
 
@@ -119,11 +141,11 @@ def near_of_many(store: Store, live: DataFrame, queries: DataFrame, model: str,
     return retrieval.nearest_of_many(vectors, queries, n)
 
 
-def hybrid(store: Store, query: str, vector: list[float], count: int, settings: Settings, collection: str | None = None, model: str | None = None) -> DataFrame:
+def hybrid(store: Store, query: str, vector: list[float], count: int, settings: Settings, collection: str | None = None, model: str | None = None, only: Only = Only()) -> DataFrame:
     """chunk_id, bm25_rank, vector_rank, rrf_score of the fused best of both sources; ``vector`` is of ``model``, by default the settings' one."""
     n = count * settings.search.candidates
-    words = fulltext.ranks(text_search(store, query, n, settings, collection), "bm25_rank", "raw_score", "chunk_id").select("chunk_id", "bm25_rank")
-    live = chunks_of(store, collection, left_out(store) if collection is None else []).select("chunk_id")
+    words = fulltext.ranks(text_search(store, query, n, settings, collection, only), "bm25_rank", "raw_score", "chunk_id").select("chunk_id", "bm25_rank")
+    live = chunks_of(store, collection, left_out(store) if collection is None else [], only).select("chunk_id")
     model = model or settings.embedding.model
     if settings.search.probes:
         asked = store.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id int, query_vector array<double>")
@@ -134,7 +156,7 @@ def hybrid(store: Store, query: str, vector: list[float], count: int, settings:
 
 
 def search(store: Store, query: str, embedder: Embedder | Callable[[], Embedder], now: str, settings: Settings | None = None, model: Writer | None = None, reranker: Reranker = OverlapScorer,
-           count: int | None = None, collection: str | None = None, context: bool = True, log: Callable[[str, object], None] | None = None) -> list[dict]:
+           count: int | None = None, collection: str | None = None, context: bool = True, log: Callable[[str, object], None] | None = None, only: Only = Only()) -> list[dict]:
     """The best chunks for a query, at most ``count``, as rows with scores, ranks, excerpt and context.
 
     A clear winner by text ends the search early, without context. Otherwise a model, where there
@@ -147,19 +169,19 @@ def search(store: Store, query: str, embedder: Embedder | Callable[[], Embedder]
     without = left_out(store) if collection is None else []
     scorer, own = loaded(reranker).name if reranker else None, loaded(embedder)
     vectors_of(store, own.name)  # before anything is asked: an index of another model is an error
-    key = key_of([version, own.name, query, collection, count, context, model.name if model is not None else None, scorer, asdict(settings)])
+    key = key_of([version, own.name, query, collection, count, context, model.name if model is not None else None, scorer, asdict(settings), asdict(only)])
     kept = cached(store, key, "search", now)
     if kept is not None:
         say("cache", "hit")
         return json.loads(kept)
-    first = text_search(store, query, count, settings, collection).persist()
+    first = text_search(store, query, count, settings, collection, only).persist()
     try:
         scores = sorted((r["score"] for r in first.select("score").collect()), reverse=True)
         s = settings.search
         say("text", len(scores))
         if scores and scores[0] >= s.bm25_threshold and (len(scores) == 1 or scores[0] - scores[1] >= s.bm25_gap):
             say("early", True)
-            return shown(store, first.select("chunk_id", "score"), collection, context=False, without=without)
+            return shown(store, first.select("chunk_id", "score"), collection, context=False, without=without, only=only)
     finally:
         first.unpersist()
     words, asked = query, query
@@ -168,22 +190,22 @@ def search(store: Store, query: str, embedder: Embedder | Callable[[], Embedder]
         reply = ask(store, model, (ANSWER if kind == "hyde" else REPHRASE).format(query=query), now)
         words, asked = (query, reply or query) if kind == "hyde" else (variants(query, reply), query)
         say(kind, reply)
-    fused = hybrid(store, words, [float(x) for x in own.vectors([asked])[0]], count * s.candidates, settings, collection, own.name)
+    fused = hybrid(store, words, [float(x) for x in own.vectors([asked])[0]], count * s.candidates, settings, collection, own.name, only)
     best = fulltext.ranks(fused, "hybrid_rank", F.desc("rrf_score"), F.asc_nulls_last("bm25_rank"), F.asc_nulls_last("vector_rank"))
     if not reranker:
         results = best.where(F.col("hybrid_rank") <= count).withColumn("score", F.col("rrf_score"))
     else:
         few = best.where(F.col("hybrid_rank") <= s.rerank * count)
-        scored = score_rows(with_text(store, few, chunks_of(store, collection, without)), query, reranker)
+        scored = score_rows(with_text(store, few, chunks_of(store, collection, without, only)), query, reranker)
         results = retrieval.rerank(few.join(scored, "chunk_id"), F.col("rerank_score"), count)
-    rows = shown(store, results.select("chunk_id", "score", "bm25_rank", "vector_rank"), collection, context, without)
+    rows = shown(store, results.select("chunk_id", "score", "bm25_rank", "vector_rank"), collection, context, without, only)
     if rows:
         remember(store, key, "search", json.dumps(rows), now, s.cache_ttl_hours)
     return rows
 
 
 def search_many(store: Store, queries: DataFrame, embedder: Embedder | Callable[[], Embedder], settings: Settings | None = None, reranker: Reranker = OverlapScorer, count: int | None = None,
-                collection: str | None = None, context: bool = True) -> DataFrame:
+                collection: str | None = None, context: bool = True, only: Only = Only()) -> DataFrame:
     """query_id, place, chunk_id, doc_id, title, collection, section_path, chunk_type, score, bm25_rank, vector_rank, excerpt and
     context of the ``count`` best chunks of each row of ``queries`` (query_id, query): the stages of ``search`` as one plan over all queries.
 
@@ -197,9 +219,9 @@ def search_many(store: Store, queries: DataFrame, embedder: Embedder | Callable[
     own = materialise(queries.select("query_id", F.coalesce(F.col("query").cast("string"), F.lit("")).alias("query")), "queries")
     n = count * s.candidates * s.candidates
     without = left_out(store) if collection is None else []
-    shown_of = materialise(chunks_of(store, collection, without), "shown")
+    shown_of = materialise(chunks_of(store, collection, without, only), "shown")
     index = statistics.live_postings(store)
-    if collection is not None or without:
+    if collection is not None or without or only != Only():
         index = index.join(shown_of.select("chunk_id"), "chunk_id", "left_semi")
     words = fulltext.words_of_queries(own, stemmed=True)
     held = store.table("statistics").join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
@@ -234,8 +256,8 @@ def with_text(store: Store, rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return own.join(store.table("content").select("hash", "doc"), F.col("hash") == F.col("content_hash")).withColumn("text", F.substring("doc", F.col("pos") + 1, F.col("len"))).drop("doc", "hash")
 
 
-def shown(store: Store, results: DataFrame, collection: str | None, context: bool, without: list[str] | None = None) -> list[dict]:
-    rows = with_text(store, results, chunks_of(store, collection, without)).withColumnRenamed("text", "excerpt")
+def shown(store: Store, results: DataFrame, collection: str | None, context: bool, without: list[str] | None = None, only: Only = Only()) -> list[dict]:
+    rows = with_text(store, results, chunks_of(store, collection, without, only)).withColumnRenamed("text", "excerpt")
     if context:
         near = store.table("chunks").join(rows.select("content_hash").distinct(), "content_hash", "left_semi").join(store.table("content").select("hash", "doc"), F.col("hash") == F.col("content_hash")).select("content_hash", "seq", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text"))
         rows = retrieval.with_context(rows, near)

@@ -193,6 +193,18 @@ def front_matter(spark, sf_dir):
     return ingest.described(docs.select("doc_id", F.lit("x.md").alias("path"), F.concat(head, "text").alias("text"))).select("doc_id", "title", "metadata")
 
 
+@query("SELECT doc_id FROM documents WHERE lang = 'fr' AND source IN ('src0', 'src5') AND doc_id % 28 >= 9")
+def metadata_filter(spark, sf_dir):
+    """Documents by values at paths of their front matter and the time of their last change."""
+    docs = texts(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    head = F.concat(F.lit("---\nlang: "), "lang", F.lit("\nfrom:\n  name: "), "source", F.lit("\ntags: [src0-or-5, "), F.when(F.col("source").isin("src0", "src5"), "yes").otherwise("no"), F.lit("]\n---\n"))
+    day = F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(doc_id % 28 as int))")
+    told = ingest.described(docs.select("doc_id", F.lit("x.md").alias("path"), F.concat(head, "text").alias("text"), day.alias("modified_at")))
+    found = search.Only(since="2024-01-10", fields=(("lang", "fr"), ("tags", "src0-or-5"))).documents(told)
+    both = [search.Only(fields=(("from.name", name),)).documents(found) for name in ("src0", "src5")]
+    return both[0].unionAll(both[1]).select("doc_id")
+
+
 @query("""WITH d AS (SELECT doc_id, sha256(text) AS h0, sha256(text || CASE WHEN doc_id % 3 = 0 THEN ' again' ELSE '' END) AS h1, doc_id % 5 = 0 AS gone FROM documents),
  dead AS (SELECT DISTINCT h1 FROM d WHERE gone AND h1 NOT IN (SELECT h1 FROM d WHERE NOT gone))
 SELECT * FROM (SELECT 'added' AS step, count(*) AS n FROM d UNION ALL SELECT 'updated', count(*) FILTER (doc_id % 3 = 0) FROM d UNION ALL SELECT 'unchanged', count(*) FILTER (doc_id % 3 <> 0) FROM d UNION ALL SELECT 'removed', count(*) FILTER (gone) FROM d
