@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import dealt, materialise, small_batches, text_of
+from lakesift.llm import bits
+from lakesift.llm.common import materialise, small_batches, text_of
 from lakesift.llm.vocabulary import slices
 
 LEAST_DOCUMENTS, TOP_TERMS, PRIOR, SCALE = 30, 50, 5, 1_000_000_000
@@ -87,14 +88,45 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"), text_of("text").alias("text"))
 
 
+def _count_alone(copied: bits.Filter):
+    """Counts of the texts that occur once, where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(~copied.holds(np.asarray(batch.column("hash")).view(np.uint64))))
+            one = pa.StructArray.from_arrays([some.column("source"), pa.array(np.ones(some.num_rows, dtype=np.int64))], ["source", "n"])
+            shares = pa.ListArray.from_arrays(pa.array(np.arange(some.num_rows + 1, dtype=np.int32)), one)
+            yield from _count(iter([pa.RecordBatch.from_arrays([some.column("lang"), some.column("text"), shares], ["lang", "text", "shares"])]))
+
+    return run
+
+
+def _repeated(copied: bits.Filter):
+    """The rows whose texts occur more than once, and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(copied.holds(np.asarray(batch.column("hash")).view(np.uint64)))).select(["lang", "source", "text"])
+
+    return run
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n_docs and n (occurrences): each different text of a language is tokenised once."""
-    own = dealt(_plain(docs)).select("*", F.unhex(F.sha2("text", 256)).alias("digest"))
-    texts = own.groupBy("lang", "digest").agg(F.first("text").alias("text"))
+    """lang, source, term, n_docs and n (occurrences): each different text of a language is tokenised once.
+
+    Hashes tell which texts can occur more than once; only those move, and are collapsed by language and digest. All others are
+    tokenised where they are read. The bit map of hashes has a size that doesn't grow with the documents.
+    """
+    own = small_batches(_plain(docs)).select("*", F.xxhash64("lang", "text").alias("hash"))
+    copied = bits.build(own.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1"), "hash")
+    schema = "lang string, source string, term string, n_docs long, n long"
+    alone = own.mapInArrow(_count_alone(copied), schema)
+    again = own.mapInArrow(_repeated(copied), "lang string, source string, text string").select("*", F.unhex(F.sha2("text", 256)).alias("digest"))
+    texts = again.groupBy("lang", "digest").agg(F.first("text").alias("text"))
     # copies are added up by source before they meet, so a text has one entry for each source
-    shares = own.groupBy("lang", "digest", "source").agg(F.count("*").alias("n")).groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "n")).alias("shares"))
-    weighted = small_batches(texts.join(shares, ["lang", "digest"]).select("lang", "text", "shares"))
-    counted = weighted.mapInArrow(_count, "lang string, source string, term string, n_docs long, n long")
+    shares = again.groupBy("lang", "digest", "source").agg(F.count("*").alias("n")).groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "n")).alias("shares"))
+    weighted = texts.join(shares, ["lang", "digest"]).select("lang", "text", "shares")
+    counted = alone.unionAll(weighted.mapInArrow(_count, schema))
     return counted.groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
 
 
