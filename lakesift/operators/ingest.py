@@ -82,10 +82,30 @@ def add_documents(store: Store, files: DataFrame, collection: str, now: str) ->
     return {s: counts.get(s, 0) for s in ("added", "updated", "unchanged")}
 
 
+def vectors_of_chunks(store: Store, chunks: DataFrame, model: Embedder | Callable[[], Embedder], batch: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(vectors, fresh): chunk_id, model, embedding, digest of each of ``chunks`` (chunk_id, text), and digest, embedding of those
+    texts that the model was asked for.
+
+    Equal texts are embedded once, and those that the store has a vector of by this model not at all. Both are found by digests:
+    a text moves only where it has to be embedded. A null text counts as an empty one.
+    """
+    name = loaded(model).name
+    places = chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+    first = places.groupBy("digest").agg(F.min("chunk_id").alias("chunk_id"))
+    held = store.table("vectors").where((F.col("model") == name) & F.col("digest").isNotNull()).join(first.select("digest"), "digest", "left_semi")
+    known = held.groupBy("digest").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
+    todo = first.join(held.select("digest"), "digest", "left_anti")
+    asked = places.join(todo, ["chunk_id", "digest"], "left_semi").dropDuplicates(["digest"])
+    fresh = materialise(embed_rows(asked, model, key="digest", batch=batch).select("digest", "embedding"), "fresh")
+    found = places.select("chunk_id", "digest").join(known.unionByName(fresh), "digest")
+    return found.select("chunk_id", F.lit(name).alias("model"), "embedding", "digest"), fresh
+
+
 def index_documents(store: Store, model: Embedder | Callable[[], Embedder], settings: Settings, now: str, doc_id: int | None = None) -> dict[str, int]:
     """Chunk, tokenise and embed each different active text that isn't indexed with this model and these sizes.
 
-    Texts that give no chunk are kept as indexed too. Tokens are stems.
+    Texts that give no chunk are kept as indexed too. Tokens are stems. Of a text that was edited only chunks with new
+    texts are embedded: ``embedded`` counts the texts that the model was asked for.
     """
     c = settings.chunking
     params = f"{c.target_chars}/{c.overlap_chars}/{c.min_chars}"
@@ -96,7 +116,7 @@ def index_documents(store: Store, model: Embedder | Callable[[], Embedder], sett
     try:
         total, done = wanted.count(), todo.count()
         if not done:
-            return {"indexed": 0, "skipped": total, "chunks_written": 0}
+            return {"indexed": 0, "skipped": total, "chunks_written": 0, "embedded": 0}
         stamp = {"model": F.lit(name), "params": F.lit(params), "embedded_at": F.lit(now).cast("timestamp")}
         texts = store.table("content").join(todo, F.col("hash") == F.col("content_hash")).select("content_hash", "doc")
         cut = chunk_documents(texts, target=c.target_chars, overlap=c.overlap_chars, least=c.min_chars)
@@ -116,13 +136,14 @@ def index_documents(store: Store, model: Embedder | Callable[[], Embedder], sett
         words = materialise(words, "words")
         more = statistics.term_counts(words.join(of_live, "chunk_id", "left_semi"))
         more = more if less is None else more.unionByName(less)
-        written = {"vectors": embed_rows(with_text, model, batch=settings.embedding.batch), "tokens": words, "postings": fulltext.by_term(fulltext.with_levels(fulltext.postings(words))), "indexed": counted,
+        vectors, fresh = vectors_of_chunks(store, with_text, model, settings.embedding.batch)
+        written = {"vectors": vectors, "tokens": words, "postings": fulltext.by_term(fulltext.with_levels(fulltext.postings(words))), "indexed": counted,
                    "statistics": more.repartitionByRange("term").sortWithinPartitions("term", "level"), "counted": live}
         if doc_id is not None:  # a document that isn't active can be indexed by its id
             written["dead"] = new.join(live, "content_hash", "left_anti").select("chunk_id")
         store.append(written, ({k: replaced for k in ("vectors", "tokens", "postings", "dead")} if had else {}) | {"indexed": todo} | ({"counted": todo} if had else {}))
         replaced.unpersist()
-        return {"indexed": done, "skipped": total - done, "chunks_written": new.count()}
+        return {"indexed": done, "skipped": total - done, "chunks_written": new.count(), "embedded": fresh.count()}
     finally:
         todo.unpersist()
 

@@ -12,7 +12,7 @@ from lakesift.functions import text as tx
 from lakesift.operators import chunking, fulltext, ingest, lifecycle, retrieval, search, statistics
 from lakesift.plans.tables import table, texts
 from lakesift.providers import HashingEmbedder
-from lakesift.schema import Settings
+from lakesift.schema import Chunking, Settings
 from lakesift.sources.files import read_files
 from lakesift.store import Store
 from lakesift.streaming.watch import watch
@@ -136,6 +136,33 @@ def index_documents(spark, sf_dir):
     return counts.agg(*[F.max(F.when(F.col("name") == n, F.col("n_rows"))).alias("contents" if n == "content" else n) for n in ("documents", "content", "chunks", "indexed")]).withColumn("again", F.lit(again))
 
 
+class _Marked(HashingEmbedder):
+    """The same model, but for a mark on what it gives: no vector of the other one has a component above 5."""
+
+    def vectors(self, texts_: list[str]):
+        return super().vectors(texts_) + 10
+
+
+_EDIT = "substr({0}, 1, {1}) || ' more words here ' || substr({0}, {1} + 1)"
+_EDITED = f"SELECT {_EDIT.format('text', '(length(text) // 2)')} AS text FROM documents WHERE doc_id % 4 = 0"
+
+
+@query(_chunks_sql(f"SELECT DISTINCT sha256(text) AS hash, text FROM (SELECT text FROM documents UNION ALL {_EDITED})", 600, 60, 30)
+       + f", was AS (SELECT DISTINCT sha256(ch.text) AS digest FROM ch WHERE hash IN (SELECT sha256(text) FROM documents)) SELECT ch.hash AS content_hash, seq, sha256(ch.text) NOT IN (SELECT digest FROM was) AS embedded FROM ch WHERE hash IN (SELECT sha256(text) FROM ({_EDITED})) AND hash NOT IN (SELECT sha256(text) FROM documents)")
+def chunk_reuse(spark, sf_dir):
+    """A quarter of the documents is edited in the middle and indexed again: which of their chunks the model was asked for."""
+    store, own = Store(spark, work_dir(spark, "edited")), files(spark, sf_dir)
+    settings = Settings(chunking=Chunking(600, 60, 30))
+    ingest.add_documents(store, own, "default", T)
+    ingest.index_documents(store, HashingEmbedder(), settings, T)
+    number, half = F.regexp_extract("path", r"doc-(\d+)\.md", 1).cast("long"), F.floor(F.length("text") / 2).cast("int")
+    edited = own.where(number % 4 == 0).withColumns({"text": F.concat(F.substring("text", F.lit(1), half), F.lit(" more words here "), F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)")), "modified_at": F.lit(LATER).cast("timestamp")})
+    ingest.add_documents(store, edited, "default", LATER)
+    ingest.index_documents(store, _Marked(), settings, LATER)
+    again = store.table("chunks").where(F.col("embedded_at") == F.lit(LATER).cast("timestamp"))
+    return again.join(store.table("vectors"), "chunk_id").select("content_hash", F.col("seq").cast("long").alias("seq"), (F.array_max("embedding") > 5).alias("embedded"))
+
+
 @query(_CHUNKS + " SELECT hash AS content_hash, seq, sha256(concat_ws(chr(10) || chr(10), lag(text) OVER w, text, lead(text) OVER w)) AS context_hash FROM ch WINDOW w AS (PARTITION BY hash ORDER BY seq)")
 def chunk_context(spark, sf_dir):
     """Each chunk with its neighbours, by the join that search results take."""

@@ -10,7 +10,8 @@ CONTENT = "hash string, doc string, created_at timestamp"
 COLLECTIONS = "name string, path string, pattern string, ignore_patterns array<string>, include_by_default boolean, update_command string, context map<string,string>"
 DOCUMENTS = "id bigint, collection string, path string, title string, hash string, metadata string, active boolean, deleted_at timestamp, created_at timestamp, modified_at timestamp, source_uri string"
 CHUNKS = "chunk_id bigint, content_hash string, seq int, pos int, len int, model string, section_path string, chunk_type string, language string, embedded_at timestamp, params string"
-VECTORS = "chunk_id bigint, model string, embedding array<float>"
+#: ``digest`` is the SHA-256 of the chunk's text: an equal text needs no second call of the model.
+VECTORS = "chunk_id bigint, model string, embedding array<float>, digest string"
 TOKENS = "chunk_id bigint, dl int, tokens array<string>"
 POSTINGS = "term string, chunk_id bigint, positions array<int>, dl int, level int"
 #: Counts of live chunks by term and level, as deltas; the empty term has the number of chunks and of their tokens.

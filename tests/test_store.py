@@ -46,7 +46,7 @@ def test_life_of_documents(spark, store, notes, tmp_path):
     embedder = HashingEmbedder()
     assert isinstance(embedder, Embedder)
     assert ingest.index_documents(store, embedder, SETTINGS, T)["indexed"] == 3
-    assert ingest.index_documents(store, embedder, SETTINGS, T) == {"indexed": 0, "skipped": 3, "chunks_written": 0}
+    assert ingest.index_documents(store, embedder, SETTINGS, T) == {"indexed": 0, "skipped": 3, "chunks_written": 0, "embedded": 0}
     (tmp_path / "notes" / "c.md").write_text("now a different text about foxes and tokens")
     before = store.table("documents").where("path = 'c.md'").head()
     assert ingest.update_collection(store, "notes", LATER) == {"added": 0, "updated": 1, "unchanged": 2}
