@@ -70,6 +70,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("folder", nargs="?", help="a folder of change logs; without it the files of --collection are watched")
     p.add_argument("-c", "--collection")
     p.add_argument("--checkpoint", required=True)
+    p.add_argument("--quiet", type=int, default=0, help="seconds without a change of a path, after which a burst of its changes is applied as one; with a log the watch then goes on")
     sub.add_parser("db-check")
     sub.add_parser("compact")
     p = sub.add_parser("vacuum")
@@ -143,7 +144,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
     elif a.command == "purge":
         out = ingest.purge(store, (now - age(a.older_than)).strftime("%Y-%m-%d %H:%M:%S"), a.dry_run)
     elif a.command == "watch":
-        (watch(spark, store, a.folder, a.checkpoint, embedder, settings) if a.folder else watch_folder(spark, store, a.collection, a.checkpoint, embedder, settings)).awaitTermination()
+        (watch(spark, store, a.folder, a.checkpoint, embedder, settings, once=not a.quiet, quiet=a.quiet) if a.folder else watch_folder(spark, store, a.collection, a.checkpoint, embedder, settings, quiet=a.quiet)).awaitTermination()
         out = store.version
     elif a.command == "compact":
         out = store.compact()
