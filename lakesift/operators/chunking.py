@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesift.operators.scripts import declarations
+
 # Kinds of breaks and their weights, in the order that decides ties in ``compat``.
 WEIGHTS = {"h1": 100, "h2": 90, "h3": 80, "h4": 70, "hr": 65, "codeblock": 65, "h5": 60, "h6": 50, "sentence": 30, "blank": 20, "list": 5, "numlist": 5, "newline": 1}
 # Weights of a class, of a function or export, and of an import at the top level of fenced code.
@@ -31,7 +33,6 @@ _FRONT = re.compile(r"\A---\n.*?\n---\n", re.DOTALL)
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$", re.MULTILINE)
 _FENCED = re.compile(r"^```(\w+)[^\n]*\n(.*?)^```", re.DOTALL | re.MULTILINE)
 _FENCE_LINE = re.compile(r"^[^\S\n]*```(.*)$", re.MULTILINE)
-_SCRIPT = re.compile(r"^(?:(class )|(function |async function |export )|import )", re.MULTILINE)
 CHUNK = "seq int, pos int, len int, section_path string, chunk_type string, language string"
 #: Share of a break's weight that is lost at the far end of the window.
 DECAY = 0.7
@@ -79,7 +80,7 @@ def break_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 def code_breaks(language: str, code: str) -> Iterator[tuple[int, int]]:
     """(place, weight) of the line ends before classes, functions and imports at the top level of ``code``; none before its first line.
 
-    Python is parsed; what can't be parsed, and other languages, have no such breaks, but scripts those of their lines.
+    Python is parsed, scripts are read by ``declarations``; what can't be parsed, and other languages, have no such breaks.
     """
     lines = [0, *(m.end() for m in re.finditer("\n", code))]
     if language == "python":
@@ -93,9 +94,8 @@ def code_breaks(language: str, code: str) -> Iterator[tuple[int, int]]:
             if weight and first > 1:
                 yield lines[first - 1] - 1, FUNCTION if getattr(node, "decorator_list", None) else weight
     elif language in ("javascript", "typescript"):
-        for m in _SCRIPT.finditer(code):
-            if m.start():
-                yield m.start() - 1, CLASS if m[1] else FUNCTION if m[2] else IMPORT
+        weights = {"type": CLASS, "function": FUNCTION, "module": IMPORT}
+        yield from ((at - 1, weights[kind]) for at, kind in declarations(code) if at)
 
 
 class Cuts:
