@@ -5,30 +5,23 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.blocks import materialise
-from lakesift.operators import fulltext, lifecycle, retrieval, statistics
+from lakesift.operators import fulltext, lifecycle, prompts, retrieval, statistics
+from lakesift.operators.prompts import ANSWER, REPHRASE, key_of
 from lakesift.operators.vector_index import VectorIndex
 from lakesift.providers import Embedder, OverlapScorer, PairScorer, Writer, embed_rows, loaded, score_pairs, score_rows
 from lakesift.schema import CACHE, Settings
 from lakesift.store import Store
 
-REPHRASE = "Give four other wordings of this search query, one on each line, without numbers or punctuation.\n\nQuery: {query}\n"
-ANSWER = "Answer this question in one factual paragraph of three to five sentences.\n\nQuestion: {query}\n"
 #: A reranker: a model of (query, text) pairs, or a function that makes one in each worker, or False for none.
 Reranker = PairScorer | Callable[[], PairScorer] | bool
 
 
-def key_of(value: object) -> str:
-    import hashlib
-
-    return hashlib.sha256(json.dumps(value, ensure_ascii=False).encode()).hexdigest()
-
-
 def cached(store: Store, key: str, kind: str, now: str) -> str | None:
     rows = lifecycle.cache_valid(store.table("cache"), F.lit(now).cast("timestamp")).where((F.col("hash") == key) & (F.col("type") == kind)).select("result").limit(1).collect()
     return rows[0]["result"] if rows else None
@@ -205,14 +198,15 @@ def search(store: Store, query: str, embedder: Embedder | Callable[[], Embedder]
 
 
 def search_many(store: Store, queries: DataFrame, embedder: Embedder | Callable[[], Embedder], settings: Settings | None = None, reranker: Reranker = OverlapScorer, count: int | None = None,
-                collection: str | None = None, context: bool = True, only: Only = Only()) -> DataFrame:
+                collection: str | None = None, context: bool = True, only: Only = Only(), model: Writer | Callable[[], Writer] | None = None, now: str | None = None) -> DataFrame:
     """query_id, place, chunk_id, doc_id, title, collection, section_path, chunk_type, score, bm25_rank, vector_rank, excerpt and
     context of the ``count`` best chunks of each row of ``queries`` (query_id, query): the stages of ``search`` as one plan over all queries.
 
     A query is taken for any of its words, not as a phrase. Queries whose best text stands far before the second end there, without
     context; the others are fused with the nearest vectors, reranked, and shown with their neighbours. Query texts are embedded and
     scored in the tasks; the driver holds nothing of queries or results but a block of query vectors at a time. A null or empty
-    query has its nearest vectors only. ids of queries are different and not null.
+    query has its nearest vectors only. ids of queries are different and not null. A ``model`` is asked about the queries that didn't end
+    early, in the tasks, once for equal ones and never for what the cache has (``prompts.replies``), whose times are seen from ``now``.
     """
     settings = settings or Settings()
     s, count, name = settings.search, count or settings.search.default_count, loaded(embedder).name
@@ -223,14 +217,22 @@ def search_many(store: Store, queries: DataFrame, embedder: Embedder | Callable[
     index = statistics.live_postings(store)
     if collection is not None or without or only != Only():
         index = index.join(shown_of.select("chunk_id"), "chunk_id", "left_semi")
-    words = fulltext.words_of_queries(own, stemmed=True)
-    held = store.table("statistics").join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
-    by_text = materialise(fulltext.bm25_of_many(index, statistics.corpus(store), held, words, n), "by-text")
+
+    def hits(asked_for: DataFrame, kept: str) -> DataFrame:
+        words = fulltext.words_of_queries(asked_for, stemmed=True)
+        held = store.table("statistics").join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
+        return materialise(fulltext.bm25_of_many(index, statistics.corpus(store), held, words, n), kept)
+
+    by_text = hits(own, "by-text")
     few = fulltext.min_max_of_many(by_text.where(F.col("rank") <= count * 5)).where(F.col("rank") <= count)
     first = materialise(few, "first")
     early = fulltext.early_of_many(first, s.bm25_threshold, s.bm25_gap)
-    asked = embed_rows(own, embedder, key="query_id", text="query", batch=settings.embedding.batch).select("query_id", F.col("embedding").alias("query_vector"))
-    near = near_of_many(store, shown_of, asked.join(early, "query_id", "left_anti"), name, n, settings)
+    asked_for = own.join(early, "query_id", "left_anti")
+    if model is not None:
+        wide = prompts.widened(store, asked_for, model, now or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"))
+        by_text, asked_for = hits(wide.select("query_id", F.col("words").alias("query")), "by-words"), wide.select("query_id", F.col("asked").alias("query"))
+    asked = embed_rows(asked_for, embedder, key="query_id", text="query", batch=settings.embedding.batch).select("query_id", F.col("embedding").alias("query_vector"))
+    near = near_of_many(store, shown_of, asked, name, n, settings)
     late = by_text.join(early, "query_id", "left_anti").select("query_id", "chunk_id", F.col("rank").alias("bm25_rank"))
     fused = retrieval.fuse_of_many(late, near.select("query_id", "chunk_id", F.col("rank").alias("vector_rank")), count * s.candidates, k=s.rrf_k)
     if reranker:

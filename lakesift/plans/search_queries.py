@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from lakesift.blocks import materialise
+from lakesift.blocks import materialise, work_dir
 from lakesift.functions import text as tx
 from lakesift.functions.porter import stems
-from lakesift.operators import fulltext, retrieval
+from lakesift.operators import fulltext, prompts, retrieval
 from lakesift.operators.vector_index import VectorIndex
-from lakesift.plans.tables import DOCUMENTS_SQL, documents, table, texts
-from lakesift.providers import OverlapScorer, score_pairs
+from lakesift.plans.tables import DOCUMENTS_SQL, NOW, documents, table, texts
+from lakesift.providers import OverlapScorer, Writer, score_pairs
+from lakesift.store import Store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -313,6 +316,33 @@ def classify_query(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.query_kind(F.col("text")).alias("kind"))
 
 
+class _Digests(Writer):
+    """Replies two lines with parts of the prompt's digest: a model that SQL can stand in for."""
+
+    name = "digests"
+
+    def reply(self, prompt: str, most_tokens: int = 512) -> str:
+        digest = hashlib.sha256(prompt.encode()).hexdigest()
+        return f"{digest[:8]}\n\n {digest[8:16]}"
+
+
+_TEMPLATES = {kind: template.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{query}", "' || text || '") for kind, template in (("hyde", prompts.ANSWER), ("rephrase", prompts.REPHRASE))}
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, coalesce(text, '') AS text FROM benchmark UNION ALL SELECT -1 - item_id, coalesce(text, '') FROM benchmark),
+ k AS (SELECT *, CASE WHEN trim(text, ' ') = '' THEN 'none' WHEN ends_with(trim(text, ' '), '?') OR lower(regexp_split_to_array(trim(text, ' '), '[ \\t\\n\\x0B\\f\\r]+')[1]) IN {_WORDS} THEN 'hyde' ELSE 'rephrase' END AS kind FROM q),
+ p AS (SELECT *, CASE kind WHEN 'hyde' THEN '{_TEMPLATES["hyde"]}' WHEN 'rephrase' THEN '{_TEMPLATES["rephrase"]}' END AS prompt FROM k),
+ r AS (SELECT *, substr(sha256(prompt), 1, 8) AS a, substr(sha256(prompt), 9, 8) AS b FROM p)
+ SELECT query_id, kind, CASE WHEN kind = 'rephrase' THEN sha256(text || ' ' || a || ' ' || b) ELSE sha256(text) END AS words_hash, CASE WHEN kind = 'hyde' THEN sha256(a || chr(10) || chr(10) || ' ' || b) ELSE sha256(text) END AS asked_hash, (SELECT count(DISTINCT prompt) FROM p) AS n_kept FROM r""")
+def replies_of_many(spark, sf_dir):
+    """What a model makes of every item of the benchmark, each asked for twice: the words to look for, the text to embed, and how many replies are kept."""
+    store, items = Store(spark, work_dir(spark, "replies-store")), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    asked = items.select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query")).unionAll(items.select(-1 - F.col("item_id").cast("long"), "text"))
+    found = prompts.widened(store, asked, _Digests(), NOW)
+    kept = store.table("cache").agg(F.count("*").alias("n_kept"))  # one row
+    return found.select("query_id", "kind", F.sha2("words", 256).alias("words_hash"), F.sha2("asked", 256).alias("asked_hash")).crossJoin(F.broadcast(kept))
+
+
 @query(f"SELECT d.doc_id AS chunk_id, round(len(list_intersect(q.t, {_TOKENS.format('d.text')})) / len(q.t), 6) AS score FROM documents d, (SELECT list_distinct({_TOKENS.format('text')}) AS t FROM benchmark WHERE item_id = 0) q")
 def rerank_overlap(spark, sf_dir):
     text = table(spark, sf_dir, "benchmark").where("item_id = 0").select("text").head()[0]

@@ -71,10 +71,15 @@ def qualified(spark: SparkSession, path: str) -> str:
     return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
 
 
+def _at(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a place and its path there, in a task."""
+    scheme, _, rest = uri.partition(":")
+    return fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else f"file://{rest}" if scheme == "file" and not rest.startswith("//") else uri)
+
+
 def write_file(uri: str, data: bytes) -> str:
     """Write a file from a task, by renaming, so that no half file is seen; its place."""
-    scheme, _, rest = uri.partition(":")
-    where, path = fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else f"file://{rest}" if scheme == "file" and not rest.startswith("//") else uri)
+    where, path = _at(uri)
     folder, name = path.rsplit("/", 1)
     where.create_dir(folder, recursive=True)
     draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
@@ -82,3 +87,12 @@ def write_file(uri: str, data: bytes) -> str:
         f.write(data)
     where.move(draft, path)
     return uri
+
+
+def read_file(uri: str) -> bytes | None:
+    """What a file holds, read in a task; None where there is none."""
+    where, path = _at(uri)
+    if where.get_file_info(path).type != fs.FileType.File:
+        return None
+    with where.open_input_stream(path) as f:
+        return f.read()
