@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lakesift.blocks import materialise
+from lakesift.blocks import forget, materialise
 from lakesift.functions.text import content_hash, heading, stem, tokens
 from lakesift.operators import fulltext, lifecycle, statistics
 from lakesift.operators.chunking import chunk_documents
@@ -82,23 +82,24 @@ def add_documents(store: Store, files: DataFrame, collection: str, now: str) ->
     return {s: counts.get(s, 0) for s in ("added", "updated", "unchanged")}
 
 
-def vectors_of_chunks(store: Store, chunks: DataFrame, model: Embedder | Callable[[], Embedder], batch: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(vectors, fresh): chunk_id, model, embedding, digest of each of ``chunks`` (chunk_id, text), and digest, embedding of those
-    texts that the model was asked for.
+def vectors_of_chunks(store: Store, chunks: DataFrame, model: Embedder | Callable[[], Embedder], batch: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors, fresh, digests): chunk_id, model, embedding, digest of each of ``chunks`` (chunk_id, text); digest, embedding of those
+    texts that the model was asked for; chunk_id, digest. The last two are written tables, which ``vectors`` reads.
 
     Equal texts are embedded once, and those that the store has a vector of by this model not at all. Both are found by digests:
     a text moves only where it has to be embedded. A null text counts as an empty one.
     """
     name = loaded(model).name
     places = chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
-    first = places.groupBy("digest").agg(F.min("chunk_id").alias("chunk_id"))
+    digests = materialise(places.select("chunk_id", "digest"), "digests")
+    first = digests.groupBy("digest").agg(F.min("chunk_id").alias("chunk_id"))
     held = store.table("vectors").where((F.col("model") == name) & F.col("digest").isNotNull()).join(first.select("digest"), "digest", "left_semi")
     known = held.groupBy("digest").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
     todo = first.join(held.select("digest"), "digest", "left_anti")
-    asked = places.join(todo, ["chunk_id", "digest"], "left_semi").dropDuplicates(["digest"])
+    asked = places.join(todo.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["digest"])
     fresh = materialise(embed_rows(asked, model, key="digest", batch=batch).select("digest", "embedding"), "fresh")
-    found = places.select("chunk_id", "digest").join(known.unionByName(fresh), "digest")
-    return found.select("chunk_id", F.lit(name).alias("model"), "embedding", "digest"), fresh
+    found = digests.join(known.unionByName(fresh), "digest")
+    return found.select("chunk_id", F.lit(name).alias("model"), "embedding", "digest"), fresh, digests
 
 
 def index_documents(store: Store, model: Embedder | Callable[[], Embedder], settings: Settings, now: str, doc_id: int | None = None) -> dict[str, int]:
@@ -136,14 +137,16 @@ def index_documents(store: Store, model: Embedder | Callable[[], Embedder], sett
         words = materialise(words, "words")
         more = statistics.term_counts(words.join(of_live, "chunk_id", "left_semi"))
         more = more if less is None else more.unionByName(less)
-        vectors, fresh = vectors_of_chunks(store, with_text, model, settings.embedding.batch)
+        vectors, fresh, digests = vectors_of_chunks(store, with_text, model, settings.embedding.batch)
         written = {"vectors": vectors, "tokens": words, "postings": fulltext.by_term(fulltext.with_levels(fulltext.postings(words))), "indexed": counted,
                    "statistics": more.repartitionByRange("term").sortWithinPartitions("term", "level"), "counted": live}
         if doc_id is not None:  # a document that isn't active can be indexed by its id
             written["dead"] = new.join(live, "content_hash", "left_anti").select("chunk_id")
         store.append(written, ({k: replaced for k in ("vectors", "tokens", "postings", "dead")} if had else {}) | {"indexed": todo} | ({"counted": todo} if had else {}))
         replaced.unpersist()
-        return {"indexed": done, "skipped": total - done, "chunks_written": new.count(), "embedded": fresh.count()}
+        out = {"indexed": done, "skipped": total - done, "chunks_written": digests.count(), "embedded": fresh.count()}
+        forget(words, fresh, digests, *([] if less is None else [less]))
+        return out
     finally:
         todo.unpersist()
 

@@ -329,15 +329,16 @@ class _Digests(Writer):
 _TEMPLATES = {kind: template.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{query}", "' || text || '") for kind, template in (("hyde", prompts.ANSWER), ("rephrase", prompts.REPHRASE))}
 
 
-@query(f"""WITH q AS (SELECT item_id AS query_id, coalesce(text, '') AS text FROM benchmark UNION ALL SELECT -1 - item_id, coalesce(text, '') FROM benchmark),
+@query(f"""WITH q AS (SELECT item_id AS query_id, coalesce(text, '') AS text FROM benchmark UNION ALL SELECT -1 - item_id, coalesce(text, '') FROM benchmark UNION ALL SELECT 1000000000 + item_id, concat(text, '?') FROM benchmark),
  k AS (SELECT *, CASE WHEN trim(text, ' ') = '' THEN 'none' WHEN ends_with(trim(text, ' '), '?') OR lower(regexp_split_to_array(trim(text, ' '), '[ \\t\\n\\x0B\\f\\r]+')[1]) IN {_WORDS} THEN 'hyde' ELSE 'rephrase' END AS kind FROM q),
  p AS (SELECT *, CASE kind WHEN 'hyde' THEN '{_TEMPLATES["hyde"]}' WHEN 'rephrase' THEN '{_TEMPLATES["rephrase"]}' END AS prompt FROM k),
  r AS (SELECT *, substr(sha256(prompt), 1, 8) AS a, substr(sha256(prompt), 9, 8) AS b FROM p)
  SELECT query_id, kind, CASE WHEN kind = 'rephrase' THEN sha256(text || ' ' || a || ' ' || b) ELSE sha256(text) END AS words_hash, CASE WHEN kind = 'hyde' THEN sha256(a || chr(10) || chr(10) || ' ' || b) ELSE sha256(text) END AS asked_hash, (SELECT count(DISTINCT prompt) FROM p) AS n_kept FROM r""")
 def replies_of_many(spark, sf_dir):
-    """What a model makes of every item of the benchmark, each asked for twice: the words to look for, the text to embed, and how many replies are kept."""
+    """What a model makes of every item of the benchmark, each asked for twice as it is and once as a question: the words to look for, the text to embed, and how many replies are kept."""
     store, items = Store(spark, work_dir(spark, "replies-store")), table(spark, sf_dir, "benchmark").select("item_id", "text")
     asked = items.select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query")).unionAll(items.select(-1 - F.col("item_id").cast("long"), "text"))
+    asked = asked.unionAll(items.select(1_000_000_000 + F.col("item_id").cast("long"), F.concat(F.coalesce("text", F.lit("")), F.lit("?"))))
     found = prompts.widened(store, asked, _Digests(), NOW)
     kept = store.table("cache").agg(F.count("*").alias("n_kept"))  # one row
     return found.select("query_id", "kind", F.sha2("words", 256).alias("words_hash"), F.sha2("asked", 256).alias("asked_hash")).crossJoin(F.broadcast(kept))

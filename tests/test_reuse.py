@@ -56,8 +56,8 @@ def test_other_models_and_old_vectors_are_not_reused(spark, store):
 
 def test_equal_chunks_of_one_batch_and_nulls(spark, store):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(["same", "same", "same", "other", None, ""])], "chunk_id long, text string")
-    found, fresh = ingest.vectors_of_chunks(store, rows, HashingEmbedder())
+    found, fresh, _ = ingest.vectors_of_chunks(store, rows, HashingEmbedder())
     assert fresh.count() == 3 and found.count() == 6
     assert found.where("size(embedding) = 64").select("chunk_id").distinct().count() == 6
-    empty, none = ingest.vectors_of_chunks(store, rows.where("false"), HashingEmbedder())
+    empty, none, _ = ingest.vectors_of_chunks(store, rows.where("false"), HashingEmbedder())
     assert empty.count() == none.count() == 0
