@@ -53,3 +53,10 @@ def test_as_rows(spark):
     rows = chunk_documents(docs, target=120, overlap=20, least=30).collect()
     assert {r["content_hash"] for r in rows} == {"a"}
     assert sorted(r["seq"] for r in rows) == list(range(len(rows)))
+
+
+def test_a_language_that_the_end_of_a_chunk_cuts_is_read_whole():
+    text = "```\nold\n```\n" + "word " * 8 + "\n```text\nx\n```\n"
+    at = text.index("```text")
+    assert kind_of(text, 0, at + 6) == kind_of(text, 0, at + 7) == kind_of(text, 0, at + 8) == ("mixed", "text")
+    assert kind_of(text, 0, at + 3) == kind_of(text, 0, at) == ("mixed", None)
