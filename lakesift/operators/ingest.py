@@ -96,7 +96,7 @@ def vectors_of_chunks(store: Store, chunks: DataFrame, model: Embedder | Callabl
     held = store.table("vectors").where((F.col("model") == name) & F.col("digest").isNotNull()).join(first.select("digest"), "digest", "left_semi")
     known = held.groupBy("digest").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
     todo = first.join(held.select("digest"), "digest", "left_anti")
-    asked = places.join(todo.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["digest"])
+    asked = places.join(todo, ["chunk_id", "digest"], "left_semi")  # one row of each text, so that texts move once
     fresh = materialise(embed_rows(asked, model, key="digest", batch=batch).select("digest", "embedding"), "fresh")
     found = digests.join(known.unionByName(fresh), "digest")
     return found.select("chunk_id", F.lit(name).alias("model"), "embedding", "digest"), fresh, digests
@@ -129,23 +129,27 @@ def index_documents(store: Store, model: Embedder | Callable[[], Embedder], sett
         # chunks are written first and read back: chunking runs once
         store.append({"chunks": cut.withColumns({"chunk_id": F.xxhash64("content_hash", "seq")} | stamp)}, {"chunks": replaced} if had else {})
         new = store.table("chunks").join(todo, "content_hash", "left_semi")
-        with_text = new.join(store.table("content"), F.col("hash") == F.col("content_hash")).select("chunk_id", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text"))
+        with_text = materialise(new.join(store.table("content"), F.col("hash") == F.col("content_hash")).select("chunk_id", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text")), "chunk-texts")
         words = fulltext.with_stems(with_text.select("chunk_id", tokens(F.col("text")).alias("tokens"))).withColumn("dl", F.size("tokens"))
         counted = todo.join(new.groupBy("content_hash").agg(F.count("*").alias("n_chunks")), "content_hash", "left").fillna(0, ["n_chunks"]).withColumns(stamp)
-        live = todo.join(documents.where("active").select(F.col("hash").alias("content_hash")), "content_hash", "left_semi")
-        of_live = new.join(live, "content_hash", "left_semi").select("chunk_id")
         words = materialise(words, "words")
-        more = statistics.term_counts(words.join(of_live, "chunk_id", "left_semi"))
+        index = materialise(fulltext.with_levels(fulltext.postings(words)), "new-postings")
+        if doc_id is None:  # all texts are of active documents
+            live, more = todo, statistics.term_counts(words, index=index)
+        else:
+            live = todo.join(documents.where("active").select(F.col("hash").alias("content_hash")), "content_hash", "left_semi")
+            of_live = new.join(live, "content_hash", "left_semi").select("chunk_id")
+            more = statistics.term_counts(words.join(of_live, "chunk_id", "left_semi"))
         more = more if less is None else more.unionByName(less)
         vectors, fresh, digests = vectors_of_chunks(store, with_text, model, settings.embedding.batch)
-        written = {"vectors": vectors, "tokens": words, "postings": fulltext.by_term(fulltext.with_levels(fulltext.postings(words))), "indexed": counted,
+        written = {"vectors": vectors, "tokens": words, "postings": fulltext.by_term(index), "indexed": counted,
                    "statistics": more.repartitionByRange("term").sortWithinPartitions("term", "level"), "counted": live}
         if doc_id is not None:  # a document that isn't active can be indexed by its id
             written["dead"] = new.join(live, "content_hash", "left_anti").select("chunk_id")
         store.append(written, ({k: replaced for k in ("vectors", "tokens", "postings", "dead")} if had else {}) | {"indexed": todo} | ({"counted": todo} if had else {}))
         replaced.unpersist()
         out = {"indexed": done, "skipped": total - done, "chunks_written": digests.count(), "embedded": fresh.count()}
-        forget(words, fresh, digests, *([] if less is None else [less]))
+        forget(with_text, words, index, fresh, digests, *([] if less is None else [less]))
         return out
     finally:
         todo.unpersist()

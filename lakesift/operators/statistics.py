@@ -18,9 +18,12 @@ from lakesift.store import Store
 MOST_TERMS = 2000
 
 
-def term_counts(words: DataFrame, sign: int = 1) -> DataFrame:
-    """term, level, n_docs, n of chunks (chunk_id, dl, tokens), and the empty term's row: their number, and that of their tokens."""
-    index = fulltext.with_levels(fulltext.postings(words))
+def term_counts(words: DataFrame, sign: int = 1, index: DataFrame | None = None) -> DataFrame:
+    """term, level, n_docs, n of chunks (chunk_id, dl, tokens), and the empty term's row: their number, and that of their tokens.
+
+    ``index`` are the postings of the same chunks with their levels, where they are there already.
+    """
+    index = fulltext.with_levels(fulltext.postings(words)) if index is None else index
     by_term = index.groupBy("term", "level").agg((F.count("*") * sign).alias("n_docs"), (F.sum(F.size("positions")) * sign).alias("n"))
     return by_term.unionByName(totals(words, sign))
 

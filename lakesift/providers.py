@@ -63,6 +63,11 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(NOT_TOKEN, text.lower()) if w]
 
 
+@lru_cache(maxsize=200_000)  # a worker's vocabulary
+def _hashed(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 class HashingEmbedder(Embedder):
     """Unit vectors of signed token hashes: deterministic, and texts that share tokens are near."""
 
@@ -70,11 +75,10 @@ class HashingEmbedder(Embedder):
         self.width, self.name = width, f"hashing-{width}"
 
     def vectors(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.width))
-        for row, text in zip(out, texts, strict=True):
-            for word in words_of(text):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                row[(h >> 1) % self.width] += 1 if h & 1 else -1
+        words = [words_of(t) for t in texts]
+        hashes = np.fromiter((_hashed(w) for own in words for w in own), dtype=np.uint64)
+        place = np.repeat(np.arange(len(texts)), [len(own) for own in words]) * self.width + (hashes >> np.uint64(1)).astype(np.int64) % self.width
+        out = np.bincount(place, np.where(hashes & np.uint64(1), 1.0, -1.0), len(texts) * self.width).reshape(len(texts), self.width)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 

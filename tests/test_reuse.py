@@ -61,3 +61,15 @@ def test_equal_chunks_of_one_batch_and_nulls(spark, store):
     assert found.where("size(embedding) = 64").select("chunk_id").distinct().count() == 6
     empty, none, _ = ingest.vectors_of_chunks(store, rows.where("false"), HashingEmbedder())
     assert empty.count() == none.count() == 0
+
+
+def test_indexing_makes_the_postings_once(spark, store, monkeypatch):
+    from lakesift.operators import fulltext
+
+    made, own = [], fulltext.postings
+    monkeypatch.setattr(fulltext, "postings", lambda *a: made.append(1) or own(*a))
+    ingest.add_documents(store, files(spark, ("a.md", PARTS[0])), "default", T)
+    ingest.index_documents(store, HashingEmbedder(), SETTINGS, T)
+    assert len(made) == 1  # for the index and its statistics
+    posted = store.table("postings").groupBy("term", "level").agg(F.count("*").alias("n")).collect()
+    assert {(r["term"], r["level"]): r["n"] for r in posted} == {(r["term"], r["level"]): r["n_docs"] for r in store.table("statistics").where("term != ''").collect()}
