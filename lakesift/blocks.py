@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,13 @@ def forget(*written: DataFrame) -> None:
             path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
 
 
+def pieces(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes: what a task makes of its rows is held for one of them at a time."""
+    step = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+    for a in range(0, batch.num_rows, step):
+        yield batch.slice(a, step)
+
+
 #: Tables of fewer bytes are dealt out to all cores before work on them: they may lie in one row group, which is one task.
 DEALT_BYTES = 64 << 20
 
