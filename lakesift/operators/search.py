@@ -214,14 +214,14 @@ def search_many(store: Store, queries: DataFrame, embedder: Embedder | Callable[
     n = count * s.candidates * s.candidates
     without = left_out(store) if collection is None else []
     shown_of = materialise(chunks_of(store, collection, without, only), "shown")
-    index = statistics.live_postings(store)
+    texts = statistics.live_texts(store)
     if collection is not None or without or only != Only():
-        index = index.join(shown_of.select("chunk_id"), "chunk_id", "left_semi")
+        texts = texts.join(shown_of.select("chunk_id"), "chunk_id", "left_semi")
 
     def hits(asked_for: DataFrame, kept: str) -> DataFrame:
         words = fulltext.words_of_queries(asked_for, stemmed=True)
         held = store.table("statistics").join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
-        return materialise(fulltext.bm25_of_many(index, statistics.corpus(store), held, words, n), kept)
+        return materialise(fulltext.bm25_of_texts(texts, statistics.corpus(store), held, words, n), kept)
 
     by_text = hits(own, "by-text")
     few = fulltext.min_max_of_many(by_text.where(F.col("rank") <= count * 5)).where(F.col("rank") <= count)
@@ -246,8 +246,8 @@ def search_many(store: Store, queries: DataFrame, embedder: Embedder | Callable[
     results = materialise(ranked.withColumn("is_early", F.lit(False)).select(*columns).unionByName(clear), "results")
     rows = with_text(store, results, shown_of).withColumnRenamed("text", "excerpt")
     if context:
-        texts = store.table("chunks").join(rows.select("content_hash").distinct(), "content_hash", "left_semi").join(store.table("content").select("hash", "doc"), F.col("hash") == F.col("content_hash"))
-        near_texts = texts.select("content_hash", "seq", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text"))
+        places = store.table("chunks").join(rows.select("content_hash").distinct(), "content_hash", "left_semi").join(store.table("content").select("hash", "doc"), F.col("hash") == F.col("content_hash"))
+        near_texts = places.select("content_hash", "seq", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text"))
         rows = retrieval.with_context(rows, near_texts).withColumn("context", F.when(~F.col("is_early"), F.col("context")))
     return rows.drop("content_hash", "seq", "pos", "len", "is_early")
 

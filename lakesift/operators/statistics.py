@@ -68,6 +68,12 @@ def live_postings(store: Store) -> DataFrame:
     return index.join(store.table("dead"), "chunk_id", "left_anti") if store.parts()["dead"] else index
 
 
+def live_texts(store: Store) -> DataFrame:
+    """chunk_id, tokens of live chunks."""
+    own = store.table("tokens").select("chunk_id", "tokens")
+    return own.join(store.table("dead"), "chunk_id", "left_anti") if store.parts()["dead"] else own
+
+
 def corpus(store: Store) -> DataFrame:
     """One row: n_rows and avgdl of all live chunks, from the stored counts."""
     own = store.table("statistics").where("term = ''").agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_rows"), F.sum("n").alias("n"))

@@ -136,3 +136,17 @@ def test_widths_have_to_agree(spark):
 def test_command_line_takes_the_model_of_the_index(spark, store):
     assert cli.embedder_of(store, None, "http://none", 128).name == "hashing-64"
     assert cli.embedder_of(store, "other", "http://none", 64).name == "other"
+
+
+def test_texts_give_what_postings_give(spark):
+    """The scan of texts keeps each query's best, equal scores by their keys, also where tasks keep hits of few queries at once."""
+    import random
+
+    rng = random.Random(3)
+    texts = [[rng.choice("abcdefghij") for _ in range(rng.randrange(12))] for _ in range(150)]
+    rows = spark.createDataFrame([(i, t or None) for i, t in enumerate(texts + texts[:60])], "chunk_id long, tokens array<string>").repartition(3)
+    words = fulltext.words_of_queries(spark.createDataFrame([(1, "b c"), (2, "a a d"), (3, "z"), (4, "a b c d e f g h i j"), (5, "")], "query_id int, query string"))
+    index, total = fulltext.postings(rows), rows.agg(F.count("*").alias("n_rows"), F.avg(F.coalesce(F.size("tokens"), F.lit(0))).alias("avgdl"))
+    held = index.groupBy("term").agg(F.count("*").alias("n_docs"))
+    wanted, found = (sorted(tuple(r) for r in f.select("query_id", "rank", "chunk_id", "raw_score").collect()) for f in (fulltext.bm25_of_many(index, total, held, words, 7), fulltext.bm25_of_texts(rows, total, held, words, 7)))
+    assert found == wanted and len(found) == 21
