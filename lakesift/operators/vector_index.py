@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lakesift.blocks import by_blocks, materialise, work_dir
-from lakesift.operators import retrieval
 
 #: Vectors on which centres and code words are fitted, at most; fixed rounds of fitting; code words of a part.
 SAMPLE_ROWS, ROUNDS, WORDS = 65_536, 12, 256
@@ -27,6 +26,8 @@ TARGET, TRIED, NEIGHBOURS = 0.98, 400, 10
 MOST_LISTS = 4096
 #: Queries that are sent to the tasks at once; cells of distances that a task holds at once; lists that a filter names.
 BLOCK_QUERIES, HELD, NAMED_LISTS = 1000, 1 << 21, 512
+#: Candidates of a query that a task tells apart by code; where more are asked for, it measures all in the lists.
+BY_CODE = 10_000
 
 
 @dataclass(frozen=True)
@@ -184,14 +185,14 @@ class VectorIndex:
     def nearest(self, vectors: DataFrame, queries: DataFrame, k: int, probes: int | None = None, refine: int = 20, query_key: str = "query_id") -> DataFrame:
         """query_key, key, distance, rank: nearly always the k nearest of ``vectors`` (key, embedding) to each row of ``queries`` (query_key, query_vector).
 
-        The ``probes`` lists nearest to a query (by default as many as TARGET of the neighbours took when the index was fitted) are ranked by code, and its refine * k best are measured exactly on ``vectors``; with as many
+        The ``probes`` lists nearest to a query (by default as many as TARGET of the neighbours took when the index was fitted) are ranked by code, and its refine * k best in each task are measured exactly on ``vectors``; with as many
         probes as lists, and refine * k vectors or more in all, the result is exact. Vectors of ``vectors`` that the index doesn't hold aren't
-        found, those it holds beyond are left out. Queries go to the tasks in blocks; a task keeps its best of each query before anything moves.
+        found, those it holds beyond are left out. Queries go to the tasks in blocks; a task measures its candidates itself and keeps the k nearest of each query, so that queries times k for each task move, however many are measured.
         """
         key, made, most = self.key, self.quantiser(), refine * k
         looked, of_query, of_key = probes or made.probes, to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(vectors.schema[key].dataType)
-        kind = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, near double"
-        codes = self.codes().join(vectors.select(key), key, "left_semi")
+        kind = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, distance double"
+        codes = self.codes().join(vectors.where("embedding is not null").select(key, "embedding"), key)
         probed: dict[int, list[int]] = {}
 
         def prepare(own):
@@ -208,32 +209,42 @@ class VectorIndex:
         def scan(held):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, data, asked, own = held.value
-                best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
                 for batch in batches:
+                    if not batch.num_rows:
+                        continue
                     lists = np.asarray(batch.column("list"))
                     rows = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(len(lists), -1)
+                    full = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
                     keys = batch.column(key).to_numpy(zero_copy_only=False)
                     for at in np.unique(lists):
                         here = np.flatnonzero(lists == at)
                         for q in asked.get(int(at), ()):
-                            table = own.tables(data[q], int(at))
-                            near = table[np.arange(len(table)), rows[here]].sum(1)
-                            old = best.get(q, (np.empty(0), keys[:0]))
-                            near, some = np.concatenate([old[0], near]), np.concatenate([old[1], keys[here]])
-                            if len(near) > most:
-                                few = np.lexsort((some, near))[:most]
-                                near, some = near[few], some[few]
-                            best[q] = near, some
-                for q, (near, some) in best.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(near), of_query), pa.array(some, of_key), pa.array(near)], [query_key, key, "near"])
+                            few, near = here, np.zeros(len(here))
+                            old = best.get(q, (np.empty(0), keys[:0], np.empty(0)))
+                            if most <= BY_CODE:
+                                table = own.tables(data[q], int(at))
+                                near = table[np.arange(len(table)), rows[here]].sum(1)
+                                if len(old[0]) >= most:
+                                    some = near <= old[0].max()
+                                    few, near = here[some], near[some]
+                            distance = np.sqrt(((full[few] - data[q]) ** 2).sum(1))
+                            near, some, distance = (np.concatenate(x) for x in zip(old, (near, keys[few], distance), strict=True))
+                            if most > BY_CODE and len(near) > k:
+                                kept = np.lexsort((some, distance))[:k]
+                                near, some, distance = near[kept], some[kept], distance[kept]
+                            elif len(near) > most:
+                                kept = np.lexsort((some, near))[:most]
+                                near, some, distance = near[kept], some[kept], distance[kept]
+                            best[q] = near, some, distance
+                for q, (_, some, distance) in best.items():
+                    kept = np.lexsort((some, distance))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(kept), of_query), pa.array(some[kept], of_key), pa.array(distance[kept])], [query_key, key, "distance"])
 
             few = codes.where(F.col("list").isin(*probed)) if len(probed) <= NAMED_LISTS else codes
-            return few.select("list", key, "code").mapInArrow(run, kind)
+            return few.select("list", key, "code", "embedding").mapInArrow(run, kind)
 
         asked = queries.select(query_key, "query_vector").where("query_vector is not null")
         found = by_blocks(asked, BLOCK_QUERIES, "probes", prepare, scan, kind)
-        order = Window.partitionBy(query_key).orderBy("near", key)
-        few = found.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most).select(query_key, key)
-        exact = few.join(asked, query_key).join(vectors.select(key, "embedding"), key).withColumn("distance", retrieval.l2(F.col("embedding"), F.col("query_vector")))
         rank = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
-        return exact.select(query_key, key, "distance").withColumn("rank", rank).where(F.col("rank") <= k)
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -80,3 +80,28 @@ def test_search_by_the_index_of_the_store(spark, tmp_path):
     ingest.add_documents(store, files.limit(1).withColumn("text", F.lit("A new text.")).withColumn("path", F.lit("new.md")), "default", T)
     ingest.index_documents(store, HashingEmbedder(), settings, T)
     assert search.vector_index(store, "hashing-64").codes().count() == 31
+
+
+def test_what_is_measured_stays_in_the_tasks(spark, monkeypatch):
+    """However many vectors are measured, the k nearest of each query are all that a task gives away."""
+    from lakesift.operators import vector_index
+
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(300, 4)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "chunk_id long, embedding array<float>")
+    queries = spark.createDataFrame([(q, [float(x) for x in data[q]]) for q in range(3)], "query_id long, query_vector array<float>")
+    given, own = [], vector_index.by_blocks
+
+    def counted(*a):
+        found = own(*a)
+        given.append((found.count(), len(found.inputFiles())))
+        return found
+
+    monkeypatch.setattr(vector_index, "by_blocks", counted)
+    wanted = {(q, r, int(c)) for q in range(3) for r, c in enumerate(np.lexsort((np.arange(300), ((data.astype(float) - data[q].astype(float)) ** 2).sum(1)))[:5], 1)}
+    index = VectorIndex.build(vectors, lists=4, parts=2)
+    for most in (10_000, 10):  # by code, and all
+        monkeypatch.setattr(vector_index, "BY_CODE", most)
+        found = index.nearest(vectors, queries, 5, probes=4, refine=60)
+        assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in found.collect()} == wanted
+    assert all(n <= 3 * 5 * max(files, 1) for n, files in given)
