@@ -297,11 +297,13 @@ def _small_buckets(texts: DataFrame, similarity: float) -> DataFrame:
         large = materialise(placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > SKETCH_PART).select("bucket"), "large")
         if not large.head(1):
             break
-        inside = placed.join(large, "bucket").join(texts.select("set_id", "sketch"), "set_id")
-        deeper = inside.select("set_id", "bucket", "sketch").mapInArrow(_further(similarity), "set_id long, bucket long")
+        # what lies in large buckets is looked up once, for the split and for the further runs
+        inside = materialise(placed.join(large, "bucket").join(texts.select("set_id", "sketch"), "set_id").select("set_id", "bucket", "sketch"), "inside")
+        deeper = inside.mapInArrow(_further(similarity), "set_id long, bucket long")
         runs = range(runs_for(levels - 1, similarity), runs_for(levels, similarity))
-        again = inside.select("set_id").distinct().join(texts.select("set_id", "sketch"), "set_id").mapInArrow(_more_runs(similarity, runs, levels), "set_id long, bucket long")
+        again = inside.groupBy("set_id").agg(F.first("sketch").alias("sketch")).mapInArrow(_more_runs(similarity, runs, levels), "set_id long, bucket long")
         placed = materialise(placed.join(large, "bucket", "left_anti").select("set_id", "bucket").unionAll(deeper).unionAll(again).distinct(), "placed")
+        forget(inside, large)
     return placed.join(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
 
 
