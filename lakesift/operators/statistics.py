@@ -7,6 +7,8 @@ text has ended are kept by name, so that a search leaves them out without a look
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,3 +118,16 @@ def best(store: Store, wanted: fulltext.Phrase | fulltext.Op, k: int) -> DataFra
                 return index.where("false").select("chunk_id", F.lit(0.0).alias("raw_score"))
             return fulltext.top(fulltext.best_of_levels(index, {t: counts[t] for t in times}, times, k), k, "raw_score", "chunk_id")
     return fulltext.top(fulltext.bm25_indexed(index, corpus(store), wanted), k, "raw_score", "chunk_id")
+
+
+def unstemmed(store: Store, wanted: fulltext.Phrase | fulltext.Near | fulltext.Op) -> DataFrame:
+    """chunk_id and raw_score of all live chunks that hold a query's words as they stand, where the index holds stems.
+
+    ``wanted`` is a query of tokens. The index names the chunks that hold a phrase by its stems; only their texts are read, and
+    their tokens counted. Lengths and the number of chunks are those that are stored.
+    """
+    index, phrases = live_postings(store), {p for x in wanted.phrases() for p in (x.parts if isinstance(x, fulltext.Near) else [x])}
+    named = reduce(DataFrame.unionAll, [fulltext.phrase_places(index, fulltext.by_stems(p)).select("chunk_id") for p in phrases])
+    places = store.table("chunks").join(named.distinct(), "chunk_id", "left_semi").select("chunk_id", "content_hash", "pos", "len")
+    texts = places.join(store.table("content").select("hash", "doc"), F.col("content_hash") == F.col("hash")).select("chunk_id", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text"))
+    return fulltext.bm25(fulltext.with_tokens(texts).drop("text"), wanted, corpus(store))

@@ -177,9 +177,8 @@ def chunk_context(spark, sf_dir):
  z AS (SELECT hash, seq, CASE WHEN ln((nr - n0 + 0.5) / (n0 + 0.5)) <= 0 THEN 1e-6 ELSE ln((nr - n0 + 0.5) / (n0 + 0.5)) END * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS b FROM f, x WHERE f0 > 0)
  SELECT round(b, 6) AS raw_score, count(*) AS n FROM z GROUP BY 1""")
 def search_index(spark, sf_dir):
-    """Scores of all chunks for a phrase, from the stored index: how many have each."""
-    store = filled(spark, sf_dir)
-    scored = fulltext.bm25_indexed(statistics.live_postings(store), statistics.corpus(store), fulltext.query("of the", stemmed=True))
+    """Scores of all chunks for a phrase of words as they stand, found by their stems in the stored index: how many have each."""
+    scored = statistics.unstemmed(filled(spark, sf_dir), fulltext.query("of the"))
     return scored.select(F.round(-F.col("raw_score"), 6).alias("raw_score")).groupBy("raw_score").agg(F.count("*").alias("n"))
 
 
