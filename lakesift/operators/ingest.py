@@ -61,14 +61,21 @@ def add_documents(store: Store, files: DataFrame, collection: str, now: str) ->
             raise ValueError(f"no collection {collection}")
         changed["store_collections"] = collection_rows(store, "default", "", "**/*.md", True)
     stamp = F.lit(now).cast("timestamp")
-    incoming = described(lifecycle.latest(files, ["path"], "modified_at", "text")).withColumns({"collection": F.lit(collection), "active": F.lit(True), "deleted_at": F.lit(None).cast("timestamp"), "created_at": stamp})
+    # texts are written where they are read, and looked up when it is known which are new: what moves until then are their hashes
+    read = held = materialise(described(files), "incoming")
+    twice = materialise(held.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select(F.col("path").alias("__twice")), "twice")
+    if twice.head(1):
+        same = F.col("path").eqNullSafe(F.col("__twice"))
+        read = held.join(twice, same, "left_anti").unionByName(lifecycle.latest(held.join(twice, same, "left_semi"), ["path"], "modified_at", "text"))
+    incoming = read.drop("text").withColumns({"collection": F.lit(collection), "active": F.lit(True), "deleted_at": F.lit(None).cast("timestamp"), "created_at": stamp})
     existing = store.table("documents")
     marked = lifecycle.statuses(incoming, existing, ["collection", "path"]).persist()
     try:
         counts = {r["status"]: r["count"] for r in marked.groupBy("status").count().collect()}
         if not counts:
             return {"added": 0, "updated": 0, "unchanged": 0}
-        fresh = marked.select("hash", F.col("text").alias("doc"), "created_at").dropDuplicates(["hash"]).join(store.table("content").select("hash"), "hash", "left_anti")
+        first = marked.groupBy("hash").agg(F.min("path").alias("__path")).join(store.table("content").select("hash"), "hash", "left_anti").withColumnRenamed("hash", "__hash")
+        fresh = read.join(first, F.col("hash").eqNullSafe(F.col("__hash")) & F.col("path").eqNullSafe(F.col("__path")), "left_semi").select("hash", F.col("text").alias("doc"), stamp.alias("created_at"))
         new = marked.select("collection", "path", "title", "hash", "metadata", "active", "deleted_at", "created_at", "modified_at", "source_uri").withColumn("id", F.xxhash64("collection", "path"))
         # rows that are held just so stay where they are
         new = new.join(existing.where("active").select("collection", "path", "hash", "modified_at"), ["collection", "path", "hash", "modified_at"], "left_anti")
@@ -79,6 +86,7 @@ def add_documents(store: Store, files: DataFrame, collection: str, now: str) ->
         store.append(changed | {"content": fresh, "documents": merged} | rows, {"documents": before.select("id")} | gone)
     finally:
         marked.unpersist()
+        forget(held, twice)
     return {s: counts.get(s, 0) for s in ("added", "updated", "unchanged")}
 
 
