@@ -17,7 +17,7 @@ from lakesift.operators import fulltext, lifecycle, statistics
 from lakesift.operators.chunking import chunk_documents
 from lakesift.providers import Embedder, embed_rows, loaded
 from lakesift.schema import COLLECTIONS, Settings
-from lakesift.sources.files import qualified, read_files, write_file
+from lakesift.sources.files import many_files, qualified, read_files, write_file
 from lakesift.store import Store
 
 
@@ -183,7 +183,8 @@ def update_collection(store: Store, name: str, now: str) -> dict[str, int]:
     rows = store.table("store_collections").where(F.col("name") == name).collect()
     if not rows:
         raise ValueError(f"no collection {name}")
-    return add_documents(store, read_files(store.spark, rows[0]["path"], rows[0]["pattern"], rows[0]["ignore_patterns"] or []), name, now)
+    with many_files(store.spark):
+        return add_documents(store, read_files(store.spark, rows[0]["path"], rows[0]["pattern"], rows[0]["ignore_patterns"] or []), name, now)
 
 
 def copy_to_vault(store: Store, collection: str, folder: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from lakesift.functions.text import newlines, relative_path
 
+#: Bytes that opening a small file is taken to cost, against those that are read.
+OPEN_COST = 16 << 10
 FILES = "path string, source_uri string, text string, modified_at timestamp"
 
 
@@ -60,6 +64,18 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*.md", ignore: li
     return (own if single else fitting(own, pattern, ignore)).select("path", "source_uri", newlines(F.decode("content", "UTF-8")).alias("text"), "modified_at")
 
 
+@contextmanager
+def many_files(spark: SparkSession) -> Iterator[None]:
+    """What is read inside has thousands of small files in a task: by the session's default each counts as 4 MB, so that a task has 32."""
+    key = "spark.sql.files.openCostInBytes"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(OPEN_COST))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def listing(spark: SparkSession, root: str, pattern: str = "*.md", ignore: list[str] | None = None) -> DataFrame:
     """Paths alone, in order, without reading contents."""
     return read_files(spark, root, pattern, ignore).select("path", "source_uri", "modified_at").orderBy("path")
