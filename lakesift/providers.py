@@ -69,7 +69,10 @@ def _hashed(word: str) -> int:
 
 
 class HashingEmbedder(Embedder):
-    """Unit vectors of signed token hashes: deterministic, and texts that share tokens are near."""
+    """Unit vectors of signed token hashes: deterministic, and texts that share tokens are near.
+
+    Where the signs of a text's tokens cancel out in all places they count without signs; only a text without tokens has no length.
+    """
 
     def __init__(self, width: int = 64):
         self.width, self.name = width, f"hashing-{width}"
@@ -79,6 +82,9 @@ class HashingEmbedder(Embedder):
         hashes = np.fromiter((_hashed(w) for own in words for w in own), dtype=np.uint64)
         place = np.repeat(np.arange(len(texts)), [len(own) for own in words]) * self.width + (hashes >> np.uint64(1)).astype(np.int64) % self.width
         out = np.bincount(place, np.where(hashes & np.uint64(1), 1.0, -1.0), len(texts) * self.width).reshape(len(texts), self.width)
+        gone = ~out.any(axis=1)
+        if gone.any():
+            out[gone] = np.bincount(place, minlength=len(texts) * self.width).reshape(len(texts), self.width)[gone]
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 
