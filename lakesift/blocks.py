@@ -5,12 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: How tables are compressed that are written here, and in the store.
+CODEC = "zstd"
+#: Keys that ``picked`` sends to the tasks at most, as hashes of eight bytes.
+MOST_KEYS = 1 << 20
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -30,7 +37,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,6 +50,25 @@ def forget(*written: DataFrame) -> None:
             path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
 
 
+def picked(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose keys are those of a row of ``wanted``, a written table that they read): a semi-join in which rows stay where they are.
+
+    What moves are keys. Hashes of those that are wanted, or of those that aren't, whichever are fewer, then go to all tasks. Rows are joined
+    where both are more than MOST_KEYS, or one hash stands for keys of both kinds. Null keys are equal.
+    """
+    own, number = wanted.select(*[F.col(k).alias(f"__{k}") for k in keys]), F.xxhash64(*keys)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    told = rows.select(*keys).join(own.withColumn("__in", F.lit(True)), same, "left").select(number.alias("__number"), F.col("__in").isNotNull().alias("__in"))
+    marks = materialise(told.groupBy("__number").agg(F.bool_or("__in").alias("some"), F.bool_and("__in").alias("every")), "marks")
+    some, rest, both = marks.agg(F.count_if("some"), F.count_if(~F.col("every")), F.count_if(F.col("some") & ~F.col("every"))).head()
+    if not rest:
+        return rows, marks
+    if both or min(some, rest) > MOST_KEYS:
+        return rows.join(own, same, "left_semi"), marks
+    few = marks.where("some" if some <= rest else "not some").select("__number")
+    return rows.withColumn("__number", number).join(F.broadcast(few), "__number", "left_semi" if some <= rest else "left_anti").select(*rows.columns), marks
+
+
 def pieces(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about ``most`` bytes: what a task makes of its rows is held for one of them at a time."""
     step = max(1, batch.num_rows * most // max(batch.nbytes, 1))

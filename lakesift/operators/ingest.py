@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lakesift.blocks import forget, materialise
-from lakesift.functions.text import content_hash, heading, stem, tokens
+from lakesift.blocks import forget, materialise, picked
+from lakesift.functions.text import content_hash, heading, stem
 from lakesift.operators import fulltext, lifecycle, statistics
 from lakesift.operators.chunking import chunk_documents
 from lakesift.providers import Embedder, embed_rows, loaded
@@ -55,7 +55,7 @@ def add_documents(store: Store, files: DataFrame, collection: str, now: str) ->
     written follows what comes in, not what is there: new texts, and the rows of the documents that came.
     """
     names = {r["name"] for r in store.table("store_collections").select("name").collect()}
-    changed: dict[str, DataFrame] = {}
+    changed, work = {}, []
     if collection not in names:
         if collection != "default":
             raise ValueError(f"no collection {collection}")
@@ -74,8 +74,10 @@ def add_documents(store: Store, files: DataFrame, collection: str, now: str) ->
         counts = {r["status"]: r["count"] for r in marked.groupBy("status").count().collect()}
         if not counts:
             return {"added": 0, "updated": 0, "unchanged": 0}
-        first = marked.groupBy("hash").agg(F.min("path").alias("__path")).join(store.table("content").select("hash"), "hash", "left_anti").withColumnRenamed("hash", "__hash")
-        fresh = read.join(first, F.col("hash").eqNullSafe(F.col("__hash")) & F.col("path").eqNullSafe(F.col("__path")), "left_semi").select("hash", F.col("text").alias("doc"), stamp.alias("created_at"))
+        first = marked.groupBy("hash").agg(F.min("path").alias("__path")).join(store.table("content").select("hash"), "hash", "left_anti").withColumnRenamed("__path", "path")
+        texts, marks = picked(read.select("hash", "path", "text"), first, ["hash", "path"])
+        work.append(marks)
+        fresh = texts.select("hash", F.col("text").alias("doc"), stamp.alias("created_at"))
         new = marked.select("collection", "path", "title", "hash", "metadata", "active", "deleted_at", "created_at", "modified_at", "source_uri").withColumn("id", F.xxhash64("collection", "path"))
         # rows that are held just so stay where they are
         new = new.join(existing.where("active").select("collection", "path", "hash", "modified_at"), ["collection", "path", "hash", "modified_at"], "left_anti")
@@ -86,7 +88,7 @@ def add_documents(store: Store, files: DataFrame, collection: str, now: str) ->
         store.append(changed | {"content": fresh, "documents": merged} | rows, {"documents": before.select("id")} | gone)
     finally:
         marked.unpersist()
-        forget(held, twice)
+        forget(held, twice, *work)
     return {s: counts.get(s, 0) for s in ("added", "updated", "unchanged")}
 
 
@@ -94,8 +96,8 @@ def vectors_of_chunks(store: Store, chunks: DataFrame, model: Embedder | Callabl
     """(vectors, fresh, digests): chunk_id, model, embedding, digest of each of ``chunks`` (chunk_id, text); digest, embedding of those
     texts that the model was asked for; chunk_id, digest. The last two are written tables, which ``vectors`` reads.
 
-    Equal texts are embedded once, and those that the store has a vector of by this model not at all. Both are found by digests:
-    a text moves only where it has to be embedded. A null text counts as an empty one.
+    Equal texts are embedded once, and those that the store has a vector of by this model not at all. Both are found by digests, and
+    texts are embedded where they are read (``picked``). A null text counts as an empty one.
     """
     name = loaded(model).name
     places = chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
@@ -104,8 +106,9 @@ def vectors_of_chunks(store: Store, chunks: DataFrame, model: Embedder | Callabl
     held = store.table("vectors").where((F.col("model") == name) & F.col("digest").isNotNull()).join(first.select("digest"), "digest", "left_semi")
     known = held.groupBy("digest").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
     todo = first.join(held.select("digest"), "digest", "left_anti")
-    asked = places.join(todo, ["chunk_id", "digest"], "left_semi")  # one row of each text, so that texts move once
+    asked, marks = picked(places, todo, ["chunk_id"])  # one row of each text
     fresh = materialise(embed_rows(asked, model, key="digest", batch=batch).select("digest", "embedding"), "fresh")
+    forget(marks)
     found = digests.join(known.unionByName(fresh), "digest")
     return found.select("chunk_id", F.lit(name).alias("model"), "embedding", "digest"), fresh, digests
 
@@ -127,37 +130,35 @@ def index_documents(store: Store, model: Embedder | Callable[[], Embedder], sett
         if not done:
             return {"indexed": 0, "skipped": total, "chunks_written": 0, "embedded": 0}
         stamp = {"model": F.lit(name), "params": F.lit(params), "embedded_at": F.lit(now).cast("timestamp")}
-        texts = store.table("content").join(todo, F.col("hash") == F.col("content_hash")).select("content_hash", "doc")
-        cut = chunk_documents(texts, target=c.target_chars, overlap=c.overlap_chars, least=c.min_chars)
+        texts, marks = picked(store.table("content").select(F.col("hash").alias("content_hash"), "doc"), todo, ["content_hash"])
+        cut = chunk_documents(texts, target=c.target_chars, overlap=c.overlap_chars, least=c.min_chars, cut=True)
+        # texts are read and cut once, where they are; their tokens, postings and vectors are made of what is written here
+        new = materialise(cut.withColumn("chunk_id", F.xxhash64("content_hash", "seq")), "cut")
+        forget(marks)
         replaced = store.table("chunks").join(todo, "content_hash", "left_semi").select("chunk_id").persist()
         had = replaced.limit(1).count() > 0
         # what the chunks that go were counted for is taken away again
         counted = store.table("chunks").join(todo.join(store.table("counted"), "content_hash", "left_semi"), "content_hash", "left_semi").select("chunk_id")
         less = materialise(statistics.term_counts(store.table("tokens").join(counted, "chunk_id", "left_semi"), -1), "less") if had else None
-        # chunks are written first and read back: chunking runs once
-        store.append({"chunks": cut.withColumns({"chunk_id": F.xxhash64("content_hash", "seq")} | stamp)}, {"chunks": replaced} if had else {})
-        new = store.table("chunks").join(todo, "content_hash", "left_semi")
-        with_text = materialise(new.join(store.table("content"), F.col("hash") == F.col("content_hash")).select("chunk_id", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text")), "chunk-texts")
-        words = fulltext.with_stems(with_text.select("chunk_id", tokens(F.col("text")).alias("tokens"))).withColumn("dl", F.size("tokens"))
+        words = store.draft("tokens", fulltext.stems_of_texts(new))
+        index = store.draft("postings", fulltext.with_levels(fulltext.postings(words.rows, "chunk_id", None, fulltext.RUN)))
         counted = todo.join(new.groupBy("content_hash").agg(F.count("*").alias("n_chunks")), "content_hash", "left").fillna(0, ["n_chunks"]).withColumns(stamp)
-        words = materialise(words, "words")
-        index = materialise(fulltext.with_levels(fulltext.postings(words)), "new-postings")
         if doc_id is None:  # all texts are of active documents
-            live, more = todo, statistics.term_counts(words, index=index)
+            live, more = todo, statistics.term_counts(words.rows, index=index.rows)
         else:
             live = todo.join(documents.where("active").select(F.col("hash").alias("content_hash")), "content_hash", "left_semi")
             of_live = new.join(live, "content_hash", "left_semi").select("chunk_id")
-            more = statistics.term_counts(words.join(of_live, "chunk_id", "left_semi"))
+            more = statistics.term_counts(words.rows.join(of_live, "chunk_id", "left_semi"))
         more = more if less is None else more.unionByName(less)
-        vectors, fresh, digests = vectors_of_chunks(store, with_text, model, settings.embedding.batch)
-        written = {"vectors": vectors, "tokens": words, "postings": fulltext.by_term(index), "indexed": counted,
-                   "statistics": more.repartitionByRange("term").sortWithinPartitions("term", "level"), "counted": live}
+        vectors, fresh, digests = vectors_of_chunks(store, new.select("chunk_id", "text"), model, settings.embedding.batch)
+        written = {"chunks": new.drop("text").withColumns(stamp), "vectors": vectors, "tokens": words, "postings": index, "indexed": counted,
+                   "statistics": more.sortWithinPartitions("term", "level"), "counted": live}
         if doc_id is not None:  # a document that isn't active can be indexed by its id
             written["dead"] = new.join(live, "content_hash", "left_anti").select("chunk_id")
-        store.append(written, ({k: replaced for k in ("vectors", "tokens", "postings", "dead")} if had else {}) | {"indexed": todo} | ({"counted": todo} if had else {}))
+        store.append(written, ({k: replaced for k in ("chunks", "vectors", "tokens", "postings", "dead")} if had else {}) | {"indexed": todo} | ({"counted": todo} if had else {}))
         replaced.unpersist()
         out = {"indexed": done, "skipped": total - done, "chunks_written": digests.count(), "embedded": fresh.count()}
-        forget(with_text, words, index, fresh, digests, *([] if less is None else [less]))
+        forget(new, fresh, digests, *([] if less is None else [less]))
         return out
     finally:
         todo.unpersist()

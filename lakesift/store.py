@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakesift.blocks import CODEC
 from lakesift.schema import KEYS, SUMMED, TABLES
 
 #: Parts of one kind and level that are put together as one of the next: a table of n writes has fewer of a kind than this for each digit
@@ -15,6 +17,13 @@ from lakesift.schema import KEYS, SUMMED, TABLES
 PARTS = 6
 
 
+class Draft(NamedTuple):
+    """A part that is written and that no manifest names yet, and its rows."""
+
+    part: dict
+    rows: DataFrame
+
+
 class Store:
     """Tables below one folder. A write adds parts to the tables it changes, then a manifest with the next number.
 
@@ -86,20 +95,25 @@ class Store:
     def _write(self, name: str, df: DataFrame, n: int, gone: bool, level: int = 0) -> dict:
         path = f"{self.path}/tables/{name}/{n}-{uuid.uuid4().hex}"
         if gone:
-            df.select(KEYS[name]).distinct().write.parquet(path)
+            df.select(KEYS[name]).distinct().write.option("compression", CODEC).parquet(path)
         else:
             columns = self.spark.createDataFrame([], TABLES[name]).schema
-            df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in columns]).write.parquet(path)
+            df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in columns]).write.option("compression", CODEC).parquet(path)
         return {"path": path, "gone": gone, "level": level}
 
-    def append(self, rows: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> int:
+    def draft(self, name: str, df: DataFrame) -> Draft:
+        """Write rows of a table that are read before they count: ``append`` takes the part as it is."""
+        part = self._write(name, df, self.version + 1, False)
+        return Draft(part, self._read(name, [part]))
+
+    def append(self, rows: dict[str, DataFrame | Draft] | None = None, gone: dict[str, DataFrame] | None = None) -> int:
         """Hide the rows whose keys are in ``gone``, then add ``rows``, as one version. A row that replaces another has its key in both."""
         n, parts, rows, gone = self.version + 1, self.parts(), rows or {}, gone or {}
         for name in gone.keys() | rows.keys():
             if name in gone and parts[name]:
                 parts[name].append(self._write(name, gone[name], n, True))
             if name in rows:
-                parts[name].append(self._write(name, rows[name], n, False))
+                parts[name].append(rows[name].part if isinstance(rows[name], Draft) else self._write(name, rows[name], n, False))
         done = self._publish(parts, n)
         return self.merge(*(gone.keys() | rows.keys())) or done
 
