@@ -39,9 +39,20 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @lru_cache(maxsize=2)
-def _filled(spark: SparkSession, sf_dir: str, session: str) -> Store:
+def _added(spark: SparkSession, sf_dir: str, session: str) -> Store:
     store = Store(spark, work_dir(spark, "store"))
     ingest.add_documents(store, files(spark, sf_dir), "default", T)
+    return store
+
+
+def added(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with all documents, for what asks for no index: ``filled`` indexes the same store."""
+    return _added(spark, sf_dir, spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=2)
+def _filled(spark: SparkSession, sf_dir: str, session: str) -> Store:
+    store = _added(spark, sf_dir, session)
     ingest.index_documents(store, HashingEmbedder(), Settings(), T)
     return store
 
@@ -206,7 +217,7 @@ def stored_counts(spark, sf_dir):
 def vault_files(spark, sf_dir):
     """The documents as files, written by tasks, and read again by a pattern with a folder, without those of an ignored folder."""
     folder = work_dir(spark, "vault")
-    ingest.copy_to_vault(filled(spark, sf_dir), "default", folder)
+    ingest.copy_to_vault(added(spark, sf_dir), "default", folder)
     found = read_files(spark, folder, "src1*/doc-*7.md", ["src12*"])
     return found.select("path", F.sha2("text", 256).alias("text_hash"))
 
