@@ -119,16 +119,19 @@ def rerank(candidates: DataFrame, score: Column, count: int, before: str = "hybr
     return candidates.withColumn("rerank_score", score).withColumn("rerank_rank", place).where(F.col("rerank_rank") <= count).withColumn("score", (F.lit(count) - F.col("rerank_rank") + 1).cast("double"))
 
 
-def with_context(results: DataFrame, chunks: DataFrame, group: str = "content_hash", seq: str = "seq", text: str = "text") -> DataFrame:
+def with_context(results: DataFrame, places: DataFrame, contents: DataFrame, group: str = "content_hash", seq: str = "seq") -> DataFrame:
     """``results`` with the texts of the chunk before, the chunk, and the one after, joined by blank lines.
 
-    One join by group and number: each result asks for three numbers, so a group's size doesn't matter.
+    ``places``: group, seq, pos, len of chunks; ``contents``: hash, doc. Places meet by group and number: each asks for three numbers, so
+    a group's size doesn't matter. All three texts are then cut from the result's own content, and none of them moves.
     """
-    wanted = results.withColumn("__seq", F.explode(F.array(F.col(seq) - 1, F.col(seq), F.col(seq) + 1)))
-    near = chunks.select(F.col(group).alias("__group"), F.col(seq).alias("__near"), F.col(text).alias("__text"))
-    joined = wanted.join(near, (F.col(group) == F.col("__group")) & (F.col("__seq") == F.col("__near")))
-    parts = F.sort_array(F.collect_list(F.struct("__near", "__text")))
-    return joined.groupBy(*results.columns).agg(F.array_join(F.transform(parts, lambda x: x["__text"]), "\n\n").alias("context"))
+    wanted = results.select(F.col(group).alias("__of"), F.col(seq).alias("__at")).distinct().withColumn("__seq", F.explode(F.array(F.col("__at") - 1, F.col("__at"), F.col("__at") + 1)))
+    near = places.select(F.col(group).alias("__group"), F.col(seq).alias("__near"), "pos", "len")
+    joined = wanted.join(near, (F.col("__of") == F.col("__group")) & (F.col("__seq") == F.col("__near")))
+    parts = joined.groupBy("__of", "__at").agg(F.sort_array(F.collect_list(F.struct("__near", "pos", "len"))).alias("__parts"))
+    found = results.join(parts, (F.col(group) == F.col("__of")) & (F.col(seq) == F.col("__at"))).join(contents.select(F.col("hash").alias("__hash"), F.col("doc").alias("__doc")), F.col(group) == F.col("__hash"))
+    texts = F.transform("__parts", lambda x: F.substring(F.col("__doc"), x["pos"] + 1, x["len"]))
+    return found.select(*results.columns, F.array_join(texts, "\n\n").alias("context"))
 
 
 def windowed_context(chunks: DataFrame, group: str, seq: str, text: str) -> DataFrame:

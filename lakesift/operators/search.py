@@ -246,9 +246,7 @@ def search_many(store: Store, queries: DataFrame, embedder: Embedder | Callable[
     results = materialise(ranked.withColumn("is_early", F.lit(False)).select(*columns).unionByName(clear), "results")
     rows = with_text(store, results, shown_of).withColumnRenamed("text", "excerpt")
     if context:
-        places = store.table("chunks").join(rows.select("content_hash").distinct(), "content_hash", "left_semi").join(store.table("content").select("hash", "doc"), F.col("hash") == F.col("content_hash"))
-        near_texts = places.select("content_hash", "seq", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text"))
-        rows = retrieval.with_context(rows, near_texts).withColumn("context", F.when(~F.col("is_early"), F.col("context")))
+        rows = retrieval.with_context(rows, store.table("chunks"), store.table("content")).withColumn("context", F.when(~F.col("is_early"), F.col("context")))
     return rows.drop("content_hash", "seq", "pos", "len", "is_early")
 
 
@@ -261,6 +259,5 @@ def with_text(store: Store, rows: DataFrame, chunks: DataFrame) -> DataFrame:
 def shown(store: Store, results: DataFrame, collection: str | None, context: bool, without: list[str] | None = None, only: Only = Only()) -> list[dict]:
     rows = with_text(store, results, chunks_of(store, collection, without, only)).withColumnRenamed("text", "excerpt")
     if context:
-        near = store.table("chunks").join(rows.select("content_hash").distinct(), "content_hash", "left_semi").join(store.table("content").select("hash", "doc"), F.col("hash") == F.col("content_hash")).select("content_hash", "seq", F.substring("doc", F.col("pos") + 1, F.col("len")).alias("text"))
-        rows = retrieval.with_context(rows, near)
+        rows = retrieval.with_context(rows, store.table("chunks"), store.table("content"))
     return [r.asDict() for r in rows.orderBy(F.desc("score"), "chunk_id").drop("content_hash", "pos", "len").collect()]

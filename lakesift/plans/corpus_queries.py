@@ -178,8 +178,8 @@ def chunk_reuse(spark, sf_dir):
 def chunk_context(spark, sf_dir):
     """Each chunk with its neighbours, by the join that search results take."""
     store = filled(spark, sf_dir)
-    chunks = search.with_text(store, store.table("chunks").select("chunk_id"), store.table("chunks")).select("content_hash", "seq", "text")
-    found = retrieval.with_context(chunks.select("content_hash", "seq"), chunks)
+    chunks = store.table("chunks")
+    found = retrieval.with_context(chunks.select("content_hash", "seq"), chunks, store.table("content"))
     return found.select("content_hash", F.col("seq").cast("long").alias("seq"), F.sha2("context", 256).alias("context_hash"))
 
 
