@@ -1,8 +1,8 @@
 """An inverted file of vectors: lists around fitted centres, residuals as product codes, exact distances for what the codes find.
 
 Centres and code words are fitted on a bounded sample; every vector is held, under the list of its nearest centre and with
-the code of what is left of it. A search looks at the lists nearest to a query, ranks their vectors by code, and measures
-the best of them exactly. Lists are contiguous in the files, so a search opens the row groups of its lists only.
+the code of what is left of it. A search looks at the lists nearest to a query and measures all of their vectors
+exactly. Lists are contiguous in the files, so a search opens the row groups of its lists only.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lakesift.blocks import by_blocks, materialise, work_dir
+from lakesift.operators.retrieval import MARGIN, PAIRS
 
 #: Vectors on which centres and code words are fitted, at most; fixed rounds of fitting; code words of a part.
 SAMPLE_ROWS, ROUNDS, WORDS = 65_536, 12, 256
@@ -25,8 +26,8 @@ TARGET, TRIED, NEIGHBOURS = 0.98, 400, 10
 #: Lists at most, whatever the number of vectors: centres go to every task.
 MOST_LISTS = 4096
 #: Queries that are sent to the tasks at once; cells of distances that a task holds at once; lists that a filter names.
-BLOCK_QUERIES, HELD, NAMED_LISTS = 1000, 1 << 21, 512
-#: Candidates of a query that a task tells apart by code; where more are asked for, it measures all in the lists.
+BLOCK_QUERIES, HELD, NAMED_LISTS = 4000, 1 << 21, 512
+#: Was a bound of candidates by code. A search measures all vectors of its lists, so nothing depends on it; callers may still set it.
 BY_CODE = 10_000
 
 
@@ -109,10 +110,10 @@ def fit(vectors: DataFrame, key: str = "chunk_id", lists: int | None = None, par
     the number of vectors, MOST_LISTS at most.
     """
     own = vectors.where("embedding is not null")
-    sample = own.select("embedding").orderBy(F.xxhash64(F.col(key)), F.xxhash64("embedding")).limit(sample_rows).collect()
-    if not sample:
+    sample = own.select("embedding").orderBy(F.xxhash64(F.col(key)), F.xxhash64("embedding")).limit(sample_rows).toArrow().column(0).combine_chunks()
+    if not len(sample):
         raise ValueError("there are no vectors to fit an index on")
-    data = np.array([r[0] for r in sample], dtype=np.float64)
+    data = np.stack(sample.to_numpy(zero_copy_only=False)).astype(np.float64)
     wanted = lists or round(own.count() ** 0.5)
     centres = _means(data, max(1, min(wanted, MOST_LISTS, len(data))), 1)
     parts = min(parts, data.shape[1])
@@ -185,64 +186,77 @@ class VectorIndex:
     def nearest(self, vectors: DataFrame, queries: DataFrame, k: int, probes: int | None = None, refine: int = 20, query_key: str = "query_id") -> DataFrame:
         """query_key, key, distance, rank: nearly always the k nearest of ``vectors`` (key, embedding) to each row of ``queries`` (query_key, query_vector).
 
-        The ``probes`` lists nearest to a query (by default as many as TARGET of the neighbours took when the index was fitted) are ranked by code, and its refine * k best in each task are measured exactly on ``vectors``; with as many
-        probes as lists, and refine * k vectors or more in all, the result is exact. Vectors of ``vectors`` that the index doesn't hold aren't
-        found, those it holds beyond are left out. Queries go to the tasks in blocks; a task measures its candidates itself and keeps the k nearest of each query, so that queries times k for each task move, however many are measured.
+        All vectors in the ``probes`` lists nearest to a query (by default as many as TARGET of the neighbours took when the index was fitted) are measured exactly on ``vectors``; with as many
+        probes as lists the result is exact. Codes choose none of them, so ``refine`` makes no difference any more. Vectors of ``vectors`` that the index doesn't hold aren't
+        found, those it holds beyond are left out. Queries go to the tasks in blocks; a task compares a list with all queries that look at it as one product of
+        matrices, measures its candidates itself and keeps the k nearest of each query, so that queries times k for each task move, however many are measured.
         """
-        key, made, most = self.key, self.quantiser(), refine * k
+        key, made = self.key, self.quantiser()
         looked, of_query, of_key = probes or made.probes, to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(vectors.schema[key].dataType)
         kind = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, distance double"
-        codes = self.codes().join(vectors.where("embedding is not null").select(key, "embedding"), key)
-        probed: dict[int, list[int]] = {}
+        # vectors meet their lists once for all blocks of queries, and lie by them
+        joined = self.codes().select("list", key).join(vectors.where("embedding is not null").select(key, "embedding"), key)
+        codes = materialise(joined.repartitionByRange("list", F.xxhash64(key)).sortWithinPartitions("list"), "by-list")
+        named: list[int] = []
 
         def prepare(own):
             ids, data = [q for q, _ in own], np.array([v for _, v in own], dtype=np.float64)
             if data.shape[1] != made.centres.shape[1]:
                 raise ValueError(f"queries of width {data.shape[1]}, vectors of width {made.centres.shape[1]}")
-            near = np.concatenate([np.argsort(_squares(v, made.centres), axis=1, kind="stable")[:, :looked] for v in _few(data, len(made.centres))])
-            probed.clear()
-            for q, lists in enumerate(near):
-                for at in lists:
-                    probed.setdefault(int(at), []).append(q)
-            return ids, data, dict(probed), made
+            near = np.concatenate([np.argsort(_squares(v, made.centres), axis=1, kind="stable")[:, :looked] for v in _few(data, len(made.centres))]).astype(np.int32)
+            named[:] = np.unique(near).tolist()
+            return ids, data, near
 
         def scan(held):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                ids, data, asked, own = held.value
-                best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+                ids, data, near = held.value
+                order = np.argsort(near, axis=None, kind="stable")
+                lists_asked, asking = near.ravel()[order], order // near.shape[1]
+                squares, limit = (data ** 2).sum(1), np.full(len(ids), np.inf)
+                found: list[tuple[np.ndarray, ...]] = []
+                size = 0
+
+                def best() -> tuple[np.ndarray, ...]:
+                    """Number, key and distance of the k nearest of each query, in order."""
+                    q, some, distance = (np.concatenate(x) for x in zip(*found, strict=True))
+                    at = np.lexsort((some, distance, q))
+                    at = at[np.arange(len(at)) - np.searchsorted(q[at], q[at]) < k]
+                    return q[at], some[at], distance[at]
+
                 for batch in batches:
                     if not batch.num_rows:
                         continue
                     lists = np.asarray(batch.column("list"))
-                    rows = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(len(lists), -1)
                     full = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
                     keys = batch.column(key).to_numpy(zero_copy_only=False)
-                    for at in np.unique(lists):
-                        here = np.flatnonzero(lists == at)
-                        for q in asked.get(int(at), ()):
-                            few, near = here, np.zeros(len(here))
-                            old = best.get(q, (np.empty(0), keys[:0], np.empty(0)))
-                            if most <= BY_CODE:
-                                table = own.tables(data[q], int(at))
-                                near = table[np.arange(len(table)), rows[here]].sum(1)
-                                if len(old[0]) >= most:
-                                    some = near <= old[0].max()
-                                    few, near = here[some], near[some]
-                            distance = np.sqrt(((full[few] - data[q]) ** 2).sum(1))
-                            near, some, distance = (np.concatenate(x) for x in zip(old, (near, keys[few], distance), strict=True))
-                            if most > BY_CODE and len(near) > k:
-                                kept = np.lexsort((some, distance))[:k]
-                                near, some, distance = near[kept], some[kept], distance[kept]
-                            elif len(near) > most:
-                                kept = np.lexsort((some, near))[:most]
-                                near, some, distance = near[kept], some[kept], distance[kept]
-                            best[q] = near, some, distance
-                for q, (_, some, distance) in best.items():
-                    kept = np.lexsort((some, distance))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(kept), of_query), pa.array(some[kept], of_key), pa.array(distance[kept])], [query_key, key, "distance"])
-
-            few = codes.where(F.col("list").isin(*probed)) if len(probed) <= NAMED_LISTS else codes
-            return few.select("list", key, "code", "embedding").mapInArrow(run, kind)
+                    in_order = np.argsort(lists, kind="stable")
+                    present, first = np.unique(lists[in_order], return_index=True)
+                    for at, a, b in zip(present, first, [*first[1:], len(lists)], strict=True):
+                        wanted = asking[slice(*np.searchsorted(lists_asked, [at, at + 1]))]
+                        here = in_order[a:b]
+                        for c in range(0, len(wanted), step := max(1, HELD // len(here))):
+                            part = wanted[c:c + step]
+                            near_by = _squares(full[here], data[part])
+                            # no row that ties with the last one kept is lost to rounding
+                            margin = MARGIN * (data.shape[1] + 8) * ((full[here] ** 2).sum(1).max() + squares[part])
+                            i, j = np.nonzero(near_by <= limit[part] + margin)
+                            q, x, distance = part[j], here[i], np.empty(len(i))
+                            for d in range(0, len(i), PAIRS):
+                                distance[d:d + PAIRS] = np.sqrt(((full[x[d:d + PAIRS]] - data[q[d:d + PAIRS]]) ** 2).sum(1))
+                            found.append((q, keys[x], distance))
+                            size += len(i)
+                            if size >= HELD:
+                                found = [best()]
+                                q, _, distance = found[0]
+                                last = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == k - 1)
+                                limit[q[last]] = distance[last] ** 2
+                                size = 0
+                if found:
+                    q, some, distance = best()
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], of_query), pa.array(some, of_key), pa.array(distance)], [query_key, key, "distance"])
+
+            few = codes.where(F.col("list").isin(named)) if len(named) <= NAMED_LISTS else codes
+            return few.select("list", key, "embedding").mapInArrow(run, kind)
 
         asked = queries.select(query_key, "query_vector").where("query_vector is not null")
         found = by_blocks(asked, BLOCK_QUERIES, "probes", prepare, scan, kind)
