@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lakesift.operators import ingest, lifecycle
 from lakesift.providers import Embedder
 from lakesift.schema import Settings
-from lakesift.sources.files import read_files
+from lakesift.sources.files import files_below, with_contents
 from lakesift.store import Store
 
 CHANGES = "collection string, path string, kind string, text string, ts timestamp, event_id bigint"
@@ -96,15 +96,14 @@ def sync_folder(store: Store, collection: str, now: str, model: Embedder | None
     row = store.table("store_collections").where(F.col("name") == collection).head()
     if row is None:
         raise ValueError(f"no collection {collection}")
-    files = read_files(store.spark, row["path"], row["pattern"], row["ignore_patterns"] or [])
+    there = files_below(store.spark, row["path"], row["pattern"], row["ignore_patterns"] or [])
     held = store.table("documents").where("active").where(F.col("collection") == collection)
-    there = files.select("path", "modified_at")
     resting = there.where(F.col("modified_at") <= F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(quiet))) if quiet else there
     changed = resting.join(held.select("path", "modified_at"), ["path", "modified_at"], "left_anti").select("path").persist()
     try:
         n = changed.count()
         if n:
-            ingest.add_documents(store, files.join(changed, "path", "left_semi"), collection, now)
+            ingest.add_documents(store, with_contents(there.join(changed, "path", "left_semi")), collection, now)
         gone = ingest.remove_all(store, held.select("collection", "path").join(there.select("path"), "path", "left_anti"), now)
         if model is not None and n:
             ingest.index_documents(store, model, settings or Settings(), now)
